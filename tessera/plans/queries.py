@@ -225,3 +225,127 @@ def q_validation_report(spark, d):
         rec = V.validate_entity(lines_fn(spark, d), ent, M.catalogs_for(spark, d, name))
         out = rec if out is None else out.unionByName(rec)
     return out
+
+
+# ============================================================ keys
+from tessera.model import ForeignKey  # noqa: E402
+from tessera.operators import keys as K  # noqa: E402
+from tessera.operators import publish as P  # noqa: E402
+
+LINEITEM_FK = ForeignKey(("l_orderkey",), "orders", ("o_orderkey",))
+
+
+@query("pk_duplicates",
+       "SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem "
+       "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def q_pk_duplicates(spark, d):
+    return K.pk_duplicates(M.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("pk_nulls",
+       f"SELECT line_number, l_orderkey, l_linenumber FROM ({M.LINEITEM_LINES_SQL}) "
+       "WHERE l_orderkey IS NULL OR l_linenumber IS NULL")
+def q_pk_nulls(spark, d):
+    return K.pk_nulls(M.lineitem_lines(spark, d), ["l_orderkey", "l_linenumber"])
+
+
+@query("fk_orphans_staged",
+       f"SELECT line_number, l_orderkey FROM ({M.LINEITEM_LINES_SQL}) "
+       f"WHERE l_orderkey NOT IN (SELECT o_orderkey FROM ({M.PARENT_SQL})) AND l_orderkey IS NOT NULL")
+def q_fk_orphans_staged(spark, d):
+    child = M.lineitem_lines(spark, d)
+    return K.orphans(child, M.parent_orders(spark, d), LINEITEM_FK).select("line_number", "l_orderkey")
+
+
+@query("fk_orphans",
+       f"SELECT * FROM ({M.LINEITEM_SQL}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM ({M.PARENT_SQL}))")
+def q_fk_orphans(spark, d):
+    return K.orphans(M.lineitem_view(spark, d), M.parent_orders(spark, d), LINEITEM_FK)
+
+
+@query("fk_valid_rows",
+       f"SELECT * FROM ({M.LINEITEM_SQL}) WHERE l_orderkey IN (SELECT o_orderkey FROM ({M.PARENT_SQL}))")
+def q_fk_valid_rows(spark, d):
+    return K.valid_rows(M.lineitem_view(spark, d), M.parent_orders(spark, d), LINEITEM_FK)
+
+
+@query("fk_split_counts",
+       f"SELECT CAST(count_if(l_orderkey NOT IN (SELECT o_orderkey FROM ({M.PARENT_SQL}))) AS BIGINT) AS orphans, "
+       f"CAST(count_if(l_orderkey IN (SELECT o_orderkey FROM ({M.PARENT_SQL}))) AS BIGINT) AS valid, "
+       f"CAST(count_if(l_orderkey IS NULL) AS BIGINT) AS null_keys, CAST(count(*) AS BIGINT) AS total "
+       f"FROM ({M.LINEITEM_SQL})")
+def q_fk_split_counts(spark, d):
+    child = M.lineitem_view(spark, d)
+    orph, valid = K.split_orphans(child, M.parent_orders(spark, d), LINEITEM_FK)
+    o = orph.agg(F.count(F.lit(1)).alias("orphans"))
+    v = valid.agg(F.count(F.lit(1)).alias("valid"))
+    t = child.agg(F.count_if(F.col("l_orderkey").isNull()).alias("null_keys"), F.count(F.lit(1)).alias("total"))
+    one = F.lit(1).alias("_one")
+    return (o.select("*", one).join(v.select("*", one), "_one").join(t.select("*", one), "_one").drop("_one"))
+
+
+# ======================================================= publish
+UPSERT_SOURCE_SQL = (
+    "SELECT o_orderkey + CASE WHEN o_orderstatus = 'P' THEN 1000000000 ELSE 0 END AS o_orderkey, o_custkey, "
+    "o_orderstatus, round(o_totalprice * 2, 2) AS o_totalprice, o_orderdate, "
+    "nullif(o_orderpriority, '5-LOW') AS o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'P')")
+UPSERT_TARGET_SQL = "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O')"
+
+
+def upsert_source(spark, d):
+    o = M.table(spark, d, "orders").where(F.col("o_orderstatus").isin("O", "P"))
+    return o.select(
+        (F.col("o_orderkey") + F.when(F.col("o_orderstatus") == "P", F.lit(1000000000)).otherwise(0))
+        .alias("o_orderkey"),
+        "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"), "o_orderdate",
+        F.expr("nullif(o_orderpriority, '5-LOW')").alias("o_orderpriority"))
+
+
+def upsert_target(spark, d):
+    return M.table(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "O"))
+
+
+@query("upsert_merge",
+       f"SELECT * FROM ({UPSERT_SOURCE_SQL}) UNION ALL SELECT * FROM ({UPSERT_TARGET_SQL}) "
+       f"WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({UPSERT_SOURCE_SQL}))")
+def q_upsert_merge(spark, d):
+    return P.upsert(upsert_target(spark, d), upsert_source(spark, d), ["o_orderkey"])
+
+
+@query("cascade_delete",
+       "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN "
+       "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def q_cascade_delete(spark, d):
+    deleted = M.table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey")
+    child = M.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return P.cascade_delete(child, deleted, ["l_orderkey"], ["o_orderkey"])
+
+
+# Staged values that must be narrowed at publish: order value in cents as a
+# 128-bit integer, document text as a 255-limited string.
+from tessera.model import Entity as _Entity, Variable as _Variable  # noqa: E402
+
+RANGE_ENTITY = _Entity("staged_values", [
+    _Variable("o_orderkey", "integer"), _Variable("price_cents", "integer"), _Variable("o_orderpriority", "string"),
+    _Variable("doc_text", "string"), _Variable("o_totalprice", "double")], [], ("o_orderkey",))
+
+
+@query("publish_range_check",
+       "WITH s AS (SELECT o.o_orderkey, CAST(round(o.o_totalprice * 10000) AS DECIMAL(38,0)) AS price_cents, "
+       "o.o_orderpriority, d.text AS doc_text, o.o_totalprice FROM orders o LEFT JOIN documents d "
+       "ON d.doc_id = o.o_orderkey) "
+       "SELECT 'staged_values' AS entity, 'o_orderkey' AS variable, "
+       "CAST(count_if(o_orderkey IS NOT NULL AND TRY_CAST(o_orderkey AS INTEGER) IS NULL) AS BIGINT) "
+       "AS n_out_of_range FROM s UNION ALL "
+       "SELECT 'staged_values', 'price_cents', CAST(count_if(price_cents IS NOT NULL AND "
+       "TRY_CAST(price_cents AS INTEGER) IS NULL) AS BIGINT) FROM s UNION ALL "
+       "SELECT 'staged_values', 'o_orderpriority', CAST(count_if(length(o_orderpriority) > 255) AS BIGINT) FROM s "
+       "UNION ALL SELECT 'staged_values', 'doc_text', CAST(count_if(length(doc_text) > 255) AS BIGINT) FROM s")
+def q_publish_range_check(spark, d):
+    o = M.table(spark, d, "orders")
+    docs = M.table(spark, d, "documents").select(F.col("doc_id").alias("o_orderkey"), F.col("text").alias("doc_text"))
+    staged = (o.join(docs, "o_orderkey", "left")
+              .select(F.col("o_orderkey").cast("decimal(38,0)").alias("o_orderkey"),
+                      F.round(F.col("o_totalprice") * 10000).cast("decimal(38,0)").alias("price_cents"),
+                      "o_orderpriority", "doc_text", "o_totalprice"))
+    return P.range_violations(staged, RANGE_ENTITY)
