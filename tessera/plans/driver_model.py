@@ -169,3 +169,41 @@ def catalogs_for(spark: SparkSession, d: str, entity: str) -> dict[str, DataFram
 
 def sql_list(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+# ------------------------------------------------------------- dirty text
+# Orders rendered to text cells with defects written into some of them: null
+# tokens, a leading zero, letters, a double with a type suffix, dates with
+# slashes and an impossible date.  Every order is rendered.
+DIRTY_FORMATS = {"o_orderkey": "integer", "o_totalprice": "double", "o_orderdate": "date"}
+
+
+def dirty_orders(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.functions.casting import canonical_text
+    o = number_rows(table(spark, d, "orders"), ["o_orderkey"])
+    k = F.col("o_orderkey")
+    key = F.col("o_orderkey").cast("string")
+    price = canonical_text(F.col("o_totalprice"), "double")
+    day = F.col("o_orderdate").cast("date").cast("string")
+    return o.select(
+        "line_number",
+        F.when(k % 97 == 0, F.lit("NA")).when(k % 89 == 0, F.lit("")).when(k % 83 == 0, F.concat(F.lit("0"), key))
+         .when(k % 79 == 0, F.lit("x")).otherwise(key).alias("o_orderkey"),
+        F.when(k % 101 == 0, F.concat(price, F.lit("d"))).otherwise(price).alias("o_totalprice"),
+        F.when(k % 103 == 0, F.regexp_replace(day, "-", "/")).when(k % 107 == 0, F.lit("2020-13-45"))
+         .otherwise(day).alias("o_orderdate"))
+
+
+DIRTY_ORDERS_SQL = (
+    "SELECT row_number() OVER (ORDER BY o_orderkey) AS line_number, "
+    "CASE WHEN o_orderkey % 97 = 0 THEN 'NA' WHEN o_orderkey % 89 = 0 THEN '' "
+    "WHEN o_orderkey % 83 = 0 THEN concat('0', CAST(o_orderkey AS VARCHAR)) WHEN o_orderkey % 79 = 0 THEN 'x' "
+    "ELSE CAST(o_orderkey AS VARCHAR) END AS o_orderkey, "
+    "CASE WHEN o_orderkey % 101 = 0 THEN concat(CAST(o_totalprice AS VARCHAR), 'd') "
+    "ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice, "
+    "CASE WHEN o_orderkey % 103 = 0 THEN replace(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '-', '/') "
+    "WHEN o_orderkey % 107 = 0 THEN '2020-13-45' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS o_orderdate "
+    "FROM orders")
+
+DUCK_TYPES = {"integer": "HUGEINT", "double": "DOUBLE", "date": "DATE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "datetime": "TIMESTAMP"}

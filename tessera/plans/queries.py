@@ -349,3 +349,61 @@ def q_publish_range_check(spark, d):
                       F.round(F.col("o_totalprice") * 10000).cast("decimal(38,0)").alias("price_cents"),
                       "o_orderpriority", "doc_text", "o_totalprice"))
     return P.range_violations(staged, RANGE_ENTITY)
+
+
+# ======================================================== cast audit
+from tessera.operators import audit as AU  # noqa: E402
+
+
+def _audit_sql(mode: str) -> str:
+    parts = []
+    for c, fmt in M.DIRTY_FORMATS.items():
+        t = M.DUCK_TYPES[fmt]
+        if mode == "strict":
+            cond = f"{c} IS NOT NULL AND {c} NOT IN ('NA', '') AND TRY_CAST({c} AS {t}) IS NULL"
+            parts.append(f"SELECT '{c}' AS variable, line_number, {c} AS value FROM v WHERE {cond}")
+        else:
+            x = f"nullif({c}, '')"
+            back = f"CAST(TRY_CAST({x} AS {t}) AS VARCHAR)"
+            cond = f"{back} != {x} OR ({back} = {x}) IS NULL"
+            parts.append(f"SELECT '{c}' AS variable, line_number, {c} AS value FROM v WHERE {cond}")
+    return f"WITH v AS ({M.DIRTY_ORDERS_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("cast_audit_strict", _audit_sql("strict"))
+def q_cast_audit_strict(spark, d):
+    return AU.cast_audit(M.dirty_orders(spark, d), M.DIRTY_FORMATS, mode="strict")
+
+
+@query("cast_audit_roundtrip", _audit_sql("roundtrip"))
+def q_cast_audit_roundtrip(spark, d):
+    return AU.cast_audit(M.dirty_orders(spark, d), M.DIRTY_FORMATS, mode="roundtrip")
+
+
+def _audit_summary_sql(n: int = 15) -> str:
+    f = f"SELECT variable, line_number, coalesce(value, '') AS value FROM ({_audit_sql('roundtrip')})"
+    return (f"WITH f AS ({f}), "
+            f"l AS (SELECT variable, count(*) AS n_lines, "
+            f"string_agg('''' || CAST(line_number AS VARCHAR) || '''', ', ' ORDER BY line_number) "
+            f"FILTER (WHERE rn <= {n}) AS ll FROM (SELECT *, row_number() OVER (PARTITION BY variable "
+            f"ORDER BY line_number) AS rn FROM f) GROUP BY variable), "
+            f"pv AS (SELECT variable, value, min(line_number) AS first_line FROM f GROUP BY variable, value), "
+            f"vv AS (SELECT variable, count(*) AS n_values, string_agg('''' || value || '''', ', ' "
+            f"ORDER BY first_line) FILTER (WHERE rn <= {n}) AS vl FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY variable ORDER BY first_line) AS rn FROM pv) GROUP BY variable) "
+            f"SELECT l.variable, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_values AS BIGINT) AS n_values, "
+            f"ll || CASE WHEN n_lines > {n} THEN ', ...' ELSE '' END AS line_list, "
+            f"vl || CASE WHEN n_values > {n} THEN ', ...' ELSE '' END AS value_list "
+            f"FROM l JOIN vv USING (variable)")
+
+
+@query("cast_audit_summary", _audit_summary_sql())
+def q_cast_audit_summary(spark, d):
+    return AU.audit_summary(AU.cast_audit(M.dirty_orders(spark, d), M.DIRTY_FORMATS, mode="roundtrip"))
+
+
+# ============================================================ W1 line numbers
+@query("line_numbers", "SELECT row_number() OVER (ORDER BY o_orderkey) AS line_number, o_orderkey FROM orders")
+def q_line_numbers(spark, d):
+    from tessera.operators.common import number_rows
+    return number_rows(M.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
