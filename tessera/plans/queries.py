@@ -407,3 +407,123 @@ def q_cast_audit_summary(spark, d):
 def q_line_numbers(spark, d):
     from tessera.operators.common import number_rows
     return number_rows(M.table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+# ================================================ files
+from tessera.functions import text as TX  # noqa: E402
+from tessera.plans import intake as IN  # noqa: E402
+from tessera.plans import ingest as IG  # noqa: E402
+from tessera.sources import delimited as DL  # noqa: E402
+from tessera.sources import files as FS  # noqa: E402
+
+
+def _segment(col="_file"):
+    return F.regexp_extract(F.col(col), r"/([a-z]+_[A-Za-z]+)/[^/]*$", 1)
+
+
+def _intake_headers(spark, d, prefix="orders_"):
+    root = IN.intake(spark, d)
+    paths = [p for p in DL.list_files(spark, root) if f"/{prefix}" in p]
+    return DL.file_headers(spark, paths)
+
+
+@query("typed_scan",
+       "SELECT row_number() OVER (ORDER BY o_orderstatus, o_orderkey) AS line_number, "
+       "CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey, CAST(o_custkey AS DECIMAL(38,0)) AS o_custkey, "
+       "o_orderstatus, o_totalprice, o_orderdate, "
+       "CASE WHEN o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED') THEN NULL ELSE o_orderpriority END "
+       "AS o_orderpriority FROM orders")
+def q_typed_scan(spark, d):
+    res = IG.load_entity(spark, _intake_headers(spark, d), M.ORDERS)
+    return res.table.drop("file_line", "_file")
+
+
+@query("segment_append",
+       "SELECT 'orders_' || o_orderstatus AS segment, CAST(count(*) AS BIGINT) AS rows_loaded, "
+       "CAST(min(o_orderkey) AS DECIMAL(38,0)) AS first_key FROM orders GROUP BY o_orderstatus")
+def q_segment_append(spark, d):
+    res = IG.load_entity(spark, _intake_headers(spark, d), M.ORDERS)
+    return (res.table.groupBy(_segment().alias("segment"))
+            .agg(F.count(F.lit(1)).alias("rows_loaded"), F.min("o_orderkey").alias("first_key")))
+
+
+@query("header_match",
+       "SELECT DISTINCT 'orders_' || o_orderstatus AS segment, 'orders' AS entity FROM orders "
+       "UNION ALL SELECT 'orders_partial', NULL UNION ALL SELECT 'lineitem_all', 'lineitem' "
+       "UNION ALL SELECT DISTINCT 'documents_' || CASE WHEN lang = 'fr' THEN 'fr' ELSE 'other' END, NULL "
+       "FROM documents")
+def q_header_match(spark, d):
+    root = IN.intake(spark, d)
+    headers = DL.file_headers(spark, DL.list_files(spark, root))
+    return DL.header_matches(headers, M.MODEL).select(_segment("file").alias("segment"), "entity").distinct()
+
+
+SNIFF_TYPES = {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string",
+               "o_totalprice": "double", "o_orderdate": "datetime", "o_orderpriority": "string"}
+
+
+def _sniff_sql() -> str:
+    parts = []
+    for status, cols in IN.SEGMENT_ORDERS.items():
+        for i, c in enumerate(cols):
+            parts.append(f"SELECT DISTINCT 'orders_{status}' AS segment, '|' AS delimiter, {i} AS position, "
+                         f"'{c}' AS name, '{SNIFF_TYPES[c]}' AS type FROM orders WHERE o_orderstatus = '{status}'")
+    return " UNION ALL ".join(parts)
+
+
+@query("file_sniff", _sniff_sql())
+def q_file_sniff(spark, d):
+    headers = _intake_headers(spark, d)
+    out = None
+    for g in DL.header_groups(headers, M.ORDERS):
+        raw = DL.scan_text(spark, [g], g.columns).withColumn("segment", _segment())
+        s = DL.sniff(raw, g.columns, "segment")
+        out = s if out is None else out.unionByName(s)
+    seps = headers.select(_segment("file").alias("segment"), F.col("separator").alias("delimiter")).distinct()
+    return out.join(seps, "segment").select("segment", "delimiter", "position", "name", "type")
+
+
+@query("encoding_check",
+       "SELECT DISTINCT 'documents_' || CASE WHEN lang = 'fr' THEN 'fr' ELSE 'other' END AS segment, "
+       "CASE WHEN lang = 'fr' THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding FROM documents")
+def q_encoding_check(spark, d):
+    root = IN.intake(spark, d)
+    paths = [p for p in DL.list_files(spark, root) if "/documents_" in p]
+    per_file = FS.encoding_check(spark, paths)
+    # a segment is readable as UTF-8 only when all its files are
+    return (per_file.groupBy(_segment("file").alias("segment"))
+            .agg(F.max(F.when(F.col("encoding") == FS.FALLBACK_ENCODING, 1).otherwise(0)).alias("_latin"))
+            .select("segment", F.when(F.col("_latin") == 1, F.lit(FS.FALLBACK_ENCODING))
+                    .otherwise(F.lit(FS.UTF8)).alias("encoding")))
+
+
+@query("file_manifest")
+def q_file_manifest(spark, d):
+    root = IN.intake(spark, d)
+    return FS.manifest(spark, root)
+
+
+@query("content_sha256", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def q_content_sha256(spark, d):
+    return M.table(spark, d, "documents").select("doc_id", TX.sha256_hex(F.col("text")).alias("sha256"))
+
+
+@query("separator_inference",
+       "SELECT doc_id, CASE WHEN length(s) > 0 THEN substr(s, 1, 1) ELSE '|' END AS separator FROM "
+       "(SELECT doc_id, regexp_replace(rtrim(split_part(text, chr(10), 1)), '\"*[?a-zA-ZÀ-ÿñÑ0-9_-]*\"*', '', 'g') "
+       "AS s FROM documents)")
+def q_separator_inference(spark, d):
+    docs = M.table(spark, d, "documents")
+    return docs.select("doc_id", TX.infer_separator(TX.first_line(F.col("text"))).alias("separator"))
+
+
+@query("log_ansi_strip",
+       "SELECT event_id, regexp_replace(line, chr(27) || '\\[[0-9;]*[mK]', '', 'g') AS line FROM "
+       "(SELECT event_id, chr(27) || '[1;31m' || upper(event_type) || chr(27) || '[0m user=' || "
+       "CAST(user_id AS VARCHAR) || chr(27) || '[K' AS line FROM events)")
+def q_log_ansi_strip(spark, d):
+    esc = F.lit("\x1b")
+    ev = M.table(spark, d, "events")
+    line = F.concat(esc, F.lit("[1;31m"), F.upper("event_type"), esc, F.lit("[0m user="),
+                    F.col("user_id").cast("string"), esc, F.lit("[K"))
+    return ev.select("event_id", TX.strip_ansi(line).alias("line"))
