@@ -527,3 +527,163 @@ def q_log_ansi_strip(spark, d):
     line = F.concat(esc, F.lit("[1;31m"), F.upper("event_type"), esc, F.lit("[0m user="),
                     F.col("user_id").cast("string"), esc, F.lit("[K"))
     return ev.select("event_id", TX.strip_ansi(line).alias("line"))
+
+
+# ============================================================ profiles
+from tessera.operators import profile as PR  # noqa: E402
+
+NUMERIC_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+NUMERIC_STATS = ["count", "missing", "min", "max", "mean", "std", "variance", "sum", "cv", "skewness", "kurtosis",
+                 "zeros", "negatives", "infinite", "q05", "q25", "q50", "q75", "q95", "iqr", "range", "mad",
+                 "n_distinct", "n_unique"]
+_INT_STATS = {"count", "missing", "zeros", "negatives", "infinite", "n_distinct", "n_unique"}
+
+
+def _r(col):
+    return F.round(F.col(col), 6).alias(col)
+
+
+# Statistics that depend on summation order are compared at 10 significant
+# digits: the mantissa is rounded, then scaled back by an exact power of ten.
+_SIG_STATS = {"mean", "std", "variance", "sum", "cv", "skewness", "kurtosis"}
+
+
+def _sig(col, digits=10):
+    x = F.col(col)
+    p = F.pow(F.lit(10.0), F.ceil(F.log10(F.abs(x))))
+    return F.when(x == 0, x).otherwise(F.round(x / p, digits) * p).alias(col)
+
+
+def _sig_sql(expr, digits=10):
+    return (f"CASE WHEN ({expr}) = 0 THEN ({expr}) ELSE round(({expr}) / pow(10.0, ceil(log10(abs({expr})))), "
+            f"{digits}) * pow(10.0, ceil(log10(abs({expr})))) END")
+
+
+def _numeric_sql() -> str:
+    parts = []
+    for c in NUMERIC_COLS:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS variable, CAST(count({x}) AS BIGINT) AS count, CAST(count_if({c} IS NULL) AS BIGINT) "
+            f"AS missing, round(min({x}), 6) AS min, round(max({x}), 6) AS max, {_sig_sql(f'avg({x})')} AS mean, "
+            f"{_sig_sql(f'stddev_samp({x})')} AS std, {_sig_sql(f'var_samp({x})')} AS variance, "
+            f"{_sig_sql(f'sum({x})')} AS sum, "
+            f"{_sig_sql(f'stddev_samp({x}) / nullif(avg({x}), 0)')} AS cv, {_sig_sql(f'skewness({x})')} AS skewness, "
+            f"{_sig_sql(f'kurtosis({x})')} AS kurtosis, CAST(count_if({x} = 0) AS BIGINT) AS zeros, "
+            f"CAST(count_if({x} < 0) AS BIGINT) AS negatives, CAST(count_if(isinf({x})) AS BIGINT) AS infinite, "
+            + ", ".join(f"round(quantile_cont({x}, {q}), 6) AS q{int(round(q * 100)):02d}" for q in PR.QUANTILES)
+            + f", round(quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25), 6) AS iqr, "
+            f"round(max({x}) - min({x}), 6) AS range, round(mad({x}), 6) AS mad, "
+            f"CAST(count(DISTINCT {x}) AS BIGINT) AS n_distinct, "
+            f"CAST((SELECT count(*) FROM (SELECT {c} FROM v WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) = 1))"
+            f" AS BIGINT) AS n_unique FROM v")
+    return f"WITH v AS ({M.LINEITEM_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("profile_numeric", _numeric_sql())
+def q_profile_numeric(spark, d):
+    prof = PR.numeric_profile(M.lineitem_view(spark, d), NUMERIC_COLS, exact=True)
+    return prof.select("variable", *[F.col(s) if s in _INT_STATS else _sig(s) if s in _SIG_STATS else _r(s)
+                                     for s in NUMERIC_STATS])
+
+
+CATEGORICAL_COLS = ["o_orderstatus", "o_orderpriority"]
+
+
+def _categorical_sql() -> str:
+    parts = [f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM v "
+             f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in CATEGORICAL_COLS]
+    return (f"WITH v AS ({M.ORDERS_SQL}), vc AS ({' UNION ALL '.join(parts)}), "
+            f"t AS (SELECT variable, sum(n) AS total, max(n) AS freq FROM vc GROUP BY variable), "
+            f"tv AS (SELECT vc.variable, min(value) AS top FROM vc JOIN t ON vc.variable = t.variable "
+            f"AND vc.n = t.freq GROUP BY vc.variable) "
+            f"SELECT vc.variable, value, CAST(n AS BIGINT) AS n, round(n / total, 6) AS share, "
+            f"value = top AS is_top FROM vc JOIN t USING (variable) JOIN tv USING (variable)")
+
+
+@query("profile_categorical", _categorical_sql())
+def q_profile_categorical(spark, d):
+    return PR.categorical_profile(M.orders_view(spark, d), CATEGORICAL_COLS).select(
+        "variable", "value", "n", _r("share"), "is_top")
+
+
+DATETIME_SQL_VIEW = "SELECT ts, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM events"
+
+
+@query("profile_datetime",
+       f"WITH v AS ({DATETIME_SQL_VIEW}) " + " UNION ALL ".join(
+           f"SELECT '{c}' AS variable, min({c}) AS min, max({c}) AS max, "
+           f"CAST(epoch(max({c})) - epoch(min({c})) AS BIGINT) AS range_seconds, "
+           f"CAST(count_if({c} IS NULL) AS BIGINT) AS missing, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct "
+           f"FROM v" for c in ("ts", "day")))
+def q_profile_datetime(spark, d):
+    ev = M.table(spark, d, "events").select("ts", F.col("ts").cast("date").cast("timestamp_ntz").alias("day"))
+    return PR.datetime_profile(ev, ["ts", "day"]).select("variable", "min", "max", "range_seconds", "missing",
+                                                         "n_distinct")
+
+
+BOOL_SQL_VIEW = ("SELECT l_returnflag = 'R' AS is_returned, "
+                 "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linestatus = 'F' END AS is_final FROM lineitem")
+
+
+@query("profile_boolean",
+       f"WITH v AS ({BOOL_SQL_VIEW}) " + " UNION ALL ".join(
+           f"SELECT '{c}' AS variable, CAST(count_if({c}) AS BIGINT) AS n_true, "
+           f"CAST(count_if(NOT {c}) AS BIGINT) AS n_false, CAST(count_if({c} IS NULL) AS BIGINT) AS missing FROM v"
+           for c in ("is_returned", "is_final")))
+def q_profile_boolean(spark, d):
+    li = M.table(spark, d, "lineitem").select(
+        (F.col("l_returnflag") == "R").alias("is_returned"),
+        F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.col("l_linestatus") == "F").alias("is_final"))
+    return PR.boolean_profile(li, ["is_returned", "is_final"])
+
+
+HIST_COLS = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+def _hist_sql(bins: int = PR.HISTOGRAM_BINS) -> str:
+    parts = [f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS x FROM v WHERE {c} IS NOT NULL" for c in HIST_COLS]
+    return (f"WITH v AS ({M.LINEITEM_SQL}), l AS ({' UNION ALL '.join(parts)}), "
+            f"b AS (SELECT variable, min(x) AS lo, max(x) AS hi FROM l GROUP BY variable), "
+            f"k AS (SELECT l.variable, lo, hi, CASE WHEN hi = lo THEN 1 ELSE "
+            f"least(CAST(floor((x - lo) / (hi - lo) * {bins}) AS BIGINT) + 1, {bins}) END AS bin "
+            f"FROM l JOIN b USING (variable)) "
+            f"SELECT variable, CAST(bin AS INTEGER) AS bin, round(lo + (bin - 1) * (hi - lo) / {bins}, 6) AS lower, "
+            f"round(lo + bin * (hi - lo) / {bins}, 6) AS upper, CAST(count(*) AS BIGINT) AS n "
+            f"FROM k GROUP BY variable, bin, lo, hi")
+
+
+@query("profile_histogram", _hist_sql())
+def q_profile_histogram(spark, d):
+    return PR.histogram(M.lineitem_view(spark, d), HIST_COLS).select("variable", "bin", _r("lower"), _r("upper"),
+                                                                     "n")
+
+
+def _overview_sql() -> str:
+    parts = []
+    for name, ent, view in (("lineitem", M.LINEITEM, M.LINEITEM_SQL), ("orders", M.ORDERS, M.ORDERS_SQL)):
+        roles = PR.column_roles(ent)
+        miss = " + ".join(f"count_if({c} IS NULL)" for c in ent.labels)
+        n = len(ent.labels)
+        parts.append(f"SELECT '{name}' AS entity, CAST(count(*) AS BIGINT) AS n_rows, {n} AS n_columns, "
+                     f"CAST({miss} AS BIGINT) AS missing_cells, round(({miss}) / (count(*) * {n}), 6) AS missing_share, "
+                     + ", ".join(f"{len(v)} AS n_{k}" for k, v in roles.items()) + f" FROM ({view})")
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_overview", _overview_sql())
+def q_profile_overview(spark, d):
+    a = PR.overview(M.lineitem_view(spark, d), M.LINEITEM)
+    b = PR.overview(M.orders_view(spark, d), M.ORDERS)
+    return a.unionByName(b).withColumn("missing_share", F.round("missing_share", 6))
+
+
+@query("profile_monotonic",
+       f"WITH v AS ({M.LINEITEM_LINES_SQL}), l AS (" + " UNION ALL ".join(
+           f"SELECT '{c}' AS variable, line_number, CAST({c} AS DOUBLE) AS x FROM v WHERE {c} IS NOT NULL"
+           for c in ("l_orderkey", "l_quantity")) +
+       "), d AS (SELECT variable, x - lag(x) OVER (PARTITION BY variable ORDER BY line_number) AS d FROM l) "
+       "SELECT variable, count_if(d < 0) = 0 AS increasing, count_if(d > 0) = 0 AS decreasing FROM d "
+       "GROUP BY variable")
+def q_profile_monotonic(spark, d):
+    return PR.monotonic(M.lineitem_lines(spark, d), ["l_orderkey", "l_quantity"])
