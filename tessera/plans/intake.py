@@ -74,3 +74,106 @@ def intake(spark: SparkSession, d: str) -> str:
     _write(docs.where(~F.col("lang").isin(*LATIN1_LANGS)), f"{root}/documents_other")
     _CACHE[key] = root
     return root
+
+
+# ------------------------------------------------------------------ logs
+# Log line texts as the load step writes them.
+LOG_MISSING = ('WARNING:: No file of the uploaded files has been found that matches the header with the '
+               'configuration of the "{}" entity.!')
+LOG_TABLE = 'INFO:: Trying to load records in the table "{}"'
+LOG_RECORDS = "INFO:: {} records read."
+SITE_ENTITIES = ["customer", "supplier", "orders", "lineitem"]
+
+
+def site_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per nation (a site): rows each entity would load there."""
+    nation = M.table(spark, d, "nation").select(F.col("n_nationkey").alias("site"))
+    cust = M.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("site"))
+    supp = M.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("site")).agg(F.count(F.lit(1)).alias("supplier"))
+    orders = M.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    o_site = orders.join(cust, "c_custkey")
+    n_orders = o_site.groupBy("site").agg(F.count(F.lit(1)).alias("orders"))
+    li = M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    n_li = li.join(o_site.select("o_orderkey", "site"), "o_orderkey").groupBy("site").agg(F.count(F.lit(1)).alias("lineitem"))
+    n_cust = cust.groupBy("site").agg(F.count(F.lit(1)).alias("customer"))
+    out = nation
+    for part in (n_cust, supp, n_orders, n_li):
+        out = out.join(part, "site", "left")
+    return out.fillna(0)
+
+
+SITE_COUNTS_SQL = (
+    "SELECT n.n_nationkey AS site, coalesce(c.n, 0) AS customer, coalesce(s.n, 0) AS supplier, "
+    "coalesce(o.n, 0) AS orders, coalesce(l.n, 0) AS lineitem FROM nation n "
+    "LEFT JOIN (SELECT c_nationkey AS site, count(*) AS n FROM customer GROUP BY 1) c ON c.site = n.n_nationkey "
+    "LEFT JOIN (SELECT s_nationkey AS site, count(*) AS n FROM supplier GROUP BY 1) s ON s.site = n.n_nationkey "
+    "LEFT JOIN (SELECT c_nationkey AS site, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey "
+    "GROUP BY 1) o ON o.site = n.n_nationkey "
+    "LEFT JOIN (SELECT c_nationkey AS site, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+    "JOIN customer ON o_custkey = c_custkey GROUP BY 1) l ON l.site = n.n_nationkey")
+
+
+def site_logs(spark: SparkSession, d: str) -> str:
+    """Write one load log per site (``site=<n>/part-*.txt``); a supplier
+    count of 0 is logged as a missing file."""
+    key = (ensure_checkpoint_dir(spark), d + "#logs")
+    if key in _CACHE:
+        return _CACHE[key]
+    root = scratch_path(spark, "logs")
+    counts = site_counts(spark, d)
+    items = []
+    for i, e in enumerate(SITE_ENTITIES):
+        n = F.col(e)
+        missing = F.array(F.struct(F.lit(i * 10).alias("seq"), F.lit(LOG_MISSING.format(e)).alias("text")))
+        loaded = F.array(
+            F.struct(F.lit(i * 10).alias("seq"), F.lit(LOG_TABLE.format(e)).alias("text")),
+            F.struct(F.lit(i * 10 + 1).alias("seq"),
+                     F.concat(F.lit("INFO:: "), n.cast("string"), F.lit(" records read.")).alias("text")))
+        items.append(F.when((F.lit(e) == "supplier") & (n == 0), missing).otherwise(loaded))
+    lines = counts.select("site", F.inline(F.flatten(F.array(*items))))
+    (lines.repartition("site").sortWithinPartitions("site", "seq").select("site", "text")
+     .write.partitionBy("site").text(root))
+    _CACHE[key] = root
+    return root
+
+
+def cast_error_log(spark: SparkSession, d: str, summary: DataFrame) -> str:
+    """Write the cast-error log of a refused file from an audit summary
+    ``(variable, n_lines, n_values, line_list, value_list)``."""
+    key = (ensure_checkpoint_dir(spark), d + "#castlog")
+    if key in _CACHE:
+        return _CACHE[key]
+    root = scratch_path(spark, "castlog")
+    block = F.array(
+        F.struct(F.lit(0).alias("seq"), F.lit("ERROR:: ---------").alias("text")),
+        F.struct(F.lit(1).alias("seq"), F.concat(F.lit("ERROR:: Checking variable: "), F.col("variable")).alias("text")),
+        F.struct(F.lit(2).alias("seq"), F.lit("ERROR:: Filename: orders_dirty.csv").alias("text")),
+        F.struct(F.lit(3).alias("seq"), F.concat(F.lit("ERROR:: Found casting errors in "),
+                                                 F.col("n_lines").cast("string"), F.lit(" line(s)")).alias("text")),
+        F.struct(F.lit(4).alias("seq"), F.concat(F.lit("ERROR:: "), F.col("n_values").cast("string"),
+                                                 F.lit(" values have been found that cause casting errors."))
+                 .alias("text")),
+        F.struct(F.lit(5).alias("seq"), F.concat(F.lit("ERROR:: Line number where errors were found: "),
+                                                 F.col("line_list")).alias("text")),
+        F.struct(F.lit(6).alias("seq"), F.concat(F.lit("ERROR:: Example of erroneous values found: "),
+                                                 F.col("value_list")).alias("text")),
+        F.struct(F.lit(7).alias("seq"), F.lit("ERROR:: ---------").alias("text")))
+    lines = summary.select("variable", F.inline(block))
+    lines.coalesce(1).sortWithinPartitions("variable", "seq").select("text").write.text(root)
+    _CACHE[key] = root
+    return root
+
+
+def staged_load(spark: SparkSession, d: str):
+    """Load the driver model from the intake folder once; returns
+    ``(load_results, staging_root)``."""
+    from tessera.plans.ingest import load_model
+    key = (ensure_checkpoint_dir(spark), d + "#load")
+    if key in _CACHE:
+        root = _CACHE[key]
+        return spark.read.parquet(f"{root}/_load_results"), root
+    root = scratch_path(spark, "staging")
+    res = load_model(spark, intake(spark, d), M.MODEL, root)
+    res.write.parquet(f"{root}/_load_results")
+    _CACHE[key] = root
+    return spark.read.parquet(f"{root}/_load_results"), root

@@ -687,3 +687,164 @@ def q_profile_overview(spark, d):
        "GROUP BY variable")
 def q_profile_monotonic(spark, d):
     return PR.monotonic(M.lineitem_lines(spark, d), ["l_orderkey", "l_quantity"])
+
+
+# ===================================================== status and reports (R, J6, A6, U1, L4, L6)
+from tessera.operators import logs as LG  # noqa: E402
+from tessera.operators import status as ST  # noqa: E402
+from tessera.operators.common import file_line_numbers  # noqa: E402
+
+
+def _load_status(spark, d):
+    load, _ = IN.staged_load(spark, d)
+    return ST.entity_status(load.select("entity", "matched_files", "rows_read"))
+
+
+# what the intake holds for the driver model: orders and lineitem files only
+LOAD_STATUS_SQL = ("SELECT 'orders' AS entity, 'success' AS status, CAST(count(*) AS BIGINT) AS total_records "
+                   "FROM orders UNION ALL SELECT 'lineitem', 'success', CAST(count(*) AS BIGINT) FROM lineitem "
+                   "UNION ALL SELECT 'events', 'missing', CAST(0 AS BIGINT) UNION ALL "
+                   "SELECT 'nation', 'missing', CAST(0 AS BIGINT) UNION ALL SELECT 'customer', 'missing', "
+                   "CAST(0 AS BIGINT)")
+
+
+@query("entity_status", LOAD_STATUS_SQL)
+def q_entity_status(spark, d):
+    return _load_status(spark, d)
+
+
+@query("load_summary",
+       "SELECT CAST(2 AS BIGINT) AS entities_loaded, "
+       "'Total number of entities that have been matched to an uploaded file: 2' AS message "
+       "FROM (SELECT count(*) AS n FROM orders) WHERE n > 0")
+def q_load_summary(spark, d):
+    return ST.load_summary(_load_status(spark, d))
+
+
+def _records(spark, d):
+    out = None
+    for name, ent, lines_fn, _, _, _ in CATALOG_ENTITIES:
+        rec = V.validate_entity(lines_fn(spark, d), ent, M.catalogs_for(spark, d, name))
+        out = rec if out is None else out.unionByName(rec)
+    return out
+
+
+def _validator_metrics_sql() -> str:
+    """Per validated entity: rows, rule fails, catalog fails, NULL cells."""
+    parts = []
+    for name, ent, _, view, var, codes in CATALOG_ENTITIES:
+        rules = [r.expression for r in ent.rules]
+        rule_fail = " + ".join(f"count_if({_not_passing(r)})" for r in rules) or "0"
+        nulls = " + ".join(f"count_if({c} IS NULL)" for c in ent.labels)
+        cat = (f"(SELECT count(*) FROM ({view}) v LEFT JOIN ({codes}) c ON v.{var} = c.code "
+               f"WHERE c.code IS NULL AND v.{var} IS NOT NULL)")
+        parts.append(f"SELECT '{name}' AS entity, CAST(count(*) AS BIGINT) AS total_registries, "
+                     f"CAST({rule_fail} AS BIGINT) AS rule_fails, CAST({cat} AS BIGINT) AS catalog_fails, "
+                     f"CAST({nulls} AS BIGINT) AS na_count FROM ({view})")
+    return " UNION ALL ".join(parts)
+
+
+@query("entity_quality_rollup",
+       f"WITH l AS ({LOAD_STATUS_SQL}), m AS ({_validator_metrics_sql()}) "
+       "SELECT entity, coalesce(l.status, 'success') AS status, "
+       "CAST(coalesce(m.total_registries, l.total_records, 0) AS BIGINT) AS total_records, "
+       "CAST(coalesce(rule_fails, 0) AS BIGINT) AS rule_fails, CAST(coalesce(catalog_fails, 0) AS BIGINT) "
+       "AS catalog_fails, CAST(coalesce(na_count, 0) AS BIGINT) AS na_count, "
+       "CASE WHEN l.status = 'fatal' THEN 'fatal' WHEN l.status = 'missing' THEN 'missing' "
+       "WHEN coalesce(rule_fails, 0) > 0 OR coalesce(catalog_fails, 0) > 0 OR coalesce(na_count, 0) > 0 "
+       "THEN 'warning' ELSE 'ok' END AS badge FROM l FULL OUTER JOIN m USING (entity)")
+def q_entity_quality_rollup(spark, d):
+    return ST.quality_table(_load_status(spark, d), _records(spark, d))
+
+
+def _check_rows_sql() -> str:
+    parts = []
+    for name, ent, _, view, var, codes in CATALOG_ENTITIES:
+        for c in ent.labels:
+            parts.append(f"SELECT '{name}' AS entity, 'null' AS kind, '{c}' AS \"check\", "
+                         f"CAST(count_if({c} IS NULL) AS BIGINT) AS total_wrong_lines, "
+                         f"CAST(count(*) AS BIGINT) AS total_registries FROM ({view})")
+        for r in ent.rules:
+            rq = r.expression.replace("'", "''")
+            parts.append(f"SELECT '{name}', 'rule', '{rq}', CAST(count_if({_not_passing(r.expression)}) AS BIGINT), "
+                         f"CAST(count(*) AS BIGINT) FROM ({view})")
+        parts.append(f"SELECT '{name}', 'catalog', '{var}', CAST((SELECT count(*) FROM ({view}) v LEFT JOIN "
+                     f"({codes}) c ON v.{var} = c.code WHERE c.code IS NULL AND v.{var} IS NOT NULL) AS BIGINT), "
+                     f"CAST(count(*) AS BIGINT) FROM ({view})")
+    return " UNION ALL ".join(parts)
+
+
+@query("threshold_flags",
+       f"SELECT entity, kind, \"check\", total_wrong_lines, CASE WHEN kind = 'null' THEN total_wrong_lines > 0 "
+       f"ELSE total_wrong_lines > 0.2 * total_registries END AS flagged FROM ({_check_rows_sql()})")
+def q_threshold_flags(spark, d):
+    return ST.threshold_flags(ST.check_rows(_records(spark, d))).drop("total_registries")
+
+
+@query("failing_checks",
+       f"SELECT entity, kind, \"check\", total_wrong_lines FROM ({_check_rows_sql()}) WHERE total_wrong_lines > 0")
+def q_failing_checks(spark, d):
+    return ST.failing_checks(ST.check_rows(_records(spark, d))).drop("total_registries")
+
+
+@query("quality_badge",
+       f"SELECT entity, CASE WHEN l.status = 'fatal' THEN 'fatal' WHEN l.status = 'missing' THEN 'missing' "
+       f"WHEN coalesce(rule_fails, 0) > 0 OR coalesce(catalog_fails, 0) > 0 OR coalesce(na_count, 0) > 0 "
+       f"THEN 'warning' ELSE 'ok' END AS badge FROM ({LOAD_STATUS_SQL}) l FULL OUTER JOIN "
+       f"({_validator_metrics_sql()}) m USING (entity)")
+def q_quality_badge(spark, d):
+    return ST.quality_table(_load_status(spark, d), _records(spark, d)).select("entity", "badge")
+
+
+ENTITY_TABLES = ["orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events"]
+
+
+@query("entity_counts",
+       " UNION ALL ".join(f"SELECT '{t}' AS entity, {i} AS priority, CAST(count(*) AS BIGINT) AS n_registries "
+                          f"FROM {t}" for i, t in enumerate(ENTITY_TABLES))
+       + f" UNION ALL SELECT 'returns' AS entity, {ST.UNKNOWN_PRIORITY} AS priority, CAST(0 AS BIGINT)")
+def q_entity_counts(spark, d):
+    tables = {t: M.table(spark, d, t) for t in ENTITY_TABLES}
+    tables["returns"] = None   # declared in the model, no table loaded
+    return ST.entity_counts(spark, tables, ENTITY_TABLES).orderBy("priority", "entity")
+
+
+@query("preview_first10", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
+def q_preview_first10(spark, d):
+    # a top-k report: the limit is the feature (distributed take-ordered)
+    return M.table(spark, d, "orders").orderBy("o_orderkey").limit(10)
+
+
+def _log_lines(spark, root):
+    raw = spark.read.text(root).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"),
+                                       F.col("_metadata.file_block_start").alias("_block"))
+    return file_line_numbers(raw).select(F.col("_file").alias("file"), F.col("file_line").alias("line"), "text")
+
+
+def _site_status_sql() -> str:
+    parts = []
+    for e in IN.SITE_ENTITIES:
+        if e == "supplier":
+            parts.append(f"SELECT site, '{e}' AS entity, CASE WHEN {e} = 0 THEN 'missing' ELSE 'success' END AS "
+                         f"status, CAST({e} AS BIGINT) AS total_records FROM s")
+        else:
+            parts.append(f"SELECT site, '{e}' AS entity, CASE WHEN {e} = 0 THEN 'fatal' ELSE 'success' END "
+                         f"AS status, CAST({e} AS BIGINT) AS total_records FROM s")
+    return f"WITH s AS ({IN.SITE_COUNTS_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("log_load_results", _site_status_sql())
+def q_log_load_results(spark, d):
+    lines = _log_lines(spark, IN.site_logs(spark, d))
+    res = LG.load_results(lines)
+    return res.select(F.regexp_extract("file", r"site=(\d+)", 1).cast("int").alias("site"), "entity", "status",
+                      "total_records")
+
+
+@query("log_cast_errors",
+       f"SELECT variable, 'orders_dirty.csv' AS filename, n_lines AS affected_rows, value_list AS examples "
+       f"FROM ({_audit_summary_sql()})")
+def q_log_cast_errors(spark, d):
+    summary = AU.audit_summary(AU.cast_audit(M.dirty_orders(spark, d), M.DIRTY_FORMATS, mode="roundtrip"))
+    lines = _log_lines(spark, IN.cast_error_log(spark, d, summary))
+    return LG.cast_errors(lines).drop("file")
