@@ -848,3 +848,29 @@ def q_log_cast_errors(spark, d):
     summary = AU.audit_summary(AU.cast_audit(M.dirty_orders(spark, d), M.DIRTY_FORMATS, mode="roundtrip"))
     lines = _log_lines(spark, IN.cast_error_log(spark, d, summary))
     return LG.cast_errors(lines).drop("file")
+
+
+# ============================================================ V2 artifacts
+from tessera.plans import report as RP  # noqa: E402
+from tessera.session import scratch_path as _scratch  # noqa: E402
+
+
+def run_outputs(spark, d) -> str:
+    """Write the outputs of one validation run over the driver tables:
+    validation JSON, profiles, load logs and the orphan quarantine."""
+    key = (IN.ensure_checkpoint_dir(spark), d + "#outputs")
+    if key in IN._CACHE:
+        return IN._CACHE[key]
+    out = _scratch(spark, "outputs")
+    RP.write_validation(RP.version_stamp(_records(spark, d), M.MODEL), f"{out}/dqa")
+    RP.write_profiles(spark, M.MODEL, {"orders": M.orders_view(spark, d)}, f"{out}/dqa")
+    spark.read.text(IN.site_logs(spark, d)).select("value").coalesce(1).write.text(f"{out}/logs/checking_data_syntax")
+    orph = K.orphans(M.lineitem_view(spark, d), M.parent_orders(spark, d), LINEITEM_FK)
+    orph.write.option("header", True).csv(f"{out}/errors_fk_lineitem")
+    IN._CACHE[key] = out
+    return out
+
+
+@query("artifact_catalog")
+def q_artifact_catalog(spark, d):
+    return RP.artifact_catalog(spark, run_outputs(spark, d))
