@@ -34,7 +34,9 @@ EVENTS_RULES = ["value >= 1"]
 PRIORITY_CODES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 RETURNFLAG_CODES = ["A", "N"]
 EVENT_TYPE_CODES = ["click", "purchase", "signup", "view"]
-LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# Line order of lineitem: all columns, so ties cannot reorder rows.
+LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 # Orders still pending ('P') are not yet in the parent table.
 PARENT_STATUSES = ["F", "O"]
 
@@ -115,7 +117,7 @@ def lineitem_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 LINEITEM_LINES_SQL = (
-    "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_number, "
+    f"SELECT row_number() OVER (ORDER BY {', '.join(LINEITEM_ORDER)}) AS line_number, "
     "l_orderkey, nullif(l_linenumber, 7) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
     "l_discount, nullif(l_tax, 0) AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem")
 

@@ -613,12 +613,12 @@ DATETIME_SQL_VIEW = "SELECT ts, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM
 @query("profile_datetime",
        f"WITH v AS ({DATETIME_SQL_VIEW}) " + " UNION ALL ".join(
            f"SELECT '{c}' AS variable, min({c}) AS min, max({c}) AS max, "
-           f"CAST(epoch(max({c})) - epoch(min({c})) AS BIGINT) AS range_seconds, "
+           f"round((epoch_us(max({c})) - epoch_us(min({c}))) / 1e6, 6) AS range_seconds, "
            f"CAST(count_if({c} IS NULL) AS BIGINT) AS missing, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct "
            f"FROM v" for c in ("ts", "day")))
 def q_profile_datetime(spark, d):
     ev = M.table(spark, d, "events").select("ts", F.col("ts").cast("date").cast("timestamp_ntz").alias("day"))
-    return PR.datetime_profile(ev, ["ts", "day"]).select("variable", "min", "max", "range_seconds", "missing",
+    return PR.datetime_profile(ev, ["ts", "day"]).select("variable", "min", "max", _r("range_seconds"), "missing",
                                                          "n_distinct")
 
 
