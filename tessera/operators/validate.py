@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.casting import canonical_text, try_parse
 from tessera.model import Entity, Rule, Variable
-from tessera.operators.common import broadcast_checked, first_n, with_tail
+from tessera.operators.common import BROADCAST_MAX_ROWS, broadcast_checked, first_n, with_tail
 
 # How many lines / values a report lists before "+k lines".
 REPORT_LINES = 10
@@ -100,18 +100,7 @@ def runtime_safe_rules(df: DataFrame, checks: list[RuleCheck]) -> list[RuleCheck
         fused_counts(df, [], usable).collect()
         return checks
     except Exception:  # noqa: BLE001 - any runtime failure isolates rules
-        pass
-    out = []
-    for r in checks:
-        if r.column is None:
-            out.append(r)
-            continue
-        try:
-            df.agg(F.count_if(F.coalesce(r.column, F.lit(False)))).collect()
-            out.append(r)
-        except Exception as e:  # noqa: BLE001
-            out.append(RuleCheck(r.index, r.expression, None, str(e).splitlines()[0]))
-    return out
+        return _isolate(df, checks)
 
 
 # ----------------------------------------------------------------- catalogs
@@ -121,6 +110,7 @@ class CatalogCheck:
     fmt: str
     codes: DataFrame       # catalog rows
     code_column: str = "code"
+    max_rows: int | None = None   # known bound on the code list, if any
 
 
 def catalog_codes(checks: Sequence[CatalogCheck]) -> DataFrame | None:
@@ -169,7 +159,11 @@ def violation_stream(df: DataFrame, line_col: str, rules: Sequence[RuleCheck] =
     codes = catalog_codes(catalogs)
     if codes is None:
         return stream
-    codes = broadcast_checked(codes)
+    bounds = [c.max_rows for c in catalogs]
+    if all(b is not None for b in bounds) and sum(bounds) <= BROADCAST_MAX_ROWS:
+        codes = F.broadcast(codes)          # size known from the code lists
+    else:
+        codes = broadcast_checked(codes)    # size proven by a bounded count
     cond = (stream["check"] == codes["check"]) & (stream["value"] == codes["value"])
     return stream.join(codes, cond, "left_anti")
 
@@ -215,9 +209,11 @@ RESULT_SCHEMA = T.StructType([
 ])
 
 
-def catalog_checks_for(entity: Entity, catalogs: Mapping[str, DataFrame]) -> list[CatalogCheck]:
+def catalog_checks_for(entity: Entity, catalogs: Mapping[str, DataFrame],
+                       sizes: Mapping[str, int] | None = None) -> list[CatalogCheck]:
     """Catalog checks of an entity; ``catalogs`` maps variable label (or the
-    catalog file name) to a DataFrame of the code list."""
+    catalog file name) to a DataFrame of the code list; ``sizes`` may give
+    known row counts of those lists."""
     out = []
     for v in entity.variables:
         if not v.checks_catalog:
@@ -227,7 +223,8 @@ def catalog_checks_for(entity: Entity, catalogs: Mapping[str, DataFrame]) -> lis
             codes = catalogs.get(v.catalog.filename)
         if codes is None:
             raise KeyError(f"no catalog for {entity.name}.{v.label}")
-        out.append(CatalogCheck(v.label, v.fmt, codes, v.catalog.column_name if v.catalog else "code"))
+        out.append(CatalogCheck(v.label, v.fmt, codes, v.catalog.column_name if v.catalog else "code",
+                                (sizes or {}).get(v.label)))
     return out
 
 
@@ -252,48 +249,68 @@ def catalog_report(df: DataFrame, checks: Sequence[CatalogCheck], line_col: str
                     F.coalesce("wrong_values", empty).alias("wrong_values")))
 
 
+def _isolate(df: DataFrame, checks: list[RuleCheck]) -> list[RuleCheck]:
+    """Count each usable rule alone; mark the ones that raise at run time."""
+    out = []
+    for r in checks:
+        if r.column is None:
+            out.append(r)
+            continue
+        try:
+            df.agg(F.count_if(F.coalesce(r.column, F.lit(False)))).collect()
+            out.append(r)
+        except Exception as e:  # noqa: BLE001
+            out.append(RuleCheck(r.index, r.expression, None, str(e).splitlines()[0]))
+    return out
+
+
 def validate_entity(df: DataFrame, entity: Entity, catalogs: Mapping[str, DataFrame] | None = None,
-                    line_col: str = "line_number", isolate_runtime_errors: bool = True) -> DataFrame:
+                    line_col: str = "line_number", isolate_runtime_errors: bool = True,
+                    catalog_sizes: Mapping[str, int] | None = None) -> DataFrame:
     """The nested validation record of one entity (one row, ``RESULT_SCHEMA``).
 
-    ``df`` is the staged entity with a stored ``line_col``.  Rules that fail
-    to analyse (or, with ``isolate_runtime_errors``, raise when run) are
-    reported as passing 0 rows, wrong on all, with the text ``"<n> lines"``.
+    ``df`` is the staged entity with a stored ``line_col``.  The fused count
+    (rows, NULLs per variable, passes per rule) runs once here and returns
+    one row; it is also the probe for rules that raise at run time, which
+    are then counted alone to find the culprits.  Such rules, and rules
+    that do not analyse, are reported as passing 0 rows, wrong on all, with
+    the text ``"<n> lines"``.  Wrong lines and values stay lazy.
     """
     spark = df.sparkSession
     labels = entity.labels
     checks = analyse_rules(df, entity.rules)
-    if isolate_runtime_errors:
-        checks = runtime_safe_rules(df, checks)
-    cats = catalog_checks_for(entity, catalogs or {})
-    counts = fused_counts(df, labels, checks)
+    try:
+        row = fused_counts(df, labels, checks).first()
+    except Exception:  # noqa: BLE001 - a rule raised at run time
+        if not isolate_runtime_errors:
+            raise
+        checks = _isolate(df, checks)
+        row = fused_counts(df, labels, checks).first()
+    total = int(row["total"])
+    cats = catalog_checks_for(entity, catalogs or {}, catalog_sizes)
     stream = violation_stream(df, line_col, checks, cats)
     lines = check_lines(stream)
 
-    # rules: one row per declared rule, in order
-    rule_rows = [(r.index, r.expression, r.column is None) for r in checks]
-    rule_meta = spark.createDataFrame(rule_rows, "rule_index int, expression string, failed boolean")
-    pass_cols = F.array(*[F.struct(F.lit(r.index).alias("i"),
-                                   (F.col(f"pass_{r.index}") if r.column is not None
-                                    else F.lit(0).cast("long")).alias("p"))
-                          for r in checks]) if checks else F.array().cast("array<struct<i:int,p:long>>")
-    passes = counts.select("total", F.inline(pass_cols)) if checks else None
+    # rules: one row per declared rule, in order (counts are known numbers)
+    rule_rows = []
+    for r in checks:
+        if r.column is None:
+            rule_rows.append((r.index, r.expression, 0, total, [f"{total} lines"]))
+        else:
+            p = int(row[f"pass_{r.index}"])
+            rule_rows.append((r.index, r.expression, p, total - p, None))
+    rule_meta = spark.createDataFrame(rule_rows, "rule_index int, expression string, passed_rule long, "
+                                                 "total_wrong_lines long, fixed_lines array<string>")
     rule_lines = lines.where(F.col("kind") == "rule").select(F.col("check").cast("int").alias("rule_index"),
                                                              "wrong_lines")
-    if passes is not None:
-        rules_df = (rule_meta.join(passes, rule_meta["rule_index"] == passes["i"])
-                    .join(rule_lines, "rule_index", "left")
-                    .select("rule_index", F.struct(
-                        F.col("expression"),
-                        F.when(F.col("failed"), F.lit(0).cast("long")).otherwise(F.col("p")).alias("passed_rule"),
-                        F.when(F.col("failed"), F.array(F.concat(F.col("total").cast("string"), F.lit(" lines"))))
-                         .otherwise(F.coalesce("wrong_lines", F.array().cast("array<string>"))).alias("wrong_lines"),
-                        F.when(F.col("failed"), F.col("total")).otherwise(F.col("total") - F.col("p"))
-                         .alias("total_wrong_lines")).alias("r")))
-        rules_arr = rules_df.agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_index", "r"))),
-                                             lambda s: s["r"]).alias("rules"))
-    else:
-        rules_arr = spark.range(1).select(F.array().cast(RESULT_SCHEMA["rules"].dataType).alias("rules"))
+    rules_df = (rule_meta.join(rule_lines, "rule_index", "left")
+                .select("rule_index", F.struct(
+                    "expression", "passed_rule",
+                    F.coalesce("fixed_lines", "wrong_lines", F.array().cast("array<string>")).alias("wrong_lines"),
+                    "total_wrong_lines").alias("r")))
+    rules_arr = rules_df.agg(F.coalesce(
+        F.transform(F.array_sort(F.collect_list(F.struct("rule_index", "r"))), lambda s: s["r"]),
+        F.array().cast(RESULT_SCHEMA["rules"].dataType)).alias("rules"))
 
     # catalogs: one entry per catalog variable, zero when nothing is wrong
     cat_rows = catalog_report(df, cats, line_col, stream).select("cat_index", F.struct(
@@ -302,10 +319,10 @@ def validate_entity(df: DataFrame, entity: Entity, catalogs: Mapping[str, DataFr
         F.transform(F.array_sort(F.collect_list(F.struct("cat_index", "c"))), lambda s: s["c"]),
         F.array().cast(RESULT_SCHEMA["catalog_checking"].dataType)).alias("catalog_checking"))
 
-    na_list = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"na_{i}").alias("na_count"))
+    na_list = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(int(row[f"na_{i}"])).cast("long").alias("na_count"))
                         for i, c in enumerate(labels)])
-    head = counts.select(F.lit(entity.name).alias("entity"), F.col("total").alias("total_registries"),
-                         na_list.alias("na_count_list"))
+    head = spark.range(1).select(F.lit(entity.name).alias("entity"), F.lit(total).cast("long").alias("total_registries"),
+                                 na_list.alias("na_count_list"))
     # each of the three parts has exactly one row; they meet on a constant key
     one = F.lit(1).alias("_one")
     return (head.select("*", one).join(cat_arr.select("*", one), "_one").join(rules_arr.select("*", one), "_one")

@@ -142,7 +142,7 @@ CATALOG_ENTITIES = [
 def _catalog_streams(spark, d):
     for name, ent, lines_fn, _, var, _ in CATALOG_ENTITIES:
         df = lines_fn(spark, d)
-        checks = V.catalog_checks_for(ent, M.catalogs_for(spark, d, name))
+        checks = V.catalog_checks_for(ent, M.catalogs_for(spark, d, name), M.catalog_sizes(name))
         yield name, df, checks
 
 
@@ -218,15 +218,21 @@ def q_catalog_summary(spark, d):
 
 
 # -------------------------------------------- K5 nested validation record
-@query("validation_report")
-def q_validation_report(spark, d):
+def validation_records(spark, d):
+    """Validation records of the four driver entities (computed, lazy)."""
     out = None
     for name, ent, lines_fn, _, _, _ in CATALOG_ENTITIES:
-        rec = V.validate_entity(lines_fn(spark, d), ent, M.catalogs_for(spark, d, name))
+        rec = V.validate_entity(lines_fn(spark, d), ent, M.catalogs_for(spark, d, name),
+                                catalog_sizes=M.catalog_sizes(name))
         out = rec if out is None else out.unionByName(rec)
     return out
 
 
+@query("validation_report")
+def q_validation_report(spark, d):
+    return validation_records(spark, d)
+
+
 # ============================================================ keys
 from tessera.model import ForeignKey  # noqa: E402
 from tessera.operators import keys as K  # noqa: E402
@@ -691,6 +697,7 @@ def q_profile_monotonic(spark, d):
 
 # ===================================================== status and reports (R, J6, A6, U1, L4, L6)
 from tessera.operators import logs as LG  # noqa: E402
+from tessera.session import scratch_path as _scratch  # noqa: E402
 from tessera.operators import status as ST  # noqa: E402
 from tessera.operators.common import file_line_numbers  # noqa: E402
 
@@ -721,12 +728,19 @@ def q_load_summary(spark, d):
     return ST.load_summary(_load_status(spark, d))
 
 
+_VALIDATION_OUTPUT: dict = {}
+
+
 def _records(spark, d):
-    out = None
-    for name, ent, lines_fn, _, _, _ in CATALOG_ENTITIES:
-        rec = V.validate_entity(lines_fn(spark, d), ent, M.catalogs_for(spark, d, name))
-        out = rec if out is None else out.unionByName(rec)
-    return out
+    """The validation output of the run, as the status step reads it: the
+    records are written once per session and table folder (one row per
+    entity) and read back by every status, badge and threshold query."""
+    key = (IN.ensure_checkpoint_dir(spark), d)
+    if key not in _VALIDATION_OUTPUT:
+        path = _scratch(spark, "validator-output")
+        validation_records(spark, d).write.parquet(path)
+        _VALIDATION_OUTPUT[key] = path
+    return spark.read.parquet(_VALIDATION_OUTPUT[key])
 
 
 def _validator_metrics_sql() -> str:
