@@ -66,10 +66,26 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
             .agg(F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_unique")))
 
 
+def numeric_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(variable, x, n)``: each numeric column's distinct non-NaN values
+    with their counts, one stacked partial aggregate (values stay doubles)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])
+    return (df.select(F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
+            .groupBy("variable", "x").agg(F.count(F.lit(1)).alias("n")))
+
+
 def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """One row per numeric column: count, missing, min, max, mean, std,
     variance, sum, cv, skewness, kurtosis, zeros, negatives, infinite,
-    q05..q95, iqr, range, mad, n_distinct, n_unique."""
+    q05..q95, iqr, range, mad, n_distinct, n_unique.
+
+    Moments and counts come from one aggregate over the rows.  With
+    ``exact``, quantiles, the median absolute deviation and the distinct /
+    unique counts come from the value-count table: ``percentile`` with a
+    frequency argument over distinct values instead of over every row (the
+    two aggregates over that table share its shuffle).  Without ``exact``,
+    bounded sketches over the rows are used instead.
+    """
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
@@ -80,33 +96,48 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
                  F.sum(x).alias(f"{c}__sum"), F.skewness(finite).alias(f"{c}__g1"),
                  F.kurtosis(finite).alias(f"{c}__g2"), F.count(finite).alias(f"{c}__nf"),
                  F.count_if(x == 0).alias(f"{c}__zeros"), F.count_if(x < 0).alias(f"{c}__negatives"),
-                 F.count_if(F.abs(x) == float("inf")).alias(f"{c}__infinite"),
-                 _quantiles(finite, exact).alias(f"{c}__q")]
+                 F.count_if(F.abs(x) == float("inf")).alias(f"{c}__infinite")]
+        if not exact:
+            aggs.append(_quantiles(finite, False).alias(f"{c}__q"))
+            aggs.append(F.approx_count_distinct(x).alias(f"{c}__nd"))
     stats = df.agg(*aggs)
     rows = []
     for c in cols:
         def s(k, c=c):
             return F.col(f"{c}__{k}")
         nf = s("nf").cast("double")
+        extra = ([s("q").alias("q"), s("nd").alias("n_distinct"), F.lit(None).cast("long").alias("n_unique")]
+                 if not exact else [])
         rows.append(F.struct(
             F.lit(c).alias("variable"), s("count").alias("count"), s("missing").alias("missing"),
             s("min").alias("min"), s("max").alias("max"), s("mean").alias("mean"), s("std").alias("std"),
             s("variance").alias("variance"), s("sum").alias("sum"),
             F.when(s("mean") != 0, s("std") / s("mean")).alias("cv"),
             corrected_skewness(s("g1"), nf).alias("skewness"), corrected_kurtosis(s("g2"), nf).alias("kurtosis"),
-            s("zeros").alias("zeros"), s("negatives").alias("negatives"), s("infinite").alias("infinite"),
-            *[s("q")[i].alias(f"q{int(round(q * 100)):02d}") for i, q in enumerate(QUANTILES)],
-            (s("q")[3] - s("q")[1]).alias("iqr"), (s("max") - s("min")).alias("range")))
+            s("zeros").alias("zeros"), s("negatives").alias("negatives"), s("infinite").alias("infinite"), *extra))
     out = stats.select(F.inline(F.array(*rows)))
-    # median absolute deviation: a second aggregate around the medians
-    med = out.select("variable", F.col("q50"))
-    dev_pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])
-    devs = (df.select(F.inline(dev_pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
-            .join(F.broadcast(med), "variable")
-            .groupBy("variable")
-            .agg((F.percentile(F.abs(F.col("x") - F.col("q50")), F.lit(0.5)) if exact else
-                  F.percentile_approx(F.abs(F.col("x") - F.col("q50")), F.lit(0.5), 10000)).alias("mad")))
-    return (out.join(devs, "variable", "left").join(distinct_counts(df, cols, exact), "variable", "left"))
+    qs = F.array(*[F.lit(q) for q in QUANTILES])
+    if exact:
+        # one value-count shuffle feeds all three aggregates (exchange reuse)
+        vc = numeric_value_counts(df, cols)
+        fin = F.when(F.abs("x") != float("inf"), F.col("x"))
+        per = vc.groupBy("variable").agg(F.percentile(fin, qs, F.col("n")).alias("q"),
+                                         F.count(F.lit(1)).alias("n_distinct"),
+                                         F.count_if(F.col("n") == 1).alias("n_unique"))
+        mad = (vc.join(F.broadcast(per.select("variable", F.col("q")[2].alias("med"))), "variable")
+               .groupBy("variable")
+               .agg(F.percentile(F.abs(fin - F.col("med")), F.lit(0.5), F.col("n")).alias("mad")))
+        out = out.join(per, "variable").join(mad, "variable", "left")
+    else:
+        med = out.select("variable", F.col("q")[2].alias("med"))
+        dev_pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])
+        mad = (df.select(F.inline(dev_pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
+               .join(F.broadcast(med), "variable").groupBy("variable")
+               .agg(F.percentile_approx(F.abs(F.col("x") - F.col("med")), F.lit(0.5), 10000).alias("mad")))
+        out = out.join(mad, "variable", "left")
+    return out.select("*", *[F.col("q")[i].alias(f"q{int(round(q * 100)):02d}") for i, q in enumerate(QUANTILES)],
+                      (F.col("q")[3] - F.col("q")[1]).alias("iqr"), (F.col("max") - F.col("min")).alias("range")
+                      ).drop("q")
 
 
 def monotonic(df: DataFrame, cols: Sequence[str], line_col: str = "line_number",
