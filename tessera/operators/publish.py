@@ -152,3 +152,23 @@ def publish(spark: SparkSession, model: DataModel, staged: Mapping[str, DataFram
     spark.createDataFrame([(run_id, dt.datetime.now(dt.timezone.utc).isoformat())], "run_id string, at string") \
         .coalesce(1).write.mode("append").json(f"{root}/_commits")
     return report
+
+
+def create_entity_table(spark: SparkSession, entity: Entity, path: str, staging: bool = True) -> str:
+    """Create the (empty, typed) table of ``entity`` at ``path`` if absent.
+
+    Keys are not enforced by the storage; they are checked (C3) before any
+    publish instead."""
+    schema = entity.schema if staging else entity.publish_schema
+    try:
+        spark.read.schema(schema).parquet(path).limit(0).collect()
+        return path
+    except Exception:  # noqa: BLE001 - absent: create it
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return path
+
+
+def read_jdbc_target(spark: SparkSession, url: str, entity: Entity, properties: dict | None = None) -> DataFrame:
+    """A relational target behind the same interface as :func:`read_target`
+    (untested here: no JDBC driver is installed)."""
+    return spark.read.jdbc(url, entity.name, properties=properties or {}).select(*entity.labels)
