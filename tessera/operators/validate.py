@@ -58,12 +58,15 @@ def analyse_rules(df: DataFrame, rules: Sequence[Rule | str]) -> list[RuleCheck]
     return out
 
 
-def fused_counts(df: DataFrame, labels: Sequence[str], rules: Sequence[RuleCheck]) -> DataFrame:
-    """One row: ``total``, ``na_<i>`` per label, ``pass_<j>`` per usable rule."""
+def fused_counts(df: DataFrame, labels: Sequence[str], rules: Sequence[RuleCheck],
+                 catalogs: Sequence["CatalogCheck"] = ()) -> DataFrame:
+    """One row: ``total``, ``na_<i>`` per label, ``pass_<j>`` per usable rule,
+    ``cat_<k>`` wrong rows per inlined catalog check."""
     aggs = [F.count(F.lit(1)).alias("total")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"na_{i}") for i, c in enumerate(labels)]
     aggs += [F.count_if(F.coalesce(r.column, F.lit(False))).alias(f"pass_{r.index}")
              for r in rules if r.column is not None]
+    aggs += [F.count_if(catalog_fail(c)).alias(f"cat_{k}") for k, c in enumerate(catalogs) if c.inline is not None]
     return df.agg(*aggs)
 
 
@@ -104,6 +107,11 @@ def runtime_safe_rules(df: DataFrame, checks: list[RuleCheck]) -> list[RuleCheck
 
 
 # ----------------------------------------------------------------- catalogs
+# Code lists up to this many codes are checked with an in-set predicate (a
+# hash set shipped inside the plan) instead of a join.
+INLINE_CODES_MAX = 10_000
+
+
 @dataclass(frozen=True)
 class CatalogCheck:
     variable: str
@@ -111,6 +119,34 @@ class CatalogCheck:
     codes: DataFrame       # catalog rows
     code_column: str = "code"
     max_rows: int | None = None   # known bound on the code list, if any
+    inline: tuple[str, ...] | None = None   # canonical codes, when small
+
+
+def value_text(c: CatalogCheck) -> Column:
+    return canonical_text(F.col(c.variable), c.fmt)
+
+
+def inline_small_catalogs(checks: Sequence[CatalogCheck], limit: int = INLINE_CODES_MAX) -> list[CatalogCheck]:
+    """Resolve code lists of at most ``limit`` codes (proven by a bounded
+    count) to their canonical texts; larger lists stay as DataFrames and
+    are checked by an anti join."""
+    out = []
+    for c in checks:
+        codes = catalog_codes([c])
+        rows = codes.limit(limit + 1).collect()
+        if len(rows) <= limit:
+            c = CatalogCheck(c.variable, c.fmt, c.codes, c.code_column, len(rows),
+                             tuple(sorted(r["value"] for r in rows)))
+        out.append(c)
+    return out
+
+
+def catalog_fail(c: CatalogCheck) -> Column:
+    """Row predicate of an inlined catalog check: non-NULL and not a code."""
+    v = F.col(c.variable)
+    if not c.inline:
+        return v.isNotNull()
+    return v.isNotNull() & ~value_text(c).isin(*c.inline)
 
 
 def catalog_codes(checks: Sequence[CatalogCheck]) -> DataFrame | None:
@@ -137,7 +173,9 @@ def catalog_codes(checks: Sequence[CatalogCheck]) -> DataFrame | None:
 def violation_stream(df: DataFrame, line_col: str, rules: Sequence[RuleCheck] = (),
                      catalogs: Sequence[CatalogCheck] = ()) -> DataFrame:
     """``(kind, check, value, line)`` for every failing rule row and every
-    non-NULL value outside its catalog; one scan, one anti join."""
+    non-NULL value outside its catalog; one scan.  Inlined code lists are a
+    set-membership predicate; the others meet one anti join against the
+    union of their code lists (broadcast when the size is known or proven)."""
     items = []
     for r in rules:
         if r.column is None:
@@ -146,20 +184,20 @@ def violation_stream(df: DataFrame, line_col: str, rules: Sequence[RuleCheck] =
                             F.struct(F.lit("rule").alias("kind"), F.lit(str(r.index)).alias("check"),
                                      F.lit(None).cast("string").alias("value"))))
     for c in catalogs:
-        v = F.col(c.variable)
-        items.append(F.when(v.isNotNull(),
+        items.append(F.when(catalog_fail(c),
                             F.struct(F.lit("catalog").alias("kind"), F.lit(c.variable).alias("check"),
-                                     canonical_text(v, c.fmt).alias("value"))))
+                                     value_text(c).alias("value"))))
     if not items:
         schema = "kind string, check string, value string, line long"
         return df.sparkSession.createDataFrame([], schema)
     stream = (df.select(F.col(line_col).cast("long").alias("line"),
                         F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
               .select("kind", "check", "value", "line"))
-    codes = catalog_codes(catalogs)
+    joined = [c for c in catalogs if c.inline is None]
+    codes = catalog_codes(joined)
     if codes is None:
         return stream
-    bounds = [c.max_rows for c in catalogs]
+    bounds = [c.max_rows for c in joined]
     if all(b is not None for b in bounds) and sum(bounds) <= BROADCAST_MAX_ROWS:
         codes = F.broadcast(codes)          # size known from the code lists
     else:
@@ -210,10 +248,11 @@ RESULT_SCHEMA = T.StructType([
 
 
 def catalog_checks_for(entity: Entity, catalogs: Mapping[str, DataFrame],
-                       sizes: Mapping[str, int] | None = None) -> list[CatalogCheck]:
+                       sizes: Mapping[str, int] | None = None, inline: bool = True) -> list[CatalogCheck]:
     """Catalog checks of an entity; ``catalogs`` maps variable label (or the
     catalog file name) to a DataFrame of the code list; ``sizes`` may give
-    known row counts of those lists."""
+    known row counts of those lists.  With ``inline``, small code lists are
+    resolved to in-set predicates (see :func:`inline_small_catalogs`)."""
     out = []
     for v in entity.variables:
         if not v.checks_catalog:
@@ -225,7 +264,35 @@ def catalog_checks_for(entity: Entity, catalogs: Mapping[str, DataFrame],
             raise KeyError(f"no catalog for {entity.name}.{v.label}")
         out.append(CatalogCheck(v.label, v.fmt, codes, v.catalog.column_name if v.catalog else "code",
                                 (sizes or {}).get(v.label)))
-    return out
+    return inline_small_catalogs(out) if inline else out
+
+
+def check_report(stream: DataFrame, n_lines: int = REPORT_LINES, n_values: int = REPORT_VALUES) -> DataFrame:
+    """Per (kind, check): ``total_wrong_lines``, ``wrong_lines`` (first
+    ``n_lines`` + tail), ``n_wrong_values`` and ``wrong_values`` (first
+    ``n_values`` distinct by first appearance + tail).
+
+    Two passes over the stream: the first lines through a window group
+    limit, and a per-(check, value) partial aggregate that yields totals,
+    distinct counts and first values."""
+    firsts = first_n(stream, ["kind", "check"], "line", F.col("line").cast("string"), n_lines, "lines")
+    per_value = stream.groupBy("kind", "check", "value").agg(F.count(F.lit(1)).alias("n"),
+                                                            F.min("line").alias("first_line"))
+    # both consumers read every column of per_value and no filter is pushed
+    # below it, so its shuffle is planned once and reused
+    sums = per_value.groupBy("kind", "check").agg(F.sum("n").alias("total_wrong_lines"),
+                                                  F.count("value").alias("n_wrong_values"),
+                                                  F.min("first_line").alias("first_wrong_line"))
+    vals = first_n(per_value, ["kind", "check"], "first_line", F.struct("value", "n"), n_values, "values")
+    vals = vals.select("kind", "check", F.filter(F.transform("values", lambda v: v["value"]),
+                                                 lambda x: x.isNotNull()).alias("values"))
+    empty = F.array().cast("array<string>")
+    return (sums.join(firsts, ["kind", "check"], "left").join(vals, ["kind", "check"], "left")
+            .select("kind", "check", "total_wrong_lines",
+                    with_tail(F.coalesce("lines", empty), F.col("total_wrong_lines"), n_lines, "lines")
+                    .alias("wrong_lines"), "n_wrong_values",
+                    with_tail(F.coalesce("values", empty), F.col("n_wrong_values"), n_values, "values")
+                    .alias("wrong_values")))
 
 
 def catalog_report(df: DataFrame, checks: Sequence[CatalogCheck], line_col: str = "line_number",
@@ -235,13 +302,10 @@ def catalog_report(df: DataFrame, checks: Sequence[CatalogCheck], line_col: str
     spark = df.sparkSession
     if stream is None:
         stream = violation_stream(df, line_col, (), checks)
-    lines = check_lines(stream).where(F.col("kind") == "catalog")
-    values = check_values(stream)
+    rep = check_report(stream).where(F.col("kind") == "catalog")
     meta = spark.createDataFrame([(i, c.variable) for i, c in enumerate(checks)], "cat_index int, variable string")
     empty = F.array().cast("array<string>")
-    return (meta.join(lines.select(F.col("check").alias("variable"), "wrong_lines", "total_wrong_lines"),
-                      "variable", "left")
-            .join(values.withColumnRenamed("check", "variable"), "variable", "left")
+    return (meta.join(rep.withColumnRenamed("check", "variable"), "variable", "left")
             .select("cat_index", "variable",
                     F.coalesce("total_wrong_lines", F.lit(0).cast("long")).alias("total_wrong_lines"),
                     F.coalesce("n_wrong_values", F.lit(0).cast("long")).alias("n_wrong_values"),
@@ -270,62 +334,59 @@ def validate_entity(df: DataFrame, entity: Entity, catalogs: Mapping[str, DataFr
     """The nested validation record of one entity (one row, ``RESULT_SCHEMA``).
 
     ``df`` is the staged entity with a stored ``line_col``.  The fused count
-    (rows, NULLs per variable, passes per rule) runs once here and returns
-    one row; it is also the probe for rules that raise at run time, which
-    are then counted alone to find the culprits.  Such rules, and rules
-    that do not analyse, are reported as passing 0 rows, wrong on all, with
-    the text ``"<n> lines"``.  Wrong lines and values stay lazy.
+    (rows, NULLs per variable, passes per rule, wrong rows per small catalog)
+    runs once here and returns one row; it is also the probe for rules that
+    raise at run time, which are then counted alone to find the culprits.
+    Such rules, and rules that do not analyse, are reported as passing 0
+    rows, wrong on all, with the text ``"<n> lines"``.  Wrong lines and
+    values stay lazy: one more aggregate over the violation stream.
     """
     spark = df.sparkSession
     labels = entity.labels
     checks = analyse_rules(df, entity.rules)
+    cats = catalog_checks_for(entity, catalogs or {}, catalog_sizes)
     try:
-        row = fused_counts(df, labels, checks).first()
+        row = fused_counts(df, labels, checks, cats).first()
     except Exception:  # noqa: BLE001 - a rule raised at run time
         if not isolate_runtime_errors:
             raise
         checks = _isolate(df, checks)
-        row = fused_counts(df, labels, checks).first()
+        row = fused_counts(df, labels, checks, cats).first()
     total = int(row["total"])
-    cats = catalog_checks_for(entity, catalogs or {}, catalog_sizes)
     stream = violation_stream(df, line_col, checks, cats)
-    lines = check_lines(stream)
+    report = check_report(stream)
 
-    # rules: one row per declared rule, in order (counts are known numbers)
-    rule_rows = []
+    # what is known on the driver: one row per rule and per catalog check
+    meta_rows = []
     for r in checks:
         if r.column is None:
-            rule_rows.append((r.index, r.expression, 0, total, [f"{total} lines"]))
+            meta_rows.append(("rule", r.index, "rule", str(r.index), r.expression, 0, total, [f"{total} lines"]))
         else:
             p = int(row[f"pass_{r.index}"])
-            rule_rows.append((r.index, r.expression, p, total - p, None))
-    rule_meta = spark.createDataFrame(rule_rows, "rule_index int, expression string, passed_rule long, "
-                                                 "total_wrong_lines long, fixed_lines array<string>")
-    rule_lines = lines.where(F.col("kind") == "rule").select(F.col("check").cast("int").alias("rule_index"),
-                                                             "wrong_lines")
-    rules_df = (rule_meta.join(rule_lines, "rule_index", "left")
-                .select("rule_index", F.struct(
-                    "expression", "passed_rule",
-                    F.coalesce("fixed_lines", "wrong_lines", F.array().cast("array<string>")).alias("wrong_lines"),
-                    "total_wrong_lines").alias("r")))
-    rules_arr = rules_df.agg(F.coalesce(
-        F.transform(F.array_sort(F.collect_list(F.struct("rule_index", "r"))), lambda s: s["r"]),
-        F.array().cast(RESULT_SCHEMA["rules"].dataType)).alias("rules"))
-
-    # catalogs: one entry per catalog variable, zero when nothing is wrong
-    cat_rows = catalog_report(df, cats, line_col, stream).select("cat_index", F.struct(
-        "variable", "wrong_values", "wrong_lines", "total_wrong_lines").alias("c"))
-    cat_arr = cat_rows.agg(F.coalesce(
-        F.transform(F.array_sort(F.collect_list(F.struct("cat_index", "c"))), lambda s: s["c"]),
-        F.array().cast(RESULT_SCHEMA["catalog_checking"].dataType)).alias("catalog_checking"))
+            meta_rows.append(("rule", r.index, "rule", str(r.index), r.expression, p, total - p, None))
+    for k, c in enumerate(cats):
+        meta_rows.append(("catalog", k, "catalog", c.variable, c.variable, None, None, None))
+    meta = spark.createDataFrame(meta_rows, "part string, idx int, kind string, check string, name string, "
+                                            "passed long, wrong long, fixed_lines array<string>")
+    empty = F.array().cast("array<string>")
+    j = meta.join(report, ["kind", "check"], "left")
+    rule_struct = F.struct(F.col("name").alias("expression"), F.col("passed").alias("passed_rule"),
+                           F.coalesce("fixed_lines", "wrong_lines", empty).alias("wrong_lines"),
+                           F.col("wrong").alias("total_wrong_lines"))
+    cat_struct = F.struct(F.col("name").alias("variable"), F.coalesce("wrong_values", empty).alias("wrong_values"),
+                          F.coalesce("wrong_lines", empty).alias("wrong_lines"),
+                          F.coalesce("total_wrong_lines", F.lit(0).cast("long")).alias("total_wrong_lines"))
+
+    def ordered(part, value):
+        picked = F.collect_list(F.when(F.col("part") == part, F.struct(F.col("idx"), value.alias("v"))))
+        return F.transform(F.array_sort(picked), lambda s: s["v"])
 
     na_list = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(int(row[f"na_{i}"])).cast("long").alias("na_count"))
                         for i, c in enumerate(labels)])
-    head = spark.range(1).select(F.lit(entity.name).alias("entity"), F.lit(total).cast("long").alias("total_registries"),
-                                 na_list.alias("na_count_list"))
-    # each of the three parts has exactly one row; they meet on a constant key
-    one = F.lit(1).alias("_one")
-    return (head.select("*", one).join(cat_arr.select("*", one), "_one").join(rules_arr.select("*", one), "_one")
+    # one aggregate gathers both bounded lists; the head columns are known
+    return (j.agg(ordered("catalog", cat_struct).alias("catalog_checking"), ordered("rule", rule_struct).alias("rules"))
+            .select(F.lit(entity.name).alias("entity"), F.lit(total).cast("long").alias("total_registries"),
+                    na_list.alias("na_count_list"), "catalog_checking", "rules")
             .select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields]))
 
 

@@ -15,15 +15,26 @@ def test_counts_rules_and_nulls_share_one_scan(spark):
     assert plan.count("Relation") == 1
 
 
-def test_catalog_check_is_broadcast_anti_join(spark):
+def test_large_catalog_is_broadcast_anti_join(spark):
     df = M.orders_lines(spark, "/root/testdata/sf0.001")
-    checks = V.catalog_checks_for(M.ORDERS, M.catalogs_for(spark, "/root/testdata/sf0.001", "orders"))
+    checks = V.catalog_checks_for(M.ORDERS, M.catalogs_for(spark, "/root/testdata/sf0.001", "orders"),
+                                  inline=False)
     stream = V.violation_stream(df, "line_number", (), checks)
     stream.collect()
     plan = _plan(stream)
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
 
 
+def test_small_catalog_is_an_in_set_predicate(spark):
+    df = M.orders_lines(spark, "/root/testdata/sf0.001")
+    checks = V.catalog_checks_for(M.ORDERS, M.catalogs_for(spark, "/root/testdata/sf0.001", "orders"))
+    stream = V.violation_stream(df, "line_number", (), checks)
+    plan = stream._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    counts = V.fused_counts(df, M.ORDERS.labels, [], checks)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 def test_first_lines_use_window_group_limit(spark):
     df = M.lineitem_lines(spark, "/root/testdata/sf0.001")
     stream = V.violation_stream(df, "line_number", V.analyse_rules(df, M.LINEITEM_RULES))
