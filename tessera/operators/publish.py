@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import PUBLISH_TYPES, STRING_LIMIT, UNLIMITED_TEXT_LABELS, DataModel, Entity
 from tessera.operators import keys as K
+from tessera.operators.common import broadcast_checked
 
 
 class PublishError(RuntimeError):
@@ -39,7 +40,9 @@ def cascade_delete(child: DataFrame, deleted_parent_keys: DataFrame, fk_cols: Se
                    parent_cols: Sequence[str]) -> DataFrame:
     """Child rows left after deleting parents (``ON DELETE CASCADE``)."""
     gone = deleted_parent_keys.select([F.col(p).alias(c) for p, c in zip(parent_cols, fk_cols)]).distinct()
-    return child.join(gone, list(fk_cols), "left_anti")
+    # the deleted key set is broadcast when proven small, so a child key that
+    # holds a large share of rows is never shuffled into one task
+    return child.join(broadcast_checked(gone), list(fk_cols), "left_anti")
 
 
 def range_violations(df: DataFrame, entity: Entity) -> DataFrame:

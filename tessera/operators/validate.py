@@ -199,11 +199,17 @@ def violation_stream(df: DataFrame, line_col: str, rules: Sequence[RuleCheck] =
         return stream
     bounds = [c.max_rows for c in joined]
     if all(b is not None for b in bounds) and sum(bounds) <= BROADCAST_MAX_ROWS:
-        codes = F.broadcast(codes)          # size known from the code lists
-    else:
-        codes = broadcast_checked(codes)    # size proven by a bounded count
-    cond = (stream["check"] == codes["check"]) & (stream["value"] == codes["value"])
-    return stream.join(codes, cond, "left_anti")
+        cond = (stream["check"] == codes["check"]) & (stream["value"] == codes["value"])
+        return stream.join(F.broadcast(codes), cond, "left_anti")   # size known from the code lists
+    # a large code list: values first.  Distinct (check, value) candidates
+    # (a partial aggregate, so a value held by many rows is one row) meet the
+    # codes; only the wrong pairs go back to the rows, broadcast when small.
+    candidates = stream.where(F.col("kind") == "catalog").select("check", "value").distinct()
+    wrong = candidates.join(codes, ["check", "value"], "left_anti").withColumn("_wrong", F.lit(True))
+    wrong = broadcast_checked(wrong)
+    marked = stream.join(wrong, ["check", "value"], "left")
+    return (marked.where((F.col("kind") == "rule") | F.col("_wrong").isNotNull())
+            .select("kind", "check", "value", "line"))
 
 
 def check_lines(stream: DataFrame, n: int = REPORT_LINES) -> DataFrame:

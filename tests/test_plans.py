@@ -41,3 +41,13 @@ def test_first_lines_use_window_group_limit(spark):
     lines = V.check_lines(stream)
     text = lines._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text
+
+
+def test_catalog_paths_agree(spark):
+    d = "/root/testdata/sf0.001"
+    df = M.orders_lines(spark, d)
+    small = V.catalog_checks_for(M.ORDERS, M.catalogs_for(spark, d, "orders"))
+    large = V.catalog_checks_for(M.ORDERS, M.catalogs_for(spark, d, "orders"), inline=False)
+    a = sorted(V.violation_stream(df, "line_number", (), small).collect())
+    b = sorted(V.violation_stream(df, "line_number", (), large).collect())
+    assert a == b and len(a) > 0
