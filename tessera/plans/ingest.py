@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import DataModel, Entity
 from tessera.operators import audit as AU
+from tessera.functions.casting import typed_cell
 from tessera.sources import delimited as D
 
 
@@ -29,20 +30,32 @@ class LoadResult:
 
 def load_entity(spark: SparkSession, headers: DataFrame, entity: Entity, sep: str = "|",
                 encoding: str = "UTF-8") -> LoadResult:
+    """Read, parse and number the files of ``entity`` in one pass.
+
+    Every cell is parsed once, before the line-number checkpoint; next to the
+    typed values only the raw text of unparsable cells is kept (a sparse
+    array).  File status, accepted rows and the cast audit are then all
+    read from that checkpoint."""
     groups = D.header_groups(headers, entity)
     if not groups:
         return LoadResult(entity.name, None, None, None)
-    raw = D.number_text(D.scan_text(spark, groups, entity.labels, sep, encoding))
-    raw = raw.withColumn("_bad", D.bad_cells(raw, entity))
-    files = (raw.groupBy(F.col("_file").alias("file"))
-             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_bad") > 0).alias("bad_rows"))
+    raw = D.scan_text(spark, groups, entity.labels, sep, encoding)
+    bad = F.filter(F.array(*[F.when(AU.bad_cell(F.col(v.label), v.fmt, "strict"),
+                                    F.struct(F.lit(v.label).alias("variable"), F.col(v.label).alias("value")))
+                             for v in entity.variables]), lambda x: x.isNotNull())
+    parsed = raw.select(*[typed_cell(F.col(v.label), v.fmt).alias(v.label) for v in entity.variables],
+                        bad.alias("_bad_cells"), "_file", "_block")
+    numbered = D.number_text(parsed)
+    files = (numbered.groupBy(F.col("_file").alias("file"))
+             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_bad_cells") > 0).alias("bad_rows"))
              .withColumn("status", F.when(F.col("bad_rows") > 0, F.lit("refused")).otherwise(F.lit("loaded"))))
     refused = files.where(F.col("bad_rows") > 0).select(F.col("file").alias("_file"))
     # one row per file: the refused list is bounded by the number of files
-    accepted = raw.join(F.broadcast(refused), "_file", "left_anti")
-    table = D.typed(accepted, entity, keep=("line_number", "file_line", "_file"))
-    audit = AU.cast_audit(raw.withColumnRenamed("file_line", "_fl"), D.entity_formats(entity),
-                          line_col="_fl", mode="strict")
+    table = (numbered.join(F.broadcast(refused), "_file", "left_anti")
+             .select("line_number", "file_line", "_file", *entity.labels))
+    audit = (numbered.where(F.size("_bad_cells") > 0)
+             .select(F.col("file_line").alias("line_number"), F.inline("_bad_cells"))
+             .select("variable", "line_number", "value"))
     return LoadResult(entity.name, table, files, audit)
 
 
@@ -52,7 +65,10 @@ def load_model(spark: SparkSession, intake: str, model: DataModel, staging: str,
     into parquet tables ``<staging>/<entity>``.  Returns the load results:
     ``(entity, priority, matched_files, rows_read, refused_files, status)``."""
     paths = D.list_files(spark, intake)
-    headers = D.file_headers(spark, paths, encoding) if paths else None
+    headers = None
+    if paths:   # one row per file, read once for all entities
+        h = D.file_headers(spark, paths, encoding)
+        headers = spark.createDataFrame(h.collect(), h.schema)
     rows = []
     for i, ent in enumerate(model.load_order()):
         if headers is None:
