@@ -31,7 +31,9 @@ def write_validation(records: DataFrame, out_dir: str) -> str:
     return path
 
 
-def profile_entity(df: DataFrame, entity, exact: bool = True) -> dict[str, DataFrame]:
+def profile_entity(df: DataFrame, entity, exact: bool = False) -> dict[str, DataFrame]:
+    """All profile sections of an entity.  ``exact=False`` (the default for
+    written profiles) uses bounded sketches, which hold on any table size."""
     roles = PR.column_roles(entity)
     out = {"overview": PR.overview(df, entity)}
     if roles["numeric"]:
@@ -48,7 +50,7 @@ def profile_entity(df: DataFrame, entity, exact: bool = True) -> dict[str, DataF
 
 
 def write_profiles(spark: SparkSession, model: DataModel, frames: Mapping[str, DataFrame], out_dir: str,
-                   exact: bool = True) -> list[str]:
+                   exact: bool = False) -> list[str]:
     """One JSON folder per non-empty entity, ``dqa_<use_case>_<entity>``,
     holding each profile section as records tagged by ``section``."""
     written = []
