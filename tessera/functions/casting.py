@@ -46,21 +46,29 @@ def typed_cell(raw: Column, fmt: str) -> Column:
     return try_parse(null_tokens(raw), fmt)
 
 
+def _shortest_sci(x: Column) -> Column:
+    """``d.ddde±NN`` with the fewest significant digits (15, 16 or 17) that
+    read back as the same double.  (The JVM's own double-to-text is not
+    always the shortest before Java 19.)"""
+    a = F.abs(x)
+    candidates = [F.format_string(f"%.{p - 1}e", a) for p in (15, 16, 17)]
+    out = candidates[-1]
+    for c in reversed(candidates[:-1]):
+        out = F.when(c.cast("double") == a, c).otherwise(out)
+    return out
+
+
 def _double_text(d: Column) -> Column:
     """Render a double the way the reference's engine prints it.
 
     Shortest round-trip digits, plain notation while 1e-4 <= |x| < 1e16,
     otherwise ``1e+16`` / ``1.5e-05`` style; ``nan``, ``inf``, ``-inf``.
-    Built from Spark's own text (``1.0E7`` style) with string functions.
     """
-    s = d.cast("string")
-    sci = s.contains("E")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    body = F.regexp_replace(s, "^-", "")
-    lead = F.regexp_extract(body, r"^([0-9])\.", 1)
-    frac_raw = F.regexp_extract(body, r"^[0-9]\.([0-9]+)E", 1)
-    frac = F.when(frac_raw == "0", F.lit("")).otherwise(frac_raw)
-    exp = F.regexp_extract(body, r"E(-?[0-9]+)$", 1).cast("int")
+    sci = _shortest_sci(d)
+    sign = F.when(d.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))   # keeps -0.0
+    lead = F.regexp_extract(sci, r"^([0-9])\.", 1)
+    frac = F.regexp_replace(F.regexp_extract(sci, r"^[0-9]\.([0-9]+)e", 1), "0+$", "")
+    exp = F.regexp_extract(sci, r"e([-+][0-9]+)$", 1).cast("int")
     digits = F.concat(lead, frac)
     nfrac = F.length(frac)
     # plain notation for exponents 0..15: shift the point right by ``exp``
@@ -72,15 +80,18 @@ def _double_text(d: Column) -> Column:
     )
     neg_plain = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     mant = F.when(frac == "", lead).otherwise(F.concat(lead, F.lit("."), frac))
-    exp_txt = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    mag = F.abs(exp).cast("string")
+    exp_txt = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
+                       F.when(F.abs(exp) < 10, F.concat(F.lit("0"), mag)).otherwise(mag))
     sci_txt = F.concat(mant, F.lit("e"), exp_txt)
-    from_sci = (F.when((exp >= 0) & (exp < 16), pos_plain)
-                .when((exp < 0) & (exp >= -4), neg_plain)
-                .otherwise(sci_txt))
+    body = (F.when(d == 0, F.lit("0.0"))
+            .when((exp >= 0) & (exp < 16), pos_plain)
+            .when((exp < 0) & (exp >= -4), neg_plain)
+            .otherwise(sci_txt))
     special = (F.when(F.isnan(d), F.lit("nan"))
                .when(d == float("inf"), F.lit("inf"))
                .when(d == float("-inf"), F.lit("-inf")))
-    return F.coalesce(special, F.when(sci, F.concat(sign, from_sci)).otherwise(s))
+    return F.coalesce(special, F.when(d.isNotNull(), F.concat(sign, body)))
 
 
 def canonical_text(typed: Column, fmt: str) -> Column:

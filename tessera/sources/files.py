@@ -8,25 +8,20 @@ from pyspark.sql import functions as F
 from tessera.functions.text import sha256_hex
 
 # Encoding names reported, and the fallback for text that is
-# not valid UTF-8.
+# not valid UTF-8.  (A UTF-8 byte-order mark is skipped by the line reader
+# itself, so such files read as plain UTF-8.)
 UTF8 = "UTF-8"
-UTF8_BOM = "UTF-8-SIG"
 FALLBACK_ENCODING = "ISO-8859-1"
 
 
 def encoding_check(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Per file: lines that are not valid UTF-8, BOM flag, and the encoding
-    to read it with.  A splittable text scan (no whole-file load), one
-    aggregate; a statistical detector is not rebuilt."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"),
-                                          F.col("_metadata.file_block_start").alias("_block"), "value")
-    bom = F.startswith(F.hex(F.encode(F.col("value"), "UTF-8")), F.lit("EFBBBF"))
-    per_file = lines.groupBy("file").agg(
-        F.count_if(~F.is_valid_utf8("value")).alias("invalid_lines"),
-        F.max(F.when(F.col("_block") == 0, bom)).alias("bom"))
+    """Per file: lines that are not valid UTF-8, and the encoding to read it
+    with.  A splittable text scan (no whole-file load), one aggregate; a
+    statistical detector is not rebuilt."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    per_file = lines.groupBy("file").agg(F.count_if(~F.is_valid_utf8("value")).alias("invalid_lines"))
     return per_file.withColumn(
-        "encoding", F.when(F.col("invalid_lines") > 0, F.lit(FALLBACK_ENCODING))
-        .when(F.coalesce("bom", F.lit(False)), F.lit(UTF8_BOM)).otherwise(F.lit(UTF8)))
+        "encoding", F.when(F.col("invalid_lines") > 0, F.lit(FALLBACK_ENCODING)).otherwise(F.lit(UTF8)))
 
 
 def manifest(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
