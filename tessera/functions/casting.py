@@ -51,46 +51,52 @@ def _shortest_sci(x: Column) -> Column:
     read back as the same double.  (The JVM's own double-to-text is not
     always the shortest before Java 19.)"""
     a = F.abs(x)
-    candidates = [F.format_string(f"%.{p - 1}e", a) for p in (15, 16, 17)]
-    out = candidates[-1]
-    for c in reversed(candidates[:-1]):
-        out = F.when(c.cast("double") == a, c).otherwise(out)
-    return out
 
+    def first_exact(precisions):
+        ok = F.filter(F.array(*[F.format_string(f"%.{p - 1}e", a) for p in precisions]),
+                      lambda c: c.cast("double") == a)
+        return F.coalesce(F.try_element_at(ok, F.lit(1)), F.format_string("%.16e", a))
+    # a normal double always round-trips at 15 digits when a shorter form
+    # does; subnormals carry fewer bits and are searched from one digit up
+    return F.when(a < F.lit(2.2250738585072014e-308), first_exact(range(1, 17))).otherwise(first_exact((15, 16)))
 
-def _double_text(d: Column) -> Column:
-    """Render a double the way the reference's engine prints it.
 
-    Shortest round-trip digits, plain notation while 1e-4 <= |x| < 1e16,
-    otherwise ``1e+16`` / ``1.5e-05`` style; ``nan``, ``inf``, ``-inf``.
-    """
-    sci = _shortest_sci(d)
-    sign = F.when(d.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))   # keeps -0.0
-    lead = F.regexp_extract(sci, r"^([0-9])\.", 1)
-    frac = F.regexp_replace(F.regexp_extract(sci, r"^[0-9]\.([0-9]+)e", 1), "0+$", "")
-    exp = F.regexp_extract(sci, r"e([-+][0-9]+)$", 1).cast("int")
+def _layout(p: Column) -> Column:
+    """Python-style text from a struct of (lead digit, fraction digits,
+    exponent): plain while -4 <= exp < 16, else ``d.ddde±NN``."""
+    lead, frac, exp = p["lead"], p["frac"], p["exp"]
     digits = F.concat(lead, frac)
     nfrac = F.length(frac)
-    # plain notation for exponents 0..15: shift the point right by ``exp``
-    pos_plain = F.when(
-        nfrac <= exp,
-        F.concat(digits, F.repeat(F.lit("0"), exp - nfrac), F.lit(".0")),
-    ).otherwise(
-        F.concat(digits.substr(F.lit(1), exp + 1), F.lit("."), digits.substr(exp + 2, F.lit(10000)))
-    )
+    pos_plain = F.when(nfrac <= exp, F.concat(digits, F.repeat(F.lit("0"), exp - nfrac), F.lit(".0"))).otherwise(
+        F.concat(digits.substr(F.lit(1), exp + 1), F.lit("."), digits.substr(exp + 2, F.lit(10000))))
     neg_plain = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     mant = F.when(frac == "", lead).otherwise(F.concat(lead, F.lit("."), frac))
     mag = F.abs(exp).cast("string")
     exp_txt = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
                        F.when(F.abs(exp) < 10, F.concat(F.lit("0"), mag)).otherwise(mag))
-    sci_txt = F.concat(mant, F.lit("e"), exp_txt)
-    body = (F.when(d == 0, F.lit("0.0"))
-            .when((exp >= 0) & (exp < 16), pos_plain)
+    return (F.when((exp >= 0) & (exp < 16), pos_plain)
             .when((exp < 0) & (exp >= -4), neg_plain)
-            .otherwise(sci_txt))
+            .otherwise(F.concat(mant, F.lit("e"), exp_txt)))
+
+
+def _double_text(d: Column) -> Column:
+    """Render a double the way the reference's engine prints it.
+
+    Shortest round-trip digits, plain notation while 1e-4 <= |x| < 1e16,
+    otherwise ``1e+16`` / ``1.5e-05`` style; ``nan``, ``inf``, ``-inf``.
+    Intermediate values are bound once through lambda variables, so the
+    expression stays small however often they are used.
+    """
+    parsed = F.transform(F.array(_shortest_sci(d)), lambda s: F.struct(
+        F.regexp_extract(s, r"^([0-9])", 1).alias("lead"),
+        F.regexp_replace(F.regexp_extract(s, r"^[0-9]\.?([0-9]*)e", 1), "0+$", "").alias("frac"),
+        F.regexp_extract(s, r"e([-+][0-9]+)$", 1).cast("int").alias("exp")))
+    body = F.try_element_at(F.transform(parsed, _layout), F.lit(1))
+    sign = F.when(d.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))   # keeps -0.0
     special = (F.when(F.isnan(d), F.lit("nan"))
                .when(d == float("inf"), F.lit("inf"))
-               .when(d == float("-inf"), F.lit("-inf")))
+               .when(d == float("-inf"), F.lit("-inf"))
+               .when(d == 0, F.concat(sign, F.lit("0.0"))))
     return F.coalesce(special, F.when(d.isNotNull(), F.concat(sign, body)))
 
 
