@@ -45,10 +45,16 @@ def cascade_delete(child: DataFrame, deleted_parent_keys: DataFrame, fk_cols: Se
     return child.join(broadcast_checked(gone), list(fk_cols), "left_anti")
 
 
-def range_violations(df: DataFrame, entity: Entity) -> DataFrame:
+def range_violations(df: DataFrame, entity: Entity, key_nulls: bool = False) -> DataFrame:
     """Per variable, rows that do not fit the target type: integers outside
-    32 bits, strings over the length limit.  One fused aggregate."""
+    32 bits, strings over the length limit; with ``key_nulls`` also rows with
+    a NULL key column (variable ``<primary key>``).  One fused aggregate."""
     checks = []
+    if key_nulls and entity.primary_key:
+        any_null = F.lit(False)
+        for c in entity.primary_key:
+            any_null = any_null | F.col(c).isNull()
+        checks.append(("<primary key>", F.count_if(any_null).alias("<primary key>")))
     for v in entity.variables:
         c = F.col(v.label)
         if v.fmt == "integer":
@@ -62,7 +68,7 @@ def range_violations(df: DataFrame, entity: Entity) -> DataFrame:
         return df.sparkSession.createDataFrame([], "entity string, variable string, n_out_of_range long")
     counts = df.agg(*[a for _, a in checks])
     rows = F.array(*[F.struct(F.lit(entity.name).alias("entity"), F.lit(lbl).alias("variable"),
-                              F.col(lbl).alias("n_out_of_range")) for lbl, _ in checks])
+                              F.col(f"`{lbl}`").alias("n_out_of_range")) for lbl, _ in checks])
     return counts.select(F.inline(rows))
 
 
@@ -126,14 +132,13 @@ def publish(spark: SparkSession, model: DataModel, staged: Mapping[str, DataFram
             continue
         src = staged[ent.name].select(*ent.labels)
         pk = list(ent.primary_key)
-        if pk:
-            dup = K.pk_duplicates(src, pk).limit(1).count()
-            nul = K.pk_nulls(src, pk, None).limit(1).count()
-            if dup or nul:
-                raise PublishError(f"{ent.name}: duplicate or NULL primary key")
-        bad = range_violations(src, ent).where(F.col("n_out_of_range") > 0).collect()
+        # NULL keys and out-of-range values: one aggregate; duplicates: one
+        # partial aggregate on the key columns
+        bad = range_violations(src, ent, key_nulls=True).where(F.col("n_out_of_range") > 0).collect()
+        if pk and K.pk_duplicates(src, pk).limit(1).count():
+            raise PublishError(f"{ent.name}: duplicate primary key")
         if bad:
-            raise PublishError(f"{ent.name}: values out of target range in "
+            raise PublishError(f"{ent.name}: NULL key or values out of target range in "
                                + ", ".join(r["variable"] for r in bad))
         n_orphans = 0
         for fk in ent.foreign_keys:

@@ -170,7 +170,10 @@ def sniff(raw: DataFrame, columns: Sequence[str], group_col: str = "_file") -> D
 def read_catalog(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A code list file: separator from its header line, all text, no null
     token (``NA`` may be a real description); rows without a code dropped."""
-    enc = encoding or "UTF-8"
+    if encoding is None:   # UTF-8 when every line is valid UTF-8, else the single-byte fallback
+        from tessera.sources.files import encoding_check
+        encoding = encoding_check(spark, path).first()["encoding"]
+    enc = encoding
     head = file_headers(spark, [path], enc).first()
     sep = head["separator"] if head else "|"
     df = (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
