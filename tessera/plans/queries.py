@@ -515,12 +515,21 @@ def q_content_sha256(spark, d):
 
 
 @query("separator_inference",
-       "SELECT doc_id, CASE WHEN length(s) > 0 THEN substr(s, 1, 1) ELSE '|' END AS separator FROM "
-       "(SELECT doc_id, regexp_replace(rtrim(split_part(text, chr(10), 1)), '\"*[?a-zA-ZÀ-ÿñÑ0-9_-]*\"*', '', 'g') "
-       "AS s FROM documents)")
+       "SELECT doc_id, separator, CAST(len(lines) AS BIGINT) AS n_lines, "
+       "CAST(len(list_filter(lines, lambda l: contains(l, separator))) AS BIGINT) AS n_lines_with_separator FROM "
+       "(SELECT doc_id, string_split(text, chr(10)) AS lines, CASE WHEN length(s) > 0 THEN substr(s, 1, 1) ELSE '|' END "
+       "AS separator FROM (SELECT doc_id, text, regexp_replace(rtrim(split_part(text, chr(10), 1)), "
+       "'\"*[?a-zA-ZÀ-ÿñÑ0-9_-]*\"*', '', 'g') AS s FROM documents))")
 def q_separator_inference(spark, d):
+    """Separator of each document's header line, and over the whole text how
+    many lines carry it (a delimited file's rows all should)."""
     docs = M.table(spark, d, "documents")
-    return docs.select("doc_id", TX.infer_separator(TX.first_line(F.col("text"))).alias("separator"))
+    sep = TX.infer_separator(TX.first_line(F.col("text")))
+    lines = F.split(F.col("text"), "\n", -1)
+    return (docs.select("doc_id", sep.alias("separator"), lines.alias("lines"))
+            .select("doc_id", "separator", F.size("lines").cast("long").alias("n_lines"),
+                    F.size(F.filter("lines", lambda x: x.contains(F.col("separator")))).cast("long")
+                    .alias("n_lines_with_separator")))
 
 
 @query("log_ansi_strip",
