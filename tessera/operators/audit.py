@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.casting import NULL_TOKENS, canonical_text, try_parse
 from tessera.operators.common import first_n
+from tessera.session import ensure_checkpoint_dir
 
 # The audit summary lists this many lines / values, then ", ...".
 SUMMARY_ITEMS = 15
@@ -58,7 +59,12 @@ def audit_summary(findings: DataFrame, n: int = SUMMARY_ITEMS) -> DataFrame:
     """Per variable: lines, distinct values, first ``n`` lines and values
     (by first appearance), each quoted, ``, ...`` when more.  A NULL cell
     shows as the empty text."""
-    f = findings.select("variable", "line_number", F.coalesce("value", F.lit("")).alias("value"))
+    # the findings are the bad cells only: fix them once (a reliable
+    # checkpoint in the shared folder) so the four reports below read them
+    # instead of re-running the audit scan over every cell
+    ensure_checkpoint_dir(findings.sparkSession)
+    f = (findings.select("variable", "line_number", F.coalesce("value", F.lit("")).alias("value"))
+         .checkpoint(eager=True))
     totals = f.groupBy("variable").agg(F.count(F.lit(1)).alias("n_lines"))
     lines = first_n(f, ["variable"], "line_number", F.col("line_number").cast("string"), n, "lines")
     per_value = f.groupBy("variable", "value").agg(F.min("line_number").alias("first_line"))
