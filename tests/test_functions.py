@@ -132,3 +132,19 @@ def test_purge_and_stamp(spark):
     model = DataModel.from_dict({"cdmb_version": "7", "entities": []})
     row = RP.version_stamp(spark.range(1), model, "p1").first()
     assert (row["model_version"], row["pipeline_version"]) == ("7", "p1")
+
+
+def test_create_table_and_scripts(spark, cdm, workdir):
+    from tessera.operators.publish import create_entity_table
+    ent = cdm.entity("followup_ent")
+    path = os.path.join(workdir, "t")
+    create_entity_table(spark, ent, path)
+    create_entity_table(spark, ent, path)        # already there: kept
+    df = spark.read.parquet(path)
+    assert df.count() == 0 and df.columns == ent.labels
+    assert dict(df.dtypes)["ypt_cd"] == "decimal(38,0)"
+    for name in ("b.py", "a.qmd", "c.txt", "x.tar.py"):
+        with open(os.path.join(workdir, name), "w") as f:
+            f.write("x")
+    names = [r["name"] for r in RP.script_catalog(spark, workdir).collect()]
+    assert names == ["a.qmd", "b.py"]
