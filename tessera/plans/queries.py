@@ -897,3 +897,33 @@ def run_outputs(spark, d) -> str:
 @query("artifact_catalog")
 def q_artifact_catalog(spark, d):
     return RP.artifact_catalog(spark, run_outputs(spark, d))
+
+
+# ======================================== C4 orphan report (first 15 lines / values)
+def _orphan_summary_sql(n: int = 15) -> str:
+    f = (f"SELECT 'l_orderkey' AS variable, line_number, CAST(l_orderkey AS VARCHAR) AS value "
+         f"FROM ({M.LINEITEM_LINES_SQL}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM ({M.PARENT_SQL})) "
+         f"AND l_orderkey IS NOT NULL")
+    return (f"WITH f AS ({f}), "
+            f"l AS (SELECT variable, count(*) AS n_lines, "
+            f"string_agg('''' || CAST(line_number AS VARCHAR) || '''', ', ' ORDER BY line_number) "
+            f"FILTER (WHERE rn <= {n}) AS ll FROM (SELECT *, row_number() OVER (PARTITION BY variable "
+            f"ORDER BY line_number) AS rn FROM f) GROUP BY variable), "
+            f"pv AS (SELECT variable, value, min(line_number) AS first_line FROM f GROUP BY variable, value), "
+            f"vv AS (SELECT variable, count(*) AS n_values, string_agg('''' || value || '''', ', ' "
+            f"ORDER BY first_line) FILTER (WHERE rn <= {n}) AS vl FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY variable ORDER BY first_line) AS rn FROM pv) GROUP BY variable) "
+            f"SELECT l.variable, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_values AS BIGINT) AS n_values, "
+            f"ll || CASE WHEN n_lines > {n} THEN ', ...' ELSE '' END AS line_list, "
+            f"vl || CASE WHEN n_values > {n} THEN ', ...' ELSE '' END AS value_list "
+            f"FROM l JOIN vv USING (variable)")
+
+
+@query("fk_orphans_summary", _orphan_summary_sql())
+def q_fk_orphans_summary(spark, d):
+    """Orphan lines of the staged child, reported like a cast error: count,
+    distinct keys, first 15 lines and keys."""
+    orph = K.orphans(M.lineitem_lines(spark, d), M.parent_orders(spark, d), LINEITEM_FK)
+    findings = orph.select(F.lit("l_orderkey").alias("variable"), "line_number",
+                           F.col("l_orderkey").cast("string").alias("value"))
+    return AU.audit_summary(findings)
