@@ -927,3 +927,51 @@ def q_fk_orphans_summary(spark, d):
     findings = orph.select(F.lit("l_orderkey").alias("variable"), "line_number",
                            F.col("l_orderkey").cast("string").alias("value"))
     return AU.audit_summary(findings)
+
+
+# ================================= K5 nested record, flattened for the oracle
+def _record_flat_sql(n: int = 10) -> str:
+    parts = []
+    for name, ent, _, view, var, codes in CATALOG_ENTITIES:
+        for c in ent.labels:
+            parts.append(f"SELECT '{name}' AS entity, 'null' AS kind, '{c}' AS name, "
+                         f"CAST(count_if({c} IS NULL) AS BIGINT) AS total_wrong_lines, CAST(NULL AS BIGINT) AS "
+                         f"passed_rule, '' AS wrong_lines, '' AS wrong_values FROM ({view})")
+        rules = [r.expression for r in ent.rules]
+        if rules:
+            viol = _rule_violation_sql(view, rules)
+            first = _first_lines_sql(viol, "rule_index", n)
+            summ = _rule_summary_sql(view, rules)
+            parts.append(f"SELECT '{name}', 'rule', s.expression, s.total_wrong_lines, s.passed_rule, "
+                         f"coalesce(f.wrong_lines, ''), '' FROM ({summ}) s LEFT JOIN ({first}) f USING (rule_index)")
+        cat = (f"SELECT v.line_number, CAST(v.{var} AS VARCHAR) AS value FROM ({view}) v LEFT JOIN ({codes}) c "
+               f"ON v.{var} = c.code WHERE c.code IS NULL AND v.{var} IS NOT NULL")
+        parts.append(
+            f"SELECT '{name}', 'catalog', '{var}', CAST((SELECT count(*) FROM ({cat})) AS BIGINT), "
+            f"CAST(NULL AS BIGINT), coalesce((SELECT string_agg(CAST(line_number AS VARCHAR), ', ' ORDER BY "
+            f"line_number) || CASE WHEN (SELECT count(*) FROM ({cat})) > {n} THEN ', +' || CAST((SELECT count(*) "
+            f"FROM ({cat})) - {n} AS VARCHAR) || ' lines' ELSE '' END FROM (SELECT line_number FROM ({cat}) "
+            f"ORDER BY line_number LIMIT {n})), ''), "
+            f"coalesce((SELECT string_agg(value, ', ' ORDER BY fl) || CASE WHEN (SELECT count(DISTINCT value) FROM "
+            f"({cat})) > {n} THEN ', +' || CAST((SELECT count(DISTINCT value) FROM ({cat})) - {n} AS VARCHAR) || "
+            f"' values' ELSE '' END FROM (SELECT value, min(line_number) AS fl FROM ({cat}) GROUP BY value "
+            f"ORDER BY fl LIMIT {n})), '')")
+    return " UNION ALL ".join(parts)
+
+
+@query("validation_record_flat", _record_flat_sql())
+def q_validation_record_flat(spark, d):
+    """The nested validation records of four entities, one row per check."""
+    rec = validation_records(spark, d)
+    nulls = rec.select("entity", F.inline("na_count_list")).select(
+        "entity", F.lit("null").alias("kind"), F.col("label").alias("name"),
+        F.col("na_count").alias("total_wrong_lines"), F.lit(None).cast("long").alias("passed_rule"),
+        F.lit("").alias("wrong_lines"), F.lit("").alias("wrong_values"))
+    rules = rec.select("entity", F.inline("rules")).select(
+        "entity", F.lit("rule").alias("kind"), F.col("expression").alias("name"), "total_wrong_lines",
+        "passed_rule", joined("wrong_lines").alias("wrong_lines"), F.lit("").alias("wrong_values"))
+    cats = rec.select("entity", F.inline("catalog_checking")).select(
+        "entity", F.lit("catalog").alias("kind"), F.col("variable").alias("name"), "total_wrong_lines",
+        F.lit(None).cast("long").alias("passed_rule"), joined("wrong_lines").alias("wrong_lines"),
+        joined("wrong_values").alias("wrong_values"))
+    return nulls.unionByName(rules).unionByName(cats)
