@@ -975,3 +975,21 @@ def q_validation_record_flat(spark, d):
         F.lit(None).cast("long").alias("passed_rule"), joined("wrong_lines").alias("wrong_lines"),
         joined("wrong_values").alias("wrong_values"))
     return nulls.unionByName(rules).unionByName(cats)
+
+
+def _categorical_summary_sql() -> str:
+    parts = [f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM v "
+             f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in CATEGORICAL_COLS]
+    miss = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST(count_if({c} IS NULL) AS BIGINT) AS missing FROM v"
+                              for c in CATEGORICAL_COLS)
+    return (f"WITH v AS ({M.ORDERS_SQL}), vc AS ({' UNION ALL '.join(parts)}), "
+            f"t AS (SELECT variable, count(*) AS n_distinct, max(n) AS freq FROM vc GROUP BY variable), "
+            f"tv AS (SELECT vc.variable, min(value) AS top FROM vc JOIN t ON vc.variable = t.variable "
+            f"AND vc.n = t.freq GROUP BY vc.variable), m AS ({miss}) "
+            f"SELECT variable, CAST(n_distinct AS BIGINT) AS n_distinct, top, CAST(freq AS BIGINT) AS freq, missing "
+            f"FROM t JOIN tv USING (variable) JOIN m USING (variable)")
+
+
+@query("profile_categorical_summary", _categorical_summary_sql())
+def q_profile_categorical_summary(spark, d):
+    return PR.categorical_summary(M.orders_view(spark, d), CATEGORICAL_COLS)
