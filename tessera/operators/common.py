@@ -56,7 +56,9 @@ def number_rows(df: DataFrame, order_cols: Sequence[Column | str], name: str = "
     in one job whose output is checkpointed, so the ids cannot change between
     the two uses below.  Per sort partition the row count is taken; a prefix
     sum over those counts (one row per partition, a proven bound) gives each
-    partition its offset.
+    partition its offset.  ``order_cols`` must be a total order (unique
+    rows): ties would make the numbering arbitrary, and one hot key value
+    would land in a single range partition.
     """
     ensure_checkpoint_dir(df.sparkSession)
     tagged = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)

@@ -281,13 +281,16 @@ def q_fk_valid_rows(spark, d):
        f"CAST(count_if(l_orderkey IS NULL) AS BIGINT) AS null_keys, CAST(count(*) AS BIGINT) AS total "
        f"FROM ({M.LINEITEM_SQL})")
 def q_fk_split_counts(spark, d):
+    """Orphans, valid rows, NULL keys and total in one aggregate over the
+    child rows marked by the (broadcast, size-checked) orphan key set."""
     child = M.lineitem_view(spark, d)
-    orph, valid = K.split_orphans(child, M.parent_orders(spark, d), LINEITEM_FK)
-    o = orph.agg(F.count(F.lit(1)).alias("orphans"))
-    v = valid.agg(F.count(F.lit(1)).alias("valid"))
-    t = child.agg(F.count_if(F.col("l_orderkey").isNull()).alias("null_keys"), F.count(F.lit(1)).alias("total"))
-    one = F.lit(1).alias("_one")
-    return (o.select("*", one).join(v.select("*", one), "_one").join(t.select("*", one), "_one").drop("_one"))
+    bad = K.broadcast_checked(K.orphan_keys(child, M.parent_orders(spark, d), LINEITEM_FK)
+                              .withColumn("_orphan", F.lit(True)))
+    marked = child.join(bad, ["l_orderkey"], "left")
+    key_null = F.col("l_orderkey").isNull()
+    return marked.agg(F.count_if(F.col("_orphan").isNotNull()).alias("orphans"),
+                      F.count_if(F.col("_orphan").isNull() & ~key_null).alias("valid"),
+                      F.count_if(key_null).alias("null_keys"), F.count(F.lit(1)).alias("total"))
 
 
 # ======================================================= publish

@@ -148,3 +148,15 @@ def test_create_table_and_scripts(spark, cdm, workdir):
             f.write("x")
     names = [r["name"] for r in RP.script_catalog(spark, workdir).collect()]
     assert names == ["a.qmd", "b.py"]
+
+
+def test_type_map_falls_back_to_text():
+    from pyspark.sql import types as T
+    m = DataModel.from_dict({"entities": [{"name": "e", "variables": [
+        {"label": "a", "format": "Integer"}, {"label": "b", "format": "weird"}, {"label": "c", "format": "datetime"}],
+        "rules": []}]})
+    sch = m.entity("e").schema
+    assert sch["a"].dataType == T.DecimalType(38, 0)
+    assert sch["b"].dataType == T.StringType()
+    assert sch["c"].dataType == T.TimestampNTZType()
+    assert m.entity("e").publish_schema["a"].dataType == T.IntegerType()
