@@ -201,8 +201,8 @@ def datetime_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) ->
                  F.count_if(F.col(c).isNull()).alias(f"{c}__missing")]
     stats = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("variable"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"),
-                     ((F.unix_micros(F.col(f"{c}__max").cast("timestamp"))
-                       - F.unix_micros(F.col(f"{c}__min").cast("timestamp"))) / 1e6).alias("range_seconds"),
+                     # zone-free difference of the NTZ values, in seconds
+                     (F.expr(f"timestampdiff(MICROSECOND, `{c}__min`, `{c}__max`)") / 1e6).alias("range_seconds"),
                      F.col(f"{c}__missing").alias("missing")) for c in cols]
     out = stats.select(F.inline(F.array(*rows)))
     return out.join(distinct_counts(df, cols, exact).drop("n_unique"), "variable", "left")
