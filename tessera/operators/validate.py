@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.casting import canonical_text, try_parse
-from tessera.model import Entity, Rule, Variable
+from tessera.model import Entity, Rule
 from tessera.operators.common import BROADCAST_MAX_ROWS, broadcast_checked, first_n, with_tail
 
 # How many lines / values a report lists before "+k lines".
@@ -222,18 +222,6 @@ def check_lines(stream: DataFrame, n: int = REPORT_LINES) -> DataFrame:
                               F.col("total_wrong_lines"), n, "lines").alias("wrong_lines")))
 
 
-def check_values(stream: DataFrame, n: int = REPORT_VALUES) -> DataFrame:
-    """Per catalog check: distinct wrong values (first ``n`` by first
-    appearance) from a per-value partial aggregate."""
-    per_value = (stream.where(F.col("kind") == "catalog")
-                 .groupBy("check", "value").agg(F.min("line").alias("first_line")))
-    totals = per_value.groupBy("check").agg(F.count(F.lit(1)).alias("n_wrong_values"))
-    firsts = first_n(per_value, ["check"], "first_line", "value", n, "values")
-    return (totals.join(firsts, "check", "left")
-            .select("check", "n_wrong_values",
-                    with_tail(firsts["values"], F.col("n_wrong_values"), n, "values").alias("wrong_values")))
-
-
 # ------------------------------------------------------------- the report
 RESULT_SCHEMA = T.StructType([
     T.StructField("entity", T.StringType()),
@@ -405,7 +393,3 @@ def validate_model(frames: Mapping[str, DataFrame], entities: Sequence[Entity],
         rec = validate_entity(frames[e.name], e, (catalogs or {}).get(e.name, {}), line_col)
         out = rec if out is None else out.unionByName(rec)
     return out
-
-
-def variable_of(entity: Entity, label: str) -> Variable:
-    return entity.variable(label)

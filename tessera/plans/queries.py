@@ -13,8 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as TX
+from tessera.model import Entity, ForeignKey, Variable
+from tessera.operators import audit as AU
+from tessera.operators import keys as K
+from tessera.operators import logs as LG
+from tessera.operators import profile as PR
+from tessera.operators import publish as P
+from tessera.operators import status as ST
 from tessera.operators import validate as V
+from tessera.operators.common import file_line_numbers
 from tessera.plans import driver_model as M
+from tessera.plans import ingest as IG
+from tessera.plans import intake as IN
+from tessera.plans import report as RP
+from tessera.session import scratch_path as _scratch
+from tessera.sources import delimited as DL
+from tessera.sources import files as FS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -234,9 +249,6 @@ def q_validation_report(spark, d):
 
 
 # ============================================================ keys
-from tessera.model import ForeignKey  # noqa: E402
-from tessera.operators import keys as K  # noqa: E402
-from tessera.operators import publish as P  # noqa: E402
 
 LINEITEM_FK = ForeignKey(("l_orderkey",), "orders", ("o_orderkey",))
 
@@ -332,11 +344,10 @@ def q_cascade_delete(spark, d):
 
 # Staged values that must be narrowed at publish: order value in cents as a
 # 128-bit integer, document text as a 255-limited string.
-from tessera.model import Entity as _Entity, Variable as _Variable  # noqa: E402
 
-RANGE_ENTITY = _Entity("staged_values", [
-    _Variable("o_orderkey", "integer"), _Variable("price_cents", "integer"), _Variable("o_orderpriority", "string"),
-    _Variable("doc_text", "string"), _Variable("o_totalprice", "double")], [], ("o_orderkey",))
+RANGE_ENTITY = Entity("staged_values", [
+    Variable("o_orderkey", "integer"), Variable("price_cents", "integer"), Variable("o_orderpriority", "string"),
+    Variable("doc_text", "string"), Variable("o_totalprice", "double")], [], ("o_orderkey",))
 
 
 @query("publish_range_check",
@@ -361,7 +372,6 @@ def q_publish_range_check(spark, d):
 
 
 # ======================================================== cast audit
-from tessera.operators import audit as AU  # noqa: E402
 
 
 def _audit_sql(mode: str) -> str:
@@ -419,11 +429,6 @@ def q_line_numbers(spark, d):
 
 
 # ================================================ files
-from tessera.functions import text as TX  # noqa: E402
-from tessera.plans import intake as IN  # noqa: E402
-from tessera.plans import ingest as IG  # noqa: E402
-from tessera.sources import delimited as DL  # noqa: E402
-from tessera.sources import files as FS  # noqa: E402
 
 
 def _segment(col="_file"):
@@ -548,7 +553,6 @@ def q_log_ansi_strip(spark, d):
 
 
 # ============================================================ profiles
-from tessera.operators import profile as PR  # noqa: E402
 
 NUMERIC_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 NUMERIC_STATS = ["count", "missing", "min", "max", "mean", "std", "variance", "sum", "cv", "skewness", "kurtosis",
@@ -708,10 +712,6 @@ def q_profile_monotonic(spark, d):
 
 
 # ===================================================== status and reports (R, J6, A6, U1, L4, L6)
-from tessera.operators import logs as LG  # noqa: E402
-from tessera.session import scratch_path as _scratch  # noqa: E402
-from tessera.operators import status as ST  # noqa: E402
-from tessera.operators.common import file_line_numbers  # noqa: E402
 
 
 def _load_status(spark, d):
@@ -877,8 +877,6 @@ def q_log_cast_errors(spark, d):
 
 
 # ============================================================ V2 artifacts
-from tessera.plans import report as RP  # noqa: E402
-from tessera.session import scratch_path as _scratch  # noqa: E402
 
 
 def run_outputs(spark, d) -> str:
