@@ -994,3 +994,20 @@ def _categorical_summary_sql() -> str:
 @query("profile_categorical_summary", _categorical_summary_sql())
 def q_profile_categorical_summary(spark, d):
     return PR.categorical_summary(M.orders_view(spark, d), CATEGORICAL_COLS)
+
+
+@query("file_sniff_summary",
+       "SELECT 'orders_' || o_orderstatus AS segment, '|' AS delimiter, "
+       "CASE WHEN count_if(o_orderpriority = '4-NOT SPECIFIED') > 0 THEN '\"' ELSE '' END AS quote, "
+       "'\\n' AS newline, true AS has_header, 6 AS n_columns, '%Y-%m-%d' AS date_format "
+       "FROM orders GROUP BY o_orderstatus")
+def q_file_sniff_summary(spark, d):
+    """File properties of the order segments (quote, newline, header flag,
+    column count, date layout), one text scan aggregated per file."""
+    root = IN.intake(spark, d)
+    paths = [p for p in DL.list_files(spark, root) if "/orders_" in p and "/orders_partial" not in p]
+    per_file = DL.sniff_files(spark, paths)
+    return (per_file.groupBy(_segment("file").alias("segment"))
+            .agg(F.max("delimiter").alias("delimiter"), F.max("quote").alias("quote"),
+                 F.max("newline").alias("newline"), F.bool_and("has_header").alias("has_header"),
+                 F.max("n_columns").alias("n_columns"), F.max("date_format").alias("date_format")))

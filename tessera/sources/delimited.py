@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.casting import NULL_TOKENS, try_parse, typed_cell
+from tessera.functions.casting import DATE_SHAPE, NULL_TOKENS, try_parse, typed_cell
 from tessera.functions.text import first_line, infer_separator
 from tessera.model import DataModel, Entity
 from tessera.operators.common import file_line_numbers
@@ -184,3 +184,39 @@ def read_catalog(spark: SparkSession, path: str, encoding: str | None = None) ->
 
 def entity_formats(entity: Entity) -> Mapping[str, str]:
     return {v.label: v.fmt for v in entity.variables}
+
+
+# Date layouts recognised by the sniffer, as strftime patterns.
+DATE_LAYOUTS = (("%Y-%m-%d", r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), ("%Y/%m/%d", r"^\s*[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"),
+                ("%d/%m/%Y", r"^\s*[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"))
+
+
+def sniff_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Per file: delimiter, quote, newline, header flag, column count and
+    date layout, from one aggregate over a text scan of every line.
+
+    The header flag is set when no name of the first line parses as a number
+    or a date (a data row would); the date layout is the first of the known
+    layouts seen in the file.  Lines are split on ``\n`` only, so a ``\r``
+    before it stays visible."""
+    lines = (spark.read.option("lineSep", "\n").text(list(paths))
+             .select(F.col("_metadata.file_path").alias("file"), "value"))
+    # a cell of a date layout anywhere in the line (at the start or after a delimiter)
+    layout_counts = [F.count_if(F.col("value").rlike(r"(^|[^0-9/-])" + rx.replace(r"^\s*", "")))
+                     .alias(f"_d{i}") for i, (_, rx) in enumerate(DATE_LAYOUTS)]
+    per_file = lines.groupBy("file").agg(
+        F.count_if(F.col("value").endswith("\r")).alias("_cr"),
+        F.count_if(F.col("value").contains('"')).alias("_quoted"),
+        *layout_counts)
+    heads = file_headers(spark, list(paths))
+    names = split_header(F.col("header"), F.col("separator"))
+    numeric_or_date = F.exists(names, lambda n: n.try_cast("double").isNotNull() | n.rlike(DATE_SHAPE))
+    heads = heads.select("file", F.col("separator").alias("delimiter"), F.size(names).alias("n_columns"),
+                         (~numeric_or_date).alias("has_header"))
+    layout = F.lit(None).cast("string")
+    for i, (fmt, _) in reversed(list(enumerate(DATE_LAYOUTS))):
+        layout = F.when(F.col(f"_d{i}") > 0, F.lit(fmt)).otherwise(layout)
+    return (per_file.join(heads, "file")
+            .select("file", "delimiter", F.when(F.col("_quoted") > 0, F.lit('"')).otherwise(F.lit("")).alias("quote"),
+                    F.when(F.col("_cr") > 0, F.lit("\\r\\n")).otherwise(F.lit("\\n")).alias("newline"),
+                    "has_header", "n_columns", layout.alias("date_format")))

@@ -160,3 +160,17 @@ def test_type_map_falls_back_to_text():
     assert sch["b"].dataType == T.StringType()
     assert sch["c"].dataType == T.TimestampNTZType()
     assert m.entity("e").publish_schema["a"].dataType == T.IntegerType()
+
+
+def test_sniff_files_properties(spark, workdir):
+    a = os.path.join(workdir, "crlf.csv")
+    with open(a, "wb") as f:
+        f.write(b'id;day;name\r\n1;2020/01/02;"x"\r\n2;2020/01/03;y\r\n')
+    b = os.path.join(workdir, "nohead.csv")
+    with open(b, "w") as f:
+        f.write("1|2020-01-02|x\n2|2020-01-03|y\n")
+    got = {os.path.basename(r["file"]): r for r in D.sniff_files(spark, [a, b]).collect()}
+    assert (got["crlf.csv"]["delimiter"], got["crlf.csv"]["quote"], got["crlf.csv"]["newline"]) == (";", '"', "\\r\\n")
+    assert got["crlf.csv"]["has_header"] is True and got["crlf.csv"]["date_format"] == "%Y/%m/%d"
+    assert got["nohead.csv"]["has_header"] is False and got["nohead.csv"]["newline"] == "\\n"
+    assert got["nohead.csv"]["date_format"] == "%Y-%m-%d" and got["nohead.csv"]["n_columns"] == 3
