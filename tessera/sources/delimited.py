@@ -49,8 +49,8 @@ def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF
     for i in range(0, len(paths), HEADER_BATCH):
         branch = None
         for p in paths[i:i + HEADER_BATCH]:
-            one = (spark.read.option("encoding", encoding).text(p).limit(1)
-                   .select(F.lit(p).alias("file"), F.col("value").alias("header")))
+            one = (spark.read.option("encoding", encoding).text(p)
+                   .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header")).limit(1))
             branch = one if branch is None else branch.unionByName(one)
         parts.append(branch)
     out = parts[0]
