@@ -7,9 +7,11 @@ is exploded into ``(column, value)`` pairs and counted with map-side partial
 aggregation, so a value that holds a third of the rows is collapsed before
 the shuffle and no per-column ``COUNT(DISTINCT)`` expansion is needed.
 
-Exact quantiles (``percentile``) keep a value histogram per column in one
-buffer; on large tables pass ``exact=False`` to use the bounded
-``approx_percentile`` sketch and ``approx_count_distinct`` instead.
+Exact quantiles and the median absolute deviation are computed from that
+value-count table by a distributed rank search (range sort, per-partition
+prefix sums, a broadcast of the few target positions): no column's values
+meet in one task.  ``exact=False`` uses bounded sketches instead
+(``approx_percentile``, ``approx_count_distinct``), one pass cheaper.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import Entity
+from tessera.session import ensure_checkpoint_dir
 
 # Quantiles reported for numeric columns, histogram bins, and the
 # rows per bucket of the monotonicity check.
@@ -74,6 +77,45 @@ def numeric_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("variable", "x").agg(F.count(F.lit(1)).alias("n")))
 
 
+def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -> DataFrame:
+    """Exact quantiles (linear interpolation between closest ranks) from a
+    ``(variable, x, n)`` table of distinct values and counts, without putting
+    a column's values in one task.
+
+    The table is range-sorted on (variable, x) and checkpointed with
+    ``monotonically_increasing_id``.  Each row's first position is its
+    partition's offset (prefix sums over one row per partition and variable)
+    plus a running count inside its sort partition (a window bounded by the
+    partition).  The few positions a quantile needs are then looked up
+    through a broadcast of that small target table.
+    Returns ``(variable, <name> array<double>)`` in the order of ``probs``.
+    """
+    ensure_checkpoint_dir(vc.sparkSession)
+    tagged = (vc.orderBy("variable", "x").withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_part", F.shiftright(F.col("_mid"), 33)).checkpoint(eager=True))
+    inside = Window.partitionBy("_part", "variable").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    blocks = tagged.groupBy("_part", "variable").agg(F.sum("n").alias("_bn"))
+    before = Window.partitionBy("variable").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+    totals = blocks.groupBy("variable").agg(F.sum("_bn").alias("_total"))
+    probs_arr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
+    targets = (totals.select("variable", "_total", F.inline(probs_arr))
+               .withColumn("pos", F.col("prob") * (F.col("_total") - 1))
+               .select("variable", "qi", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("k")))
+    rows = (local.join(F.broadcast(blocks.select("_part", "variable", "_off")), ["_part", "variable"])
+            .select("variable", "x", (F.col("_off") + F.col("_local")).alias("_start"), "n"))
+    t = F.broadcast(targets)   # quantiles x 2 x columns rows
+    hits = rows.join(t, (rows["variable"] == t["variable"]) & (t["k"] >= rows["_start"])
+                     & (t["k"] < rows["_start"] + rows["n"])).select(rows["variable"], "qi", "pos", "k", "x")
+    per_q = hits.groupBy("variable", "qi", "pos").agg(
+        F.min_by("x", "k").alias("lo"), F.max_by("x", "k").alias("hi"))
+    value = F.col("lo") + (F.col("pos") - F.floor("pos")) * (F.col("hi") - F.col("lo"))
+    return (per_q.groupBy("variable")
+            .agg(F.array_sort(F.collect_list(F.struct("qi", value.alias("v")))).alias("_s"))
+            .select("variable", F.transform("_s", lambda s: s["v"]).alias(name)))
+
+
 def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """One row per numeric column: count, missing, min, max, mean, std,
     variance, sum, cv, skewness, kurtosis, zeros, negatives, infinite,
@@ -81,10 +123,9 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
 
     Moments and counts come from one aggregate over the rows.  With
     ``exact``, quantiles, the median absolute deviation and the distinct /
-    unique counts come from the value-count table: ``percentile`` with a
-    frequency argument over distinct values instead of over every row (the
-    two aggregates over that table share its shuffle).  Without ``exact``,
-    bounded sketches over the rows are used instead.
+    unique counts come from the value-count table (see
+    :func:`weighted_quantiles`).  Without ``exact``, bounded sketches over
+    the rows are used instead.
     """
     aggs = []
     for c in cols:
@@ -118,16 +159,18 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
     out = stats.select(F.inline(F.array(*rows)))
     qs = F.array(*[F.lit(q) for q in QUANTILES])
     if exact:
-        # one value-count shuffle feeds all three aggregates (exchange reuse)
+        # distinct values with counts: distinct / unique counts, then exact
+        # quantiles and the median absolute deviation, all distributed
         vc = numeric_value_counts(df, cols)
-        fin = F.when(F.abs("x") != float("inf"), F.col("x"))
-        per = vc.groupBy("variable").agg(F.percentile(fin, qs, F.col("n")).alias("q"),
-                                         F.count(F.lit(1)).alias("n_distinct"),
-                                         F.count_if(F.col("n") == 1).alias("n_unique"))
-        mad = (vc.join(F.broadcast(per.select("variable", F.col("q")[2].alias("med"))), "variable")
-               .groupBy("variable")
-               .agg(F.percentile(F.abs(fin - F.col("med")), F.lit(0.5), F.col("n")).alias("mad")))
-        out = out.join(per, "variable").join(mad, "variable", "left")
+        dist = vc.groupBy("variable").agg(F.count(F.lit(1)).alias("n_distinct"),
+                                          F.count_if(F.col("n") == 1).alias("n_unique"))
+        finite = vc.where(F.abs("x") != float("inf"))
+        per = weighted_quantiles(finite, QUANTILES, "q")
+        med = per.select("variable", F.col("q")[2].alias("med"))
+        devs = (finite.join(F.broadcast(med), "variable")     # one row per column
+                .groupBy("variable", F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("n").alias("n")))
+        mad = weighted_quantiles(devs, (0.5,), "m").select("variable", F.col("m")[0].alias("mad"))
+        out = out.join(per, "variable", "left").join(dist, "variable", "left").join(mad, "variable", "left")
     else:
         med = out.select("variable", F.col("q")[2].alias("med"))
         dev_pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])

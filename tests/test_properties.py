@@ -67,3 +67,17 @@ def test_line_numbers_have_no_gaps(spark, n, parts):
     assert sorted(r["line_number"] for r in out) == list(range(1, n + 1))
     ordered = [(r["key"], r["id"]) for r in sorted(out, key=lambda r: r["line_number"])]
     assert ordered == sorted(ordered)
+
+
+@SETTINGS
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=60), st.lists(st.integers(0, 5), min_size=1, max_size=30))
+def test_weighted_quantiles_match_numpy(spark, xs, ys):
+    import numpy as np
+    from tessera.operators.profile import numeric_value_counts, weighted_quantiles
+    rows = [(float(x), None) for x in xs] + [(None, float(y)) for y in ys]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3)
+    probs = (0.0, 0.05, 0.5, 0.95, 1.0)
+    got = {r["variable"]: r["q"] for r in weighted_quantiles(numeric_value_counts(df, ["a", "b"]), probs).collect()}
+    for name, vals in (("a", xs), ("b", ys)):
+        want = np.percentile(np.array(vals, dtype=float), [p * 100 for p in probs])
+        assert np.allclose(got[name], want)
