@@ -68,6 +68,9 @@ def intake(spark: SparkSession, d: str) -> str:
     _write(li.select([canonical_text(F.col(c), "double").alias(c) if c in
                       ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else F.col(c).cast("string").alias(c)
                       for c in LINEITEM_COLUMNS]), f"{root}/lineitem_all")
+    region = M.table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("code"),
+                                                F.col("r_name").alias("description"))
+    _write(region, f"{root}/region_catalog")
     docs = M.table(spark, d, "documents").select("doc_id", "lang", "source", "text")
     for lang in sorted(LATIN1_LANGS):
         _write(docs.where(F.col("lang") == lang), f"{root}/documents_{lang}", "ISO-8859-1")

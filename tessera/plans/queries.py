@@ -464,6 +464,7 @@ def q_segment_append(spark, d):
 @query("header_match",
        "SELECT DISTINCT 'orders_' || o_orderstatus AS segment, 'orders' AS entity FROM orders "
        "UNION ALL SELECT 'orders_partial', NULL UNION ALL SELECT 'lineitem_all', 'lineitem' "
+       "UNION ALL SELECT 'region_catalog', NULL "
        "UNION ALL SELECT DISTINCT 'documents_' || CASE WHEN lang = 'fr' THEN 'fr' ELSE 'other' END, NULL "
        "FROM documents")
 def q_header_match(spark, d):
@@ -1011,3 +1012,12 @@ def q_file_sniff_summary(spark, d):
             .agg(F.max("delimiter").alias("delimiter"), F.max("quote").alias("quote"),
                  F.max("newline").alias("newline"), F.bool_and("has_header").alias("has_header"),
                  F.max("n_columns").alias("n_columns"), F.max("date_format").alias("date_format")))
+
+
+@query("catalog_file_scan",
+       "SELECT CAST(r_regionkey AS VARCHAR) AS code, r_name AS description FROM region")
+def q_catalog_file_scan(spark, d):
+    """A code list file read back with its separator and encoding inferred
+    (S6): the region table written as ``code|description``."""
+    root = IN.intake(spark, d)
+    return DL.read_catalog(spark, f"{root}/region_catalog")
