@@ -181,6 +181,12 @@ class DataModel:
         return [(e, fk) for e in self.entities for fk in e.foreign_keys if fk.parent == parent]
 
     # ------------------------------------------------------------------ JSON
+    # The configuration layout existing models are written in.
+    # Top level: cdmb_version, uuid, cohort, metadata (use_case, project),
+    # entities.  Entity: name, variables, rules (expression).  Variable: label,
+    # format, type, catalog_bl, catalog (column_name, filename).  Added here,
+    # optional: primary_key, foreign_keys (columns, parent, parent_columns),
+    # priority.
     @classmethod
     def from_dict(cls, cfg: dict) -> "DataModel":
         if "entities" not in cfg:
