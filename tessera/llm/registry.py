@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, pfor, sharding
+from tessera.llm import html_text, langid, packing, pfor, pii, sharding, toxicity
 from tessera.llm.common import table
 
 
+def op1_subsequence_extract(spark, sf_dir):
+    """Main text of every page by the maximum-scoring subsequence."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_pfor_tokens(spark, sf_dir):
     """Ids of every document written as patched frame-of-reference blocks and read back."""
     return pfor.read_ids(pfor.write_ids(table(spark, sf_dir, "documents")), digest=True)
@@ -21,10 +26,29 @@ def op7_differencing_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op8_weak_supervision_pii(spark, sf_dir):
+    """Personal data of every document: the exact base and spans learned from labelers' votes."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op9_nnpu_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from toxic examples and unlabelled text."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_byte_cnn_language(spark, sf_dir):
+    """Language of every document by a byte convolutional network."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_subsequence_extract": op1_subsequence_extract,
     "op2_pfor_tokens": op2_pfor_tokens,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_differencing_packing": op7_differencing_packing,
+    "op8_weak_supervision_pii": op8_weak_supervision_pii,
+    "op9_nnpu_toxicity": op9_nnpu_toxicity,
+    "op10_byte_cnn_language": op10_byte_cnn_language,
 }
 
 ORACLE = {
