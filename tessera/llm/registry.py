@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, langid, packing, pfor, pii, sharding, toxicity
+from tessera.llm import html_text, jaccard, langid, packing, pfor, pii, sharding, toxicity
 from tessera.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_pfor_tokens(spark, sf_dir):
     return pfor.read_ids(pfor.write_ids(table(spark, sf_dir, "documents")), digest=True)
 
 
+def op5_multiorder_jaccard(spark, sf_dir):
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op6_stratified_shards(spark, sf_dir):
     """All documents in 16 shards that each hold the mixture of sources."""
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op10_byte_cnn_language(spark, sf_dir):
 QUERIES = {
     "op1_subsequence_extract": op1_subsequence_extract,
     "op2_pfor_tokens": op2_pfor_tokens,
+    "op5_multiorder_jaccard": op5_multiorder_jaccard,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_differencing_packing": op7_differencing_packing,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
@@ -52,5 +58,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_multiorder_jaccard": jaccard.COMPONENT_SQL,
     "op6_stratified_shards": sharding.SHARD_SQL,
 }
