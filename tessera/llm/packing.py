@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.tokenizing import Encoder, default_vocab
+from tessera.llm.tokenizing import default_vocab, encoder
 
 CAPACITY = 2048
 MAX_PIECE = 512       # a rest is cut so that a window holds at least four pieces
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_piece: int = MAX_PIECE,
     by the reader.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocab or default_vocab())
+        encode = encoder(vocab or default_vocab()).batch
         base, made = TaskContext.get().partitionId() << _LOCAL_BITS, 0
         waiting: list[tuple] = []   # rests: (doc_id, start, ids, doc_tokens)
 
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_piece: int = MAX_PIECE,
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part, rows = pdf.iloc[at:at + 512], []
-                for doc, ids in zip(part["doc_id"], encoder.batch(part["text"])):
+                for doc, ids in zip(part["doc_id"], encode(part["text"])):
                     doc = None if pd.isna(doc) else int(doc)
                     total = len(ids) // 4
                     for start, size in cut(total, capacity, max_piece):

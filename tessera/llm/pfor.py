@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import partition_starts, partitions, write_read
-from tessera.llm.tokenizing import Encoder, default_vocab
+from tessera.llm.tokenizing import default_vocab, encoder
 from tessera.session import scratch_path
 
 MAGIC = b"TSPFOR01"
@@ -187,7 +187,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocab: str | None = No
         writer = None
         for pdf in batches:
             if writer is None:
-                encoder, part = Encoder(vocab or default_vocab()), TaskContext.get().partitionId()
+                encode, part = encoder(vocab or default_vocab()).batch, TaskContext.get().partitionId()
                 name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.pfor"
                 files, path = _open(name)
                 files.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -195,7 +195,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, vocab: str | None = No
                 writer = Writer(sink)
             for at in range(0, len(pdf), 512):
                 chunk = pdf.iloc[at:at + 512]
-                for doc, ids in zip(chunk["doc_id"], encoder.batch(chunk["text"])):
+                for doc, ids in zip(chunk["doc_id"], encode(chunk["text"])):
                     writer.add(None if pd.isna(doc) else int(doc), ids)
         if writer is not None:
             n_docs, n_ids = writer.close()

@@ -3,19 +3,48 @@
 The public word vocabulary treats every run between ASCII white space on its
 own (its normalisers and its split pattern never join across white space), so
 a text's ids are its runs' ids in order.  Each distinct run is encoded once
-per task by the library and its ids are kept as bytes; the memory of that
-table is bounded by ``MEMO_RUNS`` runs of at most ``MEMO_BYTES`` bytes.
+per worker process and its ids are kept as bytes.
+
+Runs of ASCII and Latin-1 letters are cut into pieces by the vocabulary's own
+split pattern and the library's BPE model encodes each distinct piece; every
+other run goes through the library's whole pipeline.  Tests hold both ways
+against encoding the whole text at once.
+
+Memory is bounded: ``MEMO`` runs and ``MEMO`` pieces of at most
+``MEMO_BYTES`` bytes are kept, then the table starts anew.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
+from functools import lru_cache
+
+END_ID = 1         # appended to each document
+MEMO = 1_000_000
+MEMO_BYTES = 40    # longer runs are kept for their batch only
+
+# fixed values: the vocabulary's split pattern, over lower-case ASCII and Latin-1
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+    out, nxt = {b: chr(b) for b in printable}, 256
+    for b in range(256):
+        if b not in out:
+            out[b], nxt = chr(nxt), nxt + 1
+    return out
 
-import numpy as np
 
-END_ID = 1            # appended to each document
-MEMO_RUNS = 400_000   # runs kept per task
-MEMO_BYTES = 40       # longer runs are encoded for their batch only
+_LETTERS = _byte_letters()
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -25,39 +54,57 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark owns the cores
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(vocab_file)
-        self._memo: dict[bytes, bytes] = {}
+        self._model = self._tok.model
+        self._specials = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._runs: dict[bytes, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _new_piece(self, piece: str) -> bytes:
+        # ASCII stands for itself in the byte alphabet
+        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        ids = _pack([t.id for t in self._model.tokenize(letters)])
+        if len(piece) <= MEMO_BYTES:
+            self._pieces[piece] = ids
+        return ids
+
+    def _encode_runs(self, runs) -> None:
+        """Put the ids of new runs into the table."""
+        known, rest, have, new, join = self._runs, [], self._pieces.get, self._new_piece, b"".join
+        simple, cut, specials = _SIMPLE.fullmatch, _PIECE.findall, self._specials
+        for run in runs:
+            s = run.decode("utf-8")
+            if simple(s) and not ("<" in s and any(x in s for x in specials)):
+                known[run] = join([have(p) or new(p) for p in cut(s.lower())])
+            else:
+                rest.append(run)
+        for i in range(0, len(rest), 1024):
+            part = rest[i:i + 1024]
+            for run, e in zip(part, self._tok.encode_batch([x.decode("utf-8") for x in part], add_special_tokens=False)):
+                known[run] = _pack(e.ids)
 
     def batch(self, texts) -> list[bytes]:
         """Ids of each text as bytes; a null text is empty and has END_ID only."""
         # runs of bytes between ASCII white space: exactly what bytes.split() cuts
         split = [(t.encode("utf-8").split() if t else []) for t in texts]
-        memo = self._memo
-        if len(memo) > MEMO_RUNS:
-            memo.clear()
-        missing = list({w for ws in split for w in ws if w not in memo})
-        local = memo
-        if missing:
-            coded = {}
-            for i in range(0, len(missing), 4096):
-                part = missing[i:i + 4096]
-                for w, e in zip(part, self._tok.encode_batch([x.decode("utf-8") for x in part],
-                                                             add_special_tokens=False)):
-                    coded[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            long = {w: b for w, b in coded.items() if len(w) > MEMO_BYTES}
-            memo.update((w, b) for w, b in coded.items() if len(w) <= MEMO_BYTES)
-            if long:
-                local = _Both(memo, long)
-        end = np.asarray([END_ID], dtype="<u4").tobytes()
-        get = local.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in split]
-
-
-class _Both:
-    def __init__(self, memo, long):
-        self._memo, self._long = memo, long
-
-    def __getitem__(self, w):
-        return self._memo[w] if len(w) <= MEMO_BYTES else self._long[w]
+        known = self._runs
+        if len(known) > MEMO:
+            known.clear()
+        if len(self._pieces) > MEMO:
+            self._pieces.clear()
+        missing = set().union(*split).difference(known)
+        self._encode_runs(missing)
+        end, get, join = _pack([END_ID]), known.__getitem__, b"".join
+        out = [join(map(get, ws)) + end for ws in split]
+        for run in missing:
+            if len(run) > MEMO_BYTES:
+                del known[run]
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(vocab_file: str) -> Encoder:
+    """One encoder per worker process, so that its table serves the following tasks too."""
+    return Encoder(vocab_file)
 
 
 def default_vocab() -> str:
