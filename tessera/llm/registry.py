@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, jaccard, langid, packing, pfor, pii, sharding, toxicity
+from tessera.llm import decontaminate, html_text, jaccard, langid, packing, pfor, pii, sharding, toxicity
 from tessera.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_pfor_tokens(spark, sf_dir):
     return pfor.read_ids(pfor.write_ids(table(spark, sf_dir, "documents")), digest=True)
 
 
+def op3_qgram_decontamination(spark, sf_dir):
+    """Every document that holds a benchmark passage, with the item and the span."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_multiorder_jaccard(spark, sf_dir):
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return jaccard.components(table(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ def op10_byte_cnn_language(spark, sf_dir):
 QUERIES = {
     "op1_subsequence_extract": op1_subsequence_extract,
     "op2_pfor_tokens": op2_pfor_tokens,
+    "op3_qgram_decontamination": op3_qgram_decontamination,
     "op5_multiorder_jaccard": op5_multiorder_jaccard,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_differencing_packing": op7_differencing_packing,
