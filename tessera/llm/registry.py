@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, jaccard, langid, packing, pfor, pii, sharding, toxicity
+from tessera.llm import decontaminate, html_text, jaccard, langid, near_vectors, packing, pfor, pii, sharding, toxicity
 from tessera.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op3_qgram_decontamination(spark, sf_dir):
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_tiled_near_vectors(spark, sf_dir):
+    """Embeddings of one label with cosine 0.98 or more: links, components and what stays."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_multiorder_jaccard(spark, sf_dir):
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return jaccard.components(table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_subsequence_extract": op1_subsequence_extract,
     "op2_pfor_tokens": op2_pfor_tokens,
     "op3_qgram_decontamination": op3_qgram_decontamination,
+    "op4_tiled_near_vectors": op4_tiled_near_vectors,
     "op5_multiorder_jaccard": op5_multiorder_jaccard,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_differencing_packing": op7_differencing_packing,
@@ -64,6 +70,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_tiled_near_vectors": near_vectors.NEAR_SQL,
     "op5_multiorder_jaccard": jaccard.COMPONENT_SQL,
     "op6_stratified_shards": sharding.SHARD_SQL,
 }
