@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 4000
 _SMOOTH = 4.0
 _TAG_CEILING = -0.3
-_WORD_LIMIT = 4.0
+_LIMIT = 4.0
+_FURNITURE_LIMIT = 0.5   # furniture is left out anyway; its score only says how much of it a region may span
 
 # fixed values: names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,7 +114,7 @@ class _Open:
         if name in ("article", "main"):
             zone = "furniture" if hard else "article"   # soft furniture around an article does not count
         elif mark:
-            zone = "furniture"
+            zone = "inset" if zone in ("article", "inset") else "furniture"
         if name in BLOCKS:
             kind = "h" if name in _HEADINGS else name if name in _KINDS else "other"
             self._blocks.append(len(self.names))
@@ -158,13 +159,15 @@ class _Open:
 
 
 def parse(page: str) -> Iterator[tuple]:
-    """Page items in order: ("text", raw, context) and ("tag", name, breaks a block).
+    """Page items in order: ("text", raw, context) and ("tag", name, breaks a block, furniture zone it touches or "").
 
-    context: (zone, in link, kind of block), zone one of furniture, article, plain.
+    context: (zone, in link, kind of block); the zone is article, plain, furniture, or
+    inset for furniture inside an article.
     """
     stack = _Open()
     at, n = 0, len(page)
     while at < n:
+        before = stack.contexts[-1][0]
         lt = page.find("<", at)
         if lt != at:
             lt = n if lt < 0 else lt
@@ -196,7 +199,7 @@ def parse(page: str) -> Iterator[tuple]:
             at = n if end < 0 else end + 1
         elif name not in VOID and (not attrs.endswith("/") or name in BLOCKS):
             stack.open(name, _furniture(name, attrs))
-        yield "tag", ("/" if m[1] else "") + name, name in BLOCKS
+        yield "tag", ("/" if m[1] else "") + name, name in BLOCKS, next((z for z in ("furniture", "inset") if z in (before, stack.contexts[-1][0])), "")
 
 
 def features(items: list[tuple], has_article: bool) -> Iterator[tuple[int, str, int]]:
@@ -206,11 +209,11 @@ def features(items: list[tuple], has_article: bool) -> Iterator[tuple[int, str,
             words = len(item[1].split())
             if words:
                 zone, link, kind = item[2]
-                if zone != "furniture":
-                    zone = zone if has_article else "any"
+                if zone in ("article", "plain") and not has_article:
+                    zone = "any"
                 yield i, f"w|{zone}|{int(link)}|{kind}", words
         else:
-            yield i, f"t|{item[1]}", 1
+            yield i, f"t|{item[3] or item[1]}", 1
 
 
 def label_counts(page: str) -> Counter | None:
@@ -222,13 +225,15 @@ def label_counts(page: str) -> Counter | None:
     zones = [x[2][0] if x[0] == "text" else None for x in items]
     last = "plain"
     for i, f, k in features(items, True):
+        if "inset" in f:
+            continue     # left out of the text whatever it scores; it teaches nothing about the article's limits
         if zones[i] is not None:
             last = zones[i]
         elif items[i][1] in ("article", "/article", "main", "/main"):
             last = "plain"
         inside = last == "article"
         out[f, inside] += k
-        if f.startswith("w|") and not f.startswith("w|furniture"):
+        if f.startswith(("w|article", "w|plain")):
             _, _, link, kind = f.split("|")
             out[f"w|any|{link}|{kind}", inside] += k   # for pages that mark nothing
     return out
@@ -239,7 +244,8 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     out = {}
     for f, (inside, outside) in counts.items():
         w = math.log((inside + _SMOOTH * prior(f)) / (outside + _SMOOTH * (1 - prior(f))))
-        out[f] = min(w, _TAG_CEILING) if f.startswith("t|") else max(-_WORD_LIMIT, min(w, _WORD_LIMIT))
+        limit = _FURNITURE_LIMIT if "furniture" in f else _LIMIT
+        out[f] = max(-limit, min(w, _TAG_CEILING if f.startswith("t|") else limit))
     return out
 
 
@@ -250,6 +256,8 @@ def prior(feature: str) -> float:
     _, zone, link, _ = feature.split("|")
     if zone == "furniture":
         return 0.02
+    if zone == "inset":
+        return 0.45
     if zone == "plain":
         return 0.1      # the page marks its content, and this is not it
     return 0.5 if link == "1" and zone == "any" else 0.9
@@ -259,8 +267,8 @@ def weight_of(feature: str, learned: dict[str, float]) -> float:
     if feature in learned:
         return learned[feature]
     p = prior(feature)
-    w = math.log(p / (1 - p))
-    return min(w, _TAG_CEILING) if feature.startswith("t|") else w
+    limit = _FURNITURE_LIMIT if "furniture" in feature else _LIMIT
+    return max(-limit, min(math.log(p / (1 - p)), _TAG_CEILING if feature.startswith("t|") else limit))
 
 
 def extract(page: str | None, learned: dict[str, float]) -> str:
@@ -285,7 +293,7 @@ def extract(page: str | None, learned: dict[str, float]) -> str:
     blocks, now = [], []
     for item in items[first:last + 1]:
         if item[0] == "text":
-            if item[2][0] != "furniture":
+            if item[2][0] in ("article", "plain"):
                 now.append(html.unescape(item[1]))
         elif item[2]:
             blocks.append("".join(now))

@@ -78,7 +78,7 @@ def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if n in GRAMS:
             i = np.arange(len(h))
             inside = edges[i + n - 1] - edges[i + 1] == 0   # only the first and last byte may be an edge
-            at = np.flatnonzero(inside & ((b[:len(h)] != _SPACE) | (b[n - 1:] != _SPACE)))
+            at = np.flatnonzero(inside)
             mixed = (h[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
