@@ -15,17 +15,14 @@ import json
 import sys
 
 from tessera.model import DataModel
-from tessera.session import get_session
+from tessera.session import get_session, path_exists
 
 
 def _staged(spark, model, staging):
-    frames = {}
-    for ent in model.entities:
-        try:
-            frames[ent.name] = spark.read.parquet(f"{staging}/{ent.name}")
-        except Exception:  # noqa: BLE001 - entity not loaded
-            pass
-    return frames
+    if not path_exists(spark, staging):
+        raise FileNotFoundError(f"no staged tables at {staging}")
+    return {ent.name: spark.read.parquet(f"{staging}/{ent.name}") for ent in model.entities
+            if path_exists(spark, f"{staging}/{ent.name}")}
 
 
 def main(argv=None) -> int:

@@ -15,8 +15,14 @@ NULL_TOKENS = ("NA", "")
 
 # Shapes a text must have before the engine cast is tried, so the
 # accepted inputs follow the reference dialect rather than Spark's laxer one.
-DATE_SHAPE = r"^\s*[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}\s*$"
-DATETIME_SHAPE = r"^\s*[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?\s*$"
+# A time may carry a zone; it is accepted and not applied.
+_TIME = r"[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?"
+_ZONE = r"\s*(Z|UTC|[+-][0-9]{2}(:?[0-9]{2})?)"
+DATE_SHAPE = r"^\s*[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}(" + _TIME + "(" + _ZONE + r")?)?\s*$"
+DATETIME_SHAPE = DATE_SHAPE
+ZONE_SUFFIX = "(:[0-9.]+)" + _ZONE + r"\s*$"
+# Day, month, year: a layout that the load reads in date columns.
+DAY_FIRST = r"^\s*([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\s*$"
 DOUBLE_SUFFIX = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]\s*$"
 
 
@@ -31,16 +37,23 @@ def try_parse(raw: Column, fmt: str) -> Column:
     if fmt == "string":
         return raw
     if fmt == "date":
-        fixed = F.regexp_replace(F.trim(raw), "/", "-")
-        return F.when(raw.rlike(DATE_SHAPE), fixed.try_cast("date"))
+        fixed = F.regexp_replace(F.regexp_replace(F.trim(raw), "/", "-"), ZONE_SUFFIX, "$1")
+        return F.when(raw.rlike(DATE_SHAPE), fixed.try_cast("timestamp_ntz").cast("date"))
     if fmt == "datetime":
-        fixed = F.regexp_replace(F.trim(raw), "/", "-")
+        fixed = F.regexp_replace(F.regexp_replace(F.trim(raw), "/", "-"), ZONE_SUFFIX, "$1")
         return F.when(raw.rlike(DATETIME_SHAPE), fixed.try_cast("timestamp_ntz"))
     if fmt == "double":
         return F.when(~raw.rlike(DOUBLE_SUFFIX), raw.try_cast("double"))
     return raw.try_cast(FORMAT_TYPES[fmt])
 
 
+def iso_date(raw: Column, fmt: str) -> Column:
+    """Day-first dates of a date or datetime column in year-first order; other texts unchanged."""
+    if normalize_format(fmt) not in ("date", "datetime"):
+        return raw
+    return F.regexp_replace(raw, DAY_FIRST, "$3-$2-$1")
+
+
 def typed_cell(raw: Column, fmt: str) -> Column:
     """Null tokens first, then the typed parse (the load path)."""
     return try_parse(null_tokens(raw), fmt)

@@ -7,22 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import path_bytes, scratch_path, write_read
 
-# Largest small side (rows) that is broadcast on purpose.  Catalog code lists
-# and per-partition offset tables are far below it; anything above goes through
-# a shuffle join, where AQE may still pick a broadcast from runtime sizes.
+# Largest side that is broadcast on purpose, by rows and by bytes of its stored
+# columnar form (a row may hold a long text).  Anything above goes through a
+# shuffle join, where AQE may still pick a broadcast from runtime sizes.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 32_000_000
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``df`` stored once, and broadcast only if the stored table is proven small.
 
-    The proof is a bounded count (``limit(max_rows + 1)``), so it stays cheap
-    even when the side turns out to be large.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    The stored copy serves the size check and the join, so the work behind
+    ``df`` runs once however it turns out."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "side")
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    small = path_bytes(spark, path) <= max_bytes and stored.count() <= max_rows
+    return F.broadcast(stored) if small else stored
 
 
 def first_n(df: DataFrame, group_cols: Sequence[str], order_col: str, value: Column | str,
@@ -52,47 +57,62 @@ def with_tail(items: Column, total: Column, n: int, unit: str) -> Column:
 def number_rows(df: DataFrame, order_cols: Sequence[Column | str], name: str = "line_number") -> DataFrame:
     """Attach 1..n in the given total order, without a single-task window.
 
-    The rows are range-sorted and tagged with ``monotonically_increasing_id``
-    in one job whose output is checkpointed, so the ids cannot change between
-    the two uses below.  Per sort partition the row count is taken; a prefix
-    sum over those counts (one row per partition, a proven bound) gives each
-    partition its offset.  ``order_cols`` must be a total order (unique
-    rows): ties would make the numbering arbitrary, and one hot key value
-    would land in a single range partition.
+    The rows are range-sorted, tagged with ``monotonically_increasing_id`` and
+    stored once, so the ids cannot change between the two uses below.  Per
+    sort partition the row count is taken; a prefix sum over those counts
+    (one row per partition) gives each partition its offset.  ``order_cols``
+    must be a total order (unique rows): ties would make the numbering
+    arbitrary, and one hot key value would land in a single range partition.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tagged = write_read(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(F.col("_mid"), 33)
     offsets = (tagged.groupBy(part.alias("_part"))
                .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min")))
     offsets = offsets.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)))
-    return (tagged.join(F.broadcast(offsets.select("_part", "_off", "_min")), part == F.col("_part"))
+    return (tagged.join(broadcast_checked(offsets.select("_part", "_off", "_min")), part == F.col("_part"))
             .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_min") + 1)
             .drop("_part", "_off", "_min", "_mid"))
 
 
-def file_line_numbers(df: DataFrame, file_order: Sequence[str] = ("_file",),
-                      table_name: str = "line_number", file_name: str = "file_line") -> DataFrame:
-    """Line numbers for rows read from files, in file order.
+def store_splits(df: DataFrame) -> DataFrame:
+    """Rows of a file scan (with ``_file`` and ``_block`` from ``_metadata``)
+    stored with the id that fixes their order and a 64-bit number of their split."""
+    return write_read(df.withColumn("_mid", F.monotonically_increasing_id())
+                      .withColumn("_split", F.xxhash64("_file", "_block")), "splits")
+
+
+def number_splits(stored: DataFrame, file_order: Sequence[str] = ("_file",), table_name: str = "line_number",
+                  file_name: str = "file_line", accepted: DataFrame | None = None) -> DataFrame:
+    """Line numbers for stored rows, in file order.
 
-    ``df`` must carry ``_file`` (path) and ``_block`` (split start) from the
-    scan's ``_metadata``.  Each split is read contiguously by one task, so
-    ``monotonically_increasing_id`` is consecutive inside a split; counts per
-    split, prefix-summed in (file, split) order, give the offsets.  One column
-    numbers rows across all files (the table), one within each file.
+    Each split is read contiguously by one task, so ``monotonically_increasing_id``
+    is consecutive inside a split; counts per split, prefix-summed in
+    (file, split) order, give the offsets.  ``file_line`` numbers rows within each
+    file; ``line_number`` numbers 1..n over the files of ``accepted`` (column
+    ``_file``; all files without it) and is NULL for the others.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     keys = [*file_order, "_block"]
-    blocks = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min"))
+    blocks = stored.groupBy("_split", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min"))
+    taken = F.lit(True)
+    if accepted is not None:
+        blocks = blocks.join(accepted.select("_file").distinct().withColumn("_taken", F.lit(True)), "_file", "left")
+        taken = F.coalesce(F.col("_taken"), F.lit(False))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy(*file_order).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("_toff", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-              .withColumn("_foff", F.coalesce(F.sum("_n").over(in_file), F.lit(0))))
+    blocks = blocks.select(
+        "_split", "_min", taken.alias("_ok"),
+        F.coalesce(F.sum(F.when(taken, F.col("_n")).otherwise(0)).over(before), F.lit(0)).alias("_toff"),
+        F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_foff"))
     pos = F.col("_mid") - F.col("_min") + 1
-    return (tagged.join(F.broadcast(blocks.drop("_n")), list(keys))
-            .withColumn(table_name, F.col("_toff") + pos)
+    return (stored.join(broadcast_checked(blocks), "_split")
+            .withColumn(table_name, F.when(F.col("_ok"), F.col("_toff") + pos))
             .withColumn(file_name, F.col("_foff") + pos)
-            .drop("_toff", "_foff", "_min", "_mid"))
+            .drop("_toff", "_foff", "_min", "_mid", "_split", "_ok"))
+
+
+def file_line_numbers(df: DataFrame, file_order: Sequence[str] = ("_file",),
+                      table_name: str = "line_number", file_name: str = "file_line") -> DataFrame:
+    """:func:`number_splits` of a scan that is stored here, all files taken."""
+    return number_splits(store_splits(df), file_order, table_name, file_name)

@@ -57,16 +57,19 @@ def split_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> tuple[
     """``(orphans, valid)`` rows of ``child``.
 
     Rows whose key is NULL are in neither: they are not orphans (``NOT IN``
-    ignores them) and not valid (``IN`` drops them); report them with
-    :func:`pk_nulls` instead of losing them silently.
+    ignores them) and not valid (``IN`` drops them); :func:`null_keys` has them.
+    The orphan keys are found once and stored; both results read them.
     """
-    bad = broadcast_checked(orphan_keys(child, parent, fk).withColumn("_orphan", F.lit(True)))
+    bad = broadcast_checked(orphan_keys(child, parent, fk))
     keyed = child.where(_all_not_null(fk.columns))
-    marked = keyed.join(bad, list(fk.columns), "left")
     cols = child.columns
-    orphans = marked.where(F.col("_orphan").isNotNull()).select(*cols)
-    valid = marked.where(F.col("_orphan").isNull()).select(*cols)
-    return orphans, valid
+    return (keyed.join(bad, list(fk.columns), "left_semi").select(*cols),
+            keyed.join(bad, list(fk.columns), "left_anti").select(*cols))
+
+
+def null_keys(child: DataFrame, fk: ForeignKey) -> DataFrame:
+    """Rows that name no parent because a key column is NULL."""
+    return child.where(_any_null(fk.columns))
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:

@@ -3,8 +3,9 @@ and an all-or-nothing commit.
 
 The target is a folder of parquet tables written by Spark.  A publish writes
 every merged table of the run under a fresh version folder and only then
-writes one commit marker; readers take the newest committed version, so a
-failure anywhere leaves the previous version in force (no partial publish).
+writes one commit record (run, and the table of each entity); readers take the
+newest record, so a failure anywhere leaves the previous version in force (no
+partial publish) and tables that a run does not touch are not copied.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from tessera.model import PUBLISH_TYPES, STRING_LIMIT, UNLIMITED_TEXT_LABELS, DataModel, Entity
 from tessera.operators import keys as K
 from tessera.operators.common import broadcast_checked
+from tessera.session import delete_path, path_exists
+
+COMMIT_SCHEMA = "run_id string, at string, tables array<struct<entity: string, path: string>>"
 
 
 class PublishError(RuntimeError):
@@ -78,87 +82,104 @@ def narrow(df: DataFrame, entity: Entity) -> DataFrame:
 
 
 # ----------------------------------------------------------- versioning
-def _commits(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.json(f"{root}/_commits")
-    except Exception:  # noqa: BLE001 - no commit yet
+def _last_commit(spark: SparkSession, root: str):
+    """The newest commit record, or None when nothing was ever committed.
+    A record that cannot be read is an error, never an empty target."""
+    if not path_exists(spark, f"{root}/_commits"):
         return None
+    commits = spark.read.schema(COMMIT_SCHEMA).option("mode", "FAILFAST").json(f"{root}/_commits")
+    return commits.orderBy(F.desc("run_id")).first()
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    commits = _commits(spark, root)
-    if commits is None or "run_id" not in commits.columns:
-        return None
-    row = commits.agg(F.max("run_id").alias("v")).first()
-    return row["v"] if row else None
+    last = _last_commit(spark, root)
+    return last["run_id"] if last else None
+
+
+def _paths(last) -> dict[str, str]:
+    return {t["entity"]: t["path"] for t in last["tables"]} if last else {}
 
 
 def read_target(spark: SparkSession, root: str, entity: Entity) -> DataFrame:
     """The committed table of ``entity``; empty with the publish schema if
     the target has no committed version or no such table yet."""
-    version = current_version(spark, root)
-    if version is not None:
-        try:
-            return spark.read.schema(entity.publish_schema).parquet(f"{root}/v={version}/{entity.name}")
-        except Exception:  # noqa: BLE001 - table absent in that version
-            pass
-    return spark.createDataFrame([], entity.publish_schema)
+    path = _paths(_last_commit(spark, root)).get(entity.name)
+    if path is None:
+        return spark.createDataFrame([], entity.publish_schema)
+    return spark.read.schema(entity.publish_schema).parquet(f"{root}/{path}")
+
+
+def _quarantine_name(entity: Entity, fk) -> str:
+    """One folder per foreign key; an entity with one key has the plain name."""
+    name = f"errors_fk_{entity.name}"
+    return name if len(entity.foreign_keys) == 1 else f"{name}_{'_'.join(fk.columns)}"
 
 
 def publish(spark: SparkSession, model: DataModel, staged: Mapping[str, DataFrame], root: str,
-            quarantine_dir: str | None = None, fail_after: str | None = None) -> dict:
+            quarantine_dir: str | None = None, fail_after: str | None = None,
+            append: Sequence[str] = ()) -> dict:
     """Upsert every staged entity into the target, parents first, as one unit.
 
-    Per entity: refuse duplicate or NULL primary keys and values that do not
-    fit the target types; put orphans aside (CSV with header, when
-    ``quarantine_dir`` is given) and upsert the valid rows.  Parents are
-    merged first, so new parents count in the orphan check of children.
-    Every merged table is written under ``v=<run>``; the commit marker is
-    written last.  ``fail_after`` injects a failure (tests).
-    Returns ``{entity: {"rows": n, "orphans": n}}``.
+    Per entity: refuse duplicate or NULL primary keys; put orphans aside, one
+    CSV folder with header per foreign key (when ``quarantine_dir`` is given);
+    refuse valid rows that do not fit the target types; upsert the rest.  Rows
+    whose foreign key is NULL name no parent: they are published and
+    counted.  Parents are merged first, so new parents count in the orphan
+    check of children.  Every merged table is written under ``v=<run>``; the
+    commit record, written last, maps each entity to its table, so a table that
+    the run does not touch stays where it is.  An entity without a primary
+    key cannot be upserted; it is refused unless named in ``append``.
+    ``fail_after`` injects a failure (tests).  Returns ``{entity: {"rows",
+    "staged", "published", "orphans", "null_keys"}}``; staged = published + orphans.
     """
     run_id = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f") + "-" + uuid.uuid4().hex[:8]
-    previous = current_version(spark, root)
-    merged_paths: dict[str, str] = {}
+    last = _last_commit(spark, root)
+    tables = _paths(last)
     report: dict[str, dict] = {}
     for ent in model.load_order():
         if ent.name not in staged:
-            if previous is not None:
-                # carry the committed table forward unchanged
-                old = read_target(spark, root, ent)
-                path = f"{root}/v={run_id}/{ent.name}"
-                old.write.mode("error").parquet(path)
-                merged_paths[ent.name] = path
             continue
         src = staged[ent.name].select(*ent.labels)
         pk = list(ent.primary_key)
-        # NULL keys and out-of-range values: one aggregate; duplicates: one
-        # partial aggregate on the key columns
-        bad = range_violations(src, ent, key_nulls=True).where(F.col("n_out_of_range") > 0).collect()
+        if not pk and ent.name not in append:
+            raise PublishError(f"{ent.name}: no primary key to upsert by")
         if pk and K.pk_duplicates(src, pk).limit(1).count():
             raise PublishError(f"{ent.name}: duplicate primary key")
+        counts = {"staged": src.count(), "orphans": 0, "null_keys": 0}
+        for fk in ent.foreign_keys:
+            parent_path = tables.get(fk.parent)
+            parent = (spark.read.parquet(f"{root}/{parent_path}") if parent_path
+                      else spark.createDataFrame([], model.entity(fk.parent).publish_schema))
+            orph, valid = K.split_orphans(src, parent, fk)
+            n = orph.count()
+            counts["orphans"] += n
+            if quarantine_dir:
+                path = f"{quarantine_dir}/{_quarantine_name(ent, fk)}"
+                if n:
+                    orph.write.mode("overwrite").option("header", True).csv(path)
+                else:
+                    delete_path(spark, path)    # what an earlier run put aside
+            unnamed = K.null_keys(src, fk)
+            counts["null_keys"] += unnamed.count()
+            src = valid.unionByName(unnamed)
+        # the valid rows only: an orphan with a bad value does not refuse the run
+        bad = range_violations(src, ent, key_nulls=True).where(F.col("n_out_of_range") > 0).collect()
         if bad:
             raise PublishError(f"{ent.name}: NULL key or values out of target range in "
                                + ", ".join(r["variable"] for r in bad))
-        n_orphans = 0
-        for fk in ent.foreign_keys:
-            parent_path = merged_paths.get(fk.parent)
-            parent = (spark.read.parquet(parent_path) if parent_path
-                      else read_target(spark, root, model.entity(fk.parent)))
-            orph, src = K.split_orphans(src, parent, fk)
-            n_orphans += orph.count()
-            if quarantine_dir and n_orphans:
-                orph.write.mode("overwrite").option("header", True).csv(f"{quarantine_dir}/errors_fk_{ent.name}")
-        target = read_target(spark, root, ent)
-        merged = upsert(target, narrow(src, ent), pk) if pk else target.unionByName(narrow(src, ent))
-        path = f"{root}/v={run_id}/{ent.name}"
-        merged.write.mode("error").parquet(path)
-        merged_paths[ent.name] = path
-        report[ent.name] = {"rows": spark.read.parquet(path).count(), "orphans": n_orphans}
+        old = (spark.read.schema(ent.publish_schema).parquet(f"{root}/{tables[ent.name]}") if ent.name in tables
+               else spark.createDataFrame([], ent.publish_schema))
+        fresh = narrow(src, ent)
+        merged = upsert(old, fresh, pk) if pk else old.unionByName(fresh)
+        path = f"v={run_id}/{ent.name}"
+        merged.write.mode("error").parquet(f"{root}/{path}")
+        tables[ent.name] = path
+        counts["published"] = counts["staged"] - counts["orphans"]
+        report[ent.name] = {"rows": spark.read.parquet(f"{root}/{path}").count(), **counts}
         if fail_after == ent.name:
             raise PublishError(f"injected failure after {ent.name}")
-    spark.createDataFrame([(run_id, dt.datetime.now(dt.timezone.utc).isoformat())], "run_id string, at string") \
-        .coalesce(1).write.mode("append").json(f"{root}/_commits")
+    record = [(run_id, dt.datetime.now(dt.timezone.utc).isoformat(), sorted(tables.items()))]
+    spark.createDataFrame(record, COMMIT_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_commits")
     return report
 
 
@@ -168,15 +189,18 @@ def create_entity_table(spark: SparkSession, entity: Entity, path: str, staging:
     Keys are not enforced by the storage; they are checked (C3) before any
     publish instead."""
     schema = entity.schema if staging else entity.publish_schema
-    try:
-        spark.read.schema(schema).parquet(path).limit(0).collect()
-        return path
-    except Exception:  # noqa: BLE001 - absent: create it
+    if not path_exists(spark, path):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
-        return path
+    return path
 
 
-def read_jdbc_target(spark: SparkSession, url: str, entity: Entity, properties: dict | None = None) -> DataFrame:
+def read_jdbc_target(spark: SparkSession, url: str, entity: Entity, properties: dict | None = None,
+                     partition: tuple[str, int, int, int] | None = None) -> DataFrame:
     """A relational target behind the same interface as :func:`read_target`
-    (untested here: no JDBC driver is installed)."""
-    return spark.read.jdbc(url, entity.name, properties=properties or {}).select(*entity.labels)
+    (untested here: no JDBC driver is installed).  ``partition`` is (column,
+    lower bound, upper bound, tasks); without it one task reads the table."""
+    split = {}
+    if partition:
+        column, low, high, tasks = partition
+        split = {"column": column, "lowerBound": low, "upperBound": high, "numPartitions": tasks}
+    return spark.read.jdbc(url, entity.name, properties=properties or {}, **split).select(*entity.labels)

@@ -204,12 +204,12 @@ def violation_stream(df: DataFrame, line_col: str, rules: Sequence[RuleCheck] =
     # a large code list: values first.  Distinct (check, value) candidates
     # (a partial aggregate, so a value held by many rows is one row) meet the
     # codes; only the wrong pairs go back to the rows, broadcast when small.
-    candidates = stream.where(F.col("kind") == "catalog").select("check", "value").distinct()
-    wrong = candidates.join(codes, ["check", "value"], "left_anti").withColumn("_wrong", F.lit(True))
-    wrong = broadcast_checked(wrong)
-    marked = stream.join(wrong, ["check", "value"], "left")
-    return (marked.where((F.col("kind") == "rule") | F.col("_wrong").isNotNull())
-            .select("kind", "check", "value", "line"))
+    # Rule rows carry no value and pass the join by.
+    listed = stream.where(F.col("kind") == "catalog")
+    wrong = broadcast_checked(listed.select("check", "value").distinct().join(codes, ["check", "value"], "left_anti"))
+    marked = listed.join(wrong, ["check", "value"], "left_semi")
+    return stream.where(F.col("kind") == "rule").unionByName(marked.select(*stream.columns)).select(
+        "kind", "check", "value", "line")
 
 
 def check_lines(stream: DataFrame, n: int = REPORT_LINES) -> DataFrame:

@@ -80,7 +80,8 @@ LINEITEM = Entity("lineitem", [
     _v("l_suppkey", "integer"), _v("l_quantity", "double"), _v("l_extendedprice", "double"),
     _v("l_discount", "double"), _v("l_tax", "double"), _v("l_returnflag", "string", "Categorical", "returnflag"),
     _v("l_linestatus", "string", "Categorical"), _v("l_shipdate", "datetime"),
-], [Rule(r) for r in LINEITEM_RULES], ("l_orderkey", "l_linenumber"),
+    # no primary key: the driver table repeats (l_orderkey, l_linenumber), and a load enforces declared keys
+], [Rule(r) for r in LINEITEM_RULES], (),
     [ForeignKey(("l_orderkey",), "orders", ("o_orderkey",))], 1)
 
 EVENTS = Entity("events", [

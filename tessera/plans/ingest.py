@@ -1,9 +1,10 @@
 """Load plan: intake folder -> staged, typed, line-numbered entity tables.
 
-Per entity (parents first): match files by header, read each header group,
-number lines once (stored), audit every cell in the same pass, refuse the
-files that hold a cell the load cannot parse, and write the accepted rows
-of all segments as one staged table.  Other entities still load when one
+Per entity (parents first): match files by header, read each header group with
+its own separator, store the parsed rows once, refuse the files that hold
+a cell the load cannot parse, a ragged row or invalid bytes, number the lines of
+the accepted files 1..n, and write them as one staged table.  A table with
+duplicate or NULL keys is not staged.  Other entities still load when one
 fails (the reference stops at the first failure; see README).
 """
 
@@ -14,9 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.casting import iso_date, typed_cell
 from tessera.model import DataModel, Entity
 from tessera.operators import audit as AU
-from tessera.functions.casting import typed_cell
+from tessera.operators import keys as K
+from tessera.operators.common import number_splits, store_splits
+from tessera.session import delete_path
 from tessera.sources import delimited as D
 
 
@@ -24,34 +28,44 @@ from tessera.sources import delimited as D
 class LoadResult:
     entity: str
     table: DataFrame | None      # typed rows of accepted files, with line numbers
-    files: DataFrame | None      # file, rows, bad_rows, status
+    files: DataFrame | None      # file, rows, bad_rows, ragged_rows, invalid_lines, status, reason
     audit: DataFrame | None      # strict cast audit findings
 
 
-def load_entity(spark: SparkSession, headers: DataFrame, entity: Entity, sep: str = "|",
-                encoding: str = "UTF-8") -> LoadResult:
-    """Read, parse and number the files of ``entity`` in one pass.
+def load_entity(spark: SparkSession, headers: DataFrame, entity: Entity, encoding: str = "UTF-8") -> LoadResult:
+    """Read, parse and number the files of ``entity``.
 
-    Every cell is parsed once, before the line-number checkpoint; next to the
-    typed values only the raw text of unparsable cells is kept (a sparse
-    array).  File status, accepted rows and the cast audit are then all
-    read from that checkpoint."""
+    Every cell is parsed once; next to the typed values only the raw text of
+    unparsable cells is kept (a sparse array).  File status, accepted rows and
+    the cast audit are all read from that stored table, each pruned to
+    the columns it needs."""
     groups = D.header_groups(headers, entity)
     if not groups:
         return LoadResult(entity.name, None, None, None)
-    raw = D.scan_text(spark, groups, entity.labels, sep, encoding)
-    bad = F.filter(F.array(*[F.when(AU.bad_cell(F.col(v.label), v.fmt, "strict"),
+    names = [f for g in groups for f in g.files]
+    facts = spark.createDataFrame(   # one row per file
+        [(r["file"], r["invalid_lines"] if encoding == "UTF-8" else 0, r["open_quotes"])
+         for r in D.file_facts(spark, names).collect()] or [], "file string, invalid_lines long, open_quotes long")
+    spanning = [r["file"] for r in facts.where("open_quotes > 0").collect()]
+    raw = D.scan_text(spark, groups, entity.labels, encoding, spanning)
+    cells = {v.label: iso_date(F.col(v.label), v.fmt) for v in entity.variables}
+    bad = F.filter(F.array(*[F.when(AU.bad_cell(cells[v.label], v.fmt, "strict"),
                                     F.struct(F.lit(v.label).alias("variable"), F.col(v.label).alias("value")))
                              for v in entity.variables]), lambda x: x.isNotNull())
-    parsed = raw.select(*[typed_cell(F.col(v.label), v.fmt).alias(v.label) for v in entity.variables],
-                        bad.alias("_bad_cells"), "_file", "_block")
-    numbered = D.number_text(parsed)
-    files = (numbered.groupBy(F.col("_file").alias("file"))
-             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_bad_cells") > 0).alias("bad_rows"))
-             .withColumn("status", F.when(F.col("bad_rows") > 0, F.lit("refused")).otherwise(F.lit("loaded"))))
-    refused = files.where(F.col("bad_rows") > 0).select(F.col("file").alias("_file"))
-    # one row per file: the refused list is bounded by the number of files
-    table = (numbered.join(F.broadcast(refused), "_file", "left_anti")
+    stored = store_splits(raw.select(*[typed_cell(cells[v.label], v.fmt).alias(v.label) for v in entity.variables],
+                                     bad.alias("_bad_cells"), "_ragged", "_file", "_block"))
+    seen = (stored.groupBy(F.col("_file").alias("file"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_bad_cells") > 0).alias("bad_rows"),
+                 F.count_if("_ragged").alias("ragged_rows")))
+    # files without a data row have facts only
+    files = facts.drop("open_quotes").join(seen, "file", "left").fillna(0, ["rows", "bad_rows", "ragged_rows"])
+    reason = (F.when(F.col("invalid_lines") > 0, F.lit("invalid bytes")).when(F.col("ragged_rows") > 0, F.lit("ragged row"))
+              .when(F.col("bad_rows") > 0, F.lit("cell not castable")))
+    files = files.withColumn("reason", reason).withColumn(
+        "status", F.when(F.col("reason").isNotNull(), F.lit("refused")).otherwise(F.lit("loaded")))
+    accepted = files.where("status = 'loaded'").select(F.col("file").alias("_file"))
+    numbered = number_splits(stored, accepted=accepted)
+    table = (numbered.where(F.col("line_number").isNotNull())
              .select("line_number", "file_line", "_file", *entity.labels))
     audit = (numbered.where(F.size("_bad_cells") > 0)
              .select(F.col("file_line").alias("line_number"), F.inline("_bad_cells"))
@@ -59,11 +73,25 @@ def load_entity(spark: SparkSession, headers: DataFrame, entity: Entity, sep: st
     return LoadResult(entity.name, table, files, audit)
 
 
-def load_model(spark: SparkSession, intake: str, model: DataModel, staging: str, sep: str = "|",
-               encoding: str = "UTF-8") -> DataFrame:
+def key_fault(table: DataFrame, entity: Entity) -> str | None:
+    """Why the rows cannot be a table with the entity's primary key, or None."""
+    pk = list(entity.primary_key)
+    if not pk:
+        return None
+    if K.pk_nulls(table, pk, None).limit(1).count():
+        return "NULL key"
+    if K.pk_duplicates(table, pk).limit(1).count():
+        return "duplicate key"
+    return None
+
+
+def load_model(spark: SparkSession, intake: str, model: DataModel, staging: str, encoding: str = "UTF-8") -> DataFrame:
     """Load every entity of ``model`` from the CSV files below ``intake``
-    into parquet tables ``<staging>/<entity>``.  Returns the load results:
-    ``(entity, priority, matched_files, rows_read, refused_files, status)``."""
+    into parquet tables ``<staging>/<entity>``; tables of an earlier load are
+    removed first.  Returns the load results: ``(entity, priority,
+    matched_files, rows_read, refused_files, status, reason)``."""
+    for ent in model.entities:
+        delete_path(spark, f"{staging}/{ent.name}")
     paths = D.list_files(spark, intake)
     headers = None
     if paths:   # one row per file, read once for all entities
@@ -71,17 +99,21 @@ def load_model(spark: SparkSession, intake: str, model: DataModel, staging: str,
         headers = spark.createDataFrame(h.collect(), h.schema)
     rows = []
     for i, ent in enumerate(model.load_order()):
-        if headers is None:
-            rows.append((ent.name, i, 0, 0, 0, "missing"))
-            continue
-        res = load_entity(spark, headers, ent, sep, encoding)
-        if res.table is None:
-            rows.append((ent.name, i, 0, 0, 0, "missing"))
+        res = load_entity(spark, headers, ent, encoding) if headers is not None else None
+        if res is None or res.table is None:
+            rows.append((ent.name, i, 0, 0, 0, "missing", None))
             continue
-        res.table.write.mode("overwrite").parquet(f"{staging}/{ent.name}")
-        stats = res.files.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "refused").alias("r")).first()
-        n_rows = spark.read.parquet(f"{staging}/{ent.name}").count()
+        path = f"{staging}/{ent.name}"
+        res.table.write.mode("overwrite").parquet(path)
+        stats = res.files.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "refused").alias("r"),
+                              F.min("reason").alias("reason")).first()
+        table = spark.read.parquet(path)
+        n_rows, reason = table.count(), stats["reason"]
+        fault = key_fault(table, ent)
+        if fault:
+            delete_path(spark, path)
+            n_rows, reason = 0, fault
         status = "success" if n_rows > 0 else "fatal"
-        rows.append((ent.name, i, stats["n"], n_rows, stats["r"], status))
+        rows.append((ent.name, i, stats["n"], n_rows, stats["r"], status, reason))
     return spark.createDataFrame(rows, "entity string, priority int, matched_files long, rows_read long, "
-                                       "refused_files long, status string")
+                                       "refused_files long, status string, reason string")

@@ -83,10 +83,17 @@ def script_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 def purge(spark: SparkSession, names: list[str]) -> None:
     """Drop the views, then the tables, of a project's entities."""
+    kinds = {t.name: t.tableType for t in spark.catalog.listTables() if t.name in {n.lower() for n in names}}
+    temporary = {n for n, k in kinds.items() if k == "TEMPORARY"}
     for n in names:
-        spark.sql(f"DROP VIEW IF EXISTS `{n}`")
+        if n.lower() in temporary:
+            spark.catalog.dropTempView(n)
+    kinds = {t.name: t.tableType for t in spark.catalog.listTables() if t.name in {n.lower() for n in names}}
     for n in names:
-        spark.sql(f"DROP TABLE IF EXISTS `{n}`")
+        if kinds.get(n.lower()) == "VIEW":
+            spark.sql(f"DROP VIEW `{n}`")
+        elif n.lower() in kinds:
+            spark.sql(f"DROP TABLE `{n}`")
 
 
 def report_name(use_case: str, entity: str) -> F.Column:

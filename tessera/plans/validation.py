@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.model import DataModel, Entity
 from tessera.operators.validate import validate_entity
+from tessera.session import path_exists
 from tessera.sources.delimited import read_catalog
 
 
@@ -18,19 +17,22 @@ def catalog_frames(spark: SparkSession, entity: Entity, catalog_dir: str) -> dic
     for v in entity.variables:
         if not v.checks_catalog:
             continue
-        nested = os.path.join(catalog_dir, entity.name, "catalogs", v.catalog.filename)
-        flat = os.path.join(catalog_dir, v.catalog.filename)
-        out[v.label] = read_catalog(spark, nested if os.path.exists(nested) else flat)
+        nested = f"{catalog_dir}/{entity.name}/catalogs/{v.catalog.filename}"
+        flat = f"{catalog_dir}/{v.catalog.filename}"
+        out[v.label] = read_catalog(spark, nested if path_exists(spark, nested) else flat,
+                                    column_name=v.catalog.column_name)
     return out
 
 
 def validate_staged(spark: SparkSession, model: DataModel, staging: str, catalog_dir: str) -> DataFrame | None:
     """One validation record per staged entity (``line_number`` stored at
     load), in load order."""
+    if not path_exists(spark, staging):
+        raise FileNotFoundError(f"no staged tables at {staging}")
     out = None
     for ent in model.load_order():
         path = f"{staging}/{ent.name}"
-        if not os.path.exists(path.replace("file:", "")):
+        if not path_exists(spark, path):
             continue
         df = spark.read.parquet(path)
         rec = validate_entity(df, ent, catalog_frames(spark, ent, catalog_dir))

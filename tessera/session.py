@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that shape the physical plans of this library.  They are only
 # defaults for sessions created here; a cluster session keeps its own values.
@@ -82,10 +82,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for code that must touch the local disk."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the store that Spark itself reads.
+    Only a missing path is False; any other error rises."""
+    where, fs = _file_system(spark, path)
+    return bool(fs.exists(where))
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    where, fs = _file_system(spark, path)
+    return int(fs.getContentSummary(where).getLength())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as file listings print it."""
+    where, fs = _file_system(spark, path)
+    return str(fs.makeQualified(where).toString())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def write_read(df: DataFrame, name: str) -> DataFrame:
+    """Write to a fresh table of the shared folder and read it back: cuts the
+    lineage, survives lost executors, and stays columnar."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+

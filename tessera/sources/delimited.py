@@ -1,21 +1,21 @@
 """Delimited files -> typed entity tables.
 
-* Headers are read without scanning data: one small job whose plan is a
-  union of ``limit(1)`` text scans, so every file gives up one line.
-* Files are grouped by their exact header order and each group is read
+* Headers are read without scanning data: a take on each file's first split.
+* Files are grouped by their exact header order and separator, and each group is read
   with its own all-text schema, then projected to the declared order and
   unioned by name.  (One multi-file read with mixed orders would put values
   into the wrong columns.)
 * Cells are parsed with the null tokens and the type dialect of
   :mod:`tessera.functions.casting`; line numbers come from the scan's file
   metadata and are stored with the rows (see
-  :func:`tessera.operators.common.file_line_numbers`).
+  :func:`tessera.operators.common.number_splits`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +24,9 @@ from pyspark.sql import types as T
 from tessera.functions.casting import DATE_SHAPE, NULL_TOKENS, try_parse, typed_cell
 from tessera.functions.text import first_line, infer_separator
 from tessera.model import DataModel, Entity
-from tessera.operators.common import file_line_numbers
 
-# Files per header-discovery job (the plan is a union of that many scans).
-HEADER_BATCH = 256
+# Header jobs that run side by side; each starts one task on one file.
+HEADER_JOBS = 8
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.csv", modified_after: str | None = None) -> list[str]:
@@ -40,24 +39,32 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.csv", modified_
 
 
 def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """``(file, header, separator)``: the first line of every file.
+    """``(file, header, separator)``: the first line of every file that is not empty.
 
-    Each branch is ``text(file).limit(1)``: every task stops after one line,
-    so the data itself is never read.
+    Only lines of a file's first split qualify and a take reads the first split
+    only, so the header is right for a file of any size and one task per file
+    is started, from a bounded pool.  One row per file comes back; a file
+    without such a line has no row.
     """
-    parts = []
-    for i in range(0, len(paths), HEADER_BATCH):
-        branch = None
-        for p in paths[i:i + HEADER_BATCH]:
-            one = (spark.read.option("encoding", encoding).text(p)
-                   .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header")).limit(1))
-            branch = one if branch is None else branch.unionByName(one)
-        parts.append(branch)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    def first(path: str):
+        lines = spark.read.option("encoding", encoding).text(path)
+        return (lines.where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+                .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header")).head())
+
+    with ThreadPool(HEADER_JOBS) as pool:
+        rows = [(r["file"], r["header"]) for r in pool.map(first, paths) if r is not None]
+    heads = spark.createDataFrame(rows, "file string, header string")
     header = F.regexp_replace(first_line(F.col("header")), "^\\x{FEFF}", "")
-    return out.select("file", header.alias("header")).withColumn("separator", infer_separator(F.col("header")))
+    return heads.select("file", header.alias("header")).withColumn("separator", infer_separator(F.col("header")))
+
+
+def file_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Per file, over all its lines: how many are not valid UTF-8, and how many hold an
+    odd number of quotes (some cell then spans lines).  A splittable text scan, one aggregate."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return lines.groupBy("file").agg(F.count_if(~F.is_valid_utf8("value")).alias("invalid_lines"),
+                                     F.count_if(quotes % 2 == 1).alias("open_quotes"))
 
 
 def split_header(header: F.Column, sep: F.Column) -> F.Column:
@@ -83,44 +90,50 @@ def header_matches(headers: DataFrame, model: DataModel) -> DataFrame:
 class ScanGroup:
     columns: list[str]
     files: list[str]
+    sep: str = "|"
 
 
 def header_groups(headers: DataFrame, entity: Entity) -> list[ScanGroup]:
-    """Files of ``entity`` grouped by exact header order (driver-side file
-    metadata only: one row per file)."""
+    """Files of ``entity`` grouped by exact header order and separator
+    (driver-side file metadata only: one row per file)."""
     key = sorted(entity.labels)
-    rows = (headers.select("file", split_header(F.col("header"), F.col("separator")).alias("columns"))
+    rows = (headers.select("file", "separator", split_header(F.col("header"), F.col("separator")).alias("columns"))
             .where(F.array_sort("columns") == F.array(*[F.lit(k) for k in key])).collect())
     groups: dict[tuple, list[str]] = {}
     for r in rows:
-        groups.setdefault(tuple(r["columns"]), []).append(r["file"])
-    return [ScanGroup(list(cols), sorted(files)) for cols, files in sorted(groups.items(), key=lambda kv: kv[1][0])]
+        groups.setdefault((tuple(r["columns"]), r["separator"]), []).append(r["file"])
+    return [ScanGroup(list(cols), sorted(files), sep)
+            for (cols, sep), files in sorted(groups.items(), key=lambda kv: min(kv[1]))]
 
 
-def scan_text(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence[str], sep: str = "|",
-              encoding: str = "UTF-8") -> DataFrame:
-    """All-text rows in declared order with ``_file`` and ``_block``.
+def scan_text(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence[str], encoding: str = "UTF-8",
+              spanning: Sequence[str] = ()) -> DataFrame:
+    """All-text rows in declared order with ``_file``, ``_block`` and
+    ``_ragged`` (the row has too few or too many cells).
 
-    Quoted ``""`` reads as the empty text and a bare empty cell as NULL; both
-    are null tokens later.  ``NA`` is kept as text here.
+    Each group is read with its own separator.  Files in ``spanning`` hold
+    cells with line breaks and are read whole by one task each; all others
+    stay splittable.  Quoted ``""`` reads as the empty text and a bare empty
+    cell as NULL; both are null tokens later.  ``NA`` is kept as text here.
     """
-    out = None
+    out, whole = None, set(spanning)
     for g in groups:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in g.columns])
-        df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
-              .option("enforceSchema", False).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
-              .csv(g.files)
-              .select(*labels, F.col("_metadata.file_path").alias("_file"),
-                      F.col("_metadata.file_block_start").alias("_block")))
-        out = df if out is None else out.unionByName(df)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*g.columns, "_corrupt"]])
+        for multi in (False, True):
+            files = [f for f in g.files if (f in whole) == multi]
+            if not files:
+                continue
+            df = (spark.read.schema(schema).option("header", True).option("sep", g.sep).option("encoding", encoding)
+                  .option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+                  .option("quote", '"').option("escape", '"').option("multiLine", multi)
+                  .csv(files)
+                  .select(*labels, F.col("_corrupt").isNotNull().alias("_ragged"),
+                          F.col("_metadata.file_path").alias("_file"),
+                          F.col("_metadata.file_block_start").alias("_block")))
+            out = df if out is None else out.unionByName(df)
     return out
 
 
-def number_text(raw: DataFrame) -> DataFrame:
-    """Attach ``line_number`` (table-wide, in file order) and ``file_line``."""
-    return file_line_numbers(raw)
-
-
 def typed(raw: DataFrame, entity: Entity, keep: Sequence[str] = ("line_number",)) -> DataFrame:
     """Typed columns in declared order (null tokens -> NULL, dialect casts)."""
     return raw.select(*keep, *[typed_cell(F.col(v.label), v.fmt).alias(v.label) for v in entity.variables])
@@ -154,6 +167,8 @@ def sniff(raw: DataFrame, columns: Sequence[str], group_col: str = "_file") -> D
             parsed = try_parse(v, t)
             if t == "integer":   # a sniffed integer has no fraction part
                 parsed = F.when(v.rlike(INTEGER_SHAPE), parsed)
+            if t == "date":      # a text with a time of day is a datetime
+                parsed = F.when(~v.contains(":"), parsed)
             if t == "boolean":   # single letters are not evidence of booleans
                 parsed = F.when(v.rlike(BOOLEAN_SHAPE), parsed)
             aggs.append(F.count(parsed).alias(f"{c}__{t}"))
@@ -167,9 +182,11 @@ def sniff(raw: DataFrame, columns: Sequence[str], group_col: str = "_file") -> D
     return counts.select(group_col, F.inline(F.array(*structs)))
 
 
-def read_catalog(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, encoding: str | None = None,
+                 column_name: str | None = None) -> DataFrame:
     """A code list file: separator from its header line, all text, no null
-    token (``NA`` may be a real description); rows without a code dropped."""
+    token (``NA`` may be a real description); rows without a code in
+    ``column_name`` (the first column without it) are dropped."""
     if encoding is None:   # UTF-8 when every line is valid UTF-8, else the single-byte fallback
         from tessera.sources.files import encoding_check
         encoding = encoding_check(spark, path).first()["encoding"]
@@ -178,12 +195,8 @@ def read_catalog(spark: SparkSession, path: str, encoding: str | None = None) ->
     sep = head["separator"] if head else "|"
     df = (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
           .option("nullValue", None).csv(path))
-    first = df.columns[0]
-    return df.where(F.col(first).isNotNull() & (F.trim(F.col(first)) != ""))
-
-
-def entity_formats(entity: Entity) -> Mapping[str, str]:
-    return {v.label: v.fmt for v in entity.variables}
+    code = df.columns[0] if column_name is None else column_name
+    return df.where(F.col(f"`{code}`").isNotNull() & (F.trim(f"`{code}`") != ""))
 
 
 # Date layouts recognised by the sniffer, as strftime patterns.

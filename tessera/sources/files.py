@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sha256_hex
+from tessera.session import qualified
 
 # Encoding names reported, and the fallback for text that is
 # not valid UTF-8.  (A UTF-8 byte-order mark is skipped by the line reader
@@ -24,6 +25,12 @@ def encoding_check(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         "encoding", F.when(F.col("invalid_lines") > 0, F.lit(FALLBACK_ENCODING)).otherwise(F.lit(UTF8)))
 
 
+def _relative(spark: SparkSession, root: str):
+    """The listed path without the root, cut by the root's length."""
+    prefix = qualified(spark, root).rstrip("/") + "/"
+    return F.col("path").substr(F.lit(len(prefix) + 1), F.length("path"))
+
+
 def manifest(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
     """``(path, sha256, size)`` of every file below ``root`` changed since
     ``modified_after``; ``path`` is relative to ``root``.  Each file is
@@ -31,17 +38,14 @@ def manifest(spark: SparkSession, root: str, modified_after: str | None = None)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    leaf = root.rstrip("/").split("/")[-1]
-    rel = F.regexp_extract(F.col("path"), "/" + leaf + "/(.*)$", 1)
-    return reader.load(root).select(rel.alias("path"), sha256_hex(F.col("content")).alias("sha256"),
+    return reader.load(root).select(_relative(spark, root).alias("path"), sha256_hex(F.col("content")).alias("sha256"),
                                     F.col("length").alias("size"))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """``(path, name, rel_path, size, mtime)`` without reading content (the
     ``content`` column is pruned from the binary-file scan)."""
-    leaf = root.rstrip("/").split("/")[-1]
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_extract(F.col("path"), "/" + leaf + "/(.*)$", 1)
-    return df.select("path", F.element_at(F.split(F.col("path"), "/"), -1).alias("name"), rel.alias("rel_path"),
+    return df.select("path", F.element_at(F.split(F.col("path"), "/"), -1).alias("name"),
+                     _relative(spark, root).alias("rel_path"),
                      F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))

@@ -3,9 +3,9 @@
 A streaming CSV source watches one entity's intake folder (one header order
 per folder).  Each micro-batch goes through the same steps as a batch load
 (stored line numbers, per-file refusal of unparsable cells, typed
-projection) and appends accepted rows to the staged table and one result row
-per file to the load results.  The stream's checkpoint makes every batch
-run exactly once across restarts and lost executors.
+projection, ragged rows refuse their file) and writes the accepted rows and one
+result row per file below a ``batch_id=`` folder of its own.  A batch that is run again after a
+failure (foreachBatch runs at least once) overwrites its folders.
 """
 
 from __future__ import annotations
@@ -26,26 +26,29 @@ def segment_stream(spark: SparkSession, folder: str, columns: Sequence[str], lab
                    sep: str = "|", files_per_batch: int = 100) -> DataFrame:
     """All-text rows of new files below ``folder`` (header order ``columns``),
     projected to the declared ``labels`` with file metadata."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_corrupt"]])
     return (spark.readStream.schema(schema).option("header", True).option("sep", sep)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+            .option("quote", '"').option("escape", '"')
             .option("maxFilesPerTrigger", files_per_batch).csv(folder)
-            .select(*labels, F.col("_metadata.file_path").alias("_file"),
+            .select(*labels, F.col("_corrupt").isNotNull().alias("_ragged"), F.col("_metadata.file_path").alias("_file"),
                     F.col("_metadata.file_block_start").alias("_block")))
 
 
 def _load_batch(entity: Entity, staging: str, results: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         numbered = file_line_numbers(batch)
-        raw = numbered.withColumn("_bad", D.bad_cells(numbered, entity))
+        raw = numbered.withColumn("_bad", D.bad_cells(numbered, entity) + F.col("_ragged").cast("int"))
         files = (raw.groupBy(F.col("_file").alias("file"))
                  .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_bad") > 0).alias("bad_rows"))
                  .withColumn("status", F.when(F.col("bad_rows") > 0, F.lit("refused")).otherwise(F.lit("loaded")))
-                 .withColumn("batch_id", F.lit(batch_id)))
-        files.write.mode("append").parquet(results)
+                 )
+        # one folder per batch, overwritten when a batch is run again
+        files.write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
         refused = files.where(F.col("bad_rows") > 0).select(F.col("file").alias("_file"))
         accepted = raw.join(F.broadcast(refused), "_file", "left_anti")
-        (D.typed(accepted, entity, keep=("file_line", "_file")).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(staging))
+        (D.typed(accepted, entity, keep=("file_line", "_file"))
+         .write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}"))
     return run
 
 

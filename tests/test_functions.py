@@ -114,7 +114,7 @@ def test_header_match_and_sniff(spark, workdir):
     m = sorted((os.path.basename(r["file"]), r["entity"]) for r in D.header_matches(h, model).collect())
     assert m == [("f1.csv", "a"), ("f1.csv", "b"), ("f2.csv", None)]
     groups = D.header_groups(h, model.entity("a"))
-    raw = D.scan_text(spark, groups, ["y", "x"], sep=";")
+    raw = D.scan_text(spark, groups, ["y", "x"])
     kinds = {r["name"]: r["type"] for r in D.sniff(raw, ["y", "x"]).collect()}
     assert kinds == {"y": "string", "x": "integer"}
     enc = {os.path.basename(r["file"]): r["encoding"] for r in FS.encoding_check(spark, [p1, p2]).collect()}
@@ -127,8 +127,10 @@ def test_header_match_and_sniff(spark, workdir):
 
 def test_purge_and_stamp(spark):
     spark.range(3).createOrReplaceTempView("women_ent")
-    RP.purge(spark, ["women_ent"])
-    assert "women_ent" not in [t.name for t in spark.catalog.listTables()]
+    spark.range(3).write.mode("overwrite").saveAsTable("followup_ent")
+    spark.sql("CREATE OR REPLACE VIEW surgical_ent AS SELECT 1 AS x")
+    RP.purge(spark, ["women_ent", "followup_ent", "surgical_ent", "never_made"])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.endswith("_ent")]
     model = DataModel.from_dict({"cdmb_version": "7", "entities": []})
     row = RP.version_stamp(spark.range(1), model, "p1").first()
     assert (row["model_version"], row["pipeline_version"]) == ("7", "p1")
