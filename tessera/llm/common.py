@@ -7,6 +7,8 @@ so a lost executor costs recomputed tasks and never a different answer.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,18 @@ def write_read(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Send at most ``rows`` rows to Python at a time while the block runs its jobs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table of the shared folder that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

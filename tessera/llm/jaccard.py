@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, discard, partitions, write_read
+from tessera.llm.common import connected_components, discard, partitions, rows_per_batch, write_read
 from tessera.llm.shingles import mix, set_keys, shingle_sets
 from tessera.session import scratch_path
 
@@ -49,6 +49,7 @@ WIDTH = 5
 PERCENT = 75
 _FLUSH_TOKENS = 3_000_000
 _FLUSH_CLASSES = 60_000
+_TEXTS_PER_BATCH = 2000
 _SEVERAL = 65535     # in place of a class number: several classes of the flush show this token
 
 _SHOWN = ("kind string, doc_id long, n long, h1 long, h2 long, flush long, bucket int, classes binary,"
@@ -193,7 +194,7 @@ def _survivors(shown: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``rep, n, tokens`` of the classes that are left, tokens in the third order."""
+    """``rep, h1, h2, n, tokens`` of the classes that are left, tokens in the third order; stored."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
@@ -201,12 +202,17 @@ def _full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                 for rep, h1, h2, tokens in zip(part["rep"], part["h1"], part["h2"], shingle_sets(part["text"], width)):
                     if set_keys(tokens) == (h1, h2):     # another row of that id may hold another text
                         tokens = tokens[np.argsort(mix(tokens, 5), kind="stable")]
-                        rows.append((rep, len(tokens), tokens.astype(np.int64)))
-                yield pd.DataFrame(rows, columns=["rep", "n", "tokens"])
+                        rows.append((rep, h1, h2, len(tokens), tokens.astype(np.int64)))
+                yield pd.DataFrame(rows, columns=["rep", "h1", "h2", "n", "tokens"])
 
     wanted = classes.select("rep", "h1", "h2")
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), "text").join(wanted, "rep")
-    return texts.mapInPandas(run, "rep long, n long, tokens array<long>").dropDuplicates(["rep", "n", "tokens"])
+    with rows_per_batch(docs.sparkSession, _TEXTS_PER_BATCH):
+        sets = write_read(texts.mapInPandas(run, "rep long, h1 long, h2 long, n long, tokens array<long>"), "jaccard-sets")
+    # repeated rows give a class several times; sets are only moved again if there are any
+    if sets.groupBy("rep", "h1", "h2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
+        sets = write_read(sets.dropDuplicates(["rep", "h1", "h2"]), "jaccard-sets")
+    return sets
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +238,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     spark = docs.sparkSession
     buckets = max(partitions(spark), docs.count() // 4000)
     path = scratch_path(spark, "jaccard-shown")
-    _show(docs, buckets, width, percent).write.parquet(path)
+    with rows_per_batch(spark, _TEXTS_PER_BATCH):
+        _show(docs, buckets, width, percent).write.parquet(path)
     shown = spark.read.schema(_SHOWN).parquet(path)
 
     keys = shown.where("kind = 'key'").select("doc_id", "n", "h1", "h2")
@@ -247,7 +254,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
                .where("k > 1").select("token", "a"))
     stars = write_read(rows.join(centres, "token").select("a", F.col("rep").alias("b")).where("a <> b").distinct(),
                        "jaccard-stars")
-    sets = write_read(_full_sets(docs, left.select("rep", "h1", "h2"), width), "jaccard-sets")
+    sets = _full_sets(docs, left.select("rep", "h1", "h2"), width)
     links = write_read(_linked(stars, sets, percent), "jaccard-links")
 
     first = connected_components(links, "jaccard-components")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, write_read
+from tessera.llm.common import connected_components, rows_per_batch, write_read
 
 THRESHOLD = 0.98
 TILE = 1024
@@ -220,13 +220,8 @@ def _compare(tiles: DataFrame, pairs: DataFrame, basis: dict[int, np.ndarray], t
                             *([F.col("dim")] if s == "a" else []))
     work = pairs.join(side("a"), ["tile_a", "chunk_a"]).join(side("b"), ["tile_b", "chunk_b"])
     found = work.mapInPandas(run, "rep long, id long, links long, root long")
-    spark, key = tiles.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, _ROWS_PER_BATCH)     # a row holds two tiles
-    try:
+    with rows_per_batch(tiles.sparkSession, _ROWS_PER_BATCH):     # a row holds two tiles
         return write_read(found, "vectors-links")
-    finally:
-        spark.conf.set(key, before)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
