@@ -13,8 +13,8 @@ The base patterns are matched from anchors (the @, the + and the start of a
 digit run), which gives the leftmost non-overlapping matches in time linear in
 the text, whatever it holds.
 
-Bound (parameter): the classifier is trained on the ``SAMPLE`` candidates with
-the least hash of (id, place).
+Bound (parameter): the classifier is trained on about the ``SAMPLE`` candidates
+with the least hash of (id, place).
 
 Defined results: a null or empty text has no spans; without candidates nothing
 is added; repeated rows give equal results; a null id gets its own row; other
@@ -283,7 +283,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     patterns = {r["pattern"]: r["n"] for r in seen.where("hash IS NULL").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     if not patterns:
         return Model(np.zeros(_DIM), estimate({}))
-    rows = seen.where("hash IS NOT NULL").orderBy("hash", "pattern").limit(sample).collect()
+    # every task kept its least hashes, so a threshold on the hash gives the sample without a global sort
+    share = min(1.0, sample / sum(patterns.values()))
+    rows = seen.where(F.col("hash") <= int(share * 2**32)).orderBy("hash", "pattern").collect()
     rel = estimate(patterns)
     known = {k: 1.0 if k[0] == "1" else rel.posterior(k) for k in patterns}
     return Model(train(np.array([r["features"] for r in rows]), np.array([known[r["pattern"]] for r in rows])), rel)
