@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import Entity
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import write_read
 
 # Quantiles reported for numeric columns, histogram bins, and the
 # rows per bucket of the monotonicity check.
@@ -70,11 +70,17 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
 
 
 def numeric_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(variable, x, n)``: each numeric column's distinct non-NaN values
-    with their counts, one stacked partial aggregate (values stay doubles)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])
+    """``(variable, x, exact, n)``: each numeric column's distinct non-NaN values
+    with their counts, one stacked partial aggregate.  ``x`` is a double;
+    ``exact`` is the text of values of a type that a double cannot hold whole,
+    so that large integers stay distinct."""
+    def exact(c):
+        kind = df.schema[c].dataType.typeName()
+        return F.col(c).cast("string") if kind in ("decimal", "long") else F.lit(None).cast("string")
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x"), exact(c).alias("exact"))
+                      for c in cols])
     return (df.select(F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
-            .groupBy("variable", "x").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("variable", "x", "exact").agg(F.count(F.lit(1)).alias("n")))
 
 
 def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -> DataFrame:
@@ -82,7 +88,7 @@ def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -
     ``(variable, x, n)`` table of distinct values and counts, without putting
     a column's values in one task.
 
-    The table is range-sorted on (variable, x) and checkpointed with
+    The table is range-sorted on (variable, x) and stored with
     ``monotonically_increasing_id``.  Each row's first position is its
     partition's offset (prefix sums over one row per partition and variable)
     plus a running count inside its sort partition (a window bounded by the
@@ -90,9 +96,8 @@ def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -
     through a broadcast of that small target table.
     Returns ``(variable, <name> array<double>)`` in the order of ``probs``.
     """
-    ensure_checkpoint_dir(vc.sparkSession)
-    tagged = (vc.orderBy("variable", "x").withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright(F.col("_mid"), 33)).checkpoint(eager=True))
+    tagged = (write_read(vc.orderBy("variable", "x").withColumn("_mid", F.monotonically_increasing_id()), "ranks")
+              .withColumn("_part", F.shiftright(F.col("_mid"), 33)))
     inside = Window.partitionBy("_part", "variable").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     blocks = tagged.groupBy("_part", "variable").agg(F.sum("n").alias("_bn"))
@@ -116,7 +121,7 @@ def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -
             .select("variable", F.transform("_s", lambda s: s["v"]).alias(name)))
 
 
-def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True, sketch_mad: bool = False) -> DataFrame:
     """One row per numeric column: count, missing, min, max, mean, std,
     variance, sum, cv, skewness, kurtosis, zeros, negatives, infinite,
     q05..q95, iqr, range, mad, n_distinct, n_unique.
@@ -125,7 +130,9 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
     ``exact``, quantiles, the median absolute deviation and the distinct /
     unique counts come from the value-count table (see
     :func:`weighted_quantiles`).  Without ``exact``, bounded sketches over
-    the rows are used instead.
+    the rows are used instead, in the same aggregate; the median absolute
+    deviation needs a second pass over the rows and is NULL then unless
+    ``sketch_mad`` asks for it.
     """
     aggs = []
     for c in cols:
@@ -161,7 +168,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
     if exact:
         # distinct values with counts: distinct / unique counts, then exact
         # quantiles and the median absolute deviation, all distributed
-        vc = numeric_value_counts(df, cols)
+        vc = write_read(numeric_value_counts(df, cols), "value-counts")    # read by all three below
         dist = vc.groupBy("variable").agg(F.count(F.lit(1)).alias("n_distinct"),
                                           F.count_if(F.col("n") == 1).alias("n_unique"))
         finite = vc.where(F.abs("x") != float("inf"))
@@ -171,6 +178,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> D
                 .groupBy("variable", F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("n").alias("n")))
         mad = weighted_quantiles(devs, (0.5,), "m").select("variable", F.col("m")[0].alias("mad"))
         out = out.join(per, "variable", "left").join(dist, "variable", "left").join(mad, "variable", "left")
+    elif not sketch_mad:
+        out = out.withColumn("mad", F.lit(None).cast("double"))
     else:
         med = out.select("variable", F.col("q")[2].alias("med"))
         dev_pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])
@@ -206,6 +215,21 @@ def monotonic(df: DataFrame, cols: Sequence[str], line_col: str = "line_number",
         ((F.sum("up") == 0) & (F.count_if(F.col("d") > 0) == 0)).alias("decreasing"))
 
 
+def text_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(variable, n_distinct, missing, empty, min_length, max_length, mean_length)`` of text
+    columns, one aggregate; distinct values by a bounded sketch."""
+    aggs = []
+    for c in cols:
+        n = F.length(c)
+        aggs += [F.approx_count_distinct(c).alias(f"{c}__nd"), F.count_if(F.col(c).isNull()).alias(f"{c}__m"),
+                 F.count_if(F.col(c) == "").alias(f"{c}__e"), F.min(n).alias(f"{c}__lo"), F.max(n).alias(f"{c}__hi"),
+                 F.avg(n).alias(f"{c}__mean")]
+    return df.agg(*aggs).select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("variable"), F.col(f"{c}__nd").alias("n_distinct"), F.col(f"{c}__m").alias("missing"),
+        F.col(f"{c}__e").alias("empty"), F.col(f"{c}__lo").alias("min_length"), F.col(f"{c}__hi").alias("max_length"),
+        F.col(f"{c}__mean").alias("mean_length")) for c in cols])))
+
+
 def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(variable, value, n, share, is_top)``: value counts with their share
     of non-NULL rows; ``is_top`` marks the most frequent value (ties: the
@@ -265,10 +289,10 @@ def boolean_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins between each column's min and max:
-    ``(variable, bin, lower, upper, n)``; the max falls in the last bin."""
+    """Equal-width bins between each column's least and greatest finite value:
+    ``(variable, bin, lower, upper, n)``; the greatest falls in the last bin."""
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])
-    long = df.select(F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    long = df.select(F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
     bounds = long.groupBy("variable").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(

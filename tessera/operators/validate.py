@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +95,20 @@ def rule_summary(df: DataFrame, rules: Sequence[Rule | str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+# The engine's error conditions that an expression over good data
+# can raise.  Anything else (a missing file, a lost executor) is no rule's fault.
+RULE_ERRORS = ("DIVIDE_BY_ZERO", "REMAINDER_BY_ZERO", "INTERVAL_DIVIDED_BY_ZERO", "ARITHMETIC_OVERFLOW",
+               "BINARY_ARITHMETIC_OVERFLOW", "NUMERIC_VALUE_OUT_OF_RANGE", "NUMERIC_OUT_OF_SUPPORTED_RANGE",
+               "CAST_INVALID_INPUT", "CAST_OVERFLOW", "CANNOT_PARSE_TIMESTAMP", "CANNOT_PARSE_DECIMAL",
+               "INVALID_ARRAY_INDEX", "INVALID_ARRAY_INDEX_IN_ELEMENT_AT", "INVALID_INDEX_OF_ZERO", "DATETIME_OVERFLOW",
+               "INVALID_BOOLEAN_STATEMENT", "INVALID_PARAMETER_VALUE", "USER_RAISED_EXCEPTION", "REGEX_GROUP_INDEX")
+
+
+def is_rule_error(e: PySparkException) -> bool:
+    condition = e.getCondition() or ""
+    return condition.split(".")[0] in RULE_ERRORS
+
+
 def runtime_safe_rules(df: DataFrame, checks: list[RuleCheck]) -> list[RuleCheck]:
     """Run the fused count; if it raises at run time (e.g. ANSI division by
     zero), count each rule alone and mark the ones that raise.  The actions
@@ -102,7 +117,9 @@ def runtime_safe_rules(df: DataFrame, checks: list[RuleCheck]) -> list[RuleCheck
     try:
         fused_counts(df, [], usable).collect()
         return checks
-    except Exception:  # noqa: BLE001 - any runtime failure isolates rules
+    except PySparkException as e:
+        if not is_rule_error(e):
+            raise
         return _isolate(df, checks)
 
 
@@ -317,7 +334,9 @@ def _isolate(df: DataFrame, checks: list[RuleCheck]) -> list[RuleCheck]:
         try:
             df.agg(F.count_if(F.coalesce(r.column, F.lit(False)))).collect()
             out.append(r)
-        except Exception as e:  # noqa: BLE001
+        except PySparkException as e:
+            if not is_rule_error(e):
+                raise
             out.append(RuleCheck(r.index, r.expression, None, str(e).splitlines()[0]))
     return out
 
@@ -341,8 +360,8 @@ def validate_entity(df: DataFrame, entity: Entity, catalogs: Mapping[str, DataFr
     cats = catalog_checks_for(entity, catalogs or {}, catalog_sizes)
     try:
         row = fused_counts(df, labels, checks, cats).first()
-    except Exception:  # noqa: BLE001 - a rule raised at run time
-        if not isolate_runtime_errors:
+    except PySparkException as e:
+        if not (isolate_runtime_errors and is_rule_error(e)):
             raise
         checks = _isolate(df, checks)
         row = fused_counts(df, labels, checks, cats).first()

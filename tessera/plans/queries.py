@@ -1021,3 +1021,123 @@ def q_catalog_file_scan(spark, d):
     (S6): the region table written as ``code|description``."""
     root = IN.intake(spark, d)
     return DL.read_catalog(spark, f"{root}/region_catalog")
+
+
+# ======================================== the two ends: what a load takes and a publish keeps
+# Separator and defect of each segment, by o_orderkey modulo 5.
+END_SEGMENTS = ((0, "|", None), (1, ";", None), (2, ",", "ragged row"), (3, "\t", "cell not castable"), (4, ";", None))
+
+
+def ends_intake(spark, d) -> str:
+    """Orders written as five segments with separators of their own; every row of
+    segment 2 has a cell too many, every price of segment 3 is no number, and
+    the priorities of segment 4 hold a line break inside quotes."""
+    key = (IN.ensure_checkpoint_dir(spark), d + "#ends")
+    if key in IN._CACHE:
+        return IN._CACHE[key]
+    root = _scratch(spark, "ends")
+    text = IN.orders_text(spark, d)
+    for k, sep, defect in END_SEGMENTS:
+        seg = text.where(F.col("o_orderkey").cast("long") % 5 == k).orderBy(F.col("o_orderkey").cast("long"))
+        if defect == "cell not castable":
+            seg = seg.withColumn("o_totalprice", F.concat(F.lit("x"), "o_totalprice"))
+        if k == 4:
+            seg = seg.withColumn("o_orderpriority", F.concat(F.lit("line\n"), F.coalesce("o_orderpriority", F.lit(""))))
+        path = f"{root}/ends_{'abcde'[k]}"
+        if defect == "ragged row":
+            cells = F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit("")) for c in IN.ORDER_COLUMNS], F.lit("more"))
+            # a header line per file, as the CSV writer does
+            seg.select(cells.alias(sep.join(IN.ORDER_COLUMNS))).write.option("header", True).option(
+                "quote", "").option("sep", "\x01").csv(path)
+        else:
+            seg.select(*IN.ORDER_COLUMNS).write.option("header", True).option("sep", sep).csv(path)
+    IN._CACHE[key] = root
+    return root
+
+
+def _ends_load(spark, d):
+    paths = DL.list_files(spark, ends_intake(spark, d))
+    return IG.load_entity(spark, DL.file_headers(spark, paths), M.ORDERS)
+
+
+_SEG_SQL = "'ends_' || substr('abcde', CAST(o_orderkey % 5 + 1 AS INTEGER), 1)"
+
+
+@query("header_match_delimiters",
+       f"SELECT DISTINCT {_SEG_SQL} AS segment, CASE o_orderkey % 5 WHEN 0 THEN '|' WHEN 2 THEN ',' WHEN 3 THEN chr(9) "
+       "ELSE ';' END AS separator, 'orders' AS entity FROM orders")
+def q_header_match_delimiters(spark, d):
+    heads = DL.file_headers(spark, DL.list_files(spark, ends_intake(spark, d)))
+    match = DL.header_matches(heads, M.MODEL).select("file", "entity")
+    return (heads.join(match, "file").select(_segment("file").alias("segment"), "separator", "entity").distinct())
+
+
+@query("load_outcome",
+       f"SELECT {_SEG_SQL} AS segment, count(*) AS rows, CAST(CASE WHEN o_orderkey % 5 = 3 THEN count(*) ELSE 0 END AS BIGINT) "
+       "AS bad_rows, CAST(CASE WHEN o_orderkey % 5 = 2 THEN count(*) ELSE 0 END AS BIGINT) AS ragged_rows, "
+       "CASE WHEN o_orderkey % 5 IN (2, 3) THEN 'refused' ELSE 'loaded' END AS status, "
+       "CASE o_orderkey % 5 WHEN 2 THEN 'ragged row' WHEN 3 THEN 'cell not castable' END AS reason "
+       "FROM orders GROUP BY o_orderkey % 5")
+def q_load_outcome(spark, d):
+    """Per segment what the load found and decided (one defect per segment)."""
+    return (_ends_load(spark, d).files.groupBy(_segment("file").alias("segment"))
+            .agg(F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"), F.sum("ragged_rows").alias("ragged_rows"),
+                 F.max("status").alias("status"), F.max("reason").alias("reason")))
+
+
+@query("line_numbers_after_refusal",
+       f"SELECT row_number() OVER (ORDER BY {_SEG_SQL}, o_orderkey) AS line_number, "
+       "CAST(o_orderkey AS DECIMAL(38,0)) AS o_orderkey FROM orders WHERE o_orderkey % 5 NOT IN (2, 3)")
+def q_line_numbers_after_refusal(spark, d):
+    """Rows of the accepted files are numbered 1..n without gaps."""
+    return _ends_load(spark, d).table.select("line_number", "o_orderkey")
+
+
+@query("publish_outcome",
+       "WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'), "
+       "l AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS k FROM lineitem) "
+       "SELECT 'orders' AS entity, count(*) AS staged, count(*) AS published, CAST(0 AS BIGINT) AS orphans, "
+       "CAST(0 AS BIGINT) AS null_keys, count(*) AS rows FROM o UNION ALL "
+       "SELECT 'lineitem', count(*), count(*) - count_if(k IS NOT NULL AND k NOT IN (SELECT o_orderkey FROM o)), "
+       "count_if(k IS NOT NULL AND k NOT IN (SELECT o_orderkey FROM o)), count_if(k IS NULL), "
+       "count(*) - count_if(k IS NOT NULL AND k NOT IN (SELECT o_orderkey FROM o)) FROM l")
+def q_publish_outcome(spark, d):
+    """A publish of orders without the pending ones and of all line items, the
+    seventh lines without an order: rows in, published, put aside, without a parent's name."""
+    from tessera.operators.publish import publish
+    orders = M.orders_view(spark, d).where("o_orderstatus <> 'P'")
+    items = M.lineitem_view(spark, d).withColumn("l_orderkey", F.when(F.col("l_linenumber") != 7, F.col("l_orderkey")))
+    rep = publish(spark, M.MODEL, {"orders": orders, "lineitem": items}, _scratch(spark, "target"),
+                  _scratch(spark, "quarantine"), append=["lineitem"])
+    columns = ("staged", "published", "orphans", "null_keys", "rows")
+    return spark.createDataFrame([(e, *[r[c] for c in columns]) for e, r in rep.items()],
+                                 "entity string, " + ", ".join(f"{c} long" for c in columns))
+
+
+@query("profile_large_integer",
+       "WITH v AS (SELECT 9007199254740992 + l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) "
+       "SELECT 'k' AS variable, count(*) AS n_distinct, count_if(n = 1) AS n_unique FROM v")
+def q_profile_large_integer(spark, d):
+    """Distinct and unique counts of integers that doubles cannot tell apart."""
+    df = M.table(spark, d, "lineitem").select((F.lit(9007199254740992) + F.col("l_orderkey")).cast("decimal(38,0)").alias("k"))
+    return PR.numeric_profile(df, ["k"]).select("variable", "n_distinct", "n_unique")
+
+
+@query("profile_text",
+       " UNION ALL ".join(f"SELECT '{c}' AS variable, count_if({c} IS NULL) AS missing, count_if({c} = '') AS empty, "
+                          f"CAST(min(length({c})) AS INTEGER) AS min_length, CAST(max(length({c})) AS INTEGER) AS max_length, "
+                          f"round(avg(length({c})), 6) AS mean_length FROM documents" for c in ("text", "lang", "source")))
+def q_profile_text(spark, d):
+    out = PR.text_profile(M.table(spark, d, "documents"), ["text", "lang", "source"])
+    return out.drop("n_distinct").withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("profile_histogram_infinite",
+       "WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x FROM lineitem WHERE l_linenumber > 1), "
+       "b AS (SELECT min(x) AS lo, max(x) AS hi FROM v) "
+       "SELECT 'x' AS variable, CAST(least(floor((x - lo) / (hi - lo) * 10) + 1, 10) AS INTEGER) AS bin, count(*) AS n "
+       "FROM v, b GROUP BY 2")
+def q_profile_histogram_infinite(spark, d):
+    """The histogram of quantities whose first lines are infinite: only finite values are binned."""
+    x = F.when(F.col("l_linenumber") == 1, F.lit(float("inf"))).otherwise(F.col("l_quantity").cast("double"))
+    return PR.histogram(M.table(spark, d, "lineitem").select(x.alias("x")), ["x"]).select("variable", "bin", "n")

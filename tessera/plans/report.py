@@ -40,12 +40,17 @@ def profile_entity(df: DataFrame, entity, exact: bool = False) -> dict[str, Data
         out["numeric"] = PR.numeric_profile(df, roles["numeric"], exact)
     if roles["categorical"]:
         out["categorical"] = PR.categorical_summary(df, roles["categorical"])
+        out["value_counts"] = PR.categorical_profile(df, roles["categorical"])
     if roles["datetime"]:
         out["datetime"] = PR.datetime_profile(df, roles["datetime"], exact)
     if roles["boolean"]:
         out["boolean"] = PR.boolean_profile(df, roles["boolean"])
+    if roles["text"]:
+        out["text"] = PR.text_profile(df, roles["text"])
     if roles["numeric"]:
         out["histogram"] = PR.histogram(df, roles["numeric"])
+        if "line_number" in df.columns:
+            out["monotonic"] = PR.monotonic(df, roles["numeric"])
     return out
 
 

@@ -81,3 +81,36 @@ def test_weighted_quantiles_match_numpy(spark, xs, ys):
     for name, vals in (("a", xs), ("b", ys)):
         want = np.percentile(np.array(vals, dtype=float), [p * 100 for p in probs])
         assert np.allclose(got[name], want)
+
+
+def test_large_integers_stay_distinct(spark):
+    from tessera.operators import profile as PR
+    big = 2**53
+    df = spark.createDataFrame([(str(big + i),) for i in range(10)], "s string").selectExpr("cast(s as decimal(38,0)) as k")
+    row = PR.numeric_profile(df, ["k"]).first()
+    assert (row["n_distinct"], row["n_unique"]) == (10, 10)
+
+
+def test_histogram_leaves_infinities_out(spark):
+    from tessera.operators import profile as PR
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(float("inf"),), (float("-inf"),), (float("nan"),)], "x double")
+    rows = PR.histogram(df, ["x"]).collect()
+    assert sum(r["n"] for r in rows) == 100 and len(rows) == 10 and all(abs(r["upper"]) < 1e3 for r in rows)
+
+
+def test_missing_file_is_not_a_failing_rule(spark, workdir):
+    import os
+    import pytest
+    from tessera.model import Entity, Rule, Variable
+    from tessera.operators.validate import validate_entity
+    path = os.path.join(workdir, "t")
+    spark.range(10).selectExpr("cast(id as decimal(38,0)) as x", "id + 1 as line_number").repartition(3).write.parquet(path)
+    ent = Entity("t", [Variable("x", "integer")], [Rule("x >= 0"), Rule("1 / (x - x) > 0")])
+    rec = validate_entity(spark.read.parquet(path), ent).first()
+    assert [r["total_wrong_lines"] for r in rec["rules"]] == [0, 10]
+    df = spark.read.parquet(path)
+    for f in os.listdir(path):
+        if f.endswith(".parquet"):
+            os.unlink(os.path.join(path, f))
+    with pytest.raises(Exception, match="FILE_NOT_EXIST"):
+        validate_entity(df, ent).first()
