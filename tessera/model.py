@@ -132,15 +132,6 @@ class Entity:
         return T.StructType([T.StructField(v.label, PUBLISH_TYPES[v.fmt], v.label not in self.primary_key)
                              for v in self.variables])
 
-    @property
-    def non_key_labels(self) -> list[str]:
-        return [c for c in self.labels if c not in self.primary_key]
-
-    @property
-    def header_key(self) -> tuple[str, ...]:
-        """Column set used to match a file header (order-free, size included)."""
-        return tuple(sorted(self.labels))
-
 
 @dataclass
 class DataModel:
@@ -188,24 +179,29 @@ class DataModel:
     # optional: primary_key, foreign_keys (columns, parent, parent_columns),
     # priority.
     @classmethod
-    def from_dict(cls, cfg: dict) -> "DataModel":
+    def from_dict(cls, cfg: dict, strict: bool = False) -> "DataModel":
+        """``strict`` (used for files) also asks for the use case and every variable's format."""
         if "entities" not in cfg:
-            raise ValueError('"entities" not found in the configuration')
+            raise ValueError("the configuration has no list of entities")
+        if strict and not cfg.get("metadata", {}).get("use_case"):
+            raise ValueError("the configuration's metadata name no use case")
         entities = []
         for i, ent in enumerate(cfg["entities"]):
             if "name" not in ent or "variables" not in ent:
-                raise ValueError('properties "name" or "variables" not found in entity')
+                raise ValueError(f"entity {i} lacks its name or its variables")
             variables = []
             for var in ent["variables"]:
                 if "label" not in var:
                     raise ValueError(f'variable without "label" in {ent["name"]}')
+                if strict and "format" not in var:
+                    raise ValueError(f'variable {ent["name"]}.{var["label"]} has no format')
                 if "catalog_bl" not in var:
                     log.warning('"catalog_bl" is not defined for %s.%s', ent["name"], var["label"])
                 cat = var.get("catalog")
                 ref = None
                 if var.get("catalog_bl") is True and str(var.get("format")).lower() != "boolean":
                     if not cat or "column_name" not in cat or "filename" not in cat:
-                        raise ValueError(f'catalog of {ent["name"]}.{var["label"]} is not well defined')
+                        raise ValueError(f'{ent["name"]}.{var["label"]} needs a catalog with file and column name')
                     ref = CatalogRef(cat["filename"], cat["column_name"])
                 variables.append(Variable(var["label"], var.get("format", "string"), var.get("type"),
                                           var.get("catalog_bl") is True, ref))
@@ -222,4 +218,4 @@ class DataModel:
     @classmethod
     def from_json(cls, path: str) -> "DataModel":
         with open(path, encoding="utf-8") as f:
-            return cls.from_dict(json.load(f))
+            return cls.from_dict(json.load(f), strict=True)

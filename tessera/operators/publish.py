@@ -49,6 +49,22 @@ def cascade_delete(child: DataFrame, deleted_parent_keys: DataFrame, fk_cols: Se
     return child.join(broadcast_checked(gone), list(fk_cols), "left_anti")
 
 
+def cascade_all(model: DataModel, tables: Mapping[str, DataFrame], entity: str, deleted: DataFrame) -> dict[str, DataFrame]:
+    """The tables left after deleting the keys ``deleted`` of ``entity``: its
+    children lose their rows, those rows' children theirs, and so on."""
+    out, queue = dict(tables), [(entity, deleted)]
+    while queue:
+        name, gone = queue.pop(0)
+        for child, fk in model.children_of(name):
+            if child.name not in out:
+                continue
+            keys = gone.select([F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns)]).distinct()
+            lost = out[child.name].join(broadcast_checked(keys), list(fk.columns), "left_semi")
+            out[child.name] = cascade_delete(out[child.name], gone, fk.columns, fk.parent_columns)
+            queue.append((child.name, lost))
+    return out
+
+
 def range_violations(df: DataFrame, entity: Entity, key_nulls: bool = False) -> DataFrame:
     """Per variable, rows that do not fit the target type: integers outside
     32 bits, strings over the length limit; with ``key_nulls`` also rows with

@@ -401,14 +401,3 @@ def validate_entity(df: DataFrame, entity: Entity, catalogs: Mapping[str, DataFr
             .select(F.lit(entity.name).alias("entity"), F.lit(total).cast("long").alias("total_registries"),
                     na_list.alias("na_count_list"), "catalog_checking", "rules")
             .select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields]))
-
-
-def validate_model(frames: Mapping[str, DataFrame], entities: Sequence[Entity],
-                   catalogs: Mapping[str, Mapping[str, DataFrame]] | None = None,
-                   line_col: str = "line_number") -> DataFrame:
-    """Validation records of several entities, one row each (``{"info": [...]}``)."""
-    out = None
-    for e in entities:
-        rec = validate_entity(frames[e.name], e, (catalogs or {}).get(e.name, {}), line_col)
-        out = rec if out is None else out.unionByName(rec)
-    return out

@@ -84,7 +84,6 @@ def intake(spark: SparkSession, d: str) -> str:
 LOG_MISSING = ('WARNING:: No file of the uploaded files has been found that matches the header with the '
                'configuration of the "{}" entity.!')
 LOG_TABLE = 'INFO:: Trying to load records in the table "{}"'
-LOG_RECORDS = "INFO:: {} records read."
 SITE_ENTITIES = ["customer", "supplier", "orders", "lineitem"]
 
 

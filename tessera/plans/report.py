@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import artifact_category, is_script, minute_stamp, underscore_spaces
+from tessera.functions.text import artifact_category, is_script, minute_stamp
 from tessera.model import DataModel
 from tessera.operators import profile as PR
 from tessera.sources.files import listing
@@ -99,7 +99,3 @@ def purge(spark: SparkSession, names: list[str]) -> None:
             spark.sql(f"DROP VIEW `{n}`")
         elif n.lower() in kinds:
             spark.sql(f"DROP TABLE `{n}`")
-
-
-def report_name(use_case: str, entity: str) -> F.Column:
-    return F.concat(F.lit("dqa_"), underscore_spaces(F.lit(use_case)), F.lit("_"), underscore_spaces(F.lit(entity)))

@@ -181,3 +181,27 @@ def test_modified_after(spark, workdir):
     write(workdir, "new.csv", "l\n2\n")
     os.utime(old, (1_000_000_000, 1_000_000_000))
     assert [os.path.basename(p) for p in D.list_files(spark, workdir, modified_after="2015-01-01T00:00:00")] == ["new.csv"]
+
+
+def test_cascade_reaches_grandchildren(spark):
+    model = DataModel.from_dict({"metadata": {"use_case": "t"}, "entities": [
+        {"name": "p", "variables": [{"label": "p"}], "primary_key": ["p"]},
+        {"name": "c", "variables": [{"label": "c"}, {"label": "p"}], "primary_key": ["c"],
+         "foreign_keys": [{"columns": ["p"], "parent": "p"}]},
+        {"name": "g", "variables": [{"label": "g"}, {"label": "c"}], "primary_key": ["g"],
+         "foreign_keys": [{"columns": ["c"], "parent": "c"}]}]})
+    tables = {"c": spark.createDataFrame([("c1", "p1"), ("c2", "p2"), ("c3", None)], "c string, p string"),
+              "g": spark.createDataFrame([("g1", "c1"), ("g2", "c2"), ("g3", None)], "g string, c string")}
+    out = P.cascade_all(model, tables, "p", spark.createDataFrame([("p1",)], "p string"))
+    assert sorted(r["c"] for r in out["c"].collect()) == ["c2", "c3"]
+    assert sorted(r["g"] for r in out["g"].collect()) == ["g2", "g3"]
+
+
+def test_model_file_needs_use_case_and_formats(workdir):
+    import json
+    path = os.path.join(workdir, "m.json")
+    for cfg in ({"entities": []}, {"metadata": {"use_case": "u"}, "entities": [{"name": "e", "variables": [{"label": "x"}]}]}):
+        with open(path, "w") as f:
+            json.dump(cfg, f)
+        with pytest.raises(ValueError):
+            DataModel.from_json(path)
