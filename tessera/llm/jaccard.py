@@ -3,23 +3,27 @@
 Documents are sets of word shingles; two link when their Jaccard similarity
 reaches ``percent``.  Equal sets are one class from the start, so copies are
 never compared.  For sets x, y that link, at most a quarter (1 - threshold) of
-either lies outside the other, so under *any* common token order both
-prefixes hold the first common tokens.  Three orders are used, and a
-candidate must pass all of them:
+either lies outside the other, so under *any* common token order the prefixes
+hold the first common tokens.  Three orders are used, and a candidate must pass
+all of them:
 
 1. hash order: every class shows the first (1 - t)|x| + l tokens.  Any partner
-   shows l of them too, so tokens that no other class shows are dropped and a
-   class with fewer than l tokens left is done: it has no partner.
-2. rarity order: what is left is sorted by document frequency, rarest first;
-   partners share a token among the first |S| - l + 1 of these.
+   shows l of them too, so a class that shows fewer than l tokens that another
+   class shows has no partner.
+2. rarity order, over the full sets of the classes left: only tokens that two
+   of them hold count.  A class keeps t|x| such tokens at least, or is done;
+   sorted by document frequency, rarest first, partners share a token among the
+   first |S| - t|x| + 1.
 3. a second hash order, checked pair by pair on the full sets' prefixes
    before the intersection is counted.
 
 Candidates are not expanded into all pairs of a token's classes.  Each token
 first links its classes to its least class (a star); the verified links give
-components.  Only classes that share a token and still lie in different
-components are then compared, so no link is lost and large groups of near
-copies cost a linear number of comparisons.
+components.  Where classes that share a token are still apart, they and all
+that hang together with them by such tokens form a group; the classes outside the
+group's largest component are compared with the whole group in tiles of full
+sets.  A pair of tiles returns components, never its pairs.  So no link is lost, and
+a large group of near copies costs a linear number of rows.
 
 Token statistics travel as packed arrays: a task sends each token once per
 flush of its documents, with a count, so a token of a third of all documents
@@ -42,14 +46,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, discard, partitions, rows_per_batch, write_read
+from tessera.llm.near_vectors import local_components
 from tessera.llm.shingles import mix, set_keys, shingle_sets
+from tessera.operators.common import broadcast_checked
 from tessera.session import scratch_path
 
 WIDTH = 5
 PERCENT = 75
 _FLUSH_TOKENS = 3_000_000
 _FLUSH_CLASSES = 60_000
+_SMALL = 24                 # common tokens that small sets must show
 _TEXTS_PER_BATCH = 2000
+_TILE_TOKENS = 200_000      # tokens of a tile of full sets, about
+_TILES_PER_BATCH = 16
+_COLUMNS = 4096
 _SEVERAL = 65535     # in place of a class number: several classes of the flush show this token
 
 _SHOWN = ("kind string, doc_id long, n long, h1 long, h2 long, flush long, bucket int, classes binary,"
@@ -61,83 +71,118 @@ def spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def margin(n: int) -> int:
-    """Common tokens that the shown prefix of a set of n certainly holds (l of the module's text)."""
-    return max(1, n // 16)
+def margin(n: int, percent: int) -> int:
+    """Common tokens that the shown prefix of a set of n certainly holds (l of the module's text).
+
+    Small sets are shown nearly whole: for them a few tokens of a common line
+    would else be enough to go on."""
+    return max(1, n // 16, min(-(-percent * n // 100), _SMALL))
 
 
 def least_margin(n: int, percent: int) -> int:
     """The same for the smallest possible partner."""
-    return min(margin(n), margin(-(-percent * n // 100)))
+    return min(margin(n, percent), margin(-(-percent * n // 100), percent))
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, 6 bytes each.  Equal upper bits only add candidates."""
+    return (tokens >> np.uint64(32)).astype("<u4").tobytes() + (tokens >> np.uint64(16)).astype("<u2").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, "<u4", n).astype(np.uint64) << np.uint64(32)
+            | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(16))
+
+
+class _Flush:
+    """Classes of one task with the tokens they show, sent off together."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.made, self.part = buckets, 0, TaskContext.get().partitionId()
+        self.known: dict[tuple, int] = {}
+        self.shown: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, key: tuple, tokens: np.ndarray) -> bool:
+        """Whether the flush is full; ``key`` is (h1, h2, n) and new."""
+        self.known[key] = len(self.known)
+        self.shown.append(tokens)
+        self.held += len(tokens)
+        return self.held >= _FLUSH_TOKENS or len(self.known) >= _FLUSH_CLASSES
+
+    def rows(self) -> list[tuple]:
+        number = (self.part << 24) | self.made
+        tokens = np.concatenate(self.shown) & ~np.uint64(0xFFFF)
+        owner = np.repeat(np.arange(len(self.shown), dtype=np.uint16), [len(x) for x in self.shown])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        count = np.diff(np.concatenate([first, [len(tokens)]]))
+        several = np.repeat(count > 1, count)
+        out = [("flush", None, None, None, None, number, None, np.array(list(self.known), "<i8").reshape(-1, 3).tobytes(),
+                _packed(tokens[several]), owner[several].tobytes(), None)]
+        one, who = tokens[first], np.where(count > 1, _SEVERAL, owner[first]).astype("<u2")
+        # buckets are equal ranges of the hash, so a sorted array is cut, not scattered
+        limits = (np.arange(1, self.buckets, dtype=object) * 2**64 // self.buckets).astype(np.uint64)
+        at = [0, *np.searchsorted(one, limits).tolist(), len(one)]
+        for k in range(self.buckets):
+            a, z = at[k], at[k + 1]
+            if z > a:
+                c = count[a:z]
+                out.append(("tokens", None, None, None, None, number, k, None, _packed(one[a:z]), who[a:z].tobytes(),
+                            c[c > 1].astype("<u4").tobytes()))
+        self.known.clear()
+        self.shown.clear()
+        self.made, self.held = self.made + 1, 0
+        return out
+
+
+def _shown_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SHOWN.split(",")], dtype=object)
+    return out.astype({c: "Int64" for c in ("doc_id", "n", "h1", "h2", "flush")} | {"bucket": "Int32"})
 
 
 def _show(docs: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
     """Keys of all documents, classes of each flush, and shown tokens by bucket of the token hash."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, made = TaskContext.get().partitionId(), 0
-        known: dict[tuple, int] = {}
-        shown: list[np.ndarray] = []
-        held = 0
-        names = [c.split()[0] for c in _SHOWN.split(",")]
-
-        def flush():
-            nonlocal made, held
-            number = (part << 24) | made
-            tokens = np.concatenate(shown)
-            owner = np.repeat(np.arange(len(shown), dtype=np.uint16), [len(s) for s in shown])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            count = np.diff(np.concatenate([first, [len(tokens)]]))
-            several = np.repeat(count > 1, count)
-            rows = [("flush", None, None, None, None, number, None,
-                     np.array(list(known), "<i8").reshape(-1, 3).tobytes(),
-                     tokens[several].tobytes(), owner[several].tobytes(), None)]
-            one, who = tokens[first], np.where(count > 1, _SEVERAL, owner[first]).astype("<u2")
-            # buckets are equal ranges of the hash, so a sorted array is cut, not scattered
-            at = np.searchsorted(one, (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64))
-            at = [0, *at.tolist(), len(one)]
-            for k in range(buckets):
-                a, z = at[k], at[k + 1]
-                if z > a:
-                    c = count[a:z]
-                    rows.append(("tokens", None, None, None, None, number, k, None, one[a:z].tobytes(), who[a:z].tobytes(),
-                                 c[c > 1].astype("<u4").tobytes()))
-            known.clear()
-            shown.clear()
-            made, held = made + 1, 0
-            return frame(rows)
-
-        def frame(rows):
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            return out.astype({c: "Int64" for c in ("doc_id", "n", "h1", "h2", "flush")} | {"bucket": "Int32"})
-
+        flush = _Flush(buckets)
         for pdf in batches:
             rows = []
             for doc, tokens in zip(pdf["doc_id"], shingle_sets(pdf["text"], width)):
                 n = len(tokens)
                 key = (*set_keys(tokens), n)
                 rows.append(("key", None if pd.isna(doc) else int(doc), n, key[0], key[1], None, None, None, None, None, None))
-                if n == 0 or key in known:
-                    continue
-                known[key] = len(known)
-                shown.append(tokens[:spare(n, percent) + margin(n)])
-                held += len(shown[-1])
-                if held >= _FLUSH_TOKENS or len(known) >= _FLUSH_CLASSES:
-                    yield flush()
-            yield frame(rows)
-        if shown:
-            yield flush()
+                if n and key not in flush.known and flush.add(key, tokens[:spare(n, percent) + margin(n, percent)]):
+                    rows += flush.rows()
+            yield _shown_frame(rows)
+        if flush.shown:
+            yield _shown_frame(flush.rows())
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, _SHOWN)
 
 
+def _show_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    """The same for full sets, all tokens shown."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flush = _Flush(buckets)
+        for pdf in batches:
+            for h1, h2, n, tokens in zip(pdf["h1"], pdf["h2"], pdf["n"], pdf["tokens"]):
+                key = (int(h1), int(h2), int(n))
+                if key not in flush.known and flush.add(key, np.asarray(tokens).view(np.uint64)):
+                    yield _shown_frame(flush.rows())
+        if flush.shown:
+            yield _shown_frame(flush.rows())
+
+    return sets.select("h1", "h2", "n", "tokens").mapInPandas(run, _SHOWN)
+
+
 def _shared(shown: DataFrame) -> DataFrame:
     """Tokens that two classes or more show, with their frequency, sent back to their flush."""
     schema = "flush long, tokens binary, owners binary, counts binary"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = [np.frombuffer(x, "<u8") for x in pdf["tokens"]]
+        tokens = [_unpacked(x) for x in pdf["tokens"]]
         owners = [np.frombuffer(x, "<u2") for x in pdf["owners"]]
         sizes = [len(t) for t in tokens]
         tok, who = np.concatenate(tokens), np.concatenate(owners)
@@ -151,7 +196,7 @@ def _shared(shown: DataFrame) -> DataFrame:
         for flush, a, z in zip(pdf["flush"], ends - sizes, ends):
             k = keep[a:z]
             if k.any():
-                rows.append((flush, tok[a:z][k].tobytes(), who[a:z][k].tobytes(),
+                rows.append((flush, _packed(tok[a:z][k]), who[a:z][k].tobytes(),
                              np.minimum(frequency[a:z][k], 2**32 - 1).astype("<u4").tobytes()))
         return pd.DataFrame(rows, columns=["flush", "tokens", "owners", "counts"])
 
@@ -159,54 +204,66 @@ def _shared(shown: DataFrame) -> DataFrame:
             .groupBy("bucket").applyInPandas(run, schema))
 
 
-def _survivors(shown: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Classes that may have a partner, with their rarity-order prefix."""
-    schema = "h1 long, h2 long, n long, tokens array<long>"
+def _survivors(shown: DataFrame, shared: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Classes that may have a partner; with ``whole`` sets shown, their rarity-order prefix too."""
+    schema = "h1 long, h2 long, n long" + (", tokens array<long>" if whole else "")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         told, back = pdf[pdf["kind"] == "flush"], pdf[pdf["kind"] == "shared"]
         rows = []
         if len(back):
             classes = np.frombuffer(told["classes"].iloc[0], "<i8").reshape(-1, 3)
-            many, many_owner = np.frombuffer(told["tokens"].iloc[0], "<u8"), np.frombuffer(told["owners"].iloc[0], "<u2")
-            tok = np.concatenate([np.frombuffer(x, "<u8") for x in back["tokens"]])
+            many, many_owner = _unpacked(told["tokens"].iloc[0]), np.frombuffer(told["owners"].iloc[0], "<u2")
+            tok = np.concatenate([_unpacked(x) for x in back["tokens"]])
             who = np.concatenate([np.frombuffer(x, "<u2") for x in back["owners"]])
             df = np.concatenate([np.frombuffer(x, "<u4") for x in back["counts"]])
             one = who != _SEVERAL
             lead = np.argsort(tok[~one])
             several, several_df = tok[~one][lead], df[~one][lead]
-            at = np.searchsorted(several, many)     # every local several-token came back
+            at = np.searchsorted(several, many)     # every token that several local classes show came back
             tok = np.concatenate([tok[one], many])
             df = np.concatenate([df[one], several_df[at] if len(many) else df[:0]])
             owner = np.concatenate([who[one], many_owner]).astype(np.int64)
-            order = np.lexsort((mix(tok, 3), df, owner))
+            order = np.lexsort((mix(tok, 3), df, owner)) if whole else np.argsort(owner, kind="stable")
             tok, owner = tok[order], owner[order]
             cuts = np.searchsorted(owner, np.arange(len(classes) + 1))
             for i, (h1, h2, n) in enumerate(classes.tolist()):
-                s, need = int(cuts[i + 1] - cuts[i]), least_margin(n, percent)
+                s, need = int(cuts[i + 1] - cuts[i]), n - spare(n, percent) if whole else least_margin(n, percent)
                 if s >= need:
-                    rows.append((h1, h2, n, tok[cuts[i]:cuts[i] + s - need + 1].astype(np.int64)))
-        return pd.DataFrame(rows, columns=["h1", "h2", "n", "tokens"])
+                    row = (h1, h2, n)
+                    rows.append((*row, tok[cuts[i]:cuts[i] + s - need + 1].astype(np.int64)) if whole else row)
+        return pd.DataFrame(rows, columns=["h1", "h2", "n"] + ["tokens"] * whole)
 
     both = (shown.where("kind = 'flush'").select("kind", "flush", "classes", "tokens", "owners", "counts")
             .unionByName(shared.withColumn("kind", F.lit("shared")), allowMissingColumns=True))
     return both.groupBy("flush").applyInPandas(run, schema)
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """``rep, h1, h2, n, tokens`` of the classes that are left, tokens in the third order; stored."""
+def _filtered(spark, shown: DataFrame, percent: int, whole: bool, name: str) -> tuple[DataFrame, str, DataFrame]:
+    """The shown table stored, and its classes that may have a partner; the path is for discarding."""
+    path = scratch_path(spark, name)
+    with rows_per_batch(spark, _TEXTS_PER_BATCH):
+        shown.write.parquet(path)
+    stored = spark.read.schema(_SHOWN).parquet(path)
+    return stored, path, _survivors(stored, _shared(stored), percent, whole)
+
+
+def _full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """``rep, h1, h2, n, tokens`` of the documents in ``reps``, tokens in the third order; stored."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
                 part, rows = pdf.iloc[at:at + 1024], []
-                for rep, h1, h2, tokens in zip(part["rep"], part["h1"], part["h2"], shingle_sets(part["text"], width)):
-                    if set_keys(tokens) == (h1, h2):     # another row of that id may hold another text
+                for rep, tokens in zip(part["rep"], shingle_sets(part["text"], width)):
+                    if len(tokens):
+                        key = set_keys(tokens)
                         tokens = tokens[np.argsort(mix(tokens, 5), kind="stable")]
-                        rows.append((rep, h1, h2, len(tokens), tokens.astype(np.int64)))
+                        rows.append((rep, *key, len(tokens), tokens.astype(np.int64)))
                 yield pd.DataFrame(rows, columns=["rep", "h1", "h2", "n", "tokens"])
 
-    wanted = classes.select("rep", "h1", "h2")
-    texts = docs.select(docs["doc_id"].cast("long").alias("rep"), "text").join(wanted, "rep")
+    # ids of the classes left: broadcast when proven small, else the texts are shuffled to them
+    texts = docs.select(docs["doc_id"].cast("long").alias("rep"), "text").join(
+        broadcast_checked(reps.select("rep").distinct()), "rep", "left_semi")
     with rows_per_batch(docs.sparkSession, _TEXTS_PER_BATCH):
         sets = write_read(texts.mapInPandas(run, "rep long, h1 long, h2 long, n long, tokens array<long>"), "jaccard-sets")
     # repeated rows give a class several times; sets are only moved again if there are any
@@ -229,47 +286,113 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("_c") >= percent * (F.col("na") + F.col("nb") - F.col("_c"))).select("a", "b"))
 
 
-def _sizes_fit(percent: int):
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _tile_links(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the sets of x and y that reach the threshold."""
+    nx, ny = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+    tx, ty = np.concatenate(x), np.concatenate(y)
+    ox, oy = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    both = np.intersect1d(tx, ty)
+    kx, ky = np.searchsorted(both, tx), np.searchsorted(both, ty)
+    hit = (kx < len(both)) & (both[np.minimum(kx, len(both) - 1)] == tx) if len(both) else np.zeros(len(tx), bool)
+    kx, ox = kx[hit], ox[hit]
+    hit = (ky < len(both)) & (both[np.minimum(ky, len(both) - 1)] == ty) if len(both) else np.zeros(len(ty), bool)
+    ky, oy = ky[hit], oy[hit]
+    sx, sy = np.argsort(kx, kind="stable"), np.argsort(ky, kind="stable")
+    kx, ox, ky, oy = kx[sx], ox[sx], ky[sy], oy[sy]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, len(both), _COLUMNS):     # exact: counts stay far below 2^24
+        z = min(a + _COLUMNS, len(both))
+        left, right = np.zeros((len(x), z - a), np.float32), np.zeros((len(y), z - a), np.float32)
+        i, j = slice(*np.searchsorted(kx, [a, z])), slice(*np.searchsorted(ky, [a, z]))
+        left[ox[i], kx[i] - a] = 1
+        right[oy[j], ky[j] - a] = 1
+        common += left @ right.T
+    c = common.astype(np.int64)
+    return np.nonzero(100 * c >= percent * (nx[:, None] + ny[None, :] - c))
+
+
+def _tiles(sets: DataFrame) -> DataFrame:
+    """Full sets of each (grp, chunk) packed into one row: reps, sizes, tokens."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["grp"].iloc[0], pdf["chunk"].iloc[0], pdf["rep"].to_numpy("<i8").tobytes(),
+                              pdf["tokens"].map(len).to_numpy("<i8").tobytes(),
+                              np.concatenate(pdf["tokens"].tolist()).astype("<i8").tobytes())],
+                            columns=["grp", "chunk", "reps", "sizes", "tokens"])
+    return write_read(sets.groupBy("grp", "chunk").applyInPandas(
+        pack, "grp long, chunk long, reps binary, sizes binary, tokens binary"), "jaccard-tiles")
+
+
+def _apart(rows: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among classes that share a prefix token and are still in different components.
+
+    ``rows`` are (token, rep), ``named`` (rep, component).  Returned as (a, b):
+    each class of a pair of tiles with the least one it reaches there."""
+    placed = rows.join(named, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
+    still = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                         F.min("rep").alias("centre")).where("lo <> hi").select("token", "centre"))
+    apart = write_read(placed.join(still, "token").select("centre", "rep", "component").distinct(), "jaccard-apart")
+    # classes that hang together by such tokens are one group
+    groups = connected_components(apart.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "jaccard-groups")
+    members = (apart.select("rep", F.col("component").alias("part")).distinct()
+               .join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep"))
+    # within a group only its largest component need not be compared with itself
+    counts = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("k"))
+    largest = counts.groupBy("grp").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
+    placed = members.join(largest, "grp").select("rep", "grp", (F.col("part") != F.col("largest")).alias("minor"))
+    full = placed.join(sets.select("rep", "n", "tokens"), "rep")
+    sizes = full.groupBy("grp").agg(F.ceil(F.sum("n") / _TILE_TOKENS).alias("m"),
+                                    F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / _TILE_TOKENS).alias("r"))
+    dealt = full.join(sizes, "grp")
+    columns = ("grp", "chunk", "rep", "tokens")
+    minor = _tiles(dealt.where("minor").withColumn("chunk", F.pmod(F.xxhash64("rep"), "r")).select(*columns))
+    whole = _tiles(dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), "m")).select(*columns))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sets_of(sizes, tokens):
+            ends = np.cumsum(np.frombuffer(sizes, "<i8"))
+            return np.split(np.frombuffer(tokens, "<i8"), ends[:-1])
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ra, rb = np.frombuffer(r.reps, "<i8"), np.frombuffer(r.reps_b, "<i8")
+                i, j = _tile_links(sets_of(r.sizes, r.tokens), sets_of(r.sizes_b, r.tokens_b), percent)
+                away = ra[i] != rb[j]
+                if away.any():
+                    nodes, at = np.unique(np.concatenate([ra[i[away]], rb[j[away]]]), return_inverse=True)
+                    k = int(away.sum())
+                    yield pd.DataFrame({"a": nodes[local_components(len(nodes), at[:k], at[k:])], "b": nodes})
+
+    other = whole.select("grp", F.col("reps").alias("reps_b"), F.col("sizes").alias("sizes_b"), F.col("tokens").alias("tokens_b"))
+    with rows_per_batch(rows.sparkSession, _TILES_PER_BATCH):
+        return write_read(minor.join(other, "grp").mapInPandas(run, "a long, b long"), "jaccard-tile-links")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     spark = docs.sparkSession
     buckets = max(partitions(spark), docs.count() // 4000)
-    path = scratch_path(spark, "jaccard-shown")
-    with rows_per_batch(spark, _TEXTS_PER_BATCH):
-        _show(docs, buckets, width, percent).write.parquet(path)
-    shown = spark.read.schema(_SHOWN).parquet(path)
-
+    shown, path, left = _filtered(spark, _show(docs, buckets, width, percent), percent, False, "jaccard-shown")
     keys = shown.where("kind = 'key'").select("doc_id", "n", "h1", "h2")
     classes = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     members = write_read(keys.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", "rep"), "jaccard-members")
-    left = _survivors(shown, _shared(shown), percent)
-    left = write_read(left.join(classes, ["h1", "h2", "n"]).dropDuplicates(["rep", "h1", "h2"]), "jaccard-left")
+    reps = write_read(left.distinct().join(classes, ["h1", "h2", "n"]).select("rep"), "jaccard-reps")
+    discard(spark, path)
+
+    sets = _full_sets(docs, reps, width)
+    _, path, left = _filtered(spark, _show_sets(sets, buckets), percent, True, "jaccard-whole")
+    left = write_read(left.join(sets.select("rep", "h1", "h2", "n"), ["h1", "h2", "n"])
+                      .dropDuplicates(["rep", "h1", "h2"]), "jaccard-left")
     discard(spark, path)
+    sets = write_read(sets.join(left.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi"), "jaccard-candidates")
 
-    rows = left.select("rep", "n", F.explode("tokens").alias("token"))
+    rows = left.select("rep", F.explode("tokens").alias("token"))
     centres = (rows.groupBy("token").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("k"))
                .where("k > 1").select("token", "a"))
     stars = write_read(rows.join(centres, "token").select("a", F.col("rep").alias("b")).where("a <> b").distinct(),
                        "jaccard-stars")
-    sets = _full_sets(docs, left.select("rep", "h1", "h2"), width)
     links = write_read(_linked(stars, sets, percent), "jaccard-links")
+    first = connected_components(links, "jaccard-components").select(F.col("node").alias("rep"), "component")
+    more = _apart(rows, first, sets, percent)
 
-    first = connected_components(links, "jaccard-components")
-    named = first.select(F.col("node").alias("rep"), "component")
-    placed = (rows.join(named, "rep", "left")
-              .select("token", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    open_tokens = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                   .where("lo <> hi").select("token"))
-    apart = write_read(placed.join(open_tokens, "token", "left_semi"), "jaccard-apart")
-    p = apart.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    q = apart.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = (p.join(q, "token").where("ca < cb").where(_sizes_fit(percent))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-              .join(stars, ["a", "b"], "left_anti"))    # a centre is the lesser of its pair
-    more = _linked(across, sets, percent)
     # rows of one doc_id that hold different texts tie their classes together
     own = members.where("rep IS NOT NULL").select("doc_id", "rep")
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").drop("z")
@@ -290,6 +413,9 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     gone = (components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if not repeated.limit(1).count():
+        return kept      # texts are not moved to look for repeated rows
     return (kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
             .unionAll(kept.where("doc_id IS NULL")))
 

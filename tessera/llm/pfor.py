@@ -42,7 +42,7 @@ from tessera.llm.tokenizing import default_vocab, encoder
 from tessera.session import scratch_path
 
 MAGIC = b"TSPFOR01"
-BLOCK = 2048
+BLOCK = 8192
 PERCENTILE = 95
 _HEAD, _TAIL = struct.Struct("<IIBH"), struct.Struct("<QQQQ8s")
 
@@ -59,7 +59,9 @@ def encode_block(ids: np.ndarray) -> bytes:
     at = np.flatnonzero(rest >= (1 << width)) if width < 32 else np.empty(0, np.int64)
     outliers = rest[at].astype("<u4")
     rest[at] = 0
-    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    # values in place fit the width, so two bytes of each are enough for a width of 16 at most
+    cell = rest.astype("<u2") if width <= 16 else rest
+    bits = np.unpackbits(cell.view(np.uint8).reshape(-1, cell.itemsize), axis=1, bitorder="little")[:, :width]
     return (_HEAD.pack(len(ids), low, width, len(at)) + np.packbits(bits.ravel(), bitorder="little").tobytes()
             + at.astype("<u2").tobytes() + outliers.tobytes())
 
@@ -68,10 +70,11 @@ def decode_block(buf: memoryview, at: int = 0) -> np.ndarray:
     n, low, width, k = _HEAD.unpack_from(buf, at)
     at += _HEAD.size
     size = (n * width + 7) // 8
-    bits = np.zeros((n, 32), np.uint8)
+    whole = 16 if width <= 16 else 32
+    bits = np.zeros((n, whole), np.uint8)
     packed = np.frombuffer(buf, np.uint8, size, at)
     bits[:, :width] = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width)
-    out = np.packbits(bits.ravel(), bitorder="little").view("<u4")
+    out = np.packbits(bits.ravel(), bitorder="little").view(f"<u{whole // 8}").astype("<u4")
     at += size
     out[np.frombuffer(buf, "<u2", k, at)] = np.frombuffer(buf, "<u4", k, at + 2 * k)
     return out + np.uint32(low)
