@@ -42,14 +42,16 @@ def load_results(lines: DataFrame) -> DataFrame:
     c = _classified(lines)
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("entity", F.last("table", ignorenulls=True).over(w))
-    missing = c.where(F.col("missing").isNotNull()).select("file", F.col("missing").alias("entity"),
+    missing = c.where(F.col("missing").isNotNull()).select("file", F.col("missing").alias("entity"), "line",
                                                            F.lit("missing").alias("status"),
                                                            F.lit(0).cast("long").alias("total_records"))
     read = (c.where(F.col("records").isNotNull() & F.col("entity").isNotNull())
-            .groupBy("file", "entity").agg(F.max_by("records", "line").alias("total_records"))
-            .select("file", "entity", F.when(F.col("total_records") > 0, F.lit("success"))
-                    .otherwise(F.lit("fatal")).alias("status"), "total_records"))
-    return missing.unionByName(read)
+            .select("file", "entity", "line", F.when(F.col("records") > 0, F.lit("success"))
+                    .otherwise(F.lit("fatal")).alias("status"), F.col("records").cast("long").alias("total_records")))
+    # the last event of an entity in a log decides
+    last = missing.unionByName(read).groupBy("file", "entity").agg(
+        F.max_by(F.struct("status", "total_records"), "line").alias("_e"))
+    return last.select("file", "entity", "_e.status", "_e.total_records")
 
 
 def cast_errors(lines: DataFrame) -> DataFrame:

@@ -1141,3 +1141,55 @@ def q_profile_histogram_infinite(spark, d):
     """The histogram of quantities whose first lines are infinite: only finite values are binned."""
     x = F.when(F.col("l_linenumber") == 1, F.lit(float("inf"))).otherwise(F.col("l_quantity").cast("double"))
     return PR.histogram(M.table(spark, d, "lineitem").select(x.alias("x")), ["x"]).select("variable", "bin", "n")
+
+
+# ======================================== names, stamps and corrected status
+_NAME_SQL = ("source || '_' || CAST(doc_id AS VARCHAR) || CASE doc_id % 6 WHEN 0 THEN '.html' WHEN 1 THEN '.LOG' WHEN 2 THEN '.txt' "
+             "WHEN 3 THEN '.tar.py' WHEN 4 THEN '.R' ELSE '_Validator.json' END")
+_PATH_SQL = "CASE doc_id % 4 WHEN 0 THEN 'logs/' WHEN 1 THEN 'out/dqa run/' WHEN 2 THEN 'my scripts/' ELSE '' END"
+
+
+@query("artifact_names",
+       f"WITH n AS (SELECT doc_id, {_NAME_SQL} AS name, {_PATH_SQL} || {_NAME_SQL} AS path FROM documents) "
+       "SELECT doc_id, CASE WHEN path LIKE '%logs%' THEN 'logs' WHEN path LIKE '%dqa%' OR lower(name) LIKE '%validator%' "
+       "THEN 'dqa' WHEN lower(name) LIKE '%.log' OR lower(name) LIKE '%.txt' THEN 'logs' ELSE 'analysis' END AS category, "
+       "lower(split_part(name, '.', 2)) IN ('py', 'r', 'qmd') AS is_script, replace(path, ' ', '_') AS safe_path, "
+       "row_number() OVER (PARTITION BY lower(split_part(name, '.', 2)) IN ('py', 'r', 'qmd') ORDER BY path) AS place FROM n")
+def q_artifact_names(spark, d):
+    """Class, script flag, safe path and place in the name order of names rendered from documents."""
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".html", ".LOG", ".txt", ".tar.py", ".R", "_Validator.json")]),
+                       (F.col("doc_id") % 6 + 1).cast("int"))
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("logs/", "out/dqa run/", "my scripts/", "")]),
+                          (F.col("doc_id") % 4 + 1).cast("int"))
+    n = M.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), ext)
+                                              .alias("name"), folder.alias("folder"))
+    n = n.withColumn("path", F.concat("folder", "name")).withColumn("is_script", TX.is_script(F.col("name")))
+    from tessera.operators.common import number_rows
+    numbered = number_rows(n, ["is_script", "path"], "_line")    # the two groups follow one another
+    starts = numbered.groupBy("is_script").agg(F.min("_line").alias("_first"))
+    return (numbered.join(F.broadcast(starts), "is_script")
+            .select("doc_id", TX.artifact_category(F.col("path"), F.col("name")).alias("category"), "is_script",
+                    TX.underscore_spaces(F.col("path")).alias("safe_path"), (F.col("_line") - F.col("_first") + 1).alias("place")))
+
+
+@query("minute_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS stamp FROM events")
+def q_minute_stamps(spark, d):
+    return M.table(spark, d, "events").select("event_id", TX.minute_stamp(F.col("ts")).alias("stamp"))
+
+
+@query("status_correction",
+       "SELECT 'orders' AS entity, CASE WHEN count(*) > 0 THEN 'success' ELSE 'fatal' END AS status, count(*) AS total_records "
+       "FROM orders UNION ALL SELECT 'lineitem', 'success', count(*) FROM lineitem "
+       "UNION ALL SELECT 'customer', 'missing', 0 FROM (SELECT count(*) FROM customer) "
+       "UNION ALL SELECT 'nation', 'fatal', count(*) FROM nation WHERE n_nationkey IS NULL")
+def q_status_correction(spark, d):
+    """A load that read 0 orders is corrected by the table's own count; one whose table is empty stays fatal."""
+    count = lambda df, e: df.agg(F.lit(e).alias("entity"), F.count(F.lit(1)).alias("n"))
+    items = M.table(spark, d, "lineitem").agg(F.lit("lineitem").alias("entity"), F.lit(1).cast("long").alias("matched_files"),
+                                              F.count(F.lit(1)).alias("rows_read"))
+    load = items.unionByName(spark.createDataFrame(
+        [("orders", 1, 0), ("customer", 0, 0), ("nation", 1, 0)], "entity string, matched_files long, rows_read long"))
+    counts = count(M.table(spark, d, "orders"), "orders").unionByName(
+        count(M.table(spark, d, "nation").where("n_nationkey IS NULL"), "nation")).unionByName(
+        count(M.table(spark, d, "customer"), "customer"))
+    return ST.correct_status(ST.entity_status(load), counts)
