@@ -45,6 +45,18 @@ def get_session(master: str | None = None, app: str = "tessera",
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Adds its folder to the workers' import path; on a cluster whose nodes hold
+    the package elsewhere (or get it with the job) the entry does nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -57,6 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     a cluster session without the setting is an error, because a machine-local
     folder would not survive the loss of an executor.
     """
+    share_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
