@@ -39,7 +39,7 @@ WINDOW = 80
 EDIT_RATE = 0.08
 SHORTEST = 32
 BLOCK_CHARS = 4_000_000
-_CHUNK = 1_000_000     # characters scanned at a time
+_CHUNK = 500_000     # characters scanned at a time
 _VERIFY = 4096         # alignments run together
 _BITS = 22
 _STOP = 0x110000       # between texts; no character has this value

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_CHUNK = 2_000_000   # bytes hashed at a time; a longer text is a chunk of its own
+_CHUNK = 500_000   # bytes hashed at a time; a longer text is a chunk of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

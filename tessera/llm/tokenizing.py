@@ -2,12 +2,12 @@
 
 The public word vocabulary treats every run between ASCII white space on its
 own (its normalisers and its split pattern never join across white space), so
-a text's ids are its runs' ids in order.  Each distinct run is encoded once
-per worker process and its ids are kept as bytes.
+a text's ids are its runs' ids in order.
 
-Runs of ASCII and Latin-1 letters are cut into pieces by the vocabulary's own
-split pattern and the library's BPE model encodes each distinct piece; every
-other run goes through the library's whole pipeline.  Tests hold both ways
+Texts of ASCII and Latin-1 letters are cut into pieces by the vocabulary's own
+split pattern and the library's BPE model encodes each distinct piece once per
+worker process; any other text is taken run by run, and a run with other
+characters goes through the library's whole pipeline.  Tests hold both ways
 against encoding the whole text at once.
 
 Memory is bounded: ``MEMO`` runs and ``MEMO`` pieces of at most
@@ -22,12 +22,12 @@ import struct
 from functools import lru_cache
 
 END_ID = 1         # appended to each document
-MEMO = 1_000_000
+MEMO = 300_000
 MEMO_BYTES = 40    # longer runs are kept for their batch only
 
-# fixed values: the vocabulary's split pattern, over lower-case ASCII and Latin-1
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+# fixed values: the vocabulary's split pattern, over lower-case ASCII and Latin-1, and the texts it holds for
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d a-zß-öø-ÿ0-9]+")
+_SIMPLE = re.compile(r"[\x09-\x0d -~À-ÖØ-öø-ÿ]*")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,6 +47,22 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Pieces(dict):
+    """Ids of pieces as bytes; a new piece is encoded by the BPE model when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self._model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        # ASCII stands for itself in the byte alphabet
+        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        ids = _pack([t.id for t in self._model.tokenize(letters)])
+        if len(piece) <= MEMO_BYTES:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encode texts to little-endian unsigned 32-bit ids, END_ID appended."""
 
@@ -54,51 +70,37 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark owns the cores
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(vocab_file)
-        self._model = self._tok.model
         self._specials = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._pieces = _Pieces(self._tok.model)
         self._runs: dict[bytes, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
 
-    def _new_piece(self, piece: str) -> bytes:
-        # ASCII stands for itself in the byte alphabet
-        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
-        ids = _pack([t.id for t in self._model.tokenize(letters)])
-        if len(piece) <= MEMO_BYTES:
-            self._pieces[piece] = ids
-        return ids
+    def _simple(self, text: str) -> bool:
+        return _SIMPLE.fullmatch(text) is not None and not ("<" in text and any(x in text for x in self._specials))
+
+    def _by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, _PIECE.findall(text.lower())))
 
-    def _encode_runs(self, runs) -> None:
-        """Put the ids of new runs into the table."""
-        known, rest, have, new, join = self._runs, [], self._pieces.get, self._new_piece, b"".join
-        simple, cut, specials = _SIMPLE.fullmatch, _PIECE.findall, self._specials
-        for run in runs:
-            s = run.decode("utf-8")
-            if simple(s) and not ("<" in s and any(x in s for x in specials)):
-                known[run] = join([have(p) or new(p) for p in cut(s.lower())])
-            else:
-                rest.append(run)
-        for i in range(0, len(rest), 1024):
-            part = rest[i:i + 1024]
-            for run, e in zip(part, self._tok.encode_batch([x.decode("utf-8") for x in part], add_special_tokens=False)):
-                known[run] = _pack(e.ids)
+    def _by_runs(self, text: str) -> bytes:
+        """Run by run: simple ones by their pieces, the others by the library's whole pipeline."""
+        # runs of bytes between ASCII white space: exactly what bytes.split() cuts
+        out = []
+        for run in text.encode("utf-8").split():
+            ids = self._runs.get(run)
+            if ids is None:
+                s = run.decode("utf-8")
+                ids = self._by_pieces(s) if self._simple(s) else _pack(self._tok.encode(s, add_special_tokens=False).ids)
+                if len(run) <= MEMO_BYTES:
+                    self._runs[run] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def batch(self, texts) -> list[bytes]:
         """Ids of each text as bytes; a null text is empty and has END_ID only."""
-        # runs of bytes between ASCII white space: exactly what bytes.split() cuts
-        split = [(t.encode("utf-8").split() if t else []) for t in texts]
-        known = self._runs
-        if len(known) > MEMO:
-            known.clear()
-        if len(self._pieces) > MEMO:
-            self._pieces.clear()
-        missing = set().union(*split).difference(known)
-        self._encode_runs(missing)
-        end, get, join = _pack([END_ID]), known.__getitem__, b"".join
-        out = [join(map(get, ws)) + end for ws in split]
-        for run in missing:
-            if len(run) > MEMO_BYTES:
-                del known[run]
-        return out
+        for table in (self._pieces, self._runs):
+            if len(table) > MEMO:
+                table.clear()
+        end = _pack([END_ID])
+        return [(self._by_pieces(t) if self._simple(t) else self._by_runs(t)) + end if t else end for t in texts]
 
 
 @lru_cache(maxsize=1)
