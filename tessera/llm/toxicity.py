@@ -47,7 +47,7 @@ LEAST_SHARE = 0.01   # of the positives hold a feature, three at least
 LEAST_Z = 5.0
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
-_CHUNK = 2_000_000   # bytes of text hashed at a time
+_CHUNK = 400_000     # bytes of text hashed at a time; a longer text is a chunk of its own
 _SPACE = 32
 
 
@@ -155,14 +155,16 @@ def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, ra
     w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        single = w[:-1].astype(np.float32)      # as the rows are; else every step would copy them
+        fp, fu = (p @ single).astype(np.float64) + w[-1], (u @ single).astype(np.float64) + w[-1]
         sp, su = 1 / (1 + np.exp(-np.clip(fp, -50, 50))), 1 / (1 + np.exp(-np.clip(fu, -50, 50)))
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         # gradients of l(f) on P, of l(-f) on U and on P
         gp, gu, gn = (sp - 1) * prior / len(p), su / len(u), -sp * prior / len(p)
         if negative < 0:
             gp, gu, gn = 0 * gp, -gu, -gn
-        g = np.append(p.T @ (gp + gn) + u.T @ gu, (gp + gn).sum() + gu.sum())
+        slope = p.T @ (gp + gn).astype(np.float32) + u.T @ gu.astype(np.float32)
+        g = np.append(slope.astype(np.float64), (gp + gn).sum() + gu.sum())
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -206,9 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
             for start, k, doc, f in presence(pdf["text"]):
                 mine = kind[start:start + k][doc]
                 for side in (0, 1):
-                    total[side] += np.bincount(f[mine == bool(side)], minlength=2 << BIN_BITS).astype(np.int32)
-        at = np.flatnonzero(total.any(axis=0))
-        yield pd.DataFrame({"feature": at, "in_u": total[0][at], "in_p": total[1][at]})
+                    np.add.at(total[side], f[mine == bool(side)], 1)
+        seen = np.flatnonzero(total.any(axis=0))
+        for at in np.split(seen, range(100_000, len(seen), 100_000)):
+            yield pd.DataFrame({"feature": at, "in_u": total[0][at], "in_p": total[1][at]})
 
     n_unl = n_all - n_pos
     seen = (sample.mapInPandas(frequencies, "feature long, in_u long, in_p long")
