@@ -58,6 +58,7 @@ _FLUSH_CLASSES = 60_000
 _SMALL = 24                 # common tokens that small sets must show
 _TEXTS_PER_BATCH = 2000
 _TILE_TOKENS = 200_000      # tokens of a tile of full sets, about
+_TILE_SETS = 1024
 _TILES_PER_BATCH = 16
 _COLUMNS = 4096
 _SEVERAL = 65535     # in place of a class number: several classes of the flush show this token
@@ -338,11 +339,14 @@ def _apart(rows: DataFrame, named: DataFrame, sets: DataFrame, percent: int) ->
     # within a group only its largest component need not be compared with itself
     counts = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("k"))
     largest = counts.groupBy("grp").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
-    placed = members.join(largest, "grp").select("rep", "grp", (F.col("part") != F.col("largest")).alias("minor"))
+    # one row per group joins the members from a checked broadcast, so that no group meets in one task
+    placed = members.join(broadcast_checked(largest), "grp").select("rep", "grp", (F.col("part") != F.col("largest")).alias("minor"))
     full = placed.join(sets.select("rep", "n", "tokens"), "rep")
-    sizes = full.groupBy("grp").agg(F.ceil(F.sum("n") / _TILE_TOKENS).alias("m"),
-                                    F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / _TILE_TOKENS).alias("r"))
-    dealt = full.join(sizes, "grp")
+    def tiles_for(n, rows):
+        return F.greatest(F.ceil(n / _TILE_TOKENS), F.ceil(rows / _TILE_SETS))
+    sizes = full.groupBy("grp").agg(tiles_for(F.sum("n"), F.count(F.lit(1))).alias("m"),
+                                    tiles_for(F.sum(F.when(F.col("minor"), F.col("n"))), F.count_if("minor")).alias("r"))
+    dealt = full.join(broadcast_checked(sizes), "grp")
     columns = ("grp", "chunk", "rep", "tokens")
     minor = _tiles(dealt.where("minor").withColumn("chunk", F.pmod(F.xxhash64("rep"), "r")).select(*columns))
     whole = _tiles(dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), "m")).select(*columns))
@@ -361,9 +365,13 @@ def _apart(rows: DataFrame, named: DataFrame, sets: DataFrame, percent: int) ->
                     k = int(away.sum())
                     yield pd.DataFrame({"a": nodes[local_components(len(nodes), at[:k], at[k:])], "b": nodes})
 
-    other = whole.select("grp", F.col("reps").alias("reps_b"), F.col("sizes").alias("sizes_b"), F.col("tokens").alias("tokens_b"))
+    other = whole.select("grp", F.col("chunk").alias("chunk_b"), F.col("reps").alias("reps_b"),
+                         F.col("sizes").alias("sizes_b"), F.col("tokens").alias("tokens_b"))
+    # numbers of tiles meet by group; the tiles follow by their own numbers, so a large group is dealt out
+    pairs = minor.select("grp", "chunk").join(other.select("grp", "chunk_b"), "grp")
+    work = pairs.join(minor, ["grp", "chunk"]).join(other, ["grp", "chunk_b"])
     with rows_per_batch(rows.sparkSession, _TILES_PER_BATCH):
-        return write_read(minor.join(other, "grp").mapInPandas(run, "a long, b long"), "jaccard-tile-links")
+        return write_read(work.mapInPandas(run, "a long, b long"), "jaccard-tile-links")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
