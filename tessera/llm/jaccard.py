@@ -420,7 +420,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Rows that share a doc_id are one document; one of them stays.
     """
     gone = (components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # ids only: broadcast when proven small, so that texts are neither moved nor sorted
+    kept = docs.join(broadcast_checked(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     if not repeated.limit(1).count():
         return kept      # texts are not moved to look for repeated rows
