@@ -18,7 +18,18 @@ from tessera.session import scratch_path
 _POSITION_BITS = 33
 
 
+TEXT_ROWS = 1000   # rows of whole texts that travel to Python together
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep the session's batches to Python small: rows hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ import struct
 from functools import lru_cache
 
 END_ID = 1         # appended to each document
-MEMO = 300_000
+MEMO = 200_000
 MEMO_BYTES = 40    # longer runs are kept for their batch only
 
 # fixed values: the vocabulary's split pattern, over lower-case ASCII and Latin-1, and the texts it holds for
