@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, packing, pii, toxicity
-from tessera.llm.common import table, write_read
+from tessera.llm.common import table, text_batches, write_read
 
 _DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least id."""
+    text_batches(spark)
     return jaccard.one_of_each(docs).select(*_DOCUMENTS)
 
 
@@ -33,6 +34,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows the text where it changed."""
+    text_batches(spark)
     clean = pii.redact(docs.withColumn("_before", F.col("text")))
     changed = ~F.col("text").eqNullSafe(F.col("_before"))
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
@@ -41,6 +43,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in windows of 2048 ids, with their digests."""
+    text_batches(spark)
     return packing.pack(docs, digest=True)
 
 
