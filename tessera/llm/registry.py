@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, jaccard, langid, near_vectors, packing, pfor, pii, sharding, toxicity
+from tessera.llm import decontaminate, html_text, jaccard, langid, near_vectors, packing, pfor, pii, sharding, toxicity, whitening
 from tessera.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op10_byte_cnn_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_block_whitening(spark, sf_dir):
+    """Every embedding projected on the whitened principal components of the distinct vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_subsequence_extract": op1_subsequence_extract,
     "op2_pfor_tokens": op2_pfor_tokens,
@@ -67,6 +72,7 @@ QUERIES = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_byte_cnn_language": op10_byte_cnn_language,
+    "op11_block_whitening": op11_block_whitening,
 }
 
 ORACLE = {
