@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, jaccard, langid, near_vectors, packing, pfor, pii, sharding, toxicity, whitening
+from tessera.llm import (block_search, decontaminate, html_text, jaccard, langid, near_vectors, packing, pfor, pii, sharding,
+                         toxicity, whitening)
 from tessera.llm.common import table
 
 
@@ -61,6 +62,11 @@ def op11_block_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_blocked_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    return block_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_subsequence_extract": op1_subsequence_extract,
     "op2_pfor_tokens": op2_pfor_tokens,
@@ -73,10 +79,12 @@ QUERIES = {
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_byte_cnn_language": op10_byte_cnn_language,
     "op11_block_whitening": op11_block_whitening,
+    "op12_blocked_search": op12_blocked_search,
 }
 
 ORACLE = {
     "op4_tiled_near_vectors": near_vectors.NEAR_SQL,
     "op5_multiorder_jaccard": jaccard.COMPONENT_SQL,
     "op6_stratified_shards": sharding.SHARD_SQL,
+    "op12_blocked_search": block_search.SEARCH_SQL,
 }
