@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import (block_search, decontaminate, html_text, jaccard, langid, near_vectors, packing, pfor, pii, sharding,
-                         toxicity, whitening)
+from tessera.llm import (block_search, decontaminate, html_text, jaccard, langid, licenses, near_vectors, packing, pfor, pii,
+                         sharding, toxicity, whitening)
 from tessera.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op12_blocked_search(spark, sf_dir):
     return block_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_template_licenses(spark, sf_dir):
+    """License wording of every document: phrases of the base and templates that match word for word."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_subsequence_extract": op1_subsequence_extract,
     "op2_pfor_tokens": op2_pfor_tokens,
@@ -80,6 +85,7 @@ QUERIES = {
     "op10_byte_cnn_language": op10_byte_cnn_language,
     "op11_block_whitening": op11_block_whitening,
     "op12_blocked_search": op12_blocked_search,
+    "op13_template_licenses": op13_template_licenses,
 }
 
 ORACLE = {
