@@ -7,8 +7,11 @@ so a lost executor costs recomputed tasks and never a different answer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ _POSITION_BITS = 33
 
 
 TEXT_ROWS = 1000   # rows of whole texts that travel to Python together
+CHUNK_LINKS = 1_000_000   # links that a task contracts together
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -88,19 +92,66 @@ def partition_starts(counts: DataFrame) -> DataFrame:
     return counts.select("_part", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("_start"))
 
 
+def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least row reachable, for n rows with links (i, j)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``(u, v)`` links with each run of ``CHUNK_LINKS`` of a task replaced by stars around the least node, u > v."""
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def contract():
+            ends = np.concatenate(held, axis=1)
+            nodes, at = np.unique(ends, return_inverse=True)
+            at = at.reshape(2, -1)
+            root = nodes[local_components(len(nodes), at[0], at[1])]
+            away = root != nodes
+            return pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(root[away])], names=["u", "v"])
+
+        for b in batches:
+            held.append(np.stack([b.column(c).to_numpy() for c in ("u", "v")]))
+            size += b.num_rows
+            if size >= CHUNK_LINKS:
+                yield contract()
+                held, size = [], 0
+        if size:
+            yield contract()
+
+    return edges.select("u", "v").mapInArrow(stars, "u long, v long")
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(a, b)`` links -> ``(node, component)`` with the least node reachable.
 
-    Alternating large-star / small-star steps: every step maps edges to at most
-    as many edges (a min per node and a join, no neighbour lists), so a node
-    with a third of all links is one aggregated row.  Each step is written to
-    the shared folder; the loop ends when a step changes nothing.  Nodes
-    without a link are not returned.  Null ends are ignored.
+    Tasks first contract the links they hold to stars, which settles links that fit one
+    task.  While some node is still both a centre and a leaf, or a leaf of two centres,
+    large-star / small-star steps follow: every step maps edges to at most as many
+    edges (a min per node and a join, no neighbour lists), so a node with a third of
+    all links is one aggregated row, and tasks contract again what they hold.  Each step
+    is written to the shared folder.  Nodes without a link are not returned.  Null ends are ignored.
     """
-    spark = edges.sparkSession
-    e = write_read(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-                   .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    e = write_read(_contracted(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+                               .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+                               .distinct()), name)
     while True:
+        # a star forest: no node is both a leaf and a centre, and each leaf has one centre
+        ends = (e.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre"))
+                .unionAll(e.select("v", F.lit(0), F.lit(1))))
+        open_ends = (ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+                     .where("leaf + centre > 1 AND leaf > 0").limit(1))
+        if not open_ends.count():
+            break
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour moves to the least neighbour
@@ -110,13 +161,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         m2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(m2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(m2.select("u", F.col("m").alias("v"))).distinct())
-        step = write_read(small, name)
-        # a star forest: no node is both a child and a centre, and each child has one centre
-        again = step.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
-        chained = step.select("v").distinct().join(step.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
-        e = step
-        if not again.count() and not chained.count():
-            break
+        e = write_read(_contracted(small), name)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.unionAll(centres)

@@ -45,8 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, discard, partitions, rows_per_batch, write_read
-from tessera.llm.near_vectors import local_components
+from tessera.llm.common import connected_components, discard, local_components, partitions, rows_per_batch, write_read
 from tessera.llm.shingles import mix, set_keys, shingle_sets
 from tessera.operators.common import broadcast_checked
 from tessera.session import scratch_path
@@ -313,14 +312,14 @@ def _tile_links(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> tuple
 
 
 def _tiles(sets: DataFrame) -> DataFrame:
-    """Full sets of each (grp, chunk) packed into one row: reps, sizes, tokens."""
+    """Full sets of each (grp, minor, chunk) packed into one row: reps, sizes, tokens."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["grp"].iloc[0], pdf["chunk"].iloc[0], pdf["rep"].to_numpy("<i8").tobytes(),
+        return pd.DataFrame([(pdf["grp"].iloc[0], pdf["minor"].iloc[0], pdf["chunk"].iloc[0], pdf["rep"].to_numpy("<i8").tobytes(),
                               pdf["tokens"].map(len).to_numpy("<i8").tobytes(),
                               np.concatenate(pdf["tokens"].tolist()).astype("<i8").tobytes())],
-                            columns=["grp", "chunk", "reps", "sizes", "tokens"])
-    return write_read(sets.groupBy("grp", "chunk").applyInPandas(
-        pack, "grp long, chunk long, reps binary, sizes binary, tokens binary"), "jaccard-tiles")
+                            columns=["grp", "minor", "chunk", "reps", "sizes", "tokens"])
+    return write_read(sets.groupBy("grp", "minor", "chunk").applyInPandas(
+        pack, "grp long, minor boolean, chunk long, reps binary, sizes binary, tokens binary"), "jaccard-tiles")
 
 
 def _apart(rows: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -334,22 +333,27 @@ def _apart(rows: DataFrame, named: DataFrame, sets: DataFrame, percent: int) ->
     apart = write_read(placed.join(still, "token").select("centre", "rep", "component").distinct(), "jaccard-apart")
     # classes that hang together by such tokens are one group
     groups = connected_components(apart.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "jaccard-groups")
-    members = (apart.select("rep", F.col("component").alias("part")).distinct()
-               .join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep"))
+    members = write_read(apart.select("rep", F.col("component").alias("part")).distinct()
+                         .join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
+                         .join(sets.select("rep", "n"), "rep"), "jaccard-members")
+
+    def tiles_for(n, rows):
+        return F.greatest(F.ceil(n / _TILE_TOKENS), F.ceil(rows / _TILE_SETS), F.lit(1))
     # within a group only its largest component need not be compared with itself
-    counts = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("k"))
-    largest = counts.groupBy("grp").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
+    parts = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    top = F.max(F.struct("k", "part", "n"))
+    sizes = parts.groupBy("grp").agg(top.alias("top"), F.sum("n").alias("n"), F.sum("k").alias("k")).select(
+        "grp", F.col("top.part").alias("largest"), tiles_for(F.col("n"), F.col("k")).alias("m"),
+        tiles_for(F.col("n") - F.col("top.n"), F.col("k") - F.col("top.k")).alias("r"))
     # one row per group joins the members from a checked broadcast, so that no group meets in one task
-    placed = members.join(broadcast_checked(largest), "grp").select("rep", "grp", (F.col("part") != F.col("largest")).alias("minor"))
-    full = placed.join(sets.select("rep", "n", "tokens"), "rep")
-    def tiles_for(n, rows):
-        return F.greatest(F.ceil(n / _TILE_TOKENS), F.ceil(rows / _TILE_SETS))
-    sizes = full.groupBy("grp").agg(tiles_for(F.sum("n"), F.count(F.lit(1))).alias("m"),
-                                    tiles_for(F.sum(F.when(F.col("minor"), F.col("n"))), F.count_if("minor")).alias("r"))
-    dealt = full.join(broadcast_checked(sizes), "grp")
-    columns = ("grp", "chunk", "rep", "tokens")
-    minor = _tiles(dealt.where("minor").withColumn("chunk", F.pmod(F.xxhash64("rep"), "r")).select(*columns))
-    whole = _tiles(dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), "m")).select(*columns))
+    dealt = members.join(broadcast_checked(sizes), "grp").select(
+        "rep", "grp", F.when(F.col("part") != F.col("largest"), F.pmod(F.xxhash64("rep"), "r")).alias("minor"),
+        F.pmod(F.xxhash64("rep"), "m").alias("whole"))
+    sides = F.array(F.struct(F.lit(True).alias("minor"), F.col("minor").alias("chunk")),
+                    F.struct(F.lit(False).alias("minor"), F.col("whole").alias("chunk")))
+    tiles = _tiles(dealt.select("rep", "grp", F.explode(sides).alias("_s")).select("rep", "grp", "_s.*")
+                   .where("chunk IS NOT NULL").join(sets.select("rep", "tokens"), "rep"))
+    minor, whole = tiles.where("minor").drop("minor"), tiles.where("NOT minor").drop("minor")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def sets_of(sizes, tokens):
@@ -417,7 +421,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: its least doc_id; rows without an id stay.
 
-    Rows that share a doc_id are one document; one of them stays.
+    Rows that share a doc_id are one document; the least of them stays, by its columns
+    in their order, nulls last.
     """
     gone = (components(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct())
     # ids only: broadcast when proven small, so that texts are neither moved nor sorted
@@ -425,7 +430,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     if not repeated.limit(1).count():
         return kept      # texts are not moved to look for repeated rows
-    return (kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    first = F.min_by(F.struct(*docs.columns), F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns)))
+    return (kept.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(first.alias("_row")).select("_row.*")
             .unionAll(kept.where("doc_id IS NULL")))
 
 

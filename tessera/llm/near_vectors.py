@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, rows_per_batch, write_read
+from tessera.llm.common import connected_components, local_components, rows_per_batch, write_read
 
 THRESHOLD = 0.98
 TILE = 1024
@@ -119,20 +119,6 @@ def links(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, threshold:
     return i[sure], j[sure]
 
 
-def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least row reachable, for n rows with links (i, j)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 _TILES = ("tile string, chunk long, cells array<int>, base string, low array<double>, high array<double>,"
           " reps binary, ids binary, counts binary, x binary, dim int")
 
