@@ -13,8 +13,10 @@ The base patterns are matched from anchors (the @, the + and the start of a
 digit run), which gives the leftmost non-overlapping matches in time linear in
 the text, whatever it holds.
 
-Bound (parameter): the classifier is trained on about the ``SAMPLE`` candidates
-with the least hash of (id, place).
+Bound (parameter): the classifier is trained on about ``SAMPLE`` different candidates
+(a token with what the labelers and features see around it), those with the least hash,
+each weighted with its occurrences in the whole corpus.  Ids play no part, and copies
+are one candidate, so what comes to the driver stays bounded whatever the rows hold.
 
 Defined results: a null or empty text has no spans; without candidates nothing
 is added; repeated rows give equal results; a null id gets its own row; other
@@ -27,9 +29,11 @@ import hashlib
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -41,6 +45,7 @@ from tessera.llm.common import write_read
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("number", "secret")
 SAMPLE = 10_000
+_HASHES = 1 << 62
 _DIM = 1 << 12
 
 # fixed values: the patterns of the base kinds, possessive where it changes nothing
@@ -231,19 +236,55 @@ def estimate(patterns: dict[str, int], rounds: int = 60) -> Reliability:
     return rel
 
 
-def train(features: np.ndarray, target: np.ndarray, steps: int = 300) -> np.ndarray:
+def train(features: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 300) -> np.ndarray:
     """Logistic weights over hashed features (row sums), soft targets, Adam."""
     w, m, v = np.zeros(_DIM), np.zeros(_DIM), np.zeros(_DIM)
+    share = weight / weight.sum()
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(w[features].sum(1), -30, 30)))
-        g = np.bincount(features.ravel(), np.repeat((p - target) / len(target), features.shape[1]), minlength=_DIM) + 1e-5 * w
+        g = np.bincount(features.ravel(), np.repeat((p - target) * share, features.shape[1]), minlength=_DIM) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def _overlaps(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in spans)
+class Taken:
+    """Places that base spans hold; a question costs the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        before = bisect_left(self.starts, b)      # spans that begin before b
+        return before > 0 and self.reach[before - 1] > a
+
+
+class Least:
+    """The different candidates of a task with the least hashes, and how often each occurs there."""
+
+    def __init__(self, size: int):
+        self.size, self.seen, self.heap, self.full = size, {}, [], False
+
+    def add(self, text: str, a: int, b: int, pattern: str) -> None:
+        around_it = f"{pattern}|{a - max(0, a - 40)}|{b - a}|{text[max(0, a - 40):b + 25]}".encode("utf-8", "surrogatepass")
+        h = int.from_bytes(hashlib.blake2b(around_it, digest_size=8).digest(), "little") >> 2
+        if h in self.seen:
+            self.seen[h][0] += 1
+        elif len(self.heap) < self.size or h < -self.heap[0]:
+            self.seen[h] = [1, pattern, span_features(text, a, b)]
+            if len(self.heap) < self.size:
+                heapq.heappush(self.heap, -h)
+            else:
+                self.full = True
+                del self.seen[-heapq.heapreplace(self.heap, -h)]
+        else:
+            self.full = True
+
+    def complete(self) -> int:
+        """Every candidate of the task with a hash up to this one is held."""
+        return -self.heap[0] if self.full else _HASHES - 1
 
 
 @dataclass
@@ -260,35 +301,38 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Labeler reliabilities and classifier; vote patterns are counted over all documents."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        kept: list[tuple] = []       # the candidates of this task with the least hash
+        least = Least(sample)
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in pdf["text"]:
                 if not text:
                     continue
-                spans = [(x, y) for _, x, y in base_spans(text)] if _DIGIT.search(text) else []
+                taken = Taken(base_spans(text) if _DIGIT.search(text) else [])
                 for a, b in candidates(text):
-                    pattern = votes(text, a, b, _overlaps(spans, a, b))
+                    pattern = votes(text, a, b, taken.meets(a, b))
                     counts[pattern] += 1
-                    h = zlib.crc32(f"{doc}:{a}".encode())
-                    if len(kept) < sample:
-                        heapq.heappush(kept, (-h, pattern, span_features(text, a, b)))
-                    elif -kept[0][0] > h:
-                        heapq.heapreplace(kept, (-h, pattern, span_features(text, a, b)))
-        rows = [(k, n, None, None) for k, n in counts.items()] + [(k, 0, -h, f) for h, k, f in kept]
+                    least.add(text, a, b, pattern)
+        rows = [(k, n, None, None) for k, n in counts.items()] + [(k, n, h, f) for h, (n, k, f) in least.seen.items()]
+        rows.append((None, 0, least.complete(), None))
         out = pd.DataFrame(rows, columns=["pattern", "n", "hash", "features"], dtype=object)
         yield out.astype({"n": "int64", "hash": "Int64"})
 
-    seen = write_read(docs.select("doc_id", "text").mapInPandas(scan, "pattern string, n long, hash long, features array<int>"),
-                      "pii-votes")
+    seen = write_read(docs.select("text").mapInPandas(scan, "pattern string, n long, hash long, features array<int>"), "pii-votes")
     patterns = {r["pattern"]: r["n"] for r in seen.where("hash IS NULL").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     if not patterns:
         return Model(np.zeros(_DIM), estimate({}))
-    # every task kept its least hashes, so a threshold on the hash gives the sample without a global sort
-    share = min(1.0, sample / sum(patterns.values()))
-    rows = seen.where(F.col("hash") <= int(share * 2**32)).orderBy("hash", "pattern").collect()
+    # up to the least hash to which some task is complete all candidates are known; their number there
+    # gives the hash that about ``sample`` of them stay below
+    limit = seen.where("pattern IS NULL").agg(F.min("hash")).first()[0]
+    known = (seen.where((F.col("hash") <= limit) & F.col("pattern").isNotNull()).groupBy("hash", "pattern")
+             .agg(F.sum("n").alias("n"), F.any_value("features").alias("features")))
+    different = known.count()
+    if different > sample:
+        known = known.where(F.col("hash") <= limit * sample // different)
+    rows = known.orderBy("hash", "pattern").collect()
     rel = estimate(patterns)
-    known = {k: 1.0 if k[0] == "1" else rel.posterior(k) for k in patterns}
-    return Model(train(np.array([r["features"] for r in rows]), np.array([known[r["pattern"]] for r in rows])), rel)
+    belief = {k: 1.0 if k[0] == "1" else rel.posterior(k) for k in patterns}
+    return Model(train(np.array([r["features"] for r in rows]), np.array([belief[r["pattern"]] for r in rows]),
+                       np.array([r["n"] for r in rows], float)), rel)
 
 
 def spans_of(text: str | None, model: Model) -> list[tuple[str, int, int]]:
@@ -296,10 +340,10 @@ def spans_of(text: str | None, model: Model) -> list[tuple[str, int, int]]:
     if not text:
         return []
     base = base_spans(text)
-    taken = [(a, b) for _, a, b in base]
+    taken = Taken(base)
     added = []
     for a, b in candidates(text):
-        if not _overlaps(taken, a, b) and model.accepts(text, a, b):
+        if not taken.meets(a, b) and model.accepts(text, a, b):
             added.append(("secret" if any(c.isalpha() for c in text[a:b]) else "number", a, b))
     order = {k: i for i, k in enumerate(KINDS + ADDED)}
     return base + sorted(added, key=lambda s: (order[s[0]], s[1]))

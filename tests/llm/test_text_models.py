@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
@@ -133,6 +134,40 @@ def test_personal_data(spark):
     assert P.find(df.where("doc_id = 1")).collect()[0].spans == ""
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_personal_data_of_rows_that_share_an_id_or_have_none(spark, doc_id):
+    df = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"),
+                                    F.concat(F.lit("call 0049 171 "), F.col("id") % 900 + 1000, F.lit(" now")).alias("text"))
+    got = P.find(df.repartition(6))
+    assert got.count() == 20_000 and got.where("n_phone = 0").count() == 20_000
+    same = df.select("doc_id", F.lit("token=ab12cd34ef56ab78cd90 and 10.1.2.3").alias("text"))
+    assert P.find(same).where("spans LIKE 'ip:31:39%'").count() == 20_000
+    least = P.fit(df.repartition(9), sample=50)
+    assert len(least.weights) == P._DIM and np.isfinite(least.weights).all()
+
+
+def test_sampled_candidates_stay_bounded_and_are_weighted():
+    least = P.Least(3)
+    for _ in range(5):
+        for i in range(40):
+            t = f"id {1000 + i} x"
+            least.add(t, 3, 7, "-" * 8)
+    assert len(least.seen) == 3 and least.full and {n for n, *_ in least.seen.values()} == {5}
+    assert least.complete() == max(least.seen)
+
+
+def test_many_addresses_in_one_text_take_linear_time():
+    text = " ".join(f"a{i}@b{i % 977}.example.com 1234{i}" for i in range(100_000))
+    model = P.Model(np.zeros(P._DIM), P.estimate({}))
+    at = time.time()
+    assert len(P.spans_of(text, model)) == 100_000
+    assert time.time() - at < 40
+    taken = P.Taken([("ip", 5, 9), ("card", 0, 20), ("phone", 30, 31)])
+    for a in range(40):
+        for b in range(a + 1, 41):
+            assert taken.meets(a, b) == any(x < b and a < y for x, y in ((5, 9), (0, 20), (30, 31)))
+
+
 def test_overlapping_spans_are_redacted_once():
     model = P.Model(np.zeros(P._DIM), P.estimate({}))
     assert P.redacted("a +4539578763621486 b 4539578763621486@x.yz c", model).count("[") == 2
