@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -176,7 +178,7 @@ def edit_distance_inside(pattern, text):
 def test_decontamination_equals_brute_force():
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abc de") for _ in range(n))
-    items = [(i, text(rng.choice([20, 33, 50, 80, 95, 200]))) for i in range(8)]
+    items = [(i, text(rng.choice([45, 50, 80, 95, 200]))) for i in range(8)]
     index = D.build(items)
     found = 0
     for _ in range(200):
@@ -193,17 +195,64 @@ def test_decontamination_equals_brute_force():
         t = text(rng.randint(0, 150)) + "".join(s) + text(rng.randint(0, 150))
         plain = "".join(map(chr, D.normal(t)[0]))
         want = set()
-        for w in range(len(index.window_item)):
+        for w in range(len(index.window_items)):
             a = index.window_start[w]
             p = "".join(map(chr, index.codes[a:a + index.window_size[w]]))
             if edit_distance_inside(p, plain) <= index.budget[w]:
-                want.add(index.items[index.window_item[w]])
+                want.update(index.items[i] for i in index.window_items[w])
         got = {index.items[x[1]] for x in D.search([t], index)}
         assert got == want, t
         found += len(want)
     assert found > 50
 
 
+def test_short_items_and_shared_beginnings_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(D, "_ROWS", 500)          # many slices
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcde f") for _ in range(n))
+    lead = "answer the following multiple choice question: "
+    items = [(i, lead + text(rng.choice([10, 30, 60, 120]))) for i in range(60)]
+    items += [(100 + i, text(rng.randint(8, 31)).strip().ljust(8, "b")) for i in range(40)] + [(200, lead + "x" * 40), (201, lead + "x" * 40)]
+    index = D.build(items)
+    assert sum(len(w) for w in index.window_items) > len(index.window_items)      # equal windows are one
+    wanted = {i: "".join(map(chr, D.normal(t)[0])) for i, t in items}
+    found = 0
+    for _ in range(60):
+        i, s = rng.choice(items)
+        s = list(s)
+        for _ in range(rng.choice([0, 0, 0, 2, 5, 8])):
+            s[rng.randrange(len(s))] = rng.choice("abcxyz")
+        t = text(rng.randint(0, 90)) + rng.choice([" ", "", ". "]) + "".join(s) + rng.choice([" ", "", "! "]) + text(rng.randint(0, 90))
+        plain = "".join(map(chr, D.normal(t)[0]))
+        want = set()
+        for w in range(len(index.window_items)):
+            a = index.window_start[w]
+            p = "".join(map(chr, index.codes[a:a + index.window_size[w]]))
+            if edit_distance_inside(p, plain) <= index.budget[w]:
+                want.update(index.items[i] for i in index.window_items[w])
+        for i, p in wanted.items():
+            if D.LEAST <= len(p) < D.SHORTEST and re.search(
+                    (r"(?<![a-z])" if p[0].isalnum() else "") + re.escape(p) + (r"(?![a-z])" if p[-1].isalnum() else ""), plain):
+                want.add(i)
+        assert {index.items[x[1]] for x in D.search([t], index)} == want, t
+        found += len(want)
+    assert found > 40
+
+
+def test_a_common_beginning_of_many_items_costs_little():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    lead = "Answer the following multiple choice question: "
+    index = D.build([(i, lead + " ".join(word() for _ in range(20))) for i in range(3000)])
+    texts = [lead + " ".join(word() for _ in range(9)) for _ in range(40)]
+    at = time.time()
+    tracemalloc.start()
+    assert list(D.search(texts, index)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.time() - at < 20 and peak < 600e6, (time.time() - at, peak)
+
+
 def test_decontamination_of_tables(spark):
     passage = "The quick brown fox jumps over the lazy dog while 42 cats watch from the old garden wall."
     other = "A wholly different question about the boiling point of water at sea level, in degrees?"
