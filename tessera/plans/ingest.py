@@ -53,7 +53,9 @@ def load_entity(spark: SparkSession, headers: DataFrame, entity: Entity, encodin
                                     F.struct(F.lit(v.label).alias("variable"), F.col(v.label).alias("value")))
                              for v in entity.variables]), lambda x: x.isNotNull())
     stored = store_splits(raw.select(*[typed_cell(cells[v.label], v.fmt).alias(v.label) for v in entity.variables],
-                                     bad.alias("_bad_cells"), "_ragged", "_file", "_block"))
+                                     bad.alias("_bad_cells"), "_ragged", "_file", "_block", "_skip", "_blank"))
+    if any(g.skip for g in groups):
+        stored = D.after_preamble(stored)
     seen = (stored.groupBy(F.col("_file").alias("file"))
             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_bad_cells") > 0).alias("bad_rows"),
                  F.count_if("_ragged").alias("ragged_rows")))

@@ -79,6 +79,44 @@ def intake(spark: SparkSession, d: str) -> str:
     return root
 
 
+# -------------------------------------------------------------- dialects
+# Per segment the delimiter, the quoted priority cell around the priority's text, and the lines before the header.
+DIALECT_KEYS = 5000     # order keys of one file
+DIALECTS = {
+    "plain": (",", "{}", ()),
+    "preamble": (";", "{}", ("Export of all orders, made by the site", "", "status: final | priority: as given")),
+    "doubled": ("|", '"{} ""as told"" | kept"', ()),
+    "backslash": (",", '"{} \\"as told\\", kept"', ("one line before the header",)),
+    "single": ("\t", "'{}\tkept'", ()),
+}
+
+
+def dialect_intake(spark: SparkSession, d: str) -> str:
+    """All orders once in every dialect, ``DIALECT_KEYS`` order keys to a file; each file
+    begins with the lines of its dialect's preamble and a header."""
+    key = (ensure_checkpoint_dir(spark), d + "#dialects")
+    if key in _CACHE:
+        return _CACHE[key]
+    root = scratch_path(spark, "dialects")
+    orders = M.table(spark, d, "orders")
+    stamp = F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    out = None
+    for name, (sep, cell, before) in DIALECTS.items():
+        lead, tail = cell.split("{}")
+        value = F.concat_ws(sep, F.col("o_orderkey").cast("string"), stamp, "o_orderstatus",
+                            F.concat(F.lit(lead), F.col("o_orderpriority"), F.lit(tail)))
+        rows = orders.select(F.lit(name).alias("segment"), F.floor(F.col("o_orderkey") / DIALECT_KEYS).alias("part"),
+                             F.col("o_orderkey").cast("long").alias("seq"), value.alias("text"))
+        heads = [*before, sep.join(("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))]
+        first = F.array(*[F.struct(F.lit(i - 1000).cast("long").alias("seq"), F.lit(t).alias("text")) for i, t in enumerate(heads)])
+        part = rows.unionByName(rows.select("segment", "part").distinct().select("segment", "part", F.inline(first)))
+        out = part if out is None else out.unionByName(part)
+    (out.repartition("segment", "part").sortWithinPartitions("segment", "part", "seq").select("segment", "part", "text")
+     .write.partitionBy("segment", "part").text(root))
+    _CACHE[key] = root
+    return root
+
+
 # ------------------------------------------------------------------ logs
 # Log line texts as the load step writes them.
 LOG_MISSING = ('WARNING:: No file of the uploaded files has been found that matches the header with the '

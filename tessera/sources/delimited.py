@@ -17,13 +17,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.casting import DATE_SHAPE, NULL_TOKENS, try_parse, typed_cell
 from tessera.functions.text import first_line, infer_separator
 from tessera.model import DataModel, Entity
+from tessera.operators.common import broadcast_checked
+from tessera.session import write_read
 
 # Header jobs that run side by side; each starts one task on one file.
 HEADER_JOBS = 8
@@ -91,49 +93,87 @@ class ScanGroup:
     columns: list[str]
     files: list[str]
     sep: str = "|"
+    quote: str = '"'
+    escape: str = '"'
+    skip: int = 0        # lines before the header
 
 
 def header_groups(headers: DataFrame, entity: Entity) -> list[ScanGroup]:
-    """Files of ``entity`` grouped by exact header order and separator
-    (driver-side file metadata only: one row per file)."""
+    """Files of ``entity`` grouped by exact header order and dialect: the separator and, from
+    :func:`dialect_headers`, quote, escape and skipped rows (driver-side file metadata only: one row per file)."""
     key = sorted(entity.labels)
-    rows = (headers.select("file", "separator", split_header(F.col("header"), F.col("separator")).alias("columns"))
+    dialect = ["separator", *(c for c in ("quote", "escape", "skipped_rows") if c in headers.columns)]
+    rows = (headers.select("file", *dialect, split_header(F.col("header"), F.col("separator")).alias("columns"))
             .where(F.array_sort("columns") == F.array(*[F.lit(k) for k in key])).collect())
     groups: dict[tuple, list[str]] = {}
     for r in rows:
-        groups.setdefault((tuple(r["columns"]), r["separator"]), []).append(r["file"])
-    return [ScanGroup(list(cols), sorted(files), sep)
-            for (cols, sep), files in sorted(groups.items(), key=lambda kv: min(kv[1]))]
+        groups.setdefault((tuple(r["columns"]), *(r[c] for c in dialect)), []).append(r["file"])
+    return [ScanGroup(list(cols), sorted(files), *rest)
+            for (cols, *rest), files in sorted(groups.items(), key=lambda kv: min(kv[1]))]
+
+
+def dialect_headers(found: DataFrame) -> DataFrame:
+    """Headers for a load from the dialects that :func:`tessera.sources.dialect.sniff_dialect` found:
+    ``file, header, separator, quote, escape, skipped_rows`` of the files with a header line.  Where no cell
+    shows a quote or an escape, the double quote stands."""
+    shown = lambda c: F.when(F.col(c) == "", F.lit('"')).otherwise(F.col(c)).alias(c)
+    return found.where("has_header").select(
+        "file", F.expr("array_join(header, delimiter)").alias("header"), F.col("delimiter").alias("separator"),
+        shown("quote"), shown("escape"), F.col("skipped_rows").cast("int").alias("skipped_rows"))
 
 
 def scan_text(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence[str], encoding: str = "UTF-8",
               spanning: Sequence[str] = ()) -> DataFrame:
-    """All-text rows in declared order with ``_file``, ``_block`` and
-    ``_ragged`` (the row has too few or too many cells).
+    """All-text rows in declared order with ``_file``, ``_block``, ``_ragged`` (the row has too few or too
+    many cells) and ``_skip`` (NULL, or the place of the header line in files with a preamble).
 
-    Each group is read with its own separator.  Files in ``spanning`` hold
+    Each group is read with its own dialect.  Files in ``spanning`` hold
     cells with line breaks and are read whole by one task each; all others
-    stay splittable.  Quoted ``""`` reads as the empty text and a bare empty
+    stay splittable.  Files with a preamble are read line by line and stay splittable; all
+    their lines come back, to be cut by :func:`after_preamble` (a cell over several
+    lines is ragged there).  Quoted ``""`` reads as the empty text and a bare empty
     cell as NULL; both are null tokens later.  ``NA`` is kept as text here.
     """
     out, whole = None, set(spanning)
     for g in groups:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*g.columns, "_corrupt"]])
+        if g.skip:
+            ddl = ", ".join(f"`{c}` string" for c in schema.names)
+            options = {"sep": g.sep, "quote": g.quote, "escape": g.escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+            df = (spark.read.option("encoding", encoding).text(g.files)
+                  .select(F.from_csv("value", ddl, options).alias("_c"),
+                          (F.trim("value") == "").alias("_blank"), F.col("_metadata.file_path").alias("_file"),
+                          F.col("_metadata.file_block_start").alias("_block"))
+                  .select(*[F.col(f"_c.`{c}`").alias(c) for c in labels], F.col("_c._corrupt").isNotNull().alias("_ragged"),
+                          "_file", "_block", F.lit(g.skip).alias("_skip"), "_blank"))
+            out = df if out is None else out.unionByName(df)
+            continue
         for multi in (False, True):
             files = [f for f in g.files if (f in whole) == multi]
             if not files:
                 continue
             df = (spark.read.schema(schema).option("header", True).option("sep", g.sep).option("encoding", encoding)
                   .option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-                  .option("quote", '"').option("escape", '"').option("multiLine", multi)
+                  .option("quote", g.quote).option("escape", g.escape).option("multiLine", multi)
                   .csv(files)
                   .select(*labels, F.col("_corrupt").isNotNull().alias("_ragged"),
                           F.col("_metadata.file_path").alias("_file"),
-                          F.col("_metadata.file_block_start").alias("_block")))
+                          F.col("_metadata.file_block_start").alias("_block"),
+                          F.lit(None).cast("int").alias("_skip"), F.lit(False).alias("_blank")))
             out = df if out is None else out.unionByName(df)
     return out
 
 
+def after_preamble(stored: DataFrame) -> DataFrame:
+    """Rows stored by :func:`tessera.operators.common.store_splits` without preambles, header
+    and empty lines; ``_mid`` counts the rows that are left in each split, a bounded piece of a file."""
+    lead = stored.where("_block = 0 AND _skip IS NOT NULL").groupBy("_file").agg(F.min("_mid").alias("_first"))
+    kept = (stored.join(broadcast_checked(lead), "_file", "left")
+            .where("NOT _blank AND (_skip IS NULL OR _block > 0 OR _mid - _first > _skip)").drop("_first"))
+    return write_read(kept.withColumn("_mid", F.row_number().over(Window.partitionBy("_split").orderBy("_mid")).cast("long")),
+                      "after-preamble")
+
+
 def typed(raw: DataFrame, entity: Entity, keep: Sequence[str] = ("line_number",)) -> DataFrame:
     """Typed columns in declared order (null tokens -> NULL, dialect casts)."""
     return raw.select(*keep, *[typed_cell(F.col(v.label), v.fmt).alias(v.label) for v in entity.variables])
