@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import publish as P
+from tessera.plans import driver_model as M
 from tessera.plans import intake as IN
 from tessera.plans.queries import query
+from tessera.session import scratch_path
 from tessera.sources import delimited as DL
 from tessera.sources import dialect as DI
 
@@ -41,3 +44,50 @@ def q_sniff_dialect(spark, d):
             F.array_join("header", ",").alias("header"), "date_format", "timestamp_format"]
     return found.groupBy(segment, *same).agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"),
                                              F.sum("consistent_lines").alias("consistent_lines"))
+
+
+# ============================================================ K9 / K3 commits and parts
+TARGET_PARTS = 64
+
+
+@query("publish_two_runs",
+       "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE round(o_totalprice * 2, 2) END AS o_totalprice, "
+       "o_orderstatus FROM orders")
+def q_publish_two_runs(spark, d):
+    """The target after two runs that overlapped: the first publishes final and open orders, the second, which
+    commits while the first is about to, all that are not final at twice the price; the first takes them in.
+    Open orders are then as the first run has them, which is later."""
+    orders = M.orders_view(spark, d)
+    double = orders.withColumn("o_totalprice", F.round(F.col("o_totalprice") * 2, 2))
+    target = scratch_path(spark, "target")
+
+    def second(attempt):
+        if attempt == 0:
+            P.publish(spark, M.MODEL, {"orders": double.where("o_orderstatus <> 'F'")}, target, parts=TARGET_PARTS)
+
+    first = orders.where("o_orderstatus = 'F'").unionByName(double.where("o_orderstatus = 'O'"))
+    P.publish(spark, M.MODEL, {"orders": first}, target, parts=TARGET_PARTS, before_commit=second)
+    return P.read_target(spark, target, M.ORDERS).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice",
+                                                         "o_orderstatus")
+
+
+_PART_SQL = f"CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % {TARGET_PARTS} AS INTEGER)"
+
+
+@query("upsert_parts_rewritten",
+       f"WITH dear AS (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20), "
+       f"t AS (SELECT {_PART_SQL} AS part, count(*) AS rows FROM orders GROUP BY 1), "
+       f"s AS (SELECT {_PART_SQL} AS part, count(*) AS source_rows FROM dear GROUP BY 1) "
+       "SELECT t.part, t.rows, s.source_rows FROM t JOIN s USING (part)")
+def q_upsert_parts_rewritten(spark, d):
+    """The parts of a target of all orders that a correction of the twenty dearest rewrites, with their rows."""
+    orders = M.orders_view(spark, d)
+    target = scratch_path(spark, "target")
+    P.publish(spark, M.MODEL, {"orders": orders}, target, parts=TARGET_PARTS)
+    before = P.last_commit(spark, target).tables["orders"]
+    dear = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)     # a top-k report
+    P.publish(spark, M.MODEL, {"orders": dear.withColumn("o_orderpriority", F.lit("1-URGENT"))}, target)
+    after = P.last_commit(spark, target).tables["orders"]
+    made = [(int(k), p.rows) for k, p in after.parts.items() if before.parts.get(k) != p]    # one row a part
+    met = dear.groupBy(P.part_number(["o_orderkey"], TARGET_PARTS).alias("part")).agg(F.count(F.lit(1)).alias("source_rows"))
+    return spark.createDataFrame(made, "part int, rows long").join(F.broadcast(met), "part", "left")

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that shape the physical plans of this library.  They are only
@@ -112,6 +113,58 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(where).getLength())
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly below a path; none when it is not there."""
+    where, fs = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isFile())
+
+
+def read_small_file(spark: SparkSession, path: str) -> str:
+    """The text of a small file that the driver keeps."""
+    where, fs = _file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file whole and only if it is not there; False when another was first.
+
+    The text goes to a file of its own, which then takes the name in one step: by a
+    rename that refuses an existing name in the store's file system, by a hard link on
+    a local one, whose rename would replace."""
+    jvm = spark.sparkContext._jvm
+    where, fs = _file_system(spark, path)
+    fs.mkdirs(where.getParent())
+    own = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}-{uuid.uuid4().hex}")
+    stream = fs.create(own, False)
+    try:
+        stream.write(text.encode("utf-8"))
+    finally:
+        stream.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(own.toUri().getPath(), where.toUri().getPath())
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context.rename(own, where, none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(own, False)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with scheme and authority, as file listings print it."""
     where, fs = _file_system(spark, path)
