@@ -381,12 +381,22 @@ def _apart(rows: DataFrame, named: DataFrame, sets: DataFrame, percent: int) ->
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     spark = docs.sparkSession
-    buckets = max(partitions(spark), docs.count() // 4000)
+    docs_count = docs.count()
+    buckets = max(partitions(spark), docs_count // 4000)
     shown, path, left = _filtered(spark, _show(docs, buckets, width, percent), percent, False, "jaccard-shown")
     keys = shown.where("kind = 'key'").select("doc_id", "n", "h1", "h2")
-    classes = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    members = write_read(keys.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", "rep"), "jaccard-members")
-    reps = write_read(left.distinct().join(classes, ["h1", "h2", "n"]).select("rep"), "jaccard-reps")
+    key = ["h1", "h2", "n"]
+    classes = write_read(keys.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")), "jaccard-classes")
+    # classes with more than a fair share of the rows: a bounded number, broadcast, so that no task meets one of them whole
+    rows = docs_count // (4 * partitions(spark)) + 1
+    hot = classes.where(F.col("k") > rows).select(*key, F.col("rep").alias("hot"))
+    placed = keys.join(broadcast_checked(hot), key, "left")
+    members = write_read(
+        placed.where("hot IS NULL").drop("hot").join(classes.where(F.col("k") <= rows).drop("k"), key, "left")
+        .select("doc_id", "n", "rep")
+        .unionAll(placed.where("hot IS NOT NULL").select("doc_id", "n", F.col("hot").alias("rep"))), "jaccard-members")
+    reps = write_read(left.distinct().join(classes, key).select("rep"), "jaccard-reps")
     discard(spark, path)
 
     sets = _full_sets(docs, reps, width)

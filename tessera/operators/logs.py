@@ -5,6 +5,12 @@ file line numbers.  Each line is classified with ``regexp_extract``; the
 entity a "records read" line belongs to is carried forward from the last
 "table" line of the same file, and cast-error blocks are numbered by a
 running count of their first lines.
+
+What is carried never needs a whole log in one task.  Lines are dealt into chunks
+of ``CHUNK`` lines of a file; inside a chunk the last event and the running count
+come from a window over that chunk, one summary row a chunk gives what it hands
+on, and the summaries of a file are carried the same way, level by level, until one
+chunk holds all that is left.
 """
 
 from __future__ import annotations
@@ -13,6 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_ansi
+from tessera.session import write_read
+
+# Lines, or summaries of chunks, of one file that a window holds together.
+CHUNK = 10_000
 
 # The log lines recognised.
 MISSING_LINE = r'No file.*configuration of the "([\w ]+)" entity'
@@ -35,13 +45,32 @@ def _classified(lines: DataFrame) -> DataFrame:
                         grab(EXAMPLES_LINE).alias("examples"))
 
 
-def load_results(lines: DataFrame) -> DataFrame:
-    """``(file, entity, status, total_records)`` per log file and entity.
+def carry_forward(events: DataFrame, value: str, count: str, chunk: int | None = None) -> DataFrame:
+    """``events`` (file, line, ``value``, ``count``, ...) with ``value`` filled from the last row of the file
+    that has one and ``count`` summed up to each row, both in line order.  ``line`` counts from 1 in each file."""
+    chunk = chunk or CHUNK
+    rows = write_read(events.withColumn("_chunk", F.floor((F.col("line") - 1) / chunk).cast("long")), "events")
+    inside = Window.partitionBy("file", "_chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    filled = (rows.withColumn(value, F.last(value, ignorenulls=True).over(inside))
+              .withColumn(count, F.sum(count).over(inside)))
+    if rows.where("_chunk > 0").limit(1).count() == 0:
+        return filled.drop("_chunk")
+    # one row a chunk: what it hands on; chunks are the lines of the next level
+    handed = rows.groupBy("file", "_chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("line"))).alias("_v"),
+                                                F.sum(count).alias("_n"))
+    level = carry_forward(handed.select("file", (F.col("_chunk") + 1).alias("line"), "_v", "_n"), "_v", "_n", chunk)
+    # up to and with the chunk before
+    before = level.select("file", F.col("line").alias("_chunk"), F.col("_v").alias("_before"), F.col("_n").alias("_sum"))
+    return (filled.join(before, ["file", "_chunk"], "left")
+            .withColumn(value, F.coalesce(value, "_before")).withColumn(count, F.col(count) + F.coalesce("_sum", F.lit(0)))
+            .drop("_chunk", "_before", "_sum"))
+
 
-    The window runs per log file (one site's run, a few lines per entity)."""
-    c = _classified(lines)
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("entity", F.last("table", ignorenulls=True).over(w))
+def load_results(lines: DataFrame, chunk: int | None = None) -> DataFrame:
+    """``(file, entity, status, total_records)`` per log file and entity."""
+    told = _classified(lines).withColumn("_n", F.lit(0).cast("long"))
+    events = told.select("file", "line", "missing", "records", F.col("table").alias("entity"), "_n")
+    c = carry_forward(events, "entity", "_n", chunk)
     missing = c.where(F.col("missing").isNotNull()).select("file", F.col("missing").alias("entity"), "line",
                                                            F.lit("missing").alias("status"),
                                                            F.lit(0).cast("long").alias("total_records"))
@@ -54,11 +83,11 @@ def load_results(lines: DataFrame) -> DataFrame:
     return last.select("file", "entity", "_e.status", "_e.total_records")
 
 
-def cast_errors(lines: DataFrame) -> DataFrame:
+def cast_errors(lines: DataFrame, chunk: int | None = None) -> DataFrame:
     """``(file, variable, filename, affected_rows, examples)`` per error block."""
-    c = _classified(lines)
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("block", F.sum(F.when(F.col("variable").isNotNull(), 1).otherwise(0)).over(w))
+    told = _classified(lines).withColumn("block", F.when(F.col("variable").isNotNull(), 1).otherwise(0).cast("long"))
+    c = carry_forward(told.select("file", "line", "variable", "filename", "n_lines", "examples", "block",
+                                  F.lit(None).cast("string").alias("_v0")), "_v0", "block", chunk)
     return (c.where(F.col("block") > 0).groupBy("file", "block")
             .agg(F.max("variable").alias("variable"), F.max("filename").alias("filename"),
                  F.max("n_lines").alias("affected_rows"), F.max("examples").alias("examples"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import logs as LG
 from tessera.operators import publish as P
+from tessera.operators.common import file_line_numbers
 from tessera.plans import driver_model as M
 from tessera.plans import intake as IN
-from tessera.plans.queries import query
+from tessera.plans.queries import ORACLE, query
 from tessera.session import scratch_path
 from tessera.sources import delimited as DL
 from tessera.sources import dialect as DI
@@ -91,3 +93,27 @@ def q_upsert_parts_rewritten(spark, d):
     made = [(int(k), p.rows) for k, p in after.parts.items() if before.parts.get(k) != p]    # one row a part
     met = dear.groupBy(P.part_number(["o_orderkey"], TARGET_PARTS).alias("part")).agg(F.count(F.lit(1)).alias("source_rows"))
     return spark.createDataFrame(made, "part int, rows long").join(F.broadcast(met), "part", "left")
+
+
+# ============================================================ R6 one log of all sites
+def _all_sites_log(spark, d) -> str:
+    """The logs of all sites one after another in one log, each entity's lines under the site's name."""
+    key = (IN.ensure_checkpoint_dir(spark), d + "#onelog")
+    if key not in IN._CACHE:
+        site = F.regexp_extract(F.col("_metadata.file_path"), r"site=(\d+)", 1)
+        lines = spark.read.text(IN.site_logs(spark, d)).select(
+            site.cast("int").alias("site"), F.regexp_replace("value", r'"([\w ]+)"', F.concat(F.lit('"$1 '), site, F.lit('"'))).alias("text"),
+            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        IN._CACHE[key] = scratch_path(spark, "onelog")
+        numbered = file_line_numbers(lines)      # sites in the order of their files' names
+        numbered.select("line_number", "text").write.parquet(IN._CACHE[key])
+    return IN._CACHE[key]
+
+
+@query("log_of_all_sites", "SELECT CAST(site AS INTEGER) AS site, entity, status, total_records FROM (" + ORACLE["log_load_results"] + ")")
+def q_log_of_all_sites(spark, d):
+    """Load results read from one log that holds the lines of all sites, in chunks of 16 lines."""
+    lines = spark.read.parquet(_all_sites_log(spark, d)).select(F.lit("all").alias("file"), F.col("line_number").alias("line"), "text")
+    found = LG.load_results(lines, 16)
+    return found.select(F.split_part("entity", F.lit(" "), F.lit(2)).cast("int").alias("site"),
+                        F.split_part("entity", F.lit(" "), F.lit(1)).alias("entity"), "status", "total_records")

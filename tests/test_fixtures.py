@@ -193,7 +193,7 @@ def test_publish_orphans_range_and_atomicity(spark, cdm, workdir):
     rep = P.publish(spark, cdm, _stage(spark, cdm, workdir, women, follow), target,
                     quarantine_dir=os.path.join(workdir, "q"))
     assert rep["women_ent"]["rows"] == 3 and rep["followup_ent"] == {
-        "rows": 3, "staged": 4, "published": 3, "orphans": 1, "null_keys": 0}
+        "rows": 3, "staged": 4, "published": 3, "orphans": 1, "null_keys": 0, "rewritten": 1}
     q = spark.read.option("header", True).csv(os.path.join(workdir, "q", "errors_fk_followup_ent"))
     assert [r["woman_id"] for r in q.collect()] == ["W4"]
     v1 = P.current_version(spark, target)
