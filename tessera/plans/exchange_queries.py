@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators import logs as LG
 from tessera.operators import publish as P
+from tessera.operators import sketches as SK
 from tessera.operators.common import file_line_numbers
 from tessera.plans import driver_model as M
 from tessera.plans import intake as IN
 from tessera.plans.queries import ORACLE, query
-from tessera.session import scratch_path
+from tessera.session import scratch_path, write_read
 from tessera.sources import delimited as DL
 from tessera.sources import dialect as DI
 
@@ -117,3 +118,45 @@ def q_log_of_all_sites(spark, d):
     found = LG.load_results(lines, 16)
     return found.select(F.split_part("entity", F.lit(" "), F.lit(2)).cast("int").alias("site"),
                         F.split_part("entity", F.lit(" "), F.lit(1)).alias("entity"), "status", "total_records")
+
+
+# ============================================================ A8 / A10 profiles merged from segments
+SKETCHED = ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")
+SKETCHED_TIMES = ("l_shipdate",)
+
+
+def _incremental_sql() -> str:
+    bounded = "true AS quantiles_within, true AS distinct_within"
+    parts = [f"SELECT '{c}' AS variable, CAST(3 AS BIGINT) AS segments, count(*) AS rows, count({c}) AS n, CAST(min({c}) AS DOUBLE) AS min, "
+             f"CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
+             f"CAST(count_if({c} = 0) AS BIGINT) AS zeros, {bounded} FROM t" for c in SKETCHED]
+    parts += [f"SELECT '{c}', 3, count(*), count({c}), epoch_us(min({c})::TIMESTAMP)::DOUBLE, epoch_us(max({c})::TIMESTAMP)::DOUBLE, "
+              f"NULL, NULL, 0, {bounded} FROM t" for c in SKETCHED_TIMES]
+    return ("WITH t AS (SELECT * REPLACE (nullif(l_discount, 0.05) AS l_discount) FROM lineitem) " + " UNION ALL ".join(parts))
+
+
+@query("profile_incremental", _incremental_sql())
+def q_profile_incremental(spark, d):
+    """The profile of all line items merged from the sketches of three segments (by return flag), one appended after
+    another and the first twice; quantiles and distinct counts are held against exact ranks and counts."""
+    items = M.table(spark, d, "lineitem").withColumn("l_discount", F.expr("nullif(l_discount, 0.05)"))
+    root = scratch_path(spark, "sketches")
+    for flag in ("A", "N", "R", "A"):
+        SK.append_segment(items.where(F.col("l_returnflag") == flag), root, flag, SKETCHED, SKETCHED_TIMES)
+    got = write_read(SK.merged_profile(spark, root), "profile")
+    # the exact rank range of each estimate, one aggregate for all columns
+    asked = {r["variable"]: r["quantiles"] for r in got.collect()}        # one row a column
+    value = {**{c: F.col(c).cast("double") for c in SKETCHED},
+             **{c: F.unix_micros(F.col(c).cast("timestamp")).cast("double") for c in SKETCHED_TIMES}}
+    checks = []
+    for c, x in value.items():
+        n, ok = F.count(x), F.lit(True)
+        for p, q in zip(SK.QUANTILES, asked[c] or []):
+            ok = ok & (F.count_if(x < q) / n <= p + SK.RANK_ERROR) & (F.count_if(x <= q) / n >= p - SK.RANK_ERROR)
+        checks.append(F.struct(F.lit(c).alias("variable"), ok.alias("quantiles_within"), F.count_distinct(F.col(c)).alias("_exact")))
+    exact = items.agg(F.array(*checks).alias("_c")).select(F.inline("_c"))
+    near = F.abs(F.col("n_distinct") - F.col("_exact")) <= F.greatest(F.lit(1.0), F.col("_exact") * SK.DISTINCT_ERROR)
+    number = ~F.col("is_time")
+    return got.join(F.broadcast(exact), "variable").select(
+        "variable", "segments", "rows", "n", "min", "max", F.when(number, F.round("mean", 4)).alias("mean"),
+        F.when(number, F.round("std", 4)).alias("std"), "zeros", "quantiles_within", near.alias("distinct_within"))
