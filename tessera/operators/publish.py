@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.model import PUBLISH_TYPES, STRING_LIMIT, UNLIMITED_TEXT_LABELS, DataModel, Entity
 from tessera.operators import keys as K
 from tessera.operators.common import broadcast_checked
-from tessera.session import create_once, delete_path, file_names, path_exists, read_small_file, scratch_path
+from tessera.session import create_once, delete_path, file_names, intermediate_tables, path_exists, read_small_file, write_read
 
 PART_ROWS = 2_000_000      # rows of a part that a new table is dealt for
 OUTGROWN = 4               # a table is dealt anew when its parts hold this many times more
@@ -211,7 +211,7 @@ class _Run:
         self.spark, self.model, self.root, self.quarantine_dir, self.parts = spark, model, root, quarantine_dir, parts
         self.run_id = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f") + "-" + uuid.uuid4().hex[:8]
         self.done: dict[str, _Done] = {}
-        self.written, self.scratch = 0, []
+        self.written = 0
         self.entities = [e for e in model.load_order() if e.name in staged]
         self.given, self.append, self.staged = staged, append, {}
 
@@ -221,17 +221,11 @@ class _Run:
             if not ent.primary_key and ent.name not in self.append:
                 raise PublishError(f"{ent.name}: no primary key to upsert by")
             # stored once: the checks below and the merge read it, not the chain behind it
-            rows = self.store(self.given[ent.name].select(*ent.labels), "staged")
+            rows = write_read(self.given[ent.name].select(*ent.labels), "staged")
             if ent.primary_key and K.pk_duplicates(rows, list(ent.primary_key)).limit(1).count():
                 raise PublishError(f"{ent.name}: duplicate primary key")
             self.staged[ent.name] = rows
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        self.scratch.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def check(self, ent: Entity, parents: dict) -> _Done:
         """Put orphans aside, count, refuse what does not fit; the valid rows stored, narrowed."""
         src = self.staged[ent.name]
@@ -255,7 +249,7 @@ class _Run:
         if bad:
             raise PublishError(f"{ent.name}: NULL key or values out of target range in " + ", ".join(r["variable"] for r in bad))
         counts["published"] = counts["staged"] - counts["orphans"]
-        return _Done(parents, self.store(narrow(src, ent), "valid"), counts)
+        return _Done(parents, write_read(narrow(src, ent), "valid"), counts)
 
     def write(self, rows: DataFrame, ent: Entity, by_part: bool) -> dict[str, Part]:
         """Rows as files of this run, one folder a part; (part, rows) of what was written."""
@@ -331,22 +325,21 @@ def publish(spark: SparkSession, model: DataModel, staged: Mapping[str, DataFram
     """
     run, committed = _Run(spark, model, staged, root, quarantine_dir, append, parts), False
     try:
-        run.take()
-        for attempt in range(ATTEMPTS):
-            base = last_commit(spark, root)
-            tables = run.tables(base, fail_after)
-            if before_commit:
-                before_commit(attempt)
-            if _commit(spark, root, Commit(base.version + 1, run.run_id, tables)):
-                committed = True
-                mine = f"v={run.run_id}/"
-                return {e.name: {"rows": tables[e.name].rows, **run.done[e.name].counts,
-                                 "rewritten": sum(p.path.startswith(mine) for p in tables[e.name].parts.values())}
-                        for e in run.entities}
+        with intermediate_tables(spark):
+            run.take()
+            for attempt in range(ATTEMPTS):
+                base = last_commit(spark, root)
+                tables = run.tables(base, fail_after)
+                if before_commit:
+                    before_commit(attempt)
+                if _commit(spark, root, Commit(base.version + 1, run.run_id, tables)):
+                    committed = True
+                    mine = f"v={run.run_id}/"
+                    return {e.name: {"rows": tables[e.name].rows, **run.done[e.name].counts,
+                                     "rewritten": sum(p.path.startswith(mine) for p in tables[e.name].parts.values())}
+                            for e in run.entities}
         raise PublishError(f"other runs committed first {ATTEMPTS} times")
     finally:
-        for path in run.scratch:
-            delete_path(spark, path)
         if not committed:
             delete_path(spark, f"{root}/v={run.run_id}")
 

@@ -10,6 +10,7 @@ fails (the reference stops at the first failure; see README).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,9 @@ from tessera.model import DataModel, Entity
 from tessera.operators import audit as AU
 from tessera.operators import keys as K
 from tessera.operators.common import number_splits, store_splits
-from tessera.session import delete_path
+from tessera.session import delete_path, intermediate_tables, move_path
 from tessera.sources import delimited as D
+from tessera.sources.dialect import sniff_dialect
 
 
 @dataclass
@@ -87,35 +89,51 @@ def key_fault(table: DataFrame, entity: Entity) -> str | None:
     return None
 
 
-def load_model(spark: SparkSession, intake: str, model: DataModel, staging: str, encoding: str = "UTF-8") -> DataFrame:
+def load_model(spark: SparkSession, intake: str, model: DataModel, staging: str, encoding: str = "UTF-8",
+               dialects: bool = False) -> DataFrame:
     """Load every entity of ``model`` from the CSV files below ``intake``
-    into parquet tables ``<staging>/<entity>``; tables of an earlier load are
-    removed first.  Returns the load results: ``(entity, priority,
-    matched_files, rows_read, refused_files, status, reason)``."""
-    for ent in model.entities:
-        delete_path(spark, f"{staging}/{ent.name}")
-    paths = D.list_files(spark, intake)
-    headers = None
-    if paths:   # one row per file, read once for all entities
-        h = D.file_headers(spark, paths, encoding)
-        headers = spark.createDataFrame(h.collect(), h.schema)
-    rows = []
-    for i, ent in enumerate(model.load_order()):
-        res = load_entity(spark, headers, ent, encoding) if headers is not None else None
-        if res is None or res.table is None:
-            rows.append((ent.name, i, 0, 0, 0, "missing", None))
-            continue
-        path = f"{staging}/{ent.name}"
-        res.table.write.mode("overwrite").parquet(path)
-        stats = res.files.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "refused").alias("r"),
-                              F.min("reason").alias("reason")).first()
-        table = spark.read.parquet(path)
-        n_rows, reason = table.count(), stats["reason"]
-        fault = key_fault(table, ent)
-        if fault:
-            delete_path(spark, path)
-            n_rows, reason = 0, fault
-        status = "success" if n_rows > 0 else "fatal"
-        rows.append((ent.name, i, stats["n"], n_rows, stats["r"], status, reason))
+    into parquet tables ``<staging>/<entity>``.  Returns the load results: ``(entity, priority,
+    matched_files, rows_read, refused_files, status, reason)``.
+
+    New tables are written aside and take the place of an earlier load's when every
+    entity has been read; entities without rows have no table then.  A load that fails
+    leaves the earlier tables as they were, and no intermediate table either way.
+    With ``dialects`` each file is read in the dialect that its lines show (quote, escape,
+    preamble), else with the separator of its header and double quotes.
+    """
+    new = f"{staging}/_new-{uuid.uuid4().hex[:12]}"
+    rows, written = [], []
+    try:
+        with intermediate_tables(spark):
+            paths = D.list_files(spark, intake)
+            headers = None
+            if paths:   # one row per file, read once for all entities
+                h = D.dialect_headers(sniff_dialect(spark, paths, encoding)) if dialects else D.file_headers(spark, paths, encoding)
+                headers = spark.createDataFrame(h.collect(), h.schema)
+            for i, ent in enumerate(model.load_order()):
+                res = load_entity(spark, headers, ent, encoding) if headers is not None else None
+                if res is None or res.table is None:
+                    rows.append((ent.name, i, 0, 0, 0, "missing", None))
+                    continue
+                path = f"{new}/{ent.name}"
+                res.table.write.parquet(path)
+                stats = res.files.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "refused").alias("r"),
+                                      F.min("reason").alias("reason")).first()
+                table = spark.read.schema(res.table.schema).parquet(path)
+                n_rows, reason = table.count(), stats["reason"]
+                fault = key_fault(table, ent)
+                if fault:
+                    n_rows, reason = 0, fault
+                else:
+                    written.append(ent.name)
+                status = "success" if n_rows > 0 else "fatal"
+                rows.append((ent.name, i, stats["n"], n_rows, stats["r"], status, reason))
+        for ent in model.entities:
+            if ent.name in written:
+                move_path(spark, f"{new}/{ent.name}", f"{staging}/{ent.name}")
+            else:
+                delete_path(spark, f"{staging}/{ent.name}")
+    finally:
+        delete_path(spark, new)
     return spark.createDataFrame(rows, "entity string, priority int, matched_files long, rows_read long, "
                                        "refused_files long, status string, reason string")

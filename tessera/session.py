@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -90,10 +92,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+# Intermediate tables of the runs of this thread that have not ended, innermost last.
+_RUNS = threading.local()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the shared checkpoint folder for written tables; inside
+    :func:`intermediate_tables` it is removed when the block ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    runs = getattr(_RUNS, "open", [])
+    if runs:
+        runs[-1].append(path)
+    return path
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession):
+    """A run whose result is written when the block ends: the intermediate tables that were
+    made in it by this thread are removed then, also when it fails.  Nothing lazy that reads
+    them may leave the block."""
+    if not hasattr(_RUNS, "open"):
+        _RUNS.open = []
+    made: list[str] = []
+    _RUNS.open.append(made)
+    try:
+        yield made
+    finally:
+        _RUNS.open.remove(made)
+        for path in made:
+            delete_path(spark, path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application, at its end: lazy results that read
+    one can no longer be computed."""
+    delete_path(spark, scratch_root(spark))
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -171,6 +209,16 @@ def qualified(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(where).toString())
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Put the folder ``source`` in the place of ``target``."""
+    there, fs = _file_system(spark, target)
+    here, _ = _file_system(spark, source)
+    fs.delete(there, True)
+    fs.mkdirs(there.getParent())
+    if not fs.rename(here, there):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     where, fs = _file_system(spark, path)
     fs.delete(where, True)
