@@ -18,6 +18,12 @@ DEFAULT_SEPARATOR = "|"
 SCRIPT_EXTENSIONS = ("py", "r", "qmd")
 
 
+def scanned_path() -> Column:
+    """The path of the file that a scanned row comes from, as a listing prints it (the
+    scan's metadata has it percent-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def strip_ansi(line: Column) -> Column:
     return F.regexp_replace(line, ANSI_CODE, "")
 

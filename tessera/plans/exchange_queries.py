@@ -14,6 +14,7 @@ from tessera.plans.queries import ORACLE, query
 from tessera.session import scratch_path, write_read
 from tessera.sources import delimited as DL
 from tessera.sources import dialect as DI
+from tessera.sources import files as FS
 
 
 # ============================================================ S3 dialect search
@@ -160,3 +161,29 @@ def q_profile_incremental(spark, d):
     return got.join(F.broadcast(exact), "variable").select(
         "variable", "segments", "rows", "n", "min", "max", F.when(number, F.round("mean", 4)).alias("mean"),
         F.when(number, F.round("std", 4)).alias("std"), "zeros", "quantiles_within", near.alias("distinct_within"))
+
+
+# ============================================================ V1 / S11 manifests that read what changed
+def _order_files(spark, d, statuses, root) -> None:
+    """Orders of these statuses as text, one file for ``IN.DIALECT_KEYS`` order keys."""
+    o = M.table(spark, d, "orders").where(F.col("o_orderstatus").isin(*statuses))
+    rows = o.select("o_orderstatus", F.floor(F.col("o_orderkey") / IN.DIALECT_KEYS).alias("part"), "o_orderkey",
+                    F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("text"))
+    (rows.repartition("o_orderstatus", "part").sortWithinPartitions("o_orderstatus", "part", "o_orderkey")
+     .select("o_orderstatus", "part", "text").write.mode("append").partitionBy("o_orderstatus", "part").text(root))
+
+
+@query("manifest_delta",
+       "SELECT o_orderstatus AS segment, o_orderkey // " + str(IN.DIALECT_KEYS) + " AS part, "
+       "sha256(string_agg(CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10)) AS sha256, "
+       "CAST(sum(length(CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority) + 1) AS BIGINT) AS size, "
+       "CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE 'same' END AS status FROM orders GROUP BY ALL")
+def q_manifest_delta(spark, d):
+    """The second manifest of a folder: final and open orders are there from the first, pending ones are new."""
+    root = scratch_path(spark, "provenance")
+    _order_files(spark, d, ("F", "O"), root)
+    first = FS.manifest(spark, root)
+    _order_files(spark, d, ("P",), root)
+    second = FS.manifest(spark, root, previous=first).where(F.col("path").contains("part="))
+    return second.select(F.regexp_extract("path", "o_orderstatus=([A-Z])/", 1).alias("segment"),
+                         F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("part"), "sha256", "size", "status")

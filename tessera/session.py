@@ -134,7 +134,7 @@ def remove_scratch(spark: SparkSession) -> None:
     delete_path(spark, scratch_root(spark))
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -142,18 +142,18 @@ def _file_system(spark: SparkSession, path: str):
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, asked of the store that Spark itself reads.
     Only a missing path is False; any other error rises."""
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     return bool(fs.exists(where))
 
 
 def path_bytes(spark: SparkSession, path: str) -> int:
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     return int(fs.getContentSummary(where).getLength())
 
 
 def file_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the files directly below a path; none when it is not there."""
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     if not fs.exists(where):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isFile())
@@ -161,7 +161,7 @@ def file_names(spark: SparkSession, path: str) -> list[str]:
 
 def read_small_file(spark: SparkSession, path: str) -> str:
     """The text of a small file that the driver keeps."""
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     stream = fs.open(where)
     try:
         return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -176,7 +176,7 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     rename that refuses an existing name in the store's file system, by a hard link on
     a local one, whose rename would replace."""
     jvm = spark.sparkContext._jvm
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     fs.mkdirs(where.getParent())
     own = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}-{uuid.uuid4().hex}")
     stream = fs.create(own, False)
@@ -205,14 +205,14 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with scheme and authority, as file listings print it."""
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     return str(fs.makeQualified(where).toString())
 
 
 def move_path(spark: SparkSession, source: str, target: str) -> None:
     """Put the folder ``source`` in the place of ``target``."""
-    there, fs = _file_system(spark, target)
-    here, _ = _file_system(spark, source)
+    there, fs = file_system(spark, target)
+    here, _ = file_system(spark, source)
     fs.delete(there, True)
     fs.mkdirs(there.getParent())
     if not fs.rename(here, there):
@@ -220,7 +220,7 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    where, fs = _file_system(spark, path)
+    where, fs = file_system(spark, path)
     fs.delete(where, True)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.casting import DATE_SHAPE, NULL_TOKENS, try_parse, typed_cell
-from tessera.functions.text import first_line, infer_separator
+from tessera.functions.text import first_line, infer_separator, scanned_path
 from tessera.model import DataModel, Entity
 from tessera.operators.common import broadcast_checked
 from tessera.session import write_read
@@ -51,7 +51,7 @@ def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF
     def first(path: str):
         lines = spark.read.option("encoding", encoding).text(path)
         return (lines.where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-                .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header")).head())
+                .select(scanned_path().alias("file"), F.col("value").alias("header")).head())
 
     with ThreadPool(HEADER_JOBS) as pool:
         rows = [(r["file"], r["header"]) for r in pool.map(first, paths) if r is not None]
@@ -63,7 +63,7 @@ def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF
 def file_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per file, over all its lines: how many are not valid UTF-8, and how many hold an
     odd number of quotes (some cell then spans lines).  A splittable text scan, one aggregate."""
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(list(paths)).select(scanned_path().alias("file"), "value")
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
     return lines.groupBy("file").agg(F.count_if(~F.is_valid_utf8("value")).alias("invalid_lines"),
                                      F.count_if(quotes % 2 == 1).alias("open_quotes"))
@@ -142,7 +142,7 @@ def scan_text(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence
             options = {"sep": g.sep, "quote": g.quote, "escape": g.escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
             df = (spark.read.option("encoding", encoding).text(g.files)
                   .select(F.from_csv("value", ddl, options).alias("_c"),
-                          (F.trim("value") == "").alias("_blank"), F.col("_metadata.file_path").alias("_file"),
+                          (F.trim("value") == "").alias("_blank"), scanned_path().alias("_file"),
                           F.col("_metadata.file_block_start").alias("_block"))
                   .select(*[F.col(f"_c.`{c}`").alias(c) for c in labels], F.col("_c._corrupt").isNotNull().alias("_ragged"),
                           "_file", "_block", F.lit(g.skip).alias("_skip"), "_blank"))
@@ -157,7 +157,7 @@ def scan_text(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence
                   .option("quote", g.quote).option("escape", g.escape).option("multiLine", multi)
                   .csv(files)
                   .select(*labels, F.col("_corrupt").isNotNull().alias("_ragged"),
-                          F.col("_metadata.file_path").alias("_file"),
+                          scanned_path().alias("_file"),
                           F.col("_metadata.file_block_start").alias("_block"),
                           F.lit(None).cast("int").alias("_skip"), F.lit(False).alias("_blank")))
             out = df if out is None else out.unionByName(df)
@@ -253,7 +253,7 @@ def sniff_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     layouts seen in the file.  Lines are split on ``\n`` only, so a ``\r``
     before it stays visible."""
     lines = (spark.read.option("lineSep", "\n").text(list(paths))
-             .select(F.col("_metadata.file_path").alias("file"), "value"))
+             .select(scanned_path().alias("file"), "value"))
     # a cell of a date layout anywhere in the line (at the start or after a delimiter)
     layout_counts = [F.count_if(F.col("value").rlike(r"(^|[^0-9/-])" + rx.replace(r"^\s*", "")))
                      .alias(f"_d{i}") for i, (_, rx) in enumerate(DATE_LAYOUTS)]

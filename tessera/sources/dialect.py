@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.casting import DATE_SHAPE
+from tessera.functions.text import scanned_path
 
 # Delimiters tried, in order of preference.
 DELIMITERS = (",", "|", ";", "\t")
@@ -123,7 +124,7 @@ def sniff_dialect(spark: SparkSession, paths: Sequence[str], encoding: str = "UT
     with the file's number of cells; they must lie in the file's first split.  ``lines`` leaves out
     empty lines."""
     read = spark.read.option("lineSep", "\n").option("encoding", encoding).text(list(paths))
-    counts = line_counts(read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    counts = line_counts(read.select(scanned_path().alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                      "value"))
     of_file = counts.where("candidate = -1").select(
         "file", F.col("first").alias("start"), (F.col("lines") - F.col("empty")).alias("total"), "cr",

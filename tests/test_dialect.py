@@ -68,3 +68,16 @@ def test_load_takes_the_dialect_that_was_found(spark, workdir):
     assert [(r["line_number"], r["file_line"], int(r["s"]), r["town"]) for r in rows] == [
         (1, 1, 1, "plain"), (2, 2, 2, "x; y"), (3, 1, 3, 'he said "hi", twice'), (4, 1, 4, "last")]
     assert [(r["line_number"], r["value"]) for r in res.audit.collect()] == [(1, "five")]
+
+
+def test_files_with_odd_names_load(spark, workdir):
+    from tessera.plans.ingest import load_model
+    from tests.test_load_and_publish import MODEL
+
+    folder, staging = os.path.join(workdir, "in put"), os.path.join(workdir, "st")
+    write(folder, "site one+two 100%.csv", "s|town\n1|x\n")
+    write(folder, "é lab.csv", "l\n7\n")
+    got = {r["entity"]: r["rows_read"] for r in load_model(spark, folder, MODEL, staging).collect()}
+    assert got["site"] == 1 and got["lab"] == 1
+    got = {r["entity"]: r["rows_read"] for r in load_model(spark, folder, MODEL, staging, dialects=True).collect()}
+    assert got["site"] == 1 and got["lab"] == 1
