@@ -52,10 +52,10 @@ from tessera.session import scratch_path
 
 WIDTH = 5
 PERCENT = 75
-_FLUSH_TOKENS = 3_000_000
-_FLUSH_CLASSES = 60_000
+_FLUSH_TOKENS = 1_500_000
+_FLUSH_CLASSES = 30_000
 _SMALL = 24                 # common tokens that small sets must show
-_TEXTS_PER_BATCH = 2000
+_TEXTS_PER_BATCH = 1000
 _TILE_TOKENS = 200_000      # tokens of a tile of full sets, about
 _TILE_SETS = 1024
 _TILES_PER_BATCH = 16
