@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are
 written as Parquet to the shared folder and reread as the next stage's docs.
 Stages 1 to 4 return the columns of documents, the last one the packed pieces.
+
+Defined results, for every stage: a null or empty text is kept by the filters (it is no copy of
+another, toxic or contaminated) and stays as it is; rows without doc_id are documents of
+their own that only the toxicity and benchmark stages can drop; rows that share a doc_id are judged
+each by its text, but near copies take them as one document and keep the least; other
+columns than those of documents are left out; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -11,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, packing, pii, toxicity
-from tessera.llm.common import table, text_batches, write_read
+from tessera.llm.common import table, text_batches
+from tessera.session import delete_path, intermediate_tables, scratch_path
 
 _DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,9 +64,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  The intermediate tables of a stage end with it, and a stage's
+    result with the next one."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = write_read(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with intermediate_tables(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -19,6 +20,8 @@ from tessera.llm import html_text as H
 from tessera.llm import langid as L
 from tessera.llm import pii as P
 from tessera.llm import toxicity as T
+from tessera.llm.common import write_read
+from tessera.session import scratch_root
 from tests.conftest import SF_SMALL
 
 PAGE = ('<!DOCTYPE html><html><head><title>Not this</title><style>p{{}}</style><script>var a="</p>";</script></head><body>'
@@ -168,6 +171,34 @@ def test_many_addresses_in_one_text_take_linear_time():
             assert taken.meets(a, b) == any(x < b and a < y for x, y in ((5, 9), (0, 20), (30, 31)))
 
 
+def test_pipeline_leaves_only_its_result(spark):
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    got = corpus_pipeline.run(spark, SF_SMALL)
+    after = set(os.listdir(root))
+    assert got.count() > 0 and len(after - before) == 1 and (after - before).pop().startswith("pipeline-packing")
+
+
+def test_filters_of_the_pipeline_on_odd_rows(spark):
+    text = "a plain text of some words that nobody would mind and that stands here twice as it is"
+    rows = [(None, text, "en", "s", 3), (None, text, "en", "s", 3), (7, None, "en", "s", None), (7, "", None, None, 0),
+            (8, text, "en", "s", 1), (8, text + " or so", "en", "s", 1), (9, "word " * 50_000, "en", "s", 2)]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, "
+                                                                 "component_id string, score double")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF_SMALL)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, text), (None, text), (7, ""), (8, text), (9, "word " * 50_000)], key=str)
+    assert corpus_pipeline.drop_benchmark(spark, docs, SF_SMALL).count() == 7
+    clean = corpus_pipeline.redact_personal_data(spark, docs, SF_SMALL)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, docs.select(*clean.columns).collect()))
+    packed = corpus_pipeline.pack_windows(spark, docs, SF_SMALL)
+    assert packed.where("doc_id IS NULL").count() == 2
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.drop_benchmark, corpus_pipeline.redact_personal_data,
+                  corpus_pipeline.pack_windows):
+        assert stage(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
 def test_overlapping_spans_are_redacted_once():
     model = P.Model(np.zeros(P._DIM), P.estimate({}))
     assert P.redacted("a +4539578763621486 b 4539578763621486@x.yz c", model).count("[") == 2
@@ -284,7 +315,7 @@ def test_pipeline_stages(spark):
     columns = docs.columns
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.write_read(stage(spark, docs, SF_SMALL), f"test-{name}")
+        docs = write_read(stage(spark, docs, SF_SMALL), f"test-{name}")
         assert docs.columns == columns
         assert docs.join(before, "doc_id", "left_anti").count() == 0
         before = docs
@@ -303,7 +334,7 @@ def test_pipeline_stages(spark):
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.write_read(stage(spark, docs, SF_SMALL), f"test-empty-{name}")
+        docs = write_read(stage(spark, docs, SF_SMALL), f"test-empty-{name}")
         assert docs.count() == 0
 
 
