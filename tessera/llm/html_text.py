@@ -7,10 +7,17 @@ region with the greatest sum.  The region is widened to whole blocks and page
 furniture inside it is left out.
 
 The scores are log-odds counted over labelled pages: pages that mark their
-content with an ``article`` or ``main`` element (at most about ``MAX_LABELLED``
-of them, chosen by a hash of the id).  Pages without such an element are scored
+content with an ``article`` or ``main`` element (about ``MAX_LABELLED``
+of them, chosen by a hash of the page).  Pages without such an element are scored
 by the contexts alone.
 
+Class and id names are evidence, not proof.  An element that only its names mark is furniture
+unless it holds more than ``_MOST`` of the page's words outside links: then it is a wrapper of the
+page, whatever it is called, and its text scores like any other.  Names that classify a post
+(``category-...``, ``tag-...``) mark nothing.  Reader comments are left out in any element that is
+named after them, articles too, and everything inside.  The title of an article (``h1``) belongs
+to it also where it stands in the article's own header.
+
 Defined results: null html gives an empty text; a page with no word in a
 positive context gives an empty text; character references are decoded as
 HTML 5 does (an unknown one stays); a tag or comment that never closes runs to the
@@ -50,11 +57,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 # words of class and id names that mark furniture
 MARKS = frozenset("ad ads adv nav navbar menu menus header masthead topbar footer sidebar banner notice notices alert alerts"
                   " popup modal overlay consent gdpr widget widgets social share sharing related toolbar pager login"
-                  " signup search reply replies respond discussion teaser trending skip".split())
+                  " signup search discussion teaser trending skip".split())
 STEMS = ("advert", "sponsor", "cookie", "breadcrumb", "navig", "sidebar", "newsletter", "subscri", "promo", "recommend",
          "paginat", "disqus", "comment")
-# marks that also rule out an article element
-_ASIDE_ARTICLE = ("comment", "reply", "replies", "ad", "ads", "advert", "sponsor", "promo", "related", "teaser", "recommend")
+# marks that also rule out an article element, where they lead a name
+_ASIDE_ARTICLE = ("ad", "ads", "advert", "sponsor", "promo", "related", "teaser", "recommend")
+# words of names of reader comments, and first words of names that classify a post
+REPLIES = frozenset("reply replies respond response responses".split())
+TAXONOMY = frozenset("category cat tag type format status term".split())
 _NEGATED = frozenset("has with no is without".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>")
@@ -67,30 +77,37 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
          "th": ("td", "th"), "option": ("option",)}
 
 
-def _marked(names: str, article: bool) -> bool:
+_MOST = 0.5     # of a page's words; an element that holds more is no furniture by its names
+
+
+def _marked(names: str, article: bool) -> str:
+    """'replies' for reader comments, 'furniture' for other marks, '' for none."""
+    found = ""
     for name in names.lower().split():
         words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
-        if not words or words[0] in _NEGATED:
+        if not words or words[0] in _NEGATED or words[0] in TAXONOMY:
             continue
-        for w in words:
-            if article:
-                if any(w == m or (len(m) > 4 and w.startswith(m)) for m in _ASIDE_ARTICLE):
-                    return True
-            elif w in MARKS or w.startswith(STEMS):
-                return True
-    return False
+        if any(w in REPLIES or w.startswith("comment") for w in words):
+            return "replies"
+        if article:
+            if any(words[0] == m or (len(m) > 4 and words[0].startswith(m)) for m in _ASIDE_ARTICLE):
+                found = "furniture"
+        elif any(w in MARKS or w.startswith(STEMS) for w in words):
+            found = "furniture"
+    return found
 
 
 def _furniture(name: str, attrs: str) -> str:
-    """'' for content, 'soft' where an article inside still counts, 'hard' otherwise."""
+    """'' for content, 'named' for furniture by its names alone, 'soft' where an article inside still counts, 'hard' otherwise."""
     if name in FURNITURE:
         return "soft" if name in ("form", "header", "head") else "hard"
     if attrs and ("=" in attrs or "hidden" in attrs):
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
-            if key in ("class", "id") and name not in ("html", "body") and _marked(
-                    re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value), name in ("article", "main")):
-                return "hard" if name in ("article", "main") or "comment" in value.lower() else "soft"
+            if key in ("class", "id") and name not in ("html", "body"):
+                mark = _marked(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value), name in ("article", "main"))
+                if mark:
+                    return "hard" if mark == "replies" or name in ("article", "main") else "named"
             if key == "role" and value.lower() in ROLES:
                 return "soft"
             if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
@@ -105,16 +122,25 @@ class _Open:
         self.names: list[str] = []
         self.contexts = [("plain", False, "other")]   # one more than names
         self._hard = [False]
+        self._header = [False]                         # in an article's own header and no other furniture of it
         self._at: dict[str, list[int]] = {}            # places of each open name
         self._blocks: list[int] = []                   # places of open blocks
+        self.words = 0                                 # words outside links so far
+        self._named: list[tuple] = []                  # open elements marked by name: place, number, words before
+        self.spans: list[tuple] = []                   # closed ones: number, words inside
+        self.named = 0
 
     def push(self, name: str, mark: str) -> None:
         zone, link, kind = self.contexts[-1]
         hard = self._hard[-1] or mark == "hard"
+        header = self._header[-1]
         if name in ("article", "main"):
-            zone = "furniture" if hard else "article"   # soft furniture around an article does not count
+            zone, header = "furniture" if hard else "article", False   # soft furniture around an article does not count
         elif mark:
+            header = mark != "hard" and (zone == "article" or header) and (name == "header" or mark == "named")
             zone = "inset" if zone in ("article", "inset") else "furniture"
+        elif name == "h1" and header:
+            zone = "article"
         if name in BLOCKS:
             kind = "h" if name in _HEADINGS else name if name in _KINDS else "other"
             self._blocks.append(len(self.names))
@@ -122,6 +148,7 @@ class _Open:
         self.names.append(name)
         self.contexts.append((zone, link or name == "a", kind))
         self._hard.append(hard)
+        self._header.append(header)
 
     def cut(self, place: int) -> None:
         """Close the element at ``place`` and all inside it."""
@@ -132,6 +159,13 @@ class _Open:
                 self._blocks.pop()
             self.contexts.pop()
             self._hard.pop()
+            self._header.pop()
+            if self._named and self._named[-1][0] == len(self.names):
+                _, element, words = self._named.pop()
+                self.spans.append((element, self.words - words))
+
+    def hidden(self) -> bool:
+        return self._hard[-1]
 
     def last(self, name: str) -> int:
         places = self._at.get(name)
@@ -146,7 +180,11 @@ class _Open:
         if place >= 0 and (name in BLOCKS or name == "a" or place > self.block()):
             self.cut(place)
 
-    def open(self, name: str, mark: str) -> None:
+    def finish(self) -> list[tuple]:
+        self.cut(0)
+        return self.spans
+
+    def open(self, name: str, mark: str, wrappers: frozenset) -> None:
         if name == "body":
             self.cut(self.last("html") + 1)
         if name in BLOCKS and self.block() >= 0 and self.names[self.block()] == "p":
@@ -155,16 +193,26 @@ class _Open:
             same, limit = max(map(self.last, _SAME[name])), max(map(self.last, _LIMITS))
             if same > limit:
                 self.cut(same)
+        if mark == "named":
+            self._named.append((len(self.names), self.named, self.words))
+            mark = "" if self.named in wrappers else mark
+            self.named += 1
         self.push(name, mark)
 
 
-def parse(page: str) -> Iterator[tuple]:
+def parse(page: str) -> list[tuple]:
     """Page items in order: ("text", raw, context) and ("tag", name, breaks a block, furniture zone it touches or "").
 
     context: (zone, in link, kind of block); the zone is article, plain, furniture, or
     inset for furniture inside an article.
     """
     stack = _Open()
+    items = list(_parse(page, stack, frozenset()))
+    wrappers = frozenset(k for k, words in stack.finish() if words > _MOST * stack.words)
+    return list(_parse(page, _Open(), wrappers)) if wrappers else items
+
+
+def _parse(page: str, stack: _Open, wrappers: frozenset) -> Iterator[tuple]:
     at, n = 0, len(page)
     while at < n:
         before = stack.contexts[-1][0]
@@ -172,6 +220,8 @@ def parse(page: str) -> Iterator[tuple]:
         if lt != at:
             lt = n if lt < 0 else lt
             yield "text", page[at:lt], stack.contexts[-1]
+            if not stack.contexts[-1][1] and not stack.hidden():
+                stack.words += len(page[at:lt].split())
             at = lt
             continue
         m = _TAG.match(page, at)
@@ -198,7 +248,7 @@ def parse(page: str) -> Iterator[tuple]:
             end = page.find(">", found.end()) if found else -1
             at = n if end < 0 else end + 1
         elif name not in VOID and (not attrs.endswith("/") or name in BLOCKS):
-            stack.open(name, _furniture(name, attrs))
+            stack.open(name, _furniture(name, attrs), wrappers)
         yield "tag", ("/" if m[1] else "") + name, name in BLOCKS, next((z for z in ("furniture", "inset") if z in (before, stack.contexts[-1][0])), "")
 
 
@@ -218,7 +268,7 @@ def features(items: list[tuple], has_article: bool) -> Iterator[tuple[int, str,
 
 def label_counts(page: str) -> Counter | None:
     """Counts (feature, inside content) of a page that marks its content; None for others."""
-    items = list(parse(page))
+    items = parse(page)
     if not any(x[0] == "text" and x[2][0] == "article" and x[1].strip() for x in items):
         return None
     out, inside = Counter(), False
@@ -271,20 +321,26 @@ def weight_of(feature: str, learned: dict[str, float]) -> float:
     return max(-limit, min(math.log(p / (1 - p)), _TAG_CEILING if feature.startswith("t|") else limit))
 
 
-def extract(page: str | None, learned: dict[str, float]) -> str:
-    if not page:
-        return ""
-    items = list(parse(page))
-    has_article = any(x[0] == "text" and x[2][0] == "article" for x in items)
+def best_region(scored: list[tuple[int, float]]) -> tuple[float, int, int]:
+    """(sum, first, last) of the contiguous run of (item, score) with the greatest sum, the
+    first of equal ones; (0, 0, -1) when no score is above zero.  One scan."""
     best = (0.0, 0, -1)
     run, start = 0.0, 0
-    for i, f, k in features(items, has_article):
+    for i, score in scored:
         if run <= 0:
             run, start = 0.0, i
-        run += k * weight_of(f, learned)
+        run += score
         if run > best[0]:
             best = (run, start, i)
-    _, first, last = best
+    return best
+
+
+def extract(page: str | None, learned: dict[str, float]) -> str:
+    if not page:
+        return ""
+    items = parse(page)
+    has_article = any(x[0] == "text" and x[2][0] == "article" for x in items)
+    _, first, last = best_region([(i, k * weight_of(f, learned)) for i, f, k in features(items, has_article)])
     # whole blocks: widen to the block limits around the region
     while first > 0 and not (items[first - 1][0] == "tag" and items[first - 1][2]):
         first -= 1
@@ -304,17 +360,13 @@ def extract(page: str | None, learned: dict[str, float]) -> str:
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
-def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", max_labelled: int = MAX_LABELLED) -> dict[str, float]:
+def fit(pages: DataFrame, html_col: str = "html", max_labelled: int = MAX_LABELLED) -> dict[str, float]:
     """Feature weights from labelled pages: one row per feature comes back."""
-    n = pages.count()
-    usable = pages.select(F.col(html_col).alias("html"), F.col(id_col).alias("id")).where(
-        F.col("html").rlike(r"(?i)<(article|main)\b"))
+    # pages that mark their content; their number gives the share that is learned from
+    usable = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    n = usable.count()
     if n > max_labelled:
-        key = F.conv(F.substring(F.md5(F.concat(F.lit("page:"), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10)
-        # the id is tested first, so that only chosen pages are searched
-        usable = (pages.select(F.col(html_col).alias("html"), F.col(id_col).alias("id"))
-                  .where(key.cast("long") < int((1 << 48) * max_labelled / n))
-                  .where(F.col("html").rlike(r"(?i)<(article|main)\b")))
+        usable = usable.where(F.pmod(F.xxhash64("html"), F.lit(1 << 40)) < int((1 << 40) * max_labelled / n))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()

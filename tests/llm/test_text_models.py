@@ -97,6 +97,50 @@ def test_long_odd_texts_take_linear_time(text):
     assert time.time() - at < 5
 
 
+_WORDS = "<h1>Title here</h1><p>" + "some words of the article that go on and on " * 6 + "</p><p>" + "a second paragraph " * 8 + "</p>"
+_TEXT = "Title here\n" + ("some words of the article that go on and on " * 6).strip() + "\n" + ("a second paragraph " * 8).strip()
+
+
+@pytest.mark.parametrize("page", [
+    '<nav><a href=x>menu</a></nav><div class="content-sidebar-wrap">{}</div><footer>words at the foot</footer>',
+    '<div class="post category-social">{}</div>', '<div class="post tag-ads">{}</div>',
+    '<article class="post category-related">{}</article>', '<div class="discussion">{}</div>',
+    '<article>{}</article><div class="replies"><article><p>a reader says a thing or two about it</p></article></div>',
+    '<article>{}<section class="responses"><p>a reader says a thing</p></section></article>',
+    '<article>{}<div id="comments"><article class="x"><p>a reader says a thing</p></article></div></article>',
+    '<div class="layout"><div class="sidebar"><p>links and other things here</p></div>{}<div class="widget">more</div></div>',
+    '<div class="sidebar-left"><div class="menu-page">{}</div></div>'])
+def test_names_do_not_empty_a_page(page):
+    assert H.extract(f"<body>{page.format(_WORDS)}</body>", {}) == _TEXT
+
+
+def test_title_in_the_header_of_an_article():
+    rest = "<p>" + "words of text " * 20 + "</p>"
+    for head in ("<header><h1>Own title</h1><p>By someone</p></header>", '<div class="entry-header"><h1>Own title</h1><i>now</i></div>'):
+        got = H.extract(f"<body><header><h1>Site</h1></header><article>{head}{rest}</article></body>", {})
+        assert got == "Own title\n" + ("words of text " * 20).strip()
+
+
+def test_region_has_the_greatest_sum():
+    rng = random.Random(4)
+    for _ in range(300):
+        at = sorted(rng.sample(range(60), rng.randint(0, 25)))
+        scored = [(i, rng.choice([-3, -1, -0.5, 0.5, 1, 2])) for i in at]
+        total, first, last = H.best_region(scored)
+        sums = {(a, b): sum(v for _, v in scored[a:b + 1]) for a in range(len(scored)) for b in range(a, len(scored))}
+        assert total == max([0.0, *sums.values()])
+        if last >= 0:
+            assert total == sum(v for i, v in scored if first <= i <= last)
+
+
+def test_learning_takes_its_share_of_labelled_pages(spark):
+    pages = [(i, f"<body><article><p>{'inside ' * 30}{i}</p></article><p>out {i}</p></body>" if i % 50 == 0
+              else f"<body><p>plain {i}</p></body>") for i in range(3000)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    learned = H.fit(df, max_labelled=30)      # 60 of 3,000 pages are labelled: half of them are learned from
+    assert learned["w|article|0|p"] > 1 and H.fit(df.where("page_id % 50 > 0"), max_labelled=30) == {}
+
+
 def pii_rows():
     rng = random.Random(3)
     rows = []
