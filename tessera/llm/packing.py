@@ -8,10 +8,13 @@ largest imbalance are merged with their bins in opposite order, until one is
 left.  k starts at the least possible count and rises whenever the fullest
 window exceeds the capacity, so no window overflows and none is cut by hand.
 
-The groups are formed inside each input partition, so nothing is shuffled: a
-hot source, very long texts or thousands of copies change nothing but the number
-of rests.  A window id is the partition number above ``_LOCAL_BITS`` bits of the
-window's number in that partition, unique without a second pass.
+The groups are formed inside each input partition: a hot source, very long texts or
+thousands of copies change nothing but the number of rests.  What is left of a partition
+when no whole group is (below two groups) is not packed there: these rests of all partitions
+are dealt out in turn, about ``SECOND_PIECES`` to a task, and packed in a second,
+small round, so that the padding does not grow with the number of partitions.  A window
+id is the partition number above ``_LOCAL_BITS`` bits of the window's number in that
+partition, the second round's partitions following the first one's.
 
 Defined results: a null or empty text is one piece holding END_ID; every id,
 END_ID included, lies in exactly one piece; repeated rows are packed each;
@@ -30,12 +33,15 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import write_read
 from tessera.llm.tokenizing import default_vocab, encoder
 
 CAPACITY = 2048
 MAX_PIECE = 512       # a rest is cut so that a window holds at least four pieces
 GROUP_PIECES = 512    # rests that are balanced together
+SECOND_PIECES = 4096  # rests of a task of the second round, about
 _LOCAL_BITS = 40
+_SECOND = 1 << 22     # partition numbers of the second round begin here
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 DIGEST = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -108,6 +114,29 @@ def cut(n: int, capacity: int, max_piece: int) -> list[tuple[int, int]]:
     return out
 
 
+class _Packer:
+    """Windows of one task: rows of pieces with window and offset."""
+
+    def __init__(self, first: int, capacity: int):
+        self.base, self.made, self.capacity = first << _LOCAL_BITS, 0, capacity
+
+    def whole(self, piece: tuple) -> tuple:
+        self.made += 1
+        return (*piece, self.base + self.made - 1, 0)
+
+    def group(self, rests: list[tuple]) -> Iterator[tuple]:
+        """``rests``: (doc_id, start, length, ids, doc_tokens)."""
+        for window in balance(np.array([r[2] for r in rests], np.int64), self.capacity):
+            offset = 0
+            for i in window:
+                yield *rests[i], self.base + self.made, offset
+                offset += rests[i][2]
+            self.made += 1
+
+
+_COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, max_piece: int = MAX_PIECE, group_pieces: int = GROUP_PIECES,
          vocab: str | None = None, digest: bool = False) -> DataFrame:
     """Pieces of all documents with the window they lie in.
@@ -116,30 +145,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_piece: int = MAX_PIECE,
     ``digest`` its unsigned crc32 instead.  Windows are padded to ``capacity``
     by the reader.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocab or default_vocab()).batch
-        base, made = TaskContext.get().partitionId() << _LOCAL_BITS, 0
-        waiting: list[tuple] = []   # rests: (doc_id, start, ids, doc_tokens)
-
-        def flush(rests):
-            nonlocal made
-            sizes = np.array([len(r[2]) // 4 for r in rests], np.int64)
-            for window in balance(sizes, capacity):
-                offset = 0
-                for i in window:
-                    doc, start, ids, total = rests[i]
-                    yield doc, start, int(sizes[i]), ids, total, base + made, offset
-                    offset += int(sizes[i])
-                made += 1
-
-        def frame(rows):
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            if digest:
-                out["ids"] = [zlib.crc32(x) for x in out["ids"]]
-                out = out.rename(columns={"ids": "ids_crc32"})
-            return out
+    payload = "ids_crc32" if digest else "ids"
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[*_COLUMNS[:3], payload, *_COLUMNS[4:]])
+        for c in ("doc_id", "sequence_id", "offset"):
+            out[c] = out[c].astype("Int64")
+        return out
 
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(vocab or default_vocab()).batch
+        packer = _Packer(TaskContext.get().partitionId(), capacity)
+        waiting: list[tuple] = []
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part, rows = pdf.iloc[at:at + 512], []
@@ -148,19 +165,38 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_piece: int = MAX_PIECE,
                     total = len(ids) // 4
                     for start, size in cut(total, capacity, max_piece):
                         piece = ids[4 * start:4 * (start + size)]
+                        made = (doc, start, size, zlib.crc32(piece) if digest else piece, total)
                         if size == capacity:
-                            rows.append((doc, start, size, piece, total, base + made, 0))
-                            made += 1
+                            rows.append(packer.whole(made))
                         else:
-                            waiting.append((doc, start, piece, total))
+                            waiting.append(made)
                 while len(waiting) >= 2 * group_pieces:
-                    rows += flush(waiting[:group_pieces])
+                    rows += packer.group(waiting[:group_pieces])
                     del waiting[:group_pieces]
                 if rows:
                     yield frame(rows)
-        while waiting:   # at most two groups' worth is left: one group
-            rows = list(flush(waiting[:2 * group_pieces]))
-            del waiting[:2 * group_pieces]
-            yield frame(rows)
+        if waiting:      # for the second round
+            yield frame([(*r, None, None) for r in waiting])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, DIGEST if digest else PIECES)
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = _Packer(_SECOND + TaskContext.get().partitionId(), capacity)
+        waiting: list[tuple] = []
+        for pdf in batches:
+            ids = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
+            waiting += zip(ids, pdf["start"].tolist(), pdf["length"].tolist(), pdf[payload].tolist(), pdf["doc_tokens"].tolist())
+            while len(waiting) >= 2 * group_pieces:
+                yield frame(list(packer.group(waiting[:group_pieces])))
+                del waiting[:group_pieces]
+        if waiting:
+            yield frame(list(packer.group(waiting)))
+
+    schema = DIGEST if digest else PIECES
+    stored = write_read(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(first, schema), "packed")
+    rests = stored.where("sequence_id IS NULL")
+    tasks = -(-rests.count() // SECOND_PIECES)
+    placed = stored.where("sequence_id IS NOT NULL")
+    if not tasks:
+        return placed
+    # dealt in turn, so that copies spread; equal rows are equal pieces, whatever their order
+    dealt = rests.repartition(tasks).sortWithinPartitions("doc_id", "start", "length", payload)
+    return placed.unionAll(write_read(dealt.mapInPandas(second, schema), "packed-rests"))

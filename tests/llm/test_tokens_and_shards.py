@@ -108,6 +108,61 @@ def test_differencing_balances_and_never_overflows():
     assert abs(int(sums[0] - sums[1])) == 2
 
 
+def _splits(n, k):
+    """Ways to put n items into k bins, bins alike."""
+    def go(i, used):
+        if i == n:
+            yield []
+            return
+        for b in range(min(used + 1, k)):
+            for rest in go(i + 1, max(used, b + 1)):
+                yield [b, *rest]
+    return go(0, 0)
+
+
+def test_small_groups_against_every_split():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n, k = int(rng.integers(2, 8)), int(rng.integers(2, 4))
+        sizes = rng.integers(1, 40, n)
+        sums, bins = packing.difference(sizes, k)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and [int(sizes[b].sum()) for b in bins] == sums.tolist()
+        best = min(np.bincount(split, sizes, k).max() for split in _splits(n, k))
+        assert best <= sums.max() <= best * 4 / 3        # the method's known bound
+        capacity = int(max(sizes.max(), 60))
+        fewest = next(m for m in range(1, n + 1) if any(np.bincount(s, sizes, m).max() <= capacity for s in _splits(n, m)))
+        assert fewest <= len(packing.balance(sizes, capacity)) <= fewest + 1
+
+
+@pytest.mark.parametrize("parts", [4, 211])
+def test_padding_stays_little_over_many_partitions(spark, parts):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(table.repartition(parts), digest=True).select("doc_id", "start", "length", "sequence_id", "offset").toPandas()
+    windows = got.groupby("sequence_id").length.sum()
+    assert windows.max() <= packing.CAPACITY and got.length.sum() / (len(windows) * packing.CAPACITY) >= 0.98
+    assert not got.sequence_id.isna().any() and not got.duplicated(["sequence_id", "offset"]).any()
+
+
+def test_digests_of_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    at = Counter()
+    for r in sorted(packing.pack(table, digest=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids = np.array(library_ids(texts[r.doc_id]), "<u4")
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+        at[r.doc_id] += r.length
+    assert at == {d: len(library_ids(t)) for d, t in texts.items()}
+
+
+def test_rows_without_id_and_columns_named_as_the_result(spark):
+    rows = [(None, "copy of a text", 5, "a")] * 300 + [(1, "", 6, "b"), (2, None, 7, "c"), (3, "word " * 60_000, 8, "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, sequence_id long, offset string").repartition(7)
+    got = packing.pack(d).collect()
+    assert sum(r.doc_id is None for r in got) == 300 and {r.doc_id for r in got} == {None, 1, 2, 3}
+    assert sum(r.length for r in got if r.doc_id == 3) == len(library_ids(rows[-1][1]))
+
+
 def test_shards_match_the_mixture(spark):
     rows = [(i, "t" * (i % 50), "hot" if i % 3 == 0 else f"s{i % 4}" if i % 7 else None) for i in range(4000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("text", "shard")
