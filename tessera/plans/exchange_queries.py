@@ -14,6 +14,7 @@ from tessera.plans.queries import ORACLE, query
 from tessera.session import scratch_path, write_read
 from tessera.sources import delimited as DL
 from tessera.sources import dialect as DI
+from tessera.sources import encodings as EN
 from tessera.sources import files as FS
 
 
@@ -187,3 +188,28 @@ def q_manifest_delta(spark, d):
     second = FS.manifest(spark, root, previous=first).where(F.col("path").contains("part="))
     return second.select(F.regexp_extract("path", "o_orderstatus=([A-Z])/", 1).alias("segment"),
                          F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("part"), "sha256", "size", "status")
+
+
+# ============================================================ S8 encodings
+# Per language of documents the encoding that its files are written in, and a tail with signs of it.
+WRITTEN_IN = {"en": (EN.UTF8, ""), "fr": (EN.LATIN1, ""), "de": (EN.CP1252, " „so“ – 5 €"), "es": (EN.UTF16LE, "")}
+
+
+@query("encoding_scores",
+       " UNION ALL ".join(f"SELECT '{lang}' AS lang, '{e}' AS encoding, true AS sure FROM documents WHERE lang = '{lang}' "
+                          "HAVING count(*) > 0" for lang, (e, _) in WRITTEN_IN.items()))
+def q_encoding_scores(spark, d):
+    """Encoding found for the documents of each language, whole texts written in an encoding of its own."""
+    root = scratch_path(spark, "encodings")
+    docs = M.table(spark, d, "documents")
+    for lang, (encoding, tail) in WRITTEN_IN.items():
+        text = F.concat(F.regexp_replace("text", r"\r?\n", " "), F.lit(tail))
+        if encoding == EN.CP1252:
+            text = EN.as_cp1252(text)
+        (docs.where(F.col("lang") == lang).select(text.alias("text")).write.option("sep", "\x01").option("quote", "")
+         .option("encoding", EN.LATIN1 if encoding == EN.CP1252 else encoding).csv(f"{root}/lang={lang}"))
+    found = EN.encoding_scores(spark, DL.list_files(spark, root))
+    lang = F.regexp_extract("file", "lang=([a-z]+)/", 1).alias("lang")
+    # a language's files agree, or none of them counts
+    return (found.groupBy(lang).agg(F.collect_set("encoding").alias("_e"), F.min("confidence").alias("_c"))
+            .select("lang", F.array_join("_e", ",").alias("encoding"), (F.col("_c") >= EN.CONFIDENCE).alias("sure")))
