@@ -16,6 +16,7 @@ from tessera.sources import delimited as DL
 from tessera.sources import dialect as DI
 from tessera.sources import encodings as EN
 from tessera.sources import files as FS
+from tessera.sources import target_source as TS
 
 
 # ============================================================ S3 dialect search
@@ -213,3 +214,20 @@ def q_encoding_scores(spark, d):
     # a language's files agree, or none of them counts
     return (found.groupBy(lang).agg(F.collect_set("encoding").alias("_e"), F.min("confidence").alias("_c"))
             .select("lang", F.array_join("_e", ",").alias("encoding"), (F.col("_c") >= EN.CONFIDENCE).alias("sure")))
+
+
+# ============================================================ S10 the target as a data source
+@query("target_scan_pruned",
+       "WITH dear AS (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) "
+       "SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice, "
+       f"(SELECT count(DISTINCT CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % {TARGET_PARTS}) FROM dear) "
+       "AS parts_read FROM orders o JOIN dear USING (o_orderkey)")
+def q_target_scan_pruned(spark, d):
+    """The five dearest orders read from a published target of all orders by their keys, and how many parts were read."""
+    orders = M.orders_view(spark, d)
+    target = scratch_path(spark, "target")
+    P.publish(spark, M.MODEL, {"orders": orders}, target, parts=TARGET_PARTS)
+    keys = [int(r["o_orderkey"]) for r in orders.orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey").limit(5).collect()]
+    found = TS.read_target_source(spark, target, M.ORDERS).where(F.col("o_orderkey").isin(keys))
+    return found.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"),
+                        "o_orderstatus", "o_totalprice", F.lit(found.rdd.getNumPartitions()).cast("long").alias("parts_read"))
