@@ -121,10 +121,14 @@ def load_summary(load_status: DataFrame) -> DataFrame:
 
 
 def entity_counts(spark: SparkSession, tables: Mapping[str, DataFrame | None],
-                  priority: Sequence[str] = ()) -> DataFrame:
+                  priority: Sequence[str] = (), compat_all_zero: bool = False) -> DataFrame:
     """``(entity, priority, n_registries)``: one count per entity table,
-    unioned; a missing table counts 0 for itself only."""
+    unioned; a missing table counts 0 for itself only.  With ``compat_all_zero``
+    any missing table makes every count 0 (and no table is counted), as the
+    reference has it."""
     out = None
+    if compat_all_zero and any(df is None for df in tables.values()):
+        tables = dict.fromkeys(tables)
     for name, df in tables.items():
         prio = priority.index(name) if name in priority else UNKNOWN_PRIORITY
         part = (df.agg(F.count(F.lit(1)).alias("n_registries")) if df is not None

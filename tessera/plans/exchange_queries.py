@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tessera.operators import logs as LG
 from tessera.operators import publish as P
 from tessera.operators import sketches as SK
-from tessera.operators.common import file_line_numbers
+from tessera.operators import status as ST
+from tessera.operators.common import file_line_numbers, number_rows
 from tessera.plans import driver_model as M
 from tessera.plans import intake as IN
-from tessera.plans.queries import ORACLE, query
+from tessera.plans import report as RP
+from tessera.plans.queries import ENTITY_TABLES, ORACLE, query
 from tessera.session import scratch_path, write_read
 from tessera.sources import delimited as DL
 from tessera.sources import dialect as DI
@@ -231,3 +233,66 @@ def q_target_scan_pruned(spark, d):
     found = TS.read_target_source(spark, target, M.ORDERS).where(F.col("o_orderkey").isin(keys))
     return found.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"),
                         "o_orderstatus", "o_totalprice", F.lit(found.rdd.getNumPartitions()).cast("long").alias("parts_read"))
+
+
+# ============================================================ U1, R5, O1 / V2, V3 on the given tables
+@query("entity_counts_all_zero",
+       " UNION ALL ".join(f"SELECT '{t}' AS entity, {i} AS priority, CAST(count(*) * 0 AS BIGINT) AS n_registries FROM {t}"
+                          for i, t in enumerate(ENTITY_TABLES))
+       + f" UNION ALL SELECT 'returns', {ST.UNKNOWN_PRIORITY}, CAST(0 AS BIGINT)")
+def q_entity_counts_all_zero(spark, d):
+    """Counts where one declared table is missing, as the reference has them: all are 0."""
+    tables = {t: M.table(spark, d, t) for t in ENTITY_TABLES}
+    return ST.entity_counts(spark, {**tables, "returns": None}, ENTITY_TABLES, compat_all_zero=True)
+
+
+_STATUSES = ("customer", "orders", "lineitem")
+
+
+@query("load_summary_cases",
+       "WITH s AS (" + " UNION ALL ".join(f"SELECT count(*) AS n, count_if({k} IS NULL) AS none FROM {t}" for t, k in zip(
+           _STATUSES, ("c_custkey", "o_orderkey", "l_orderkey"))) + "), c AS ("
+       "SELECT 'all' AS loads, count_if(n > 0) AS entities_loaded FROM s UNION ALL SELECT 'none', count_if(none > 0) FROM s) "
+       "SELECT loads, entities_loaded, CASE WHEN entities_loaded = 0 THEN 'None of the uploaded files have been matched with an entity!' "
+       "ELSE 'Total number of entities that have been matched to an uploaded file: ' || entities_loaded END AS message FROM c")
+def q_load_summary_cases(spark, d):
+    """The outcome of a load of three tables, and of one that reads only their rows without a key: there are none."""
+    out = None
+    for case in ("all", "none"):
+        load = None
+        for t, k in zip(_STATUSES, ("c_custkey", "o_orderkey", "l_orderkey")):
+            rows = M.table(spark, d, t).where(F.lit(case == "all") | F.col(k).isNull())
+            one = rows.agg(F.lit(t).alias("entity"), F.lit(1).cast("long").alias("matched_files"), F.count(F.lit(1)).alias("rows_read"))
+            load = one if load is None else load.unionByName(one)
+        part = ST.load_summary(ST.entity_status(load)).select(F.lit(case).alias("loads"), "entities_loaded", "message")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_ARTIFACT_SQL = ("source || '_' || CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.log' ELSE '.HTML' END")
+
+
+@query("artifact_order",
+       f"WITH n AS (SELECT {_ARTIFACT_SQL} AS name, n_chars AS size, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(n_chars AS INTEGER)) "
+       "AS mtime, 'out/' || lang AS folder FROM documents) "
+       "SELECT row_number() OVER (ORDER BY lower(name) NOT LIKE '%.html', mtime DESC, name) AS place, name, "
+       "CASE WHEN lower(name) LIKE '%.log' THEN 'logs' ELSE 'analysis' END AS category, size, strftime(mtime, '%Y-%m-%d %H:%M') AS date, "
+       "coalesce(folder || '/', 'out/') || name AS path FROM n")
+def q_artifact_order(spark, d):
+    """Artifacts rendered from documents in the order of the catalog, html first, then newest first."""
+    ext = F.element_at(F.array(F.lit(".html"), F.lit(".log"), F.lit(".HTML")), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), ext)
+    stamp = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("n_chars").cast("long") * 60_000_000)
+    path = F.concat(F.lit("out/"), F.coalesce(F.concat("lang", F.lit("/")), F.lit("")), name)
+    files = M.table(spark, d, "documents").select(name.alias("name"), path.alias("rel_path"), F.col("n_chars").alias("size"), stamp.alias("mtime"))
+    placed = number_rows(RP.artifact_rows(files), [*RP.artifact_order(), "name"], "place")
+    return placed.select("place", "name", "category", "size", "date", "path")
+
+
+@query("version_stamps",
+       f"SELECT o_orderstatus, count(*) AS n, '{M.MODEL.version}' AS model_version, '{RP.ENGINE_VERSION}' AS engine_version, "
+       "'run-7' AS pipeline_version FROM orders GROUP BY 1")
+def q_version_stamps(spark, d):
+    """A result table with the versions of the model, the engine and the pipeline on every row."""
+    counts = M.table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return RP.version_stamp(counts, M.MODEL, "run-7")

@@ -74,11 +74,19 @@ def write_profiles(spark: SparkSession, model: DataModel, frames: Mapping[str, D
 def artifact_catalog(spark: SparkSession, outputs: str) -> DataFrame:
     """Files below ``outputs``: name, category, size, mtime, date, path;
     HTML first, then newest first.  File contents are not read."""
-    files = listing(spark, outputs)
+    return artifact_rows(listing(spark, outputs)).orderBy(*artifact_order())
+
+
+def artifact_order() -> list:
+    """HTML first, then newest first."""
+    return [~F.lower("name").endswith(".html"), F.desc("mtime")]
+
+
+def artifact_rows(files: DataFrame) -> DataFrame:
+    """``name, category, size, mtime, date, path`` of listed files (name, rel_path, size, mtime), hidden ones left out."""
     files = files.where(~F.col("name").startswith(".") & ~F.col("name").startswith("_"))
     return (files.select("name", artifact_category(F.col("rel_path"), F.col("name")).alias("category"), "size",
-                         "mtime", minute_stamp(F.col("mtime")).alias("date"), F.col("rel_path").alias("path"))
-            .orderBy(~F.lower("name").endswith(".html"), F.desc("mtime")))
+                         "mtime", minute_stamp(F.col("mtime")).alias("date"), F.col("rel_path").alias("path")))
 
 
 def script_catalog(spark: SparkSession, root: str) -> DataFrame:
