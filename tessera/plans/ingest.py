@@ -37,38 +37,49 @@ class LoadResult:
 def load_entity(spark: SparkSession, headers: DataFrame, entity: Entity, encoding: str = "UTF-8") -> LoadResult:
     """Read, parse and number the files of ``entity``.
 
-    Every cell is parsed once; next to the typed values only the raw text of
-    unparsable cells is kept (a sparse array).  File status, accepted rows and
-    the cast audit are all read from that stored table, each pruned to
-    the columns it needs."""
+    The text is read once: each line is parsed with the marks of its file's health beside
+    it, and every cell is typed then; next to the typed values only the raw text of
+    unparsable cells is kept (a sparse array).  Only files with a cell that spans lines
+    are read again, whole.  File status, accepted rows and the cast audit are all read from
+    that stored table, each pruned to the columns it needs."""
     groups = D.header_groups(headers, entity)
     if not groups:
         return LoadResult(entity.name, None, None, None)
-    names = [f for g in groups for f in g.files]
-    facts = spark.createDataFrame(   # one row per file
-        [(r["file"], r["invalid_lines"] if encoding == "UTF-8" else 0, r["open_quotes"])
-         for r in D.file_facts(spark, names).collect()] or [], "file string, invalid_lines long, open_quotes long")
-    spanning = [r["file"] for r in facts.where("open_quotes > 0").collect()]
-    raw = D.scan_text(spark, groups, entity.labels, encoding, spanning)
     cells = {v.label: iso_date(F.col(v.label), v.fmt) for v in entity.variables}
     bad = F.filter(F.array(*[F.when(AU.bad_cell(cells[v.label], v.fmt, "strict"),
                                     F.struct(F.lit(v.label).alias("variable"), F.col(v.label).alias("value")))
                              for v in entity.variables]), lambda x: x.isNotNull())
-    stored = store_splits(raw.select(*[typed_cell(cells[v.label], v.fmt).alias(v.label) for v in entity.variables],
-                                     bad.alias("_bad_cells"), "_ragged", "_file", "_block", "_skip", "_blank"))
-    if any(g.skip for g in groups):
-        stored = D.after_preamble(stored)
-    seen = (stored.groupBy(F.col("_file").alias("file"))
+    marks = ["_ragged", "_file", "_block", "_skip", "_blank", "_invalid", "_open"]
+
+    def parsed(raw: DataFrame) -> DataFrame:
+        return store_splits(raw.select(*[typed_cell(cells[v.label], v.fmt).alias(v.label) for v in entity.variables],
+                                       bad.alias("_bad_cells"), *marks))
+
+    stored = parsed(D.scan_text(spark, groups, entity.labels, encoding))
+    facts = [(r["_file"], r["i"], r["o"]) for r in stored.groupBy("_file").agg(      # one row per file
+        F.count_if("_invalid").alias("i"), F.count_if("_open").alias("o")).collect()]
+    before = {f for g in groups if g.skip for f in g.files}
+    spanning = [f for f, _, o in facts if o and f not in before]
+    plain = stored
+    if spanning:
+        plain = stored.where(~F.col("_file").isin(spanning))
+    rows = D.data_rows(plain.where("_skip IS NULL"))
+    if before:
+        rows = rows.unionByName(D.after_preamble(plain.where("_skip IS NOT NULL")))
+    if spanning:
+        rows = rows.unionByName(parsed(D.csv_rows(spark, groups, entity.labels, encoding, spanning)))
+    seen = (rows.groupBy(F.col("_file").alias("file"))
             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_bad_cells") > 0).alias("bad_rows"),
                  F.count_if("_ragged").alias("ragged_rows")))
     # files without a data row have facts only
-    files = facts.drop("open_quotes").join(seen, "file", "left").fillna(0, ["rows", "bad_rows", "ragged_rows"])
+    files = (spark.createDataFrame([f[:2] for f in facts], "file string, invalid_lines long")
+             .join(seen, "file", "left").fillna(0, ["rows", "bad_rows", "ragged_rows"]))
     reason = (F.when(F.col("invalid_lines") > 0, F.lit("invalid bytes")).when(F.col("ragged_rows") > 0, F.lit("ragged row"))
               .when(F.col("bad_rows") > 0, F.lit("cell not castable")))
     files = files.withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNotNull(), F.lit("refused")).otherwise(F.lit("loaded")))
     accepted = files.where("status = 'loaded'").select(F.col("file").alias("_file"))
-    numbered = number_splits(stored, accepted=accepted)
+    numbered = number_splits(rows, accepted=accepted)
     table = (numbered.where(F.col("line_number").isNotNull())
              .select("line_number", "file_line", "_file", *entity.labels))
     audit = (numbered.where(F.size("_bad_cells") > 0)

@@ -491,7 +491,7 @@ def q_file_sniff(spark, d):
     headers = _intake_headers(spark, d)
     out = None
     for g in DL.header_groups(headers, M.ORDERS):
-        raw = DL.scan_text(spark, [g], g.columns).withColumn("segment", _segment())
+        raw = DL.csv_rows(spark, [g], g.columns).withColumn("segment", _segment())
         s = DL.sniff(raw, g.columns, "segment")
         out = s if out is None else out.unionByName(s)
     seps = headers.select(_segment("file").alias("segment"), F.col("separator").alias("delimiter")).distinct()

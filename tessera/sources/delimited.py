@@ -60,15 +60,6 @@ def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF
     return heads.select("file", header.alias("header")).withColumn("separator", infer_separator(F.col("header")))
 
 
-def file_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per file, over all its lines: how many are not valid UTF-8, and how many hold an
-    odd number of quotes (some cell then spans lines).  A splittable text scan, one aggregate."""
-    lines = spark.read.text(list(paths)).select(scanned_path().alias("file"), "value")
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
-    return lines.groupBy("file").agg(F.count_if(~F.is_valid_utf8("value")).alias("invalid_lines"),
-                                     F.count_if(quotes % 2 == 1).alias("open_quotes"))
-
-
 def split_header(header: F.Column, sep: F.Column) -> F.Column:
     """Column names of a header line: split on the separator, quotes and
     blanks around each name removed."""
@@ -122,48 +113,63 @@ def dialect_headers(found: DataFrame) -> DataFrame:
         shown("quote"), shown("escape"), F.col("skipped_rows").cast("int").alias("skipped_rows"))
 
 
-def scan_text(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence[str], encoding: str = "UTF-8",
-              spanning: Sequence[str] = ()) -> DataFrame:
-    """All-text rows in declared order with ``_file``, ``_block``, ``_ragged`` (the row has too few or too
-    many cells) and ``_skip`` (NULL, or the place of the header line in files with a preamble).
+def scan_text(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    """All-text rows of files, one a line, in declared order, in one read of the text.
+
+    Next to the cells: ``_file``, ``_block``, ``_ragged`` (too few or too many cells), ``_invalid``
+    (bytes that are not UTF-8), ``_open`` (an odd number of quotes: some cell spans lines), ``_skip``
+    (the place of the header line in files with a preamble, else NULL) and ``_blank``.
 
-    Each group is read with its own dialect.  Files in ``spanning`` hold
-    cells with line breaks and are read whole by one task each; all others
-    stay splittable.  Files with a preamble are read line by line and stay splittable; all
-    their lines come back, to be cut by :func:`after_preamble` (a cell over several
-    lines is ragged there).  Quoted ``""`` reads as the empty text and a bare empty
-    cell as NULL; both are null tokens later.  ``NA`` is kept as text here.
+    Each group is parsed in its own dialect and stays splittable.  Every line comes back, the header
+    too, but empty lines only where a preamble is counted; :func:`data_rows` leaves the rows.  Quoted ``""`` reads as
+    the empty text and a bare empty cell as NULL; both are null tokens later.  ``NA`` is kept as text here.
     """
-    out, whole = None, set(spanning)
+    out = None
     for g in groups:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*g.columns, "_corrupt"]])
-        if g.skip:
-            ddl = ", ".join(f"`{c}` string" for c in schema.names)
-            options = {"sep": g.sep, "quote": g.quote, "escape": g.escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-            df = (spark.read.option("encoding", encoding).text(g.files)
-                  .select(F.from_csv("value", ddl, options).alias("_c"),
-                          (F.trim("value") == "").alias("_blank"), scanned_path().alias("_file"),
-                          F.col("_metadata.file_block_start").alias("_block"))
-                  .select(*[F.col(f"_c.`{c}`").alias(c) for c in labels], F.col("_c._corrupt").isNotNull().alias("_ragged"),
-                          "_file", "_block", F.lit(g.skip).alias("_skip"), "_blank"))
-            out = df if out is None else out.unionByName(df)
+        ddl = ", ".join(f"`{c}` string" for c in [*g.columns, "_corrupt"])
+        options = {"sep": g.sep, "quote": g.quote, "escape": g.escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        lines = spark.read.option("encoding", encoding).text(g.files).select(
+            "value", (F.trim("value") == "").alias("_blank"), scanned_path().alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"))
+        if not g.skip:
+            lines = lines.where("NOT _blank")
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(g.quote)))
+        invalid = ~F.is_valid_utf8("value") if encoding == "UTF-8" else F.lit(False)
+        df = (lines.select("*", F.from_csv("value", ddl, options).alias("_c"))
+              .select(*[F.col(f"_c.`{c}`").alias(c) for c in labels], F.col("_c._corrupt").isNotNull().alias("_ragged"),
+                      "_file", "_block", F.lit(g.skip or None).cast("int").alias("_skip"), "_blank", invalid.alias("_invalid"),
+                      (quotes % 2 == 1).alias("_open")))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def csv_rows(spark: SparkSession, groups: Sequence[ScanGroup], labels: Sequence[str], encoding: str = "UTF-8",
+             spanning: Sequence[str] | None = None) -> DataFrame:
+    """Rows, without headers, as the CSV reader gives them; columns as :func:`scan_text`.  With ``spanning``
+    only these files, whose cells hold line breaks, each read whole by one task."""
+    out, wanted = None, None if spanning is None else set(spanning)
+    for g in groups:
+        mine = [f for f in g.files if wanted is None or f in wanted]
+        if not mine:
             continue
-        for multi in (False, True):
-            files = [f for f in g.files if (f in whole) == multi]
-            if not files:
-                continue
-            df = (spark.read.schema(schema).option("header", True).option("sep", g.sep).option("encoding", encoding)
-                  .option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-                  .option("quote", g.quote).option("escape", g.escape).option("multiLine", multi)
-                  .csv(files)
-                  .select(*labels, F.col("_corrupt").isNotNull().alias("_ragged"),
-                          scanned_path().alias("_file"),
-                          F.col("_metadata.file_block_start").alias("_block"),
-                          F.lit(None).cast("int").alias("_skip"), F.lit(False).alias("_blank")))
-            out = df if out is None else out.unionByName(df)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*g.columns, "_corrupt"]])
+        df = (spark.read.schema(schema).option("header", True).option("sep", g.sep).option("encoding", encoding)
+              .option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+              .option("quote", g.quote).option("escape", g.escape).option("multiLine", wanted is not None).csv(mine)
+              .select(*labels, F.col("_corrupt").isNotNull().alias("_ragged"), scanned_path().alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block"), F.lit(None).cast("int").alias("_skip"),
+                      F.lit(False).alias("_blank"), F.lit(False).alias("_invalid"), F.lit(False).alias("_open")))
+        out = df if out is None else out.unionByName(df)
     return out
 
 
+def data_rows(stored: DataFrame) -> DataFrame:
+    """Rows stored by :func:`tessera.operators.common.store_splits` without the header lines: the first
+    line of each file's first split."""
+    heads = stored.where("_block = 0").groupBy("_split").agg(F.min("_mid").alias("_head"))     # one row a file
+    return (stored.join(broadcast_checked(heads), "_split", "left").where("_head IS NULL OR _mid > _head").drop("_head"))
+
+
 def after_preamble(stored: DataFrame) -> DataFrame:
     """Rows stored by :func:`tessera.operators.common.store_splits` without preambles, header
     and empty lines; ``_mid`` counts the rows that are left in each split, a bounded piece of a file."""

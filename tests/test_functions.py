@@ -114,7 +114,7 @@ def test_header_match_and_sniff(spark, workdir):
     m = sorted((os.path.basename(r["file"]), r["entity"]) for r in D.header_matches(h, model).collect())
     assert m == [("f1.csv", "a"), ("f1.csv", "b"), ("f2.csv", None)]
     groups = D.header_groups(h, model.entity("a"))
-    raw = D.scan_text(spark, groups, ["y", "x"])
+    raw = D.csv_rows(spark, groups, ["y", "x"])
     kinds = {r["name"]: r["type"] for r in D.sniff(raw, ["y", "x"]).collect()}
     assert kinds == {"y": "string", "x": "integer"}
     enc = {os.path.basename(r["file"]): r["encoding"] for r in FS.encoding_check(spark, [p1, p2]).collect()}
