@@ -8,14 +8,15 @@ aggregation, so a value that holds a third of the rows is collapsed before
 the shuffle and no per-column ``COUNT(DISTINCT)`` expansion is needed.
 
 Exact quantiles and the median absolute deviation are computed from that
-value-count table by a distributed rank search (range sort, per-partition
-prefix sums, a broadcast of the few target positions): no column's values
-meet in one task.  ``exact=False`` uses bounded sketches instead
+value-count table by a histogram-guided rank search: one aggregate narrows each to a
+bin, and only the rows of these bins are looked through (by the driver if they are
+few, else by a distributed search): no column's values meet in one task.  ``exact=False`` uses bounded sketches instead
 (``approx_percentile``, ``approx_count_distinct``), one pass cheaper.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,18 +84,15 @@ def numeric_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("variable", "x", "exact").agg(F.count(F.lit(1)).alias("n")))
 
 
-def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -> DataFrame:
-    """Exact quantiles (linear interpolation between closest ranks) from a
-    ``(variable, x, n)`` table of distinct values and counts, without putting
-    a column's values in one task.
+def _rank_search(vc: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(variable, k, x)``: the value at each target position ``(variable, k)`` of a ``(variable, x, n)``
+    table, without putting a variable's values in one task.
 
     The table is range-sorted on (variable, x) and stored with
     ``monotonically_increasing_id``.  Each row's first position is its
     partition's offset (prefix sums over one row per partition and variable)
     plus a running count inside its sort partition (a window bounded by the
-    partition).  The few positions a quantile needs are then looked up
-    through a broadcast of that small target table.
-    Returns ``(variable, <name> array<double>)`` in the order of ``probs``.
+    partition).  The few positions asked for are looked up through a broadcast.
     """
     tagged = (write_read(vc.orderBy("variable", "x").withColumn("_mid", F.monotonically_increasing_id()), "ranks")
               .withColumn("_part", F.shiftright(F.col("_mid"), 33)))
@@ -103,22 +101,83 @@ def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -
     blocks = tagged.groupBy("_part", "variable").agg(F.sum("n").alias("_bn"))
     before = Window.partitionBy("variable").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-    totals = blocks.groupBy("variable").agg(F.sum("_bn").alias("_total"))
-    probs_arr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
-    targets = (totals.select("variable", "_total", F.inline(probs_arr))
-               .withColumn("pos", F.col("prob") * (F.col("_total") - 1))
-               .select("variable", "qi", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("k")))
     rows = (local.join(F.broadcast(blocks.select("_part", "variable", "_off")), ["_part", "variable"])
             .select("variable", "x", (F.col("_off") + F.col("_local")).alias("_start"), "n"))
-    t = F.broadcast(targets)   # quantiles x 2 x columns rows
-    hits = rows.join(t, (rows["variable"] == t["variable"]) & (t["k"] >= rows["_start"])
-                     & (t["k"] < rows["_start"] + rows["n"])).select(rows["variable"], "qi", "pos", "k", "x")
-    per_q = hits.groupBy("variable", "qi", "pos").agg(
-        F.min_by("x", "k").alias("lo"), F.max_by("x", "k").alias("hi"))
-    value = F.col("lo") + (F.col("pos") - F.floor("pos")) * (F.col("hi") - F.col("lo"))
-    return (per_q.groupBy("variable")
-            .agg(F.array_sort(F.collect_list(F.struct("qi", value.alias("v")))).alias("_s"))
-            .select("variable", F.transform("_s", lambda s: s["v"]).alias(name)))
+    t = F.broadcast(targets)   # a few rows for each column
+    return rows.join(t, (rows["variable"] == t["variable"]) & (t["k"] >= rows["_start"])
+                     & (t["k"] < rows["_start"] + rows["n"])).select(rows["variable"], "k", "x")
+
+
+# Bins that one aggregate narrows a quantile to, and the rows of such bins that the driver looks through.
+QUANTILE_BINS = 512
+DRIVER_ROWS = 50_000
+
+
+def weighted_quantiles(vc: DataFrame, probs: Sequence[float], name: str = "q") -> DataFrame:
+    """Exact quantiles (linear interpolation between closest ranks) from a
+    ``(variable, x, n)`` table of finite values and counts (a value may stand in several rows), without a global sort.
+
+    One aggregate gives each variable's limits, a second the counts of ``QUANTILE_BINS``
+    bins of equal width between them; so every position that a quantile needs is
+    narrowed to one bin.  The rows of these bins come to the driver if they are at most
+    ``DRIVER_ROWS`` (counted by the second aggregate); else, where values crowd in a bin, they
+    are searched where they are (:func:`_rank_search`).
+    Returns ``(variable, <name> array<double>)`` in the order of ``probs``.
+    """
+    spark = vc.sparkSession
+    rows = vc.groupBy("variable").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total")).collect()
+    limits = {r["variable"]: r for r in rows}        # one row a column
+    schema = f"variable string, {name} array<double>"
+    if not limits:
+        return spark.createDataFrame([], schema)
+    known = F.broadcast(spark.createDataFrame([(v, r["lo"], r["hi"]) for v, r in limits.items()], "variable string, _lo double, _hi double"))
+    # halves, so that the widest range stays finite; every step keeps the order of x
+    place = (F.col("x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * QUANTILE_BINS
+    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(place), F.lit(QUANTILE_BINS - 1))).otherwise(0).cast("int")
+    binned = vc.join(known, "variable").select("variable", "x", "n", bin_of.alias("bin"))
+    bins: dict[str, list] = {}
+    for r in binned.groupBy("variable", "bin").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("x").alias("lo"),
+                                                   F.max("x").alias("hi")).orderBy("variable", "bin").collect():
+        bins.setdefault(r["variable"], []).append(r)
+    wanted = {v: [(float(p) * (r["total"] - 1)) for p in probs] for v, r in limits.items()}
+    value: dict[tuple, float] = {}                   # (variable, position) -> x
+    open_bins: dict[tuple, tuple] = {}               # (variable, bin) -> offset, rows, positions
+    for v, positions in wanted.items():
+        for k in sorted({f(pos) for pos in positions for f in (math.floor, math.ceil)}):
+            before = 0
+            for b in bins[v]:
+                if k < before + b["n"]:
+                    break
+                before += b["n"]
+            if b["lo"] == b["hi"]:
+                value[v, k] = b["lo"]
+            else:
+                open_bins.setdefault((v, b["bin"]), (before, b["rows"], []))[2].append(k)
+    if open_bins:
+        chosen = F.broadcast(spark.createDataFrame(list(open_bins), "variable string, bin int"))
+        left = binned.join(chosen, ["variable", "bin"])
+        if sum(n for _, n, _ in open_bins.values()) <= DRIVER_ROWS:
+            held: dict[tuple, list] = {}
+            for r in left.collect():
+                held.setdefault((r["variable"], r["bin"]), []).append((r["x"], r["n"]))
+            for (v, b), (before, _, positions) in open_bins.items():
+                at, todo = before, sorted(positions)
+                for x, n in sorted(held[v, b]):
+                    while todo and todo[0] < at + n:
+                        value[v, todo.pop(0)] = x
+                    at += n
+        else:
+            keyed = left.select(F.concat_ws("\u0001", "variable", "bin").alias("variable"), "x", "n")
+            targets = spark.createDataFrame([(f"{v}\u0001{b}", k - before) for (v, b), (before, _, ks) in open_bins.items() for k in ks],
+                                            "variable string, k long")
+            for r in _rank_search(keyed, targets).collect():     # one row a position
+                v, b = r["variable"].rsplit("\u0001", 1)
+                value[v, r["k"] + open_bins[v, int(b)][0]] = r["x"]
+    out = []
+    for v, positions in wanted.items():
+        ends = [(value[v, math.floor(p)], value[v, math.ceil(p)], p - math.floor(p)) for p in positions]
+        out.append((v, [lo + part * (hi - lo) for lo, hi, part in ends]))
+    return spark.createDataFrame(out, schema)
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True, sketch_mad: bool = False) -> DataFrame:
@@ -175,7 +234,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], exact: bool = True, sket
         per = weighted_quantiles(finite, QUANTILES, "q")
         med = per.select("variable", F.col("q")[2].alias("med"))
         devs = (finite.join(F.broadcast(med), "variable")     # one row per column
-                .groupBy("variable", F.abs(F.col("x") - F.col("med")).alias("x")).agg(F.sum("n").alias("n")))
+                .select("variable", F.abs(F.col("x") - F.col("med")).alias("x"), "n"))
         mad = weighted_quantiles(devs, (0.5,), "m").select("variable", F.col("m")[0].alias("mad"))
         out = out.join(per, "variable", "left").join(dist, "variable", "left").join(mad, "variable", "left")
     elif not sketch_mad:
