@@ -21,7 +21,7 @@ from tessera.session import scratch_path
 _POSITION_BITS = 33
 
 
-TEXT_ROWS = 1000   # rows of whole texts that travel to Python together
+TEXT_ROWS = 250    # rows of whole texts that travel to Python together
 CHUNK_LINKS = 1_000_000   # links that a task contracts together
 
 

@@ -55,7 +55,7 @@ PERCENT = 75
 _FLUSH_TOKENS = 1_500_000
 _FLUSH_CLASSES = 30_000
 _SMALL = 24                 # common tokens that small sets must show
-_TEXTS_PER_BATCH = 1000
+_TEXTS_PER_BATCH = 250
 _TILE_TOKENS = 200_000      # tokens of a tile of full sets, about
 _TILE_SETS = 1024
 _TILES_PER_BATCH = 16
