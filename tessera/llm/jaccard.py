@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, discard, local_components, partitions, rows_per_batch, write_read
 from tessera.llm.shingles import mix, set_keys, shingle_sets
+from tessera.llm.tokenizing import forget
 from tessera.operators.common import broadcast_checked
 from tessera.session import scratch_path
 
@@ -146,6 +147,7 @@ def _shown_frame(rows: list[tuple]) -> pd.DataFrame:
 def _show(docs: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
     """Keys of all documents, classes of each flush, and shown tokens by bucket of the token hash."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         flush = _Flush(buckets)
         for pdf in batches:
             rows = []

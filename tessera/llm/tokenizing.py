@@ -109,6 +109,11 @@ def encoder(vocab_file: str) -> Encoder:
     return Encoder(vocab_file)
 
 
+def forget() -> None:
+    """Drop this process's encoder and its tables; for workers that go on to work which needs the memory."""
+    encoder.cache_clear()
+
+
 def default_vocab() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")

@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, write_read
+from tessera.llm.tokenizing import forget
 
 BIN_BITS = 20
 GRAMS = (4, 5, 6, 8, 10)
@@ -244,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 def score_column(model: Model, text: str = "text") -> Column:
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for s in parts:
             yield pd.Series(model.scores(list(s)))
     return score(F.col(text))
