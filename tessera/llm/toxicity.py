@@ -140,11 +140,12 @@ class Model:
     bias: float
     prior: float
 
-    def scores(self, texts) -> np.ndarray:
+    def scores(self, texts, lut: np.ndarray | None = None) -> np.ndarray:
+        """``lut``: :func:`lookup` of the features, for callers with many batches."""
         out = np.zeros(len(texts))
         if self.prior <= 0:
             return out
-        for start, n, doc, f in presence(texts, lookup(self.features)):
+        for start, n, doc, f in presence(texts, lookup(self.features) if lut is None else lut):
             out[start:start + n] = np.bincount(doc, self.weights[f], minlength=n)
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -50, 50)))
 
@@ -246,8 +247,9 @@ def score_column(model: Model, text: str = "text") -> Column:
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forget()
+        lut = lookup(model.features)
         for s in parts:
-            yield pd.Series(model.scores(list(s)))
+            yield pd.Series(model.scores(list(s), lut))
     return score(F.col(text))
 
 
