@@ -81,3 +81,18 @@ def test_files_with_odd_names_load(spark, workdir):
     assert got["site"] == 1 and got["lab"] == 1
     got = {r["entity"]: r["rows_read"] for r in load_model(spark, folder, MODEL, staging, dialects=True).collect()}
     assert got["site"] == 1 and got["lab"] == 1
+
+
+def test_counts_are_a_hash_aggregate_of_one_row_a_line(spark):
+    """Neither a row for each line and candidate nor a text in the aggregate's buffer, which would make it sort."""
+    lines = spark.createDataFrame([("f", 0, "a,b"), ("f", 0, '1,"x"'), ("f", 0, "")], "file string, block long, value string")
+    counts = DI.line_counts(lines)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Generate" not in plan
+    assert sorted(r["lines"] for r in counts.collect()) == [1, 1, 1]
+
+
+def test_repeated_first_line_and_carriage_returns(spark, workdir):
+    got = sniffed(spark, workdir, {"same.csv": "a;b\r\na;b\r\na;b\r\n", "quotes.csv": 'a,b\n"x" y,1\n2,"p" q\n'})
+    assert got["same.csv"]["header"] == ["a", "b"] and got["same.csv"]["lines"] == 3 and got["same.csv"]["newline"] == "\\r\\n"
+    assert (got["quotes.csv"]["quote"], got["quotes.csv"]["n_columns"]) == ("", 2)
