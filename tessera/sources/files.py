@@ -69,17 +69,22 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()]})
 
     for b in batches:
-        for p, n, line in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), b.column("line").to_pylist()):
+        paths, sizes = b.column("path").to_pylist(), b.column("size").to_pylist()
+        values, at = b.column("line").to_pylist(), 0
+        while at < len(paths):      # the run of one file's lines, a whole batch but where files meet
+            p = paths[at]
+            to = len(paths) if paths[-1] == p else next(i for i in range(at, len(paths)) if paths[i] != p)
             if p != path:
                 if path is not None:
                     yield end()
-                path, size, seen, lines = p, n, 0, 0
+                path, size, seen, lines = p, sizes[at], 0, 0
                 with_mark, plain = hashlib.sha256(_BOM), hashlib.sha256()
+            text = b"\n".join(values[at:to])
             for digest in (with_mark, plain):
                 if lines:
                     digest.update(b"\n")
-                digest.update(line)
-            seen, lines = seen + len(line), lines + 1
+                digest.update(text)
+            seen, lines, at = seen + len(text) - (to - at - 1), lines + to - at, to
     if path is not None:
         yield end()
 

@@ -2,9 +2,26 @@
 
 from tessera.operators import common as OC
 from tessera.plans import driver_model as M
+from tessera.plans import intake as IN
 from tests.conftest import SF_SMALL
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intake_sorts_only_what_needs_an_order(spark, monkeypatch):
+    """Rows without a reported line number are not sorted; cells are rendered after the sort, not shuffled."""
+    seen = {}
+    monkeypatch.setattr(IN, "_write", lambda df, path, encoding="UTF-8": seen.update({path.rsplit("/", 1)[1]: _plan(df)}))
+    monkeypatch.setattr(IN, "_CACHE", {})
+    IN.intake(spark, SF_SMALL)
+    assert "Sort" not in seen["lineitem_all"] and "Sort" not in seen["orders_partial"]
+    for status in IN.SEGMENT_ORDERS:
+        above, _, below = seen[f"orders_{status}"].partition("Exchange")
+        assert "Sort" in above and "format_string" in above and "format_string" not in below
+
+
 def test_numbered_tables_are_stored_once(spark, monkeypatch):
     """The sorted rows are the stored table; numbering them writes no second copy."""
     monkeypatch.setattr(M, "_STAGED", {})
