@@ -1,8 +1,16 @@
 """Steps whose cost must not grow faster than their input: what their plans and stored tables show."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import casting as C
 from tessera.operators import common as OC
 from tessera.plans import driver_model as M
+from tessera.plans import ingest as IG
 from tessera.plans import intake as IN
+from tessera.plans import queries as Q
 from tests.conftest import SF_SMALL
 
 
@@ -10,6 +18,34 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_load_types_each_cell_once(spark, monkeypatch):
+    """The typed value also tells whether the cell is bad; it used to be parsed again for that."""
+    seen = []
+    keep = IG.store_splits
+    monkeypatch.setattr(IG, "store_splits", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    IG.load_entity(spark, Q._intake_headers(spark, SF_SMALL), M.ORDERS)
+    groups = len(IN.SEGMENT_ORDERS)
+    assert seen[0].count("[0-9]{4}[-/][0-9]{1,2}") == groups      # the one date column of each header order
+
+
+def test_plain_doubles_are_not_formatted(spark):
+    """Short texts come from the engine; they are those of the slow search for the shortest."""
+    random.seed(7)
+    values = [round(random.uniform(-2e6, 2e6), random.randint(0, 12)) for _ in range(3000)]
+    values += [random.uniform(-1e8, 1e8) for _ in range(500)] + [0.0, 1e-3, 2e-3, 9.5e6, 1e7, 0.1 + 0.2, 123456789012345.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(C.canonical_text(F.col("x"), "double")).collect()] == [repr(v) for v in values]
+
+
+@pytest.mark.parametrize("text,fmt,want", [
+    ("12", "integer", "12"), ("007", "integer", "7"), ("1e3", "integer", "1000"), ("99999999999999999999", "integer", "99999999999999999999"),
+    ("1.5d", "double", None), ("1.5", "double", "1.5"), ("2020-01-02", "datetime", "2020-01-02 00:00:00"),
+    ("2020-02-30", "datetime", None), ("2020/1/2 10:11", "datetime", "2020-01-02 10:11:00")])
+def test_quick_and_slow_parses_agree(spark, text, fmt, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(C.typed_cell(F.col("t"), fmt).cast("string")).first()[0] == want
+
+
 def test_intake_sorts_only_what_needs_an_order(spark, monkeypatch):
     """Rows without a reported line number are not sorted; cells are rendered after the sort, not shuffled."""
     seen = {}
