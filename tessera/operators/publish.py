@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import PUBLISH_TYPES, STRING_LIMIT, UNLIMITED_TEXT_LABELS, DataModel, Entity
 from tessera.operators import keys as K
-from tessera.operators.common import broadcast_checked
+from tessera.operators.common import STORED_CODEC, broadcast_checked
 from tessera.session import create_once, delete_path, file_names, intermediate_tables, path_exists, read_small_file, write_read
 
 PART_ROWS = 2_000_000      # rows of a part that a new table is dealt for
@@ -221,7 +221,7 @@ class _Run:
             if not ent.primary_key and ent.name not in self.append:
                 raise PublishError(f"{ent.name}: no primary key to upsert by")
             # stored once: the checks below and the merge read it, not the chain behind it
-            rows = write_read(self.given[ent.name].select(*ent.labels), "staged")
+            rows = write_read(self.given[ent.name].select(*ent.labels), "staged", STORED_CODEC)
             if ent.primary_key and K.pk_duplicates(rows, list(ent.primary_key)).limit(1).count():
                 raise PublishError(f"{ent.name}: duplicate primary key")
             self.staged[ent.name] = rows
@@ -249,7 +249,7 @@ class _Run:
         if bad:
             raise PublishError(f"{ent.name}: NULL key or values out of target range in " + ", ".join(r["variable"] for r in bad))
         counts["published"] = counts["staged"] - counts["orphans"]
-        return _Done(parents, write_read(narrow(src, ent), "valid"), counts)
+        return _Done(parents, write_read(narrow(src, ent), "valid", STORED_CODEC), counts)
 
     def write(self, rows: DataFrame, ent: Entity, by_part: bool) -> dict[str, Part]:
         """Rows as files of this run, one folder a part; (part, rows) of what was written."""

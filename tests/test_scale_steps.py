@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import casting as C
+from tessera.model import ForeignKey
 from tessera.operators import common as OC
+from tessera.operators import keys as K
 from tessera.plans import driver_model as M
 from tessera.plans import ingest as IG
 from tessera.plans import intake as IN
@@ -74,3 +76,13 @@ def test_numbering_of_no_rows_and_one(spark):
     df = spark.createDataFrame([(5,)], "k int")
     assert OC.number_rows(df.where("k < 0"), ["k"]).collect() == []
     assert [tuple(r) for r in OC.number_rows(df, ["k"]).collect()] == [(5, 1)]
+
+
+def test_orphans_are_marked_once(spark, monkeypatch):
+    """Both halves of a split read one stored table: too many orphan keys for a broadcast shuffle the child once."""
+    monkeypatch.setattr(K, "store_side", lambda df: OC.store_side(df, max_rows=0))
+    child = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "k int, v string")
+    parent = spark.createDataFrame([(1,)], "p int")
+    orphans, valid = K.split_orphans(child, parent, ForeignKey(("k",), "parent", ("p",)))
+    assert "Join" not in _plan(orphans) and set(orphans.inputFiles()) == set(valid.inputFiles())
+    assert sorted(map(tuple, orphans.collect())) == [(2, "b"), (2, "c")] and valid.collect() == [(1, "a")]
