@@ -8,7 +8,9 @@ Plan shape per entity (instead of one query per check):
   value exploded into ``(kind, check, value, line)`` and anti-joined once
   against the union of all code lists (broadcast after a size check);
 * bounded reports from that stream: first lines per check by a window group
-  limit, first distinct values per check from a per-value partial aggregate.
+  limit, first distinct values per check from a per-value partial aggregate;
+* a table without stored line numbers is not sorted for them: the lines a report
+  names are found by their order and numbered by counting the rows before them.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.casting import canonical_text, try_parse
 from tessera.model import Entity, Rule
 from tessera.operators.common import BROADCAST_MAX_ROWS, broadcast_checked, first_n, with_tail
+from tessera.session import write_read
 
 # How many lines / values a report lists before "+k lines".
 REPORT_LINES = 10
@@ -187,10 +190,11 @@ def catalog_codes(checks: Sequence[CatalogCheck]) -> DataFrame | None:
     return out.distinct()
 
 
-def violation_stream(df: DataFrame, line_col: str, rules: Sequence[RuleCheck] = (),
+def violation_stream(df: DataFrame, line_col: str | Column, rules: Sequence[RuleCheck] = (),
                      catalogs: Sequence[CatalogCheck] = ()) -> DataFrame:
     """``(kind, check, value, line)`` for every failing rule row and every
-    non-NULL value outside its catalog; one scan.  Inlined code lists are a
+    non-NULL value outside its catalog; one scan.  ``line_col`` names the line
+    number; another place of a row is given as a column and stays as it is.  Inlined code lists are a
     set-membership predicate; the others meet one anti join against the
     union of their code lists (broadcast when the size is known or proven)."""
     items = []
@@ -207,7 +211,8 @@ def violation_stream(df: DataFrame, line_col: str, rules: Sequence[RuleCheck] =
     if not items:
         schema = "kind string, check string, value string, line long"
         return df.sparkSession.createDataFrame([], schema)
-    stream = (df.select(F.col(line_col).cast("long").alias("line"),
+    line = F.col(line_col).cast("long") if isinstance(line_col, str) else line_col
+    stream = (df.select(line.alias("line"),
                         F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
               .select("kind", "check", "value", "line"))
     joined = [c for c in catalogs if c.inline is None]
@@ -297,6 +302,10 @@ def check_report(stream: DataFrame, n_lines: int = REPORT_LINES, n_values: int =
     vals = first_n(per_value, ["kind", "check"], "first_line", F.struct("value", "n"), n_values, "values")
     vals = vals.select("kind", "check", F.filter(F.transform("values", lambda v: v["value"]),
                                                  lambda x: x.isNotNull()).alias("values"))
+    return _joined_report(sums, firsts, vals, n_lines, n_values)
+
+
+def _joined_report(sums: DataFrame, firsts: DataFrame, vals: DataFrame, n_lines: int, n_values: int) -> DataFrame:
     empty = F.array().cast("array<string>")
     return (sums.join(firsts, ["kind", "check"], "left").join(vals, ["kind", "check"], "left")
             .select("kind", "check", "total_wrong_lines",
@@ -306,6 +315,70 @@ def check_report(stream: DataFrame, n_lines: int = REPORT_LINES, n_values: int =
                     .alias("wrong_values")))
 
 
+def first_rows(df: DataFrame, order_col: str, rules: Sequence[RuleCheck], catalogs: Sequence[CatalogCheck],
+               n: int = REPORT_LINES) -> DataFrame:
+    """``(kind, check, line, id)``: the first ``n`` wrong rows of each check in the order of the struct
+    ``order_col``, their place as ``line``; stored, at most ``n`` rows a check.
+
+    A bounded top list per check and task: the rows are neither sorted nor shuffled."""
+    out = None
+    for rule, cat in [((r,), ()) for r in rules] + [((), (c,)) for c in catalogs]:
+        part = violation_stream(df, F.col(order_col), rule, cat).select("kind", "check", "line").orderBy("line").limit(n)
+        out = part if out is None else out.unionByName(part)
+    return write_read(out.withColumn("id", F.monotonically_increasing_id()), "first-rows")
+
+
+def line_numbers_of(df: DataFrame, order_col: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`first_rows` with the ``line_number`` that
+    :func:`tessera.operators.common.number_rows` gives them in the order of ``order_col``.
+
+    A line number is the count of rows before the row plus its place among equal rows (all of
+    which fail the same checks).  One scan; only counts are shuffled."""
+    here = df.select(F.col(order_col).alias("_row"))
+    last = F.broadcast(rows.agg(F.max("line").alias("_last")))                 # one row; most rows lie behind it
+    places = F.broadcast(rows.select("id", F.col("line").alias("_place")))     # as many rows as a report names
+    before = (here.join(last, F.col("_row") < F.col("_last")).join(places, F.col("_row") < F.col("_place"))
+              .groupBy("id").agg(F.count(F.lit(1)).alias("_before")))
+    among = F.row_number().over(Window.partitionBy("kind", "check", "line").orderBy("id"))
+    return (rows.join(before, "id", "left")
+            .select("kind", "check", (F.coalesce("_before", F.lit(0)) + among).cast("long").alias("line_number")))
+
+
+def ordered_report(df: DataFrame, order_col: str, rules: Sequence[RuleCheck], catalogs: Sequence[CatalogCheck],
+                   n_lines: int = REPORT_LINES, n_values: int = REPORT_VALUES) -> DataFrame:
+    """:func:`check_report` of a table without line numbers, whose rows stand in the order of the
+    struct ``order_col`` (a total order).
+
+    Totals and values come from one partial aggregate that keeps each value's smallest leading
+    order field; only values that can be among the first ``n_values`` by it are looked up
+    again, in the rows that hold it, to be put in their full order."""
+    rules = [r for r in rules if r.column is not None]
+    if not rules and not catalogs:
+        return check_report(violation_stream(df, F.col(order_col)), n_lines, n_values)
+    lead = df.schema[order_col].dataType.fields[0].name
+    per_value = (violation_stream(df, F.col(order_col)[lead], rules, catalogs).groupBy("kind", "check", "value")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("_min"), F.count("line").alias("_given")))
+    # a NULL comes first in the order
+    per_value = write_read(per_value.select("kind", "check", "value", "n", F.when(F.col("_given") == F.col("n"), F.col("_min"))
+                                            .alias("_lead")), "wrong-values")
+    sums = per_value.groupBy("kind", "check").agg(F.sum("n").alias("total_wrong_lines"),
+                                                  F.count("value").alias("n_wrong_values"))
+    lines = line_numbers_of(df, order_col, first_rows(df, order_col, rules, catalogs, n_lines))
+    firsts = first_n(lines, ["kind", "check"], "line_number", F.col("line_number").cast("string"), n_lines, "lines")
+    if not catalogs:
+        none = per_value.select("kind", "check", F.array("value").alias("values")).where(F.lit(False))
+        return _joined_report(sums, firsts, none, n_lines, n_values)
+    near = broadcast_checked(per_value.where("value IS NOT NULL")
+                             .withColumn("_rank", F.rank().over(Window.partitionBy("kind", "check").orderBy("_lead")))
+                             .where(F.col("_rank") <= n_values).select("check", "value", "_lead"))
+    listed = violation_stream(df, F.col(order_col), (), catalogs).alias("s")
+    first = (listed.join(near.alias("v"), F.expr("s.check = v.check AND s.value = v.value")
+                         & F.col(f"s.line.`{lead}`").eqNullSafe(F.col("v._lead")))
+             .groupBy("s.kind", "s.check", "s.value").agg(F.min("s.line").alias("first")))
+    vals = first_n(first, ["kind", "check"], "first", "value", n_values, "values")
+    return _joined_report(sums, firsts, vals, n_lines, n_values)
+
+
 def catalog_report(df: DataFrame, checks: Sequence[CatalogCheck], line_col: str = "line_number",
                    stream: DataFrame | None = None) -> DataFrame:
     """One row per catalog check, zeros included: ``(cat_index, variable,
@@ -361,16 +434,17 @@ def _isolate(df: DataFrame, checks: list[RuleCheck]) -> list[RuleCheck]:
 
 def validate_entity(df: DataFrame, entity: Entity, catalogs: Mapping[str, DataFrame] | None = None,
                     line_col: str = "line_number", isolate_runtime_errors: bool = True,
-                    catalog_sizes: Mapping[str, int] | None = None) -> DataFrame:
+                    catalog_sizes: Mapping[str, int] | None = None, order_col: str | None = None) -> DataFrame:
     """The nested validation record of one entity (one row, ``RESULT_SCHEMA``).
 
-    ``df`` is the staged entity with a stored ``line_col``.  The fused count
+    ``df`` is the staged entity with a stored ``line_col``, or with the struct ``order_col``
+    whose order its lines follow (see :func:`ordered_report`).  The fused count
     (rows, NULLs per variable, passes per rule, wrong rows per small catalog)
     runs once here and returns one row; it is also the probe for rules that
     raise at run time, which are then found by halving the set of rules.
     Such rules, and rules that do not analyse, are reported as passing 0
     rows, wrong on all, with the text ``"<n> lines"``.  Wrong lines and
-    values stay lazy: one more aggregate over the violation stream.
+    values stay lazy with a ``line_col``: one more aggregate over the violation stream.
     """
     spark = df.sparkSession
     labels = entity.labels
@@ -384,8 +458,10 @@ def validate_entity(df: DataFrame, entity: Entity, catalogs: Mapping[str, DataFr
         checks = _isolate(df, checks)
         row = fused_counts(df, labels, checks, cats).first()
     total = int(row["total"])
-    stream = violation_stream(df, line_col, checks, cats)
-    report = check_report(stream)
+    if order_col is None:
+        report = check_report(violation_stream(df, line_col, checks, cats))
+    else:
+        report = ordered_report(df, order_col, checks, cats)
 
     # what is known on the driver: one row per rule and per catalog check
     meta_rows = []

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import casting as C
-from tessera.model import ForeignKey
+from tessera.model import CatalogRef, Entity, ForeignKey, Rule, Variable
 from tessera.operators import common as OC
 from tessera.operators import keys as K
+from tessera.operators import validate as V
 from tessera.plans import driver_model as M
 from tessera.plans import ingest as IG
 from tessera.plans import intake as IN
@@ -86,3 +87,45 @@ def test_orphans_are_marked_once(spark, monkeypatch):
     orphans, valid = K.split_orphans(child, parent, ForeignKey(("k",), "parent", ("p",)))
     assert "Join" not in _plan(orphans) and set(orphans.inputFiles()) == set(valid.inputFiles())
     assert sorted(map(tuple, orphans.collect())) == [(2, "b"), (2, "c")] and valid.collect() == [(1, "a")]
+
+
+def test_validation_sorts_no_table(spark, monkeypatch):
+    """The records number the lines they name; the whole table used to be sorted and stored for that."""
+    monkeypatch.setattr(M, "_STAGED", {})
+    stored = []
+    keep = OC.write_read
+    monkeypatch.setattr(OC, "write_read", lambda df, name, *more: stored.append(name) or keep(df, name, *more))
+    records = {r["entity"]: r for r in Q.validation_records(spark, SF_SMALL).collect()}
+    assert "numbered" not in stored
+    numbered = V.validate_entity(M.lineitem_lines(spark, SF_SMALL), M.LINEITEM, M.catalogs_for(spark, SF_SMALL, "lineitem")).first()
+    assert "numbered" in stored and records["lineitem"] == numbered
+
+
+@pytest.mark.parametrize("inline", [True, False])
+@pytest.mark.parametrize("leads", [40, 2, 0])
+def test_ordered_report_is_that_of_the_numbered_table(spark, inline, leads):
+    """With equal rows, tied, NULL and NaN leading fields, and without rows."""
+    random.seed(leads)
+    rows = [(random.choice([None, float("nan"), *map(float, range(leads))]), random.choice([None, "p", "q"]),
+             random.choice([None, *"abcdefghijklmnopqrs"]), random.randint(0, 3)) for _ in range(400 * (leads > 0))]
+    rows += rows[:60]
+    order = ["k", "s", "v", "n"]
+    df = spark.createDataFrame(rows, "k double, s string, v string, n int").repartition(5)
+    ent = Entity("t", [Variable("v", "string", "Categorical", True, CatalogRef("c", "code")), Variable("n", "integer")],
+                 [Rule("n > 0"), Rule("n < 9"), Rule("no_such > 1")], (), [], 0)
+    checks = V.analyse_rules(df, ent.rules)
+    cats = V.catalog_checks_for(ent, {"v": spark.createDataFrame([("a",), ("b",)], "code string")}, inline=inline)
+    want = V.check_report(V.violation_stream(OC.number_rows(df, order), "line_number", checks, cats))
+    got = V.ordered_report(df.withColumn("place", F.struct(*order)), "place", checks, cats)
+    assert got.columns == want.columns
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_numbering_of_reported_lines_shuffles_counts_only(spark):
+    """Neither the wrong rows nor the table are sorted or shuffled to number the first of them."""
+    df = M.ordered_view(spark, SF_SMALL, "lineitem")
+    first = V.first_rows(df, "line_order", V.analyse_rules(df, M.LINEITEM_RULES), [])
+    assert first.count() == V.REPORT_LINES * len(M.LINEITEM_RULES)
+    plan = V.line_numbers_of(df, "line_order", first)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [id"):]
+    assert "Sort" not in below and "Window" not in below and "count(1)" in below
